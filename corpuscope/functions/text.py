@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
-from operator import add, or_
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -29,35 +29,35 @@ def any_of(conditions: Sequence[Column]) -> Column:
 
 # -- substring counts --------------------------------------------------------
 
-def term_count(text, term: str) -> Column:
-    """Non-overlapping, case-insensitive occurrences of ``term`` as a plain substring."""
-    lowered, needle = F.lower(as_col(text)), term.lower()
+def term_count(lowered, term: str) -> Column:
+    """Non-overlapping occurrences of ``term`` as a plain substring of lower-cased text."""
+    lowered, needle = as_col(lowered), term.lower()
     removed = F.octet_length(lowered) - F.octet_length(F.replace(lowered, F.lit(needle), F.lit("")))
-    size = len(needle.encode())
     return F.when(
-        lowered.contains(needle), (removed / size).cast("long")
+        lowered.contains(needle), F.floor(removed / len(needle.encode()))
     ).otherwise(F.lit(0).cast("long"))
 
 
-def keyword_count(text, terms: Sequence[str]) -> Column:
-    """Sum of :func:`term_count` over ``terms``.
+def lowered_keyword_count(lowered, terms: Sequence[str]) -> Column:
+    """Sum of :func:`term_count` over ``terms``; give it a column, not an expression.
 
     Terms count independently, so one that lies inside another counts for both. Empty or
     missing text gives 0. The ``contains`` guard keeps the replacement off the texts
     (nearly all of them) that do not hold the term.
     """
-    if not terms:
-        return F.lit(0).cast("long")
-    return reduce(add, [term_count(text, t) for t in terms])
+    return sum((term_count(lowered, t) for t in terms), F.lit(0).cast("long"))
 
 
-def library_hits(content, libraries: Sequence[str]) -> Column:
-    """How many of the library names occur in one manifest (presence, not frequency)."""
-    lowered = F.coalesce(F.lower(as_col(content)), F.lit(""))
-    return reduce(
-        add, [lowered.contains(lib.lower()).cast("long") for lib in libraries],
-        F.lit(0).cast("long"),
-    )
+def keyword_count(text, terms: Sequence[str]) -> Column:
+    """Case-insensitive :func:`lowered_keyword_count` of a text."""
+    return lowered_keyword_count(F.lower(as_col(text)), terms)
+
+
+def library_hits(lowered, libraries: Sequence[str]) -> Column:
+    """How many of the library names occur in a lower-cased manifest (presence, not frequency)."""
+    lowered = F.coalesce(as_col(lowered), F.lit(""))
+    return sum((lowered.contains(lib.lower()).cast("long") for lib in libraries),
+               F.lit(0).cast("long"))
 
 
 def readme_length(text) -> Column:

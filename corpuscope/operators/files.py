@@ -77,7 +77,7 @@ def ai_dependency_count(files: DataFrame, tax: tx.Taxonomy = tx.DEFAULT) -> Data
     return (
         files.filter(F.col("path").isin(*tx.MANIFEST_FILES))
         .groupBy("full_name")
-        .agg(F.sum(fx.library_hits("content", tax.libraries)).alias("ai_dependency_count"))
+        .agg(F.sum(fx.library_hits(F.lower("content"), tax.libraries)).alias("ai_dependency_count"))
     )
 
 
@@ -87,20 +87,20 @@ def content_profile(files: DataFrame, tax: tx.Taxonomy = tx.DEFAULT) -> DataFram
     The counters are computed per file in front of the aggregation, so only numbers move.
     """
     is_readme = F.col("path") == "README.md"
-
-    def of_readme(value: Column) -> Column:
-        return F.when(is_readme, value).otherwise(F.lit(0).cast("long"))
-
-    counted = files.filter(F.col("path").isin(*tx.MANIFEST_FILES)).select(
+    # lower-cased once here: the counters below read the column many times
+    lowered = files.filter(F.col("path").isin(*tx.MANIFEST_FILES)).select(
         "full_name",
-        of_readme(fx.readme_length("content")).alias("readme_length"),
-        of_readme(fx.keyword_count("content", tax.ai_terms)).alias("ai_keyword_count"),
-        of_readme(fx.keyword_count("content", tax.readme_test_terms)).alias("test_keyword_count"),
-        of_readme(fx.keyword_count("content", tax.phrases)).alias("intersection_phrase_count"),
-        fx.library_hits("content", tax.libraries).alias("ai_dependency_count"),
+        F.when(is_readme, F.length("content")).alias("readme_length"),
+        F.when(is_readme, F.lower("content")).alias("_readme"),
+        F.lower("content").alias("_manifest"),
+    )
+    return lowered.groupBy("full_name").agg(
+        F.sum(F.coalesce("readme_length", F.lit(0))).alias("readme_length"),
+        F.sum(fx.lowered_keyword_count("_readme", tax.ai_terms)).alias("ai_keyword_count"),
+        F.sum(fx.lowered_keyword_count("_readme", tax.readme_test_terms)).alias("test_keyword_count"),
+        F.sum(fx.lowered_keyword_count("_readme", tax.phrases)).alias("intersection_phrase_count"),
+        F.sum(fx.library_hits("_manifest", tax.libraries)).alias("ai_dependency_count"),
     )
-    return counted.groupBy("full_name").agg(
-        *[F.sum(c).alias(c) for c in counted.columns if c != "full_name"])
 
 
 def readme_rank() -> Column:

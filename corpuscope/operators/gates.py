@@ -15,16 +15,17 @@ def _flag(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False))
 
 
-def _points(value: Column, *tiers: tuple[float, int]) -> Column:
-    """Points of the first tier whose lower bound is reached, else 0."""
-    score = F.lit(0.0)
-    for bound, points in reversed(tiers):
-        score = F.when(value >= bound, float(points)).otherwise(score)
-    return score
+def _points(value: Column, *steps: tuple[float, int]) -> Column:
+    """Sum of the points of every lower bound reached.
+
+    Tiers such as 2 points from 1000 and 1 from 500 are written as one point at each bound,
+    which keeps the score flat arithmetic.
+    """
+    return sum((_int(value >= bound) * points for bound, points in steps), F.lit(0))
 
 
-def _one_if(condition: Column) -> Column:
-    return F.when(condition, 1.0).otherwise(0.0)
+def _int(condition: Column) -> Column:
+    return condition.cast("int")
 
 
 def basic_condition(df: DataFrame) -> Column:
@@ -37,6 +38,11 @@ def basic_condition(df: DataFrame) -> Column:
     return condition
 
 
+def hit_condition() -> Column:
+    """The part of the basic filter that a raw search hit already decides."""
+    return (_num("stargazers_count") >= tx.MIN_STARS) & ~_flag("archived") & ~_flag("fork")
+
+
 def content_condition() -> Column:
     ai = _num("ai_keyword_count") + _num("ai_dependency_count")
     testing = (_num("test_keyword_count") + _flag("has_test_directory").cast("long")
@@ -71,35 +77,32 @@ def activity_filter(df: DataFrame) -> DataFrame:
 
 
 def score_parts() -> dict[str, Column]:
-    """The five sub-scores; within each list the first tier reached counts."""
+    """The five sub-scores as whole numbers."""
     push_age = F.coalesce(F.col("days_since_last_push"), F.lit(9999))
     return {
-        "popularity": _points(_num("stars"), (10000, 5), (5000, 4), (1000, 3), (500, 2), (100, 1)),
-        "activity": F.when(push_age <= 30, 3.0).when(push_age <= 90, 2.0)
-                     .when(push_age <= 365, 1.0).otherwise(0.0)
-        + _points(_num("commits_per_month"), (10, 2), (5, 1)),
-        "community": _points(_num("contributor_count"), (50, 2), (10, 1))
-        + _one_if(_flag("has_discussions")) + _one_if(_num("open_issues") > 0)
-        + _one_if(_flag("has_topics")),
-        "documentation": _points(_num("readme_length"), (1000, 2), (500, 1))
-        + _one_if(_flag("has_contributing")) + _one_if(_flag("has_license"))
-        + _one_if(_flag("has_code_of_conduct")),
-        "signals": _points(_num("intersection_phrase_count"), (3, 4), (1, 2))
-        + _points(_num("ai_keyword_count"), (10, 2), (5, 1))
-        + _points(_num("test_keyword_count"), (10, 2), (5, 1))
-        + _one_if(_num("ai_dependency_count") > 0) + _one_if(_flag("has_test_directory")),
+        "popularity": _points(_num("stars"), (100, 1), (500, 1), (1000, 1), (5000, 1), (10000, 1)),
+        "activity": _int(push_age <= 30) + _int(push_age <= 90) + _int(push_age <= 365)
+        + _points(_num("commits_per_month"), (5, 1), (10, 1)),
+        "community": _points(_num("contributor_count"), (10, 1), (50, 1))
+        + _int(_flag("has_discussions")) + _int(_num("open_issues") > 0)
+        + _int(_flag("has_topics")),
+        "documentation": _points(_num("readme_length"), (500, 1), (1000, 1))
+        + _int(_flag("has_contributing")) + _int(_flag("has_license"))
+        + _int(_flag("has_code_of_conduct")),
+        "signals": _points(_num("intersection_phrase_count"), (1, 2), (3, 2))
+        + _points(_num("ai_keyword_count"), (5, 1), (10, 1))
+        + _points(_num("test_keyword_count"), (5, 1), (10, 1))
+        + _int(_num("ai_dependency_count") > 0) + _int(_flag("has_test_directory")),
     }
 
 
 def score_expression() -> Column:
-    total = F.lit(0.0)
-    for part in score_parts().values():
-        total = total + part
+    total = sum(score_parts().values(), F.lit(0)).cast("double")
     return F.least(total, F.lit(tx.MAX_QUALITY_SCORE))
 
 
 def score_components(df: DataFrame) -> DataFrame:
-    return df.withColumns(score_parts())
+    return df.withColumns({name: part.cast("double") for name, part in score_parts().items()})
 
 
 def quality_score(df: DataFrame) -> DataFrame:
@@ -109,7 +112,8 @@ def quality_score(df: DataFrame) -> DataFrame:
 def high_precision_filter(df: DataFrame) -> DataFrame:
     """Adds ``quality_score`` and ``passes``; drops no row, so the caller filters.
 
-    The cheap stages come first, and a row that fails one scores 0.0 and is not rated.
+    The cheap stages come first, and a row that fails one scores 0.0 and is not rated. Apply
+    ``dedup_best`` before filtering on ``passes``; see ``plans.mine`` for the reason.
     """
     stages = basic_condition(df) & content_condition() & activity_condition()
     scored = df.withColumn("quality_score", F.when(stages, score_expression()).otherwise(0.0))

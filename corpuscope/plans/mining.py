@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import taxonomy as tx
 from ..operators.enrich import enrich
-from ..operators.gates import high_precision_filter
+from ..operators.gates import high_precision_filter, hit_condition
 from ..operators.ranking import dedup_best, sort_output
 from ..operators.repos import taxonomy_stamp
 
@@ -16,11 +16,16 @@ def mine(hits: DataFrame, details: DataFrame, commits: DataFrame, releases: Data
          tax: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
     """Accepted repositories with all characteristics, best first.
 
-    Archived repositories and forks are removed here, while the search hit still tells.
+    Hits that cannot pass (too few stars, archived, forks) leave before the joins. The best
+    row per name is chosen before the verdict is read: a rejected row scores 0, so the
+    outcome is the same, and the verdict, an expression over some twenty defaulted columns,
+    is not pushed down into the joins, where deriving constraints from it would take the
+    optimizer exponential time.
     """
-    ready = enrich(hits, details, commits, releases, languages, files, as_of, tax)
-    accepted = high_precision_filter(ready).filter("passes").drop("passes")
-    return sort_output(taxonomy_stamp(dedup_best(accepted), tax))
+    ready = enrich(hits.filter(hit_condition()), details, commits, releases, languages, files,
+                   as_of, tax)
+    best = dedup_best(high_precision_filter(ready)).filter("passes").drop("passes")
+    return sort_output(taxonomy_stamp(best, tax))
 
 
 def score_and_rank(hits: DataFrame, details: DataFrame, commits: DataFrame,
