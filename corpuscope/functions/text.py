@@ -177,25 +177,21 @@ def bounded_pattern(keyword: str) -> str:
     return r"(?iu)(?<![A-Za-z0-9])" + re.escape(keyword) + r"(?![A-Za-z0-9])"
 
 
-def keyword_hits(text, keywords: Sequence[str]) -> Column:
-    """Array of ``struct(keyword, pos)``: first bounded hit of each keyword that occurs.
+def keyword_candidates(folded, keywords: Sequence[str]) -> Column:
+    """Indexes of the keywords that occur as plain substrings of a case-folded text column."""
+    folded = as_col(folded)
+    return F.array_compact(F.array(*[
+        F.when(folded.contains(kw.lower()), i) for i, kw in enumerate(keywords)]))
 
-    ``pos`` is the 0-based offset in characters. It comes from the length of the text in
-    front of the hit because ``regexp_instr`` counts UTF-16 units. The pattern only runs
-    where the plain substring is present.
+
+def first_hit(text, pattern) -> Column:
+    """0-based offset, in characters, of the first match; NULL without one.
+
+    It is the length of the text in front of the match, because ``regexp_instr`` counts
+    UTF-16 units.
     """
-    text = as_col(text)
-    folded = fold_case(text)
-    found = F.array_compact(F.array(*[
-        F.when(
-            folded.contains(kw.lower()),
-            F.struct(F.lit(kw).alias("keyword"), F.split(text, bounded_pattern(kw), 2).alias("parts")),
-        ) for kw in keywords
-    ]))
-    return F.transform(
-        F.filter(found, lambda h: F.size(h["parts"]) == 2),
-        lambda h: F.struct(h["keyword"].alias("keyword"), F.length(h["parts"][0]).alias("pos")),
-    )
+    parts = F.split(as_col(text), as_col(pattern), 2)
+    return F.when(F.size(parts) == 2, F.length(parts[0]))
 
 
 def context_window(text, pos, keyword, margin: int = tx.SNIPPET_MARGIN) -> Column:
@@ -229,18 +225,19 @@ def mention_type(context) -> Column:
     return first_class(context, tx.MENTION_CUES, "reference")
 
 
-def is_testing_related(context, artifact, has_test_infra) -> Column:
+def is_testing_related(context, artifact, has_test_infra, context_type=None) -> Column:
     """Classified, or names a testing term, or is structural in a repository that tests."""
+    context_type = classify_context(context) if context_type is None else as_col(context_type)
     structural = as_col(artifact).isin("commit_trailer", "config_artifact")
     return F.coalesce(
-        (classify_context(context) != "unspecified")
+        (context_type != "unspecified")
         | as_col(context).rlike("(?iuU)" + tx.TESTING_TERMS)
         | (structural & F.coalesce(as_col(has_test_infra), F.lit(False))),
         F.lit(False),
     )
 
 
-def confidence(artifact, context, testing_related) -> Column:
+def confidence(artifact, context_type, testing_related) -> Column:
     """Base score by artifact, more if classified, less if not about testing; in [0.05, 1]."""
     artifact = as_col(artifact)
     base = (
@@ -248,7 +245,7 @@ def confidence(artifact, context, testing_related) -> Column:
         .when(artifact == "commit_message", 0.55).otherwise(0.5)
     )
     score = (
-        base + F.when(classify_context(context) != "unspecified", 0.15).otherwise(0.0)
+        base + F.when(as_col(context_type) != "unspecified", 0.15).otherwise(0.0)
         - F.when(as_col(testing_related), 0.0).otherwise(0.2)
     )
     return F.round(F.least(F.greatest(score, F.lit(0.05)), F.lit(1.0)), 2)

@@ -17,40 +17,27 @@ from .validation import infra_ok
 MENTION_COLUMNS = schemas.MENTIONS.fieldNames()
 
 
-def _mentions(hits: DataFrame, artifact: Column, keyword: Column, method: str,
-              date: Column, provenance: Column) -> DataFrame:
-    """Adds the derived mention fields to rows with ``full_name`` and ``context``."""
-    context = F.col("context")
-    related = fx.is_testing_related(context, artifact, F.lit(False))
-    typed = hits.withColumns({
-        "_artifact": artifact, "_related": related, "_class": fx.classify_context(context)})
-    return typed.select(
-        F.col("full_name").alias("repo_id"), F.col("_artifact").alias("source_artifact"),
-        keyword.alias("keyword"), fx.mention_type(context).alias("mention_type"),
-        F.col("_class").alias("context_type"), F.col("_related").alias("testing_relevant"),
-        fx.confidence("_artifact", context, "_related").alias("confidence_score"),
-        date.cast("timestamp").alias("mention_date"), F.lit(method).alias("detection_method"),
-        provenance.alias("provenance"), context.alias("context_snippet"),
-    )
-
-
-def mentions_any(text, tax: tx.Taxonomy) -> Column:
-    """Cheap superset test: some keyword is a plain substring of the raw text.
+def keyword_positions(df: DataFrame, text: str, tax: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
+    """Adds ``scrubbed``, ``keyword`` and ``pos``: one row per (text, keyword) that occurs.
 
-    Scrubbing only puts spaces in the place of URLs and addresses, which cannot bring a
-    keyword about, so rows that fail this hold no mention.
+    Only the first bounded hit of a keyword counts. Every text is tested for plain
+    substrings; the bounded patterns run on the few (text, keyword) candidates left. Narrow.
+    The outer explode keeps Spark from adding a filter that would test each text twice.
     """
-    folded = fx.fold_case(text)
-    return fx.any_of([folded.contains(k.lower()) for k in tax.genai_keywords])
-
-
-def keyword_positions(df: DataFrame, text: str, tax: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
-    """Adds ``scrubbed``, ``keyword`` and ``pos``: one row per (text, keyword) that occurs."""
+    words = tax.genai_keywords
+    index = F.col("_index") + 1
+    candidates = (
+        df.withColumn("scrubbed", fx.scrub(text))
+        .withColumn("_folded", fx.fold_case("scrubbed"))
+        .withColumn("_index", F.explode_outer(fx.keyword_candidates("_folded", words)))
+        .filter(F.col("_index").isNotNull()).drop("_folded")
+    )
+    pattern = F.element_at(fx.array_of([fx.bounded_pattern(w) for w in words]), index)
     return (
-        df.filter(mentions_any(text, tax))
-        .withColumn("scrubbed", fx.scrub(text))
-        .withColumn("hit", F.explode(fx.keyword_hits("scrubbed", tax.genai_keywords)))
-        .withColumns({"keyword": F.col("hit.keyword"), "pos": F.col("hit.pos")}).drop("hit")
+        candidates.withColumns({
+            "keyword": F.element_at(fx.array_of(words), index),
+            "pos": fx.first_hit("scrubbed", pattern)})
+        .filter(F.col("pos").isNotNull()).drop("_index")
     )
 
 
@@ -60,9 +47,21 @@ def detect_mentions(df: DataFrame, artifact: str, text: str,
     """The eleven mention fields for the first hit of each keyword in each text. Narrow."""
     date = F.lit(None) if date is None else date
     provenance = F.lit("") if provenance is None else provenance
-    hits = keyword_positions(df, text, tax).withColumn(
-        "context", fx.clean_snippet(fx.context_window("scrubbed", "pos", "keyword")))
-    return _mentions(hits, F.lit(artifact), F.col("keyword"), "keyword", date, provenance)
+    typed = (
+        keyword_positions(df, text, tax)
+        .withColumns({"_date": date.cast("timestamp"), "_provenance": provenance, "context_snippet":
+                      fx.clean_snippet(fx.context_window("scrubbed", "pos", "keyword"))})
+        .withColumn("context_type", fx.classify_context("context_snippet"))
+        .withColumn("testing_relevant", fx.is_testing_related(
+            "context_snippet", F.lit(artifact), F.lit(False), "context_type"))
+    )
+    return typed.select(
+        F.col("full_name").alias("repo_id"), F.lit(artifact).alias("source_artifact"), "keyword",
+        fx.mention_type("context_snippet").alias("mention_type"), "context_type", "testing_relevant",
+        fx.confidence(F.lit(artifact), "context_type", "testing_relevant").alias("confidence_score"),
+        F.col("_date").alias("mention_date"), F.lit("keyword").alias("detection_method"),
+        F.col("_provenance").alias("provenance"), "context_snippet",
+    )
 
 
 def commit_mentions(commits: DataFrame, tax: tx.Taxonomy = tx.DEFAULT) -> DataFrame:

@@ -28,7 +28,8 @@ def read_repos(spark: SparkSession, path: str, schema: T.StructType = schemas.EN
 
     A missing path, or one whose header lacks a required column, gives an empty table: an
     incremental run then starts afresh. Array columns of a CSV are parsed from their text.
-    Columns are matched by header name; ones the file lacks come back as NULL.
+    Columns are matched by header name; ones the file lacks come back as NULL, and so do
+    empty texts, which a CSV cannot tell from missing ones.
     """
     empty = spark.createDataFrame([], schema)
     try:
