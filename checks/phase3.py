@@ -91,7 +91,7 @@ COLUMNS = ", ".join(mn.MENTION_COLUMNS)
 
 
 def _commit_hits(v):
-    return mn.keyword_positions(v.commits.select("commit_id", "message"), "message", TAX)
+    return mn.keyword_positions(v.messages.select("commit_id", "message"), "message", TAX)
 
 
 def _contexts(v):
@@ -134,7 +134,7 @@ select commit_id, round(least(greatest(case artifact when 'commit_trailer' then
   - case when related then 0.0 else 0.2::double end, 0.05), 1.0), 2) as confidence from {{judged}}""")
 register("coauthor_trailers", lambda v: mn.coauthor_trailers(v.commits), f"select {COLUMNS} from {{trailers}}")
 register("config_artifacts", lambda v: mn.config_artifacts(v.files), f"select {COLUMNS} from {{configs}}")
-register("commit_mentions", lambda v: mn.commit_mentions(v.commits, TAX), f"""
+register("commit_mentions", lambda v: mn.commit_mentions(v.messages, TAX), f"""
 select {COLUMNS} from {{text_mentions}} where source_artifact = 'commit_message'""")
 register("readme_mentions", lambda v: mn.readme_mentions(v.files, TAX), f"""
 select {COLUMNS} from {{text_mentions}} where source_artifact = 'readme'""")
@@ -147,7 +147,7 @@ register("detect_mentions", lambda v: mn.detect_mentions(
         f"0.3::double as confidence_score from {{talks}} where regexp_matches(t, {_bounded(k)[0]})"
         for k in TAX.genai_keywords))
 register("union_mentions", lambda v: mn.union_mentions(
-    mn.commit_mentions(v.commits, TAX), mn.coauthor_trailers(v.commits), mn.readme_mentions(v.files, TAX),
+    mn.commit_mentions(v.messages, TAX), mn.coauthor_trailers(v.commits), mn.readme_mentions(v.files, TAX),
     mn.config_artifacts(v.files)).groupBy("source_artifact", "keyword").agg(F.count("*").alias("n")), """
 select source_artifact, keyword, count(*) as n from (select source_artifact, keyword from {text_mentions}
   union all select source_artifact, keyword from {trailers} union all select source_artifact, keyword from {configs})
@@ -190,7 +190,7 @@ select m.* replace (coalesce(m.testing_relevant, s.has_infra) as testing_relevan
 join {{scanned}} s on m.repo_id = s.full_name
 where s.repo_kind = 'project'
   and (m.source_artifact in ('readme', 'config_artifact') or m.provenance in (select commit_id from {{capped}}))""")
-register("detect_repo_mentions", lambda v: mn.detect_repo_mentions(_repos(v), v.commits, v.files, TAX, CAP),
+register("detect_repo_mentions", lambda v: mn.detect_repo_mentions(_repos(v), v.messages, v.files, TAX, CAP),
          f"select {COLUMNS} from {{all_mentions}}")
 register("scanned_repos", lambda v: mn.scanned_repos(_repos(v), include_catalog=True), "select * from {scanned}")
 cte("summary", f"""
@@ -207,7 +207,7 @@ where s.repo_kind = 'project'""")
 
 
 def _detected(v):
-    return plans.detect(_repos(v), v.commits, v.files, tax=TAX, cap=CAP)
+    return plans.detect(_repos(v), v.messages, v.files, tax=TAX, cap=CAP)
 
 
 register("repo_summary", lambda v: _detected(v).summary, "select * from {summary}")

@@ -14,10 +14,13 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscope import taxonomy as tx
+from corpuscope.sources.readers import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 AS_OF = "2026-08-02 00:00:00"
 LANGS = ("de", "en", "es", "fr")
 
@@ -53,6 +56,14 @@ DESCRIPTION = """case when c_custkey % 10 = 0 then null when c_custkey % 30 = 5
   when c_custkey % 4 = 3 then 'OpenAI wrapper, see labs'
   else concat('Tool ', c_name) end"""
 
+PATH_NAMES = (
+    "tests/test_main.py", "test/check.js", ".github/workflows/ci.yml", "CONTRIBUTING.md",
+    "CODE_OF_CONDUCT.md", ".cursorrules", "CLAUDE.md", "package.json", "requirements.txt",
+    ".travis.yml", "AGENTS.md", "pyproject.toml", ".circleci/config.yml",
+    ".cursor/rules/main.mdc", ".cursor/rules/more.mdc", "README.txt", "tests",
+) + tuple(f"src/module_{i}.py" for i in range(17, 60))
+PATHS = ", ".join(f"(cast({i} as bigint), '{p}')" for i, p in enumerate(PATH_NAMES))
+
 VIEWS: dict[str, str] = {
     "hits": f"""
 select {name('c_custkey')} as full_name,
@@ -110,14 +121,7 @@ select {name('doc_id')} as full_name,
 from {{documents}}
 union all
 select {name('k')} as full_name,
-  case slot when 0 then 'tests/test_main.py' when 1 then 'test/check.js'
-    when 2 then '.github/workflows/ci.yml' when 3 then 'CONTRIBUTING.md'
-    when 4 then 'CODE_OF_CONDUCT.md' when 5 then '.cursorrules' when 6 then 'CLAUDE.md'
-    when 7 then 'package.json' when 8 then 'requirements.txt' when 9 then '.travis.yml'
-    when 10 then 'AGENTS.md' when 11 then 'pyproject.toml' when 12 then '.circleci/config.yml'
-    when 13 then '.cursor/rules/main.mdc' when 14 then '.cursor/rules/more.mdc'
-    when 15 then 'README.txt' when 16 then 'tests'
-    else concat('src/module_', cast(slot as string), '.py') end as path,
+  p.path,
   slot = 16 as is_dir,
   case when slot = 7 and k % 3 = 0 then concat('"openai": "4.0",', chr(10), '"langchain": "0.1"')
     when slot = 8 and k % 2 = 0 then concat('OpenAI>=1', chr(10), 'transformers', chr(10), 'pytest')
@@ -125,7 +129,8 @@ select {name('k')} as full_name,
     when slot = 15 then 'Tests of this thing use ChatGPT. Claude Code wrote the fixture.'
     else concat('content of ', cast(slot as string)) end as content
 from (select distinct o_custkey as k, (l_partkey * 7 + l_suppkey) % 60 as slot
-  from {{orders}} join {{lineitem}} on o_orderkey = l_orderkey) s""",
+  from {{orders}} join {{lineitem}} on o_orderkey = l_orderkey) s
+join (values {PATHS}) p(place, path) on p.place = s.slot""",
     "results": f"""
 select {name('o_custkey')} as full_name,
   case when o_orderkey % 45 = 0 then null
@@ -151,7 +156,8 @@ class Views:
     @functools.cache
     def table(self, key: str) -> DataFrame:
         if key in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{key}.parquet")
+            table = self.spark.read.parquet(f"{self.folder}/{key}.parquet")
+            return spread(table) if key in TEXT_TABLES else table
         sql = VIEWS[key]
         return self.spark.sql(sql, **{p: self.table(p) for p in parts_of(sql)})
 
@@ -171,6 +177,12 @@ class Views:
         licensed = F.when(F.col("license_name").isNotNull(), F.struct(F.col("license_name").alias("name")))
         return self.topics(self.details).withColumn("license", licensed).drop("license_name")
 
+    @property
+    def messages(self) -> DataFrame:
+        """The commits, spread over the cores for the text operators."""
+        return self.commits.repartition(self.spark.sparkContext.defaultParallelism) if (
+            spread(self.orders) is not self.orders) else self.commits
+
     @property
     def corpus(self) -> DataFrame:
         """Search hits in the shape the shard search and the catalog rule read."""

@@ -22,7 +22,10 @@ def keyword_positions(df: DataFrame, text: str, tax: tx.Taxonomy = tx.DEFAULT) -
 
     Only the first bounded hit of a keyword counts. Every text is tested for plain
     substrings; the bounded patterns run on the few (text, keyword) candidates left. Narrow.
-    The outer explode keeps Spark from adding a filter that would test each text twice.
+
+    Both filters read a column that an outer explode made. Spark copies a filter on an
+    ordinary computed column (or one it infers for a plain explode) below the projection,
+    which would do all the matching twice.
     """
     words = tax.genai_keywords
     index = F.col("_index") + 1
@@ -36,7 +39,7 @@ def keyword_positions(df: DataFrame, text: str, tax: tx.Taxonomy = tx.DEFAULT) -
     return (
         candidates.withColumns({
             "keyword": F.element_at(fx.array_of(words), index),
-            "pos": fx.first_hit("scrubbed", pattern)})
+            "pos": F.explode_outer(F.array(fx.first_hit("scrubbed", pattern)))})
         .filter(F.col("pos").isNotNull()).drop("_index")
     )
 

@@ -97,6 +97,15 @@ def read_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
         F.lit(False).alias("is_dir"), text.alias("content"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer input splits than cores, redistributed for CPU-heavy text work.
+
+    A table of many files comes back as it is; only the plan is looked at, no data is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _quoted(literal: str) -> str:
     return r"\Q" + literal + r"\E"
 
