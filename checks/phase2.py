@@ -197,7 +197,8 @@ def _readme_language(v):
 
 register("train_profile", _profile, "select * from {profile}")
 register("line_language", lambda v: lg.line_language(fo.pick_readme(v.files), _profile(v), LANGS), f"""
-select full_name, line_no, {BEST} as line_lang from {{unit_scores}} where not whole""")
+select full_name, line_no, {BEST} as line_lang from (select full_name, line_no from {{units}} where not whole)
+left join {{unit_scores}} using (full_name, line_no)""")
 register("english_share", lambda v: lg.english_share(fo.pick_readme(v.files), _profile(v), LANGS),
          "select * from {shares}")
 register("readme_lang", lambda v: _readme_language(v).select("full_name", "readme_lang"),

@@ -139,7 +139,8 @@ select {name('o_custkey')} as full_name,
   case when o_orderkey % 50 = 0 then null else cast(o_orderkey % 31 as double) end as quality_score,
   o_orderstatus as primary_language
 from {{orders}}""",
-    "job_log": "select 0 as run_id, event_id as query_no, value as seconds from {events}",
+    "job_log": """
+select 0 as run_id, event_id as query_no, value as seconds, (select count(*) from {events}) as total from {events}""",
 }
 
 

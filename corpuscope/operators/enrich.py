@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from .. import taxonomy as tx
 from ..functions.dates import commits_per_month, releases_per_year
 from .files import content_profile, files_profile
 from .ranking import top_languages
 from .repos import normalize_repo, repo_flags, with_defaults
-from .stats import commit_stats, contributor_stats, release_stats
+from .stats import history_stats, release_stats
 
 
 def enrich(hits: DataFrame, details: DataFrame, commits: DataFrame, releases: DataFrame,
@@ -24,9 +24,8 @@ def enrich(hits: DataFrame, details: DataFrame, commits: DataFrame, releases: Da
     """
     joined = normalize_repo(hits)
     for side in (
-        repo_flags(details, as_of), commit_stats(commits), contributor_stats(commits),
-        release_stats(releases, as_of), top_languages(languages),
-        files_profile(files), content_profile(files, tax),
+        repo_flags(details, as_of), history_stats(commits), release_stats(releases, as_of),
+        top_languages(languages), files_profile(files), content_profile(files, tax),
     ):
         joined = joined.join(side, "full_name", "left")
     rated = joined.withColumns({

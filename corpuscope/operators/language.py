@@ -51,11 +51,11 @@ def train_profile(documents: DataFrame, languages: Sequence[str], text: str = "t
         .groupBy("trigram")
         .agg(*[F.count_if(F.col("lang") == lang).alias(f"n_{lang}") for lang in languages])
     )
-    totals = counts.agg(*[F.sum(f"n_{lang}").alias(f"t_{lang}") for lang in languages])
+    totals = counts.agg(
+        F.struct(*[F.sum(f"n_{lang}").alias(lang) for lang in languages]).alias("totals")).scalar()
 
     def log_probability(lang: str) -> Column:
-        total = totals.select(f"t_{lang}").scalar()
-        p = (F.col(f"n_{lang}") + 1) / (total + ALPHABET_CUBED)
+        p = (F.col(f"n_{lang}") + 1) / (totals[lang] + ALPHABET_CUBED)
         return F.round(F.ln(p) * SCALE).cast("long").alias(score_column(lang))
 
     return counts.select("trigram", *[log_probability(lang) for lang in languages])
@@ -65,20 +65,21 @@ def score_texts(df: DataFrame, profile: DataFrame, languages: Sequence[str],
                 keys: Sequence[str], text: str) -> DataFrame:
     """Per key the summed log-probability of its text in each language, and the best one.
 
-    Trigrams that the training corpus never showed are skipped. The trigrams of one text
-    sit in one task, so the partial aggregation leaves one row per text for the shuffle.
-    Texts without a known trigram have no row. Equal sums go to the later language name.
+    Trigrams that the training corpus never showed add nothing; a text without a known one
+    keeps a row of NULLs. The trigrams of one text sit in one task, so the partial
+    aggregation leaves one row per text for the shuffle. Equal sums go to the later
+    language name.
     """
     columns = [score_column(lang) for lang in languages]
     summed = (
-        df.select(*keys, F.explode(trigrams(text)).alias("trigram"))
-        .join(F.broadcast(profile), "trigram")
+        df.select(*keys, F.explode_outer(trigrams(text)).alias("trigram"))
+        .join(F.broadcast(profile), "trigram", "left")
         .groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
     )
     best = F.array_max(F.array(*[
         F.struct(F.col(score_column(lang)).alias("score"), F.lit(lang).alias("lang"))
         for lang in languages]))
-    return summed.withColumn("best_lang", best["lang"])
+    return summed.withColumn("best_lang", F.when(best["score"].isNotNull(), best["lang"]))
 
 
 def probability(language: str, languages: Sequence[str]) -> Column:
@@ -93,23 +94,23 @@ def probability(language: str, languages: Sequence[str]) -> Column:
 
 
 def readme_units(readmes: DataFrame, key: str = "full_name", text: str = "content") -> DataFrame:
-    """One row per kept line of the cleaned README.
+    """One row per kept line of the cleaned README, with the number of them.
 
-    A README without such a line gives one row with its whole cleaned text, marked
-    ``whole``.
+    A README without such a line gives one row with its whole cleaned text and 0 lines.
     """
-    cleaned = readmes.select(key, fx.clean_readme(text).alias("_cleaned"))
-    lines = cleaned.withColumn("_lines", fx.text_lines("_cleaned"))
-    whole = F.size("_lines") == 0
-    units = F.when(whole, F.array("_cleaned")).otherwise(F.col("_lines"))
-    return lines.select(
-        key, whole.alias("whole"), F.posexplode(units).alias("line_no", "line"))
+    lines = (
+        readmes.select(key, fx.clean_readme(text).alias("_cleaned"))
+        .withColumn("_lines", fx.text_lines("_cleaned"))
+        .withColumn("n_lines", F.size("_lines"))
+    )
+    units = F.when(F.col("n_lines") == 0, F.array("_cleaned")).otherwise(F.col("_lines"))
+    return lines.select(key, "n_lines", F.posexplode_outer(units).alias("line_no", "line"))
 
 
 def line_language(readmes: DataFrame, profile: DataFrame, languages: Sequence[str],
                   key: str = "full_name", text: str = "content") -> DataFrame:
-    """Best language of each kept README line."""
-    units = readme_units(readmes, key, text).filter(~F.col("whole"))
+    """Best language of each kept README line; NULL where none could be told."""
+    units = readme_units(readmes, key, text).filter(F.col("n_lines") > 0)
     scored = score_texts(units, profile, languages, [key, "line_no"], "line")
     return scored.select(key, "line_no", F.col("best_lang").alias("line_lang"))
 
@@ -121,22 +122,17 @@ def english_share(readmes: DataFrame, profile: DataFrame, languages: Sequence[st
 
     Lines no language could be told for stay in the denominator. A README without a kept
     line gets the probability that its whole text is English, or NULL if that is below
-    0.1 or nothing in it is known. Lines and whole texts are scored in the same pass.
+    0.1 or nothing in it is known. Lines and whole texts are scored in the same pass, and
+    a very long README is shuffled line by line, not as a whole.
     """
     units = readme_units(readmes, key, text)
-    kept_lines = units.groupBy(key).agg(
-        F.bool_or("whole").alias("whole"), F.count("*").alias("n_lines"))
-    scored = score_texts(units, profile, languages, [key, "whole", "line_no"], "line")
-    per_readme = (
-        scored.withColumn("p", probability(english, languages))
-        .groupBy(key).agg(
-            F.count_if(~F.col("whole") & (F.col("best_lang") == english)).alias("n_english"),
-            F.max(F.when(F.col("whole"), F.col("p"))).alias("p_whole"))
-    )
-    share = F.when(
-        F.col("whole"), F.when(F.col("p_whole") > MIN_PROBABILITY, F.col("p_whole"))
-    ).otherwise(F.coalesce(F.col("n_english"), F.lit(0)) / F.col("n_lines"))
-    return kept_lines.join(per_readme, key, "left").select(key, share.alias("readme_lang_conf"))
+    scored = score_texts(units, profile, languages, [key, "n_lines", "line_no"], "line")
+    per_readme = scored.groupBy(key, "n_lines").agg(
+        F.count_if(F.col("best_lang") == english).alias("n_english"),
+        F.max(F.when(F.col("n_lines") == 0, probability(english, languages))).alias("p_whole"))
+    share = F.when(F.col("n_lines") > 0, F.col("n_english") / F.col("n_lines")).otherwise(
+        F.when(F.col("p_whole") > MIN_PROBABILITY, F.col("p_whole")))
+    return per_readme.select(key, share.alias("readme_lang_conf"))
 
 
 def readme_language(readmes: DataFrame, profile: DataFrame, languages: Sequence[str],

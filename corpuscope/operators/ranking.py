@@ -93,13 +93,12 @@ def top_languages(languages: DataFrame, n: int = 3) -> DataFrame:
 def moving_avg_eta(log: DataFrame, window: int = 10, block: int = 100_000) -> DataFrame:
     """Estimated time left after each query of a run.
 
-    ``log`` holds ``run_id``, ``query_no`` (0-based, without gaps within a run) and
-    ``seconds``. The mean of the last ``window`` durations is multiplied by the queries
-    still to run. A run is cut into blocks of consecutive queries, and the last
-    ``window - 1`` rows of a block are also handed to the next one, so a long run spreads
-    over many tasks with the same result as one window over all of it.
+    ``log`` holds ``run_id``, ``query_no`` (0-based, without gaps within a run), ``seconds``
+    and ``total``, the length of the run's plan. The mean of the last ``window`` durations
+    is multiplied by the queries still to run. A run is cut into blocks of consecutive
+    queries, and the last ``window - 1`` rows of a block are also handed to the next one, so
+    a long run spreads over many tasks with the same result as one window over all of it.
     """
-    per_run = log.groupBy("run_id").agg(F.count("*").alias("total"))
     own = F.floor(F.col("query_no") / block)
     near_end = F.pmod(F.col("query_no"), F.lit(block)) >= block - (window - 1)
     spread = log.withColumn(
@@ -108,7 +107,6 @@ def moving_avg_eta(log: DataFrame, window: int = 10, block: int = 100_000) -> Da
     timed = (
         spread.withColumn("avg_seconds", F.avg("seconds").over(recent))
         .filter(F.col("_block") == own).drop("_block")
-        .join(per_run, "run_id")
         .withColumn("remaining", F.col("total") - F.col("query_no") - 1)
         .withColumn("eta_seconds", F.col("avg_seconds") * F.col("remaining"))
     )

@@ -23,6 +23,12 @@ def contributor_stats(commits: DataFrame, cap: int | None = None,
     return commits.groupBy("full_name").agg(count.cast("long").alias("contributor_count"))
 
 
+def history_stats(commits: DataFrame) -> DataFrame:
+    """Commits and distinct authors per repository from one scan."""
+    return commits.groupBy("full_name").agg(
+        F.count("*").alias("commit_count"), F.count_distinct("author_id").alias("contributor_count"))
+
+
 def release_stats(releases: DataFrame, as_of) -> DataFrame:
     """Number of releases, latest one and its age."""
     return (

@@ -10,6 +10,7 @@ from .. import taxonomy as tx
 from ..operators.incremental import resume_anti_join
 from ..operators.mentions import (
     detect_repo_mentions, repo_summary, run_summary, scanned_repos, skipped_catalogs)
+from ..session import written
 
 
 @dataclass(frozen=True)
@@ -25,10 +26,10 @@ def detect(repos: DataFrame, commits: DataFrame, files: DataFrame,
            cap: int = tx.COMMIT_CAP, include_catalog: bool = False) -> Detected:
     """Mentions, summaries and totals; repositories in ``done`` are left out.
 
-    ``mentions`` feeds the summary as well. A run that needs both should write the mentions
-    first and summarise the written table.
+    The mentions are written once: they are a result and what the summary is made from.
     """
     todo = repos if done is None else resume_anti_join(repos, done)
-    mentions = detect_repo_mentions(todo, commits, files, tax, cap, include_catalog)
+    mentions = written(
+        detect_repo_mentions(todo, commits, files, tax, cap, include_catalog), "mentions")
     summary = repo_summary(mentions, scanned_repos(todo, include_catalog), commits, cap)
     return Detected(mentions, summary, run_summary(summary), skipped_catalogs(todo))

@@ -11,11 +11,12 @@ from ..operators.files import pick_readme
 from ..operators.language import readme_language, train_profile
 from ..operators.validation import (
     excluded, funnel, join_language, language_gate, stage_a, survivors)
+from ..session import written
 
 
 @dataclass(frozen=True)
 class Validated:
-    """Lazy results of one validation; they share the staged table's plan."""
+    """Results of one validation; all are read from the same staged table."""
 
     survivors: DataFrame
     excluded: DataFrame
@@ -27,9 +28,11 @@ def validate(mined: DataFrame, files: DataFrame | None = None,
     """All gates in order, cheapest first.
 
     With ``files`` and a labelled corpus the READMEs of the stage-A survivors (and no
-    others) are scored; without them only stage A runs.
+    others) are scored; without them only stage A runs. The staged table is written once,
+    because the survivors, the excluded rows, the READMEs to score and the funnel all start
+    from it.
     """
-    staged = stage_a(mined)
+    staged = written(stage_a(mined), "staged")
     if files is None or labelled is None:
         kept = survivors(staged)
         return Validated(kept.withColumn("phase2_pass", F.lit(True)), excluded(staged), funnel(staged))
