@@ -80,7 +80,8 @@ def read_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     """File contents by repository and path.
 
     ``binaryFile`` reads a checked-out tree ``<root>/<owner>/<name>/<file path>``; text is
-    decoded as UTF-8 without the bytes that are not.
+    decoded as UTF-8 without the bytes that are not. Spark lists no empty files there, so a
+    presence test that has to see them needs a table of paths.
     """
     if fmt != "binaryFile":
         return spark.read.schema(schemas.FILES).format(fmt).load(path)

@@ -1,0 +1,193 @@
+"""Readers, writers and incremental runs."""
+
+import base64
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpuscope import plans, schemas
+from corpuscope.operators import incremental, mentions as mn, quality, validation as va
+from corpuscope.session import shared_folder, written
+from corpuscope.sources import readers, writers
+from corpuscope.streaming import incremental as st
+
+RESULT = "full_name string, html_url string, stars bigint, quality_score double"
+
+
+def test_missing_file_and_missing_key_give_an_empty_table(spark, tmp_path):
+    assert readers.read_repos(spark, str(tmp_path / "none.csv")).count() == 0
+    (tmp_path / "t.csv").write_text("name,stars\nx,1\n")
+    empty = readers.read_repos(spark, str(tmp_path / "t.csv"))
+    assert empty.count() == 0 and empty.schema == schemas.ENRICHED
+    assert readers.read_repos(spark, str(tmp_path / "none"), fmt="parquet").count() == 0
+
+
+def test_csv_columns_match_by_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(
+        'stars,extra,full_name,topics,description\n7,x,a/b,"[\'ai\', \'ml\']","two\nlines, ""quoted"""\n')
+    row = readers.read_repos(spark, str(tmp_path / "t.csv")).first()
+    assert (row.full_name, row.stars, row.topics, row.forks) == ("a/b", 7, ["ai", "ml"], None)
+    assert row.description == 'two\nlines, "quoted"'
+
+
+def test_search_pages_and_details(spark, tmp_path):
+    (tmp_path / "p.json").write_text(
+        '{"total_count": 2, "items": [{"full_name": "a/b", "stargazers_count": 3}, {"full_name": "c/d"}]}\n')
+    rows = {r.full_name: r.stargazers_count for r in readers.read_repo_json(spark, str(tmp_path / "p.json")).collect()}
+    assert rows == {"a/b": 3, "c/d": None}
+    (tmp_path / "d.json").write_text(
+        '{"full_name": "a/b", "created_at": "2024-01-01T00:00:00Z", "topics": ["x"], "license": {"name": "MIT License"}}\n')
+    row = readers.read_details_json(spark, str(tmp_path / "d.json")).first()
+    assert (row.created_at, row.license.name, row.topics) == (dt.datetime(2024, 1, 1), "MIT License", ["x"])
+
+
+def test_checked_out_tree(spark, tmp_path):
+    for path, data in (("o/r/README.md", b"hi \xff there"), ("o/r/tests/t.py", b"x"), ("p/q/a/b/c.txt", b"1\n")):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(data)
+    got = {(r.full_name, r.path, r.content) for r in readers.read_files(spark, str(tmp_path), "binaryFile").collect()}
+    assert got == {("o/r", "README.md", "hi  there"), ("o/r", "tests/t.py", "x"), ("p/q", "a/b/c.txt", "1\n")}
+
+
+def test_encoded_contents(spark):
+    text = base64.b64encode("größe".encode()).decode()
+    df = spark.createDataFrame([("a/b", "README.md", False, text)], schemas.FILES)
+    assert readers.decode_files(df).first().content == "größe"
+
+
+def test_spread_only_touches_few_splits(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    spark.range(100).coalesce(1).write.parquet(folder)
+    few = spark.read.parquet(folder)
+    assert readers.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 100, 1, 64)
+    assert readers.spread(many) is many
+
+
+def test_written_files_are_in_rank_order(spark, tmp_path):
+    df = spark.createDataFrame([(f"r{i}", "u", i, float(i % 7)) for i in range(50)] * 2, RESULT)
+    folders = writers.write_repos(df, str(tmp_path / "out"))
+    rows = spark.read.schema(RESULT).json(folders["json"]).collect()
+    assert len(rows) == 50
+    table = readers.read_repos(spark, folders["csv"], spark.createDataFrame([], RESULT).schema)
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, rows))
+
+
+def test_split_and_append(spark, tmp_path):
+    staged = spark.createDataFrame([("a", None), ("b", "license: x")], "full_name string, exclusion_stage string")
+    folder = writers.write_split(staged, str(tmp_path / "s"))
+    assert [r.full_name for r in spark.read.parquet(folder + "/decision=survivor").collect()] == ["a"]
+    empty = spark.createDataFrame([], schemas.MENTIONS)
+    for _ in range(2):
+        writers.append_mentions(empty, str(tmp_path / "m"))
+    assert spark.read.schema(schemas.MENTIONS).parquet(str(tmp_path / "m")).count() == 0
+    report = writers.write_report(quality.report(spark.createDataFrame([("a", "u", 1, 2.0)], RESULT)), str(tmp_path / "r"))
+    assert '"total_repos":1' in spark.read.text(report).first().value
+
+
+class Session:
+    """Just the settings that decide about the shared folder."""
+
+    def __init__(self, master, setting=None):
+        self.sparkContext = self
+        self.conf = {"spark.checkpoint.dir": setting} if setting else {}
+        self.master, self.folder = master, None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_shared_folder_follows_the_setting():
+    assert shared_folder(Session("yarn", "hdfs://c/x/"), "t").startswith("hdfs://c/x/t-")
+    local = Session("local[2]")
+    assert shared_folder(local, "t").startswith(local.folder + "/t-")
+    with pytest.raises(ValueError):
+        shared_folder(Session("yarn"), "t")
+
+
+def test_written_table(spark):
+    out = written(spark.range(3), "range")
+    assert out.count() == 3 and out.inputFiles()
+
+
+def test_resume(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "full_name string")
+    assert [r.full_name for r in incremental.resume_anti_join(df, df.filter("full_name = 'a'")).collect()] == ["b"]
+
+
+def test_validation_plan_with_languages(spark):
+    from .test_gates import GOOD, SCHEMA
+    from .test_language import DE, EN
+    rows = [{**GOOD, "full_name": n, "license": lic} for n, lic in (
+        ("x/en", "MIT License"), ("x/de", "MIT License"), ("x/none", "MIT License"), ("x/other", None))]
+    mined = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA).withColumn("quality_score", F.lit(12.0))
+    files = spark.createDataFrame([(n, "README.md", False, t) for n, t in (
+        ("x/en", EN), ("x/de", DE), ("x/other", DE))], schemas.FILES)
+    labelled = spark.createDataFrame([(EN, "en"), (DE, "de")], "text string, lang string")
+    out = plans.validate(mined, files, labelled, ("de", "en"))
+    assert {(r.full_name, r.readme_lang) for r in out.survivors.collect()} == {("x/en", "en"), ("x/none", None)}
+    assert [r.full_name for r in out.excluded.collect()] == ["x/other"]
+    assert [(r.remaining, r.removed) for r in out.funnel.orderBy("step").collect()] == [(4, 0), (3, 1), (3, 0), (3, 0), (2, 1)]
+    assert plans.validate(mined).survivors.count() == 3
+    profile = va.corpus_profile(out.survivors).first()
+    assert (profile.n_repos, profile.n_ci, profile.pct_ci, profile.mean_score) == (2, 2, 100.0, 12.0)
+
+
+# -- streams -----------------------------------------------------------------------------
+
+def commit_rows(spark, start, n):
+    return spark.range(start, start + n).selectExpr(
+        "concat('r', id % 5) as full_name", "cast(id as string) as commit_id",
+        "timestampadd(HOUR, cast(id as int), timestamp'2024-01-01 00:00:00') as committed_at", "'d' as author_id",
+        "case id % 3 when 0 then 'Claude wrote tests' when 1 then 'x\nCo-authored-by: Aider' else 'y' end as message")
+
+
+def test_stream_detect_goes_on_and_equals_batch(spark, tmp_path):
+    land, out, state = (str(tmp_path / d) for d in ("land", "out", "state"))
+    scanned = spark.range(4).selectExpr("concat('r', id) as full_name", "id % 2 = 0 as has_infra")
+    for start in (0, 30):
+        commit_rows(spark, start, 30).write.mode("append").parquet(land)
+        stream = st.read_landing(spark, land, schemas.COMMITS, max_files=1)
+        st.stream_detect(stream, scanned, out, state).awaitTermination()
+    every = commit_rows(spark, 0, 60)
+    batch = mn.attach_repository(mn.union_mentions(mn.commit_mentions(every), mn.coauthor_trailers(every)), scanned)
+    got = spark.read.schema(schemas.MENTIONS).parquet(out)
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect())) and batch.count() > 30
+
+
+def test_stream_dedup_within_the_watermark(spark, tmp_path):
+    land, out, state = (str(tmp_path / d) for d in ("land", "out", "state"))
+    commit_rows(spark, 0, 40).repartition(4).write.parquet(land)
+    stream = st.read_landing(spark, land, schemas.COMMITS, max_files=1)
+    st.stream_dedup(stream, out, state, "committed_at", "365 days").awaitTermination()
+    assert sorted(r.full_name for r in spark.read.parquet(out).collect()) == ["r0", "r1", "r2", "r3", "r4"]
+
+
+def test_first_seen_is_exact_over_restarts(spark, tmp_path):
+    land, out, state = (str(tmp_path / d) for d in ("land", "out", "state"))
+    seen = []
+    for names in (["a", "b", "a"], ["b", "c"], ["a", "c", "d"]):
+        spark.createDataFrame([(n,) for n in names], "full_name string").coalesce(1).write.mode("append").parquet(land)
+        schema = spark.createDataFrame([], "full_name string").schema
+        st.stream_first_seen(st.read_landing(spark, land, schema), out, state).awaitTermination()
+        seen.append(sorted(r.full_name for r in spark.read.parquet(out).collect()))
+    assert seen == [["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d"]]
+
+
+def test_merge_best_over_restarts(spark, tmp_path):
+    land, out, state = (str(tmp_path / d) for d in ("land", "out", "state"))
+    schema = spark.createDataFrame([], RESULT).schema
+    for rows in ([("a", "u1", 1, 5.0), ("b", "u2", 1, 5.0)], [("a", "u3", 9, 5.0), ("b", "u4", 9, 4.0), ("c", "u5", 1, None)]):
+        spark.createDataFrame(rows, RESULT).coalesce(1).write.mode("append").parquet(land)
+        query = st.stream_merge_best(st.read_landing(spark, land, schema), out, state)
+        query.awaitTermination()
+        table = st.latest_version(spark, query, out, schema)
+    assert {r.full_name: r.html_url for r in table.collect()} == {"a": "u3", "b": "u2", "c": "u5"}
+    # nothing new: the last version stays the latest
+    query = st.stream_merge_best(st.read_landing(spark, land, schema), out, state)
+    query.awaitTermination()
+    assert st.latest_version(spark, query, out, schema).count() == 3
