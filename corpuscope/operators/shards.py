@@ -222,7 +222,9 @@ def search_topk(hits: DataFrame, sort: str = "stars", descending: bool = True,
                 max_results: int = tx.SEARCH_RESULT_CAP) -> DataFrame:
     """The first ``max_results`` (at most 1,000) hits of each query in the given order.
 
-    Queries are ranked in salted parts first: one broad query may own most hits.
+    Queries are ranked in salted parts first: one broad query may own most hits. Spark cuts
+    each part to the limit before it shuffles, as long as the limit does not exceed
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1,000 unless set).
     """
     column = F.col(SORT_COLUMNS[sort])
     order = [column.desc_nulls_last() if descending else column.asc_nulls_last(), F.col("full_name")]
