@@ -47,8 +47,8 @@ def train_profile(documents: DataFrame, languages: Sequence[str], text: str = "t
     """
     counts = (
         documents.filter(F.col(label).isin(*languages))
-        .select(F.col(label).alias("lang"), F.explode(trigrams(text)).alias("trigram"))
-        .groupBy("trigram")
+        .select(F.col(label).alias("lang"), F.explode_outer(trigrams(text)).alias("trigram"))
+        .filter(F.col("trigram").isNotNull()).groupBy("trigram")
         .agg(*[F.count_if(F.col("lang") == lang).alias(f"n_{lang}") for lang in languages])
     )
     totals = counts.agg(

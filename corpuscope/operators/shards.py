@@ -186,8 +186,9 @@ def shard_search(repos: DataFrame, plan: DataFrame, tax: tx.Taxonomy = tx.DEFAUL
         _keys(PHRASE, F.col("_phrase"), none, F.col("_stars")),
         _keys(PERIOD, F.col("_early"), none, F.col("_time")),
     )
-    wanted = matched.filter(F.size("_ai") + F.size("_phrase") > 0).select(
-        *repos.columns, F.inline(keys).alias(*KEYS))
+    # outer: for a plain inline Spark would copy the whole key expression into a filter
+    wanted = matched.select(*repos.columns, F.inline_outer(keys).alias(*KEYS)).filter(
+        F.col("strategy").isNotNull())
     lookup = plan.select("query_id", "query", *KEYS)
     return wanted.join(_bounded(lookup, tax), list(KEYS)).select("query_id", "query", *repos.columns)
 

@@ -38,7 +38,8 @@ def validate(mined: DataFrame, files: DataFrame | None = None,
         return Validated(kept.withColumn("phase2_pass", F.lit(True)), excluded(staged), funnel(staged))
     names = survivors(staged).select("full_name")
     readmes = pick_readme(files.join(names, "full_name", "left_semi"))
-    profile = train_profile(labelled, languages)
+    # small, but it costs a pass over the labelled corpus
+    profile = written(train_profile(labelled, languages), "profile")
     told = join_language(staged, readme_language(readmes, profile, languages))
     kept = language_gate(survivors(told))
     return Validated(kept.withColumn("phase2_pass", F.lit(True)), excluded(staged), funnel(told))
