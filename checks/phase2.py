@@ -192,7 +192,7 @@ def _profile(v):
 
 
 def _readme_language(v):
-    return lg.readme_language(fo.pick_readme(v.files), _profile(v), LANGS)
+    return lg.corpus_readme_language(v.files, _profile(v), LANGS)
 
 
 register("train_profile", _profile, "select * from {profile}")
@@ -201,6 +201,8 @@ select full_name, line_no, {BEST} as line_lang from (select full_name, line_no f
 left join {{unit_scores}} using (full_name, line_no)""")
 register("english_share", lambda v: lg.english_share(fo.pick_readme(v.files), _profile(v), LANGS),
          "select * from {shares}")
+register("readme_language", lambda v: lg.readme_language(fo.pick_readme(v.files), _profile(v), LANGS),
+         "select full_name, readme_lang, readme_lang_conf from {readme_languages}")
 register("readme_lang", lambda v: _readme_language(v).select("full_name", "readme_lang"),
          "select full_name, readme_lang from {readme_languages}")
 register("join_language", lambda v: va.join_language(va.survivors(_staged(v)), _readme_language(v)).select(

@@ -178,10 +178,14 @@ def bounded_pattern(keyword: str) -> str:
 
 
 def keyword_candidates(folded, keywords: Sequence[str]) -> Column:
-    """Indexes of the keywords that occur as plain substrings of a case-folded text column."""
+    """Indexes of the keywords that occur as plain substrings of a case-folded text column.
+
+    NULL if none does, which is the usual case and is found without building an array.
+    """
     folded = as_col(folded)
-    return F.array_compact(F.array(*[
-        F.when(folded.contains(kw.lower()), i) for i, kw in enumerate(keywords)]))
+    occurs = [folded.contains(kw.lower()) for kw in keywords]
+    return F.when(any_of(occurs), F.array_compact(F.array(*[
+        F.when(hit, i) for i, hit in enumerate(occurs)])))
 
 
 def first_hit(text, pattern) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import taxonomy as tx
 from ..functions import text as fx
+from .files import chosen_readme, readme_files
 
 ALPHABET_CUBED = 28 ** 3
 SCALE = 1_000_000
@@ -93,30 +94,31 @@ def probability(language: str, languages: Sequence[str]) -> Column:
     return F.lit(1.0) / total
 
 
-def readme_units(readmes: DataFrame, key: str = "full_name", text: str = "content") -> DataFrame:
+def readme_units(readmes: DataFrame, keys: Sequence[str] = ("full_name",),
+                 text: str = "content") -> DataFrame:
     """One row per kept line of the cleaned README, with the number of them.
 
     A README without such a line gives one row with its whole cleaned text and 0 lines.
     """
     lines = (
-        readmes.select(key, fx.clean_readme(text).alias("_cleaned"))
+        readmes.select(*keys, fx.clean_readme(text).alias("_cleaned"))
         .withColumn("_lines", fx.text_lines("_cleaned"))
         .withColumn("n_lines", F.size("_lines"))
     )
     units = F.when(F.col("n_lines") == 0, F.array("_cleaned")).otherwise(F.col("_lines"))
-    return lines.select(key, "n_lines", F.posexplode_outer(units).alias("line_no", "line"))
+    return lines.select(*keys, "n_lines", F.posexplode_outer(units).alias("line_no", "line"))
 
 
 def line_language(readmes: DataFrame, profile: DataFrame, languages: Sequence[str],
-                  key: str = "full_name", text: str = "content") -> DataFrame:
+                  keys: Sequence[str] = ("full_name",), text: str = "content") -> DataFrame:
     """Best language of each kept README line; NULL where none could be told."""
-    units = readme_units(readmes, key, text).filter(F.col("n_lines") > 0)
-    scored = score_texts(units, profile, languages, [key, "line_no"], "line")
-    return scored.select(key, "line_no", F.col("best_lang").alias("line_lang"))
+    units = readme_units(readmes, keys, text).filter(F.col("n_lines") > 0)
+    scored = score_texts(units, profile, languages, [*keys, "line_no"], "line")
+    return scored.select(*keys, "line_no", F.col("best_lang").alias("line_lang"))
 
 
 def english_share(readmes: DataFrame, profile: DataFrame, languages: Sequence[str],
-                  key: str = "full_name", text: str = "content",
+                  keys: Sequence[str] = ("full_name",), text: str = "content",
                   english: str = "en") -> DataFrame:
     """Share of English among the kept lines of each README.
 
@@ -125,20 +127,36 @@ def english_share(readmes: DataFrame, profile: DataFrame, languages: Sequence[st
     0.1 or nothing in it is known. Lines and whole texts are scored in the same pass, and
     a very long README is shuffled line by line, not as a whole.
     """
-    units = readme_units(readmes, key, text)
-    scored = score_texts(units, profile, languages, [key, "n_lines", "line_no"], "line")
-    per_readme = scored.groupBy(key, "n_lines").agg(
+    units = readme_units(readmes, keys, text)
+    scored = score_texts(units, profile, languages, [*keys, "n_lines", "line_no"], "line")
+    per_readme = scored.groupBy(*keys, "n_lines").agg(
         F.count_if(F.col("best_lang") == english).alias("n_english"),
         F.max(F.when(F.col("n_lines") == 0, probability(english, languages))).alias("p_whole"))
     share = F.when(F.col("n_lines") > 0, F.col("n_english") / F.col("n_lines")).otherwise(
         F.when(F.col("p_whole") > MIN_PROBABILITY, F.col("p_whole")))
-    return per_readme.select(key, share.alias("readme_lang_conf"))
+    return per_readme.select(*keys, share.alias("readme_lang_conf"))
 
 
 def readme_language(readmes: DataFrame, profile: DataFrame, languages: Sequence[str],
                     threshold: float = tx.ENGLISH_THRESHOLD) -> DataFrame:
     """``full_name, readme_lang, readme_lang_conf`` as the language gate wants them."""
-    share = english_share(readmes, profile, languages)
-    return share.select(
+    return _named(english_share(readmes, profile, languages), threshold)
+
+
+def corpus_readme_language(files: DataFrame, profile: DataFrame, languages: Sequence[str],
+                           threshold: float = tx.ENGLISH_THRESHOLD) -> DataFrame:
+    """:func:`readme_language` of the README that counts for each repository.
+
+    Every README variant is scored where it is read, and the one that counts is picked among
+    the scores, on paths alone; so no README is shuffled.
+    """
+    keys = ("full_name", "readme_rank")
+    shares = english_share(readme_files(files), profile, languages, keys)
+    picked = shares.join(chosen_readme(files), list(keys), "left_semi")
+    return _named(picked, threshold)
+
+
+def _named(shares: DataFrame, threshold: float) -> DataFrame:
+    return shares.select(
         "full_name", fx.readme_lang("readme_lang_conf", threshold).alias("readme_lang"),
         "readme_lang_conf")

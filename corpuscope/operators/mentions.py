@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import schemas, taxonomy as tx
 from ..functions import text as fx
+from ..session import written
 from .files import chosen_readme, present_artifacts, readme_files
 from .ranking import top_k_per_group
 from .validation import infra_ok
@@ -139,21 +140,24 @@ def commit_cutoffs(commits: DataFrame, cap: int = tx.COMMIT_CAP) -> DataFrame:
     (committed_at, commit_id), missing dates first. Only keys are read.
 
     A repository may own a third of all commits, so its history is never sorted as one
-    group: commits are counted per day, the running total finds the day in which the cap
-    falls, and only that day is ranked (in salted parts first).
+    group. Repositories above the cap have their commits counted per day, the running total
+    finds the day in which the cap falls, and only that day is ranked (in salted parts
+    first). The list of these repositories and their days are written to the shared folder:
+    Spark then knows their size, broadcasts them if it is small, and need not shuffle the
+    commits to meet them.
     """
     day = F.coalesce(F.to_date("committed_at"), F.lit("0001-01-01").cast("date"))
     keyed = commits.select("full_name", "committed_at", "commit_id", day.alias("day"))
-    daily = keyed.groupBy("full_name", "day").agg(F.count("*").alias("n"))
-    per_repo = daily.groupBy("full_name").agg(F.sum("n").alias("n_commits"))
-    over = per_repo.filter(F.col("n_commits") > cap).select("full_name")
+    per_repo = commits.groupBy("full_name").agg(F.count("*").alias("n_commits"))
+    over = written(per_repo.filter(F.col("n_commits") > cap).select("full_name"), "over-cap")
+    daily = keyed.join(over, "full_name", "left_semi").groupBy("full_name", "day").agg(
+        F.count("*").alias("n"))
     history = W.partitionBy("full_name").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
-    boundary = (
-        daily.join(over, "full_name", "left_semi")
-        .withColumn("upto", F.sum("n").over(history))
+    boundary = written(
+        daily.withColumn("upto", F.sum("n").over(history))
         .filter((F.col("upto") >= cap) & (F.col("upto") - F.col("n") < cap))
-        .select("full_name", "day", (F.lit(cap) - (F.col("upto") - F.col("n"))).alias("take"))
-    )
+        .select("full_name", "day", (F.lit(cap) - (F.col("upto") - F.col("n"))).alias("take")),
+        "cap-days")
     order = [F.col("committed_at").asc_nulls_first(), F.col("commit_id")]
     cutoff = (
         top_k_per_group(keyed.join(boundary, ["full_name", "day"]), ["full_name"], order, cap,
@@ -177,7 +181,8 @@ def within_cap(date: str, commit_id: str) -> Column:
 
 def cap_commits(commits: DataFrame, cap: int = tx.COMMIT_CAP) -> DataFrame:
     """The first ``cap`` commits of each repository in history order."""
-    cut = commit_cutoffs(commits, cap).filter(F.col("cap_hit")).drop("n_commits", "cap_hit")
+    cut = written(
+        commit_cutoffs(commits, cap).filter(F.col("cap_hit")).drop("n_commits", "cap_hit"), "cutoffs")
     return (
         commits.join(cut, "full_name", "left")
         .filter(within_cap("committed_at", "commit_id")).select(*commits.columns)

@@ -7,8 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.files import pick_readme
-from ..operators.language import readme_language, train_profile
+from ..operators.language import corpus_readme_language, train_profile
 from ..operators.validation import (
     excluded, funnel, join_language, language_gate, stage_a, survivors)
 from ..session import written
@@ -37,9 +36,9 @@ def validate(mined: DataFrame, files: DataFrame | None = None,
         kept = survivors(staged)
         return Validated(kept.withColumn("phase2_pass", F.lit(True)), excluded(staged), funnel(staged))
     names = survivors(staged).select("full_name")
-    readmes = pick_readme(files.join(names, "full_name", "left_semi"))
+    theirs = files.join(names, "full_name", "left_semi")
     # small, but it costs a pass over the labelled corpus
     profile = written(train_profile(labelled, languages), "profile")
-    told = join_language(staged, readme_language(readmes, profile, languages))
+    told = join_language(staged, corpus_readme_language(theirs, profile, languages))
     kept = language_gate(survivors(told))
     return Validated(kept.withColumn("phase2_pass", F.lit(True)), excluded(staged), funnel(told))
