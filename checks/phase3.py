@@ -136,6 +136,9 @@ register("coauthor_trailers", lambda v: mn.coauthor_trailers(v.commits), f"selec
 register("config_artifacts", lambda v: mn.config_artifacts(v.files), f"select {COLUMNS} from {{configs}}")
 register("commit_mentions", lambda v: mn.commit_mentions(v.messages, TAX), f"""
 select {COLUMNS} from {{text_mentions}} where source_artifact = 'commit_message'""")
+register("commit_findings", lambda v: mn.commit_findings(v.messages, TAX), f"""
+select {COLUMNS} from {{text_mentions}} where source_artifact = 'commit_message'
+union all select {COLUMNS} from {{trailers}}""")
 register("readme_mentions", lambda v: mn.readme_mentions(v.files, TAX), f"""
 select {COLUMNS} from {{text_mentions}} where source_artifact = 'readme'""")
 cte("talks", f"select conv_id, turn, {_scrub('text')} as t from {{conversations}}")

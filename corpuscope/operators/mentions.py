@@ -17,53 +17,89 @@ from .validation import infra_ok
 
 MENTION_COLUMNS = schemas.MENTIONS.fieldNames()
 
+# Fixed fields of a mention that comes from a co-author trailer.
+TRAILER = dict(
+    artifact="commit_trailer", mention_type="direct-usage", context_type="ci_cd_integration",
+    score=0.95, method="trailer", context_snippet="Co-authored-by trailer")
 
-def keyword_positions(df: DataFrame, text: str, tax: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
-    """Adds ``scrubbed``, ``keyword`` and ``pos``: one row per (text, keyword) that occurs.
 
-    Only the first bounded hit of a keyword counts. Every text is tested for plain
-    substrings; the bounded patterns run on the few (text, keyword) candidates left. Narrow.
+TRAILER_INDEX = -1
+
+
+def _hits(df: DataFrame, text: str, tax: tx.Taxonomy, trailers: bool = False) -> DataFrame:
+    """One row per (text, keyword) that occurs and, on request, one per co-author trailer.
+
+    Every text is tested for plain substrings; the patterns run on the few candidates left,
+    each known by its keyword's index (-1 for a trailer). Narrow, and one pass over the texts.
 
     Both filters read a column that an outer explode made. Spark copies a filter on an
     ordinary computed column (or one it infers for a plain explode) below the projection,
     which would do all the matching twice.
     """
-    words = tax.genai_keywords
-    index = F.col("_index") + 1
-    candidates = (
+    words, index = tax.genai_keywords, F.col("_index")
+    candidates = fx.keyword_candidates("_folded", words)
+    pos = fx.first_hit("scrubbed", F.get(fx.array_of([fx.bounded_pattern(w) for w in words]), index))
+    keyword = F.get(fx.array_of(words), index)
+    if trailers:
+        none = F.array().cast("array<int>")
+        candidates = F.when(
+            F.lower(F.col(text)).contains("co-authored-by:"),
+            F.array_append(F.coalesce(candidates, none), F.lit(TRAILER_INDEX))).otherwise(candidates)
+        tool = fx.trailer_tool(text)
+        pos = F.when(index == TRAILER_INDEX, F.when(tool.isNotNull(), 0)).otherwise(pos)
+        keyword = F.when(index == TRAILER_INDEX, tool).otherwise(keyword)
+    return (
         df.withColumn("scrubbed", fx.scrub(text))
         .withColumn("_folded", fx.fold_case("scrubbed"))
-        .withColumn("_index", F.explode_outer(fx.keyword_candidates("_folded", words)))
-        .filter(F.col("_index").isNotNull()).drop("_folded")
-    )
-    pattern = F.element_at(fx.array_of([fx.bounded_pattern(w) for w in words]), index)
-    return (
-        candidates.withColumns({
-            "keyword": F.element_at(fx.array_of(words), index),
-            "pos": F.explode_outer(F.array(fx.first_hit("scrubbed", pattern)))})
-        .filter(F.col("pos").isNotNull()).drop("_index")
+        .withColumn("_index", F.explode_outer(candidates)).filter(index.isNotNull()).drop("_folded")
+        .withColumns({"keyword": keyword, "pos": F.explode_outer(F.array(pos))})
+        .filter(F.col("pos").isNotNull())
     )
 
 
+def keyword_positions(df: DataFrame, text: str, tax: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
+    """Adds ``scrubbed``, ``keyword`` and ``pos``: one row per (text, keyword) that occurs.
+
+    Only the first bounded hit of a keyword counts.
+    """
+    return _hits(df, text, tax).drop("_index")
+
+
 def detect_mentions(df: DataFrame, artifact: str, text: str,
                     tax: tx.Taxonomy = tx.DEFAULT, date: Column | None = None,
-                    provenance: Column | None = None) -> DataFrame:
-    """The eleven mention fields for the first hit of each keyword in each text. Narrow."""
+                    provenance: Column | None = None, trailers: bool = False) -> DataFrame:
+    """The eleven mention fields for the first hit of each keyword in each text. Narrow.
+
+    With ``trailers`` the mentions of :func:`coauthor_trailers` come from the same pass.
+    """
     date = F.lit(None) if date is None else date
     provenance = F.lit("") if provenance is None else provenance
+
+    def pick(of_trailer, of_prose: Column) -> Column:
+        if not trailers:
+            return of_prose
+        return F.when(F.col("_index") == TRAILER_INDEX, of_trailer).otherwise(of_prose)
+
+    snippet = fx.clean_snippet(fx.context_window("scrubbed", "pos", "keyword"))
+    related = fx.is_testing_related("context_snippet", F.lit(artifact), F.lit(False), "context_type")
     typed = (
-        keyword_positions(df, text, tax)
-        .withColumns({"_date": date.cast("timestamp"), "_provenance": provenance, "context_snippet":
-                      fx.clean_snippet(fx.context_window("scrubbed", "pos", "keyword"))})
-        .withColumn("context_type", fx.classify_context("context_snippet"))
-        .withColumn("testing_relevant", fx.is_testing_related(
-            "context_snippet", F.lit(artifact), F.lit(False), "context_type"))
+        _hits(df, text, tax, trailers)
+        .withColumns({
+            "_date": date.cast("timestamp"), "_provenance": provenance,
+            "context_snippet": pick(F.lit(TRAILER["context_snippet"]), snippet)})
+        .withColumn("context_type", pick(
+            F.lit(TRAILER["context_type"]), fx.classify_context("context_snippet")))
+        .withColumn("testing_relevant", pick(F.lit(None).cast("boolean"), related))
     )
     return typed.select(
-        F.col("full_name").alias("repo_id"), F.lit(artifact).alias("source_artifact"), "keyword",
-        fx.mention_type("context_snippet").alias("mention_type"), "context_type", "testing_relevant",
-        fx.confidence(F.lit(artifact), "context_type", "testing_relevant").alias("confidence_score"),
-        F.col("_date").alias("mention_date"), F.lit("keyword").alias("detection_method"),
+        F.col("full_name").alias("repo_id"),
+        pick(F.lit(TRAILER["artifact"]), F.lit(artifact)).alias("source_artifact"), "keyword",
+        pick(F.lit(TRAILER["mention_type"]), fx.mention_type("context_snippet")).alias("mention_type"),
+        "context_type", "testing_relevant",
+        pick(F.lit(TRAILER["score"]), fx.confidence(
+            F.lit(artifact), "context_type", "testing_relevant")).alias("confidence_score"),
+        F.col("_date").alias("mention_date"),
+        pick(F.lit(TRAILER["method"]), F.lit("keyword")).alias("detection_method"),
         F.col("_provenance").alias("provenance"), "context_snippet",
     )
 
@@ -73,14 +109,20 @@ def commit_mentions(commits: DataFrame, tax: tx.Taxonomy = tx.DEFAULT) -> DataFr
         commits, "commit_message", "message", tax, F.col("committed_at"), F.col("commit_id"))
 
 
+def commit_findings(commits: DataFrame, tax: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
+    """Keyword mentions and co-author trailers from one scan of the commits."""
+    return detect_mentions(
+        commits, "commit_message", "message", tax, F.col("committed_at"), F.col("commit_id"),
+        trailers=True)
+
+
 def coauthor_trailers(commits: DataFrame) -> DataFrame:
     """Mentions from co-author trailers. ``testing_relevant`` waits for the repository."""
-    tool = fx.trailer_tool("message")
     found = commits.filter(F.lower(F.col("message")).contains("co-authored-by:"))
     return _structural(
-        found.withColumn("_tool", tool).filter(F.col("_tool").isNotNull()),
-        "commit_trailer", F.col("_tool"), "direct-usage", 0.95, "trailer",
-        F.col("committed_at"), F.col("commit_id"), F.lit("Co-authored-by trailer"))
+        found.withColumn("_tool", fx.trailer_tool("message")).filter(F.col("_tool").isNotNull()),
+        TRAILER["artifact"], F.col("_tool"), TRAILER["mention_type"], TRAILER["score"],
+        TRAILER["method"], F.col("committed_at"), F.col("commit_id"), F.lit(TRAILER["context_snippet"]))
 
 
 def config_artifacts(files: DataFrame) -> DataFrame:
@@ -96,7 +138,7 @@ def _structural(df: DataFrame, artifact: str, keyword: Column, kind: str, score:
     return df.select(
         F.col("full_name").alias("repo_id"), F.lit(artifact).alias("source_artifact"),
         keyword.alias("keyword"), F.lit(kind).alias("mention_type"),
-        F.lit("ci_cd_integration").alias("context_type"),
+        F.lit(TRAILER["context_type"]).alias("context_type"),
         F.lit(None).cast("boolean").alias("testing_relevant"),
         F.lit(score).alias("confidence_score"), date.cast("timestamp").alias("mention_date"),
         F.lit(method).alias("detection_method"), provenance.alias("provenance"),
@@ -218,7 +260,7 @@ def detect_repo_mentions(repos: DataFrame, commits: DataFrame, files: DataFrame,
 
     The cap and the repository's attributes are applied to mention rows, never to commits.
     """
-    from_commits = union_mentions(commit_mentions(commits, tax), coauthor_trailers(commits))
+    from_commits = commit_findings(commits, tax)
     if cap:
         cut = (
             commit_cutoffs(commits, cap).filter(F.col("cap_hit"))

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import taxonomy as tx
 from ..operators.incremental import resume_anti_join
-from ..operators.mentions import attach_repository, commit_mentions, coauthor_trailers, union_mentions
+from ..operators.mentions import attach_repository, commit_findings
 from ..operators.ranking import dedup_best
 
 
@@ -37,9 +37,8 @@ def stream_detect(commits: DataFrame, scanned: DataFrame, out: str, checkpoint:
     Stateless: detection looks at one commit, and ``scanned`` (a static table of
     repositories) joins the mention rows only.
     """
-    found = union_mentions(commit_mentions(commits, tax), coauthor_trailers(commits))
     return (
-        attach_repository(found, scanned).writeStream.format("parquet")
+        attach_repository(commit_findings(commits, tax), scanned).writeStream.format("parquet")
         .option("path", out).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
     )
