@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from corpuscope import schemas
-from corpuscope.operators import mentions as mn, quality, ranking, validation as va
-from corpuscope.session import shared_folder
+from corpuscope.operators import mentions as mn, quality, validation as va
+from corpuscope.session import shared_folder, written
 from corpuscope.sources import readers, writers
 from corpuscope.streaming import incremental as st
 
@@ -120,7 +120,9 @@ def _landing(v, table, purpose: str, files: int = 4):
 def _stream_detect(v):
     out, state = shared_folder(v.spark, "out"), shared_folder(v.spark, "state")
     stream = _landing(v, v.commits, "commits")
-    st.stream_detect(stream, mn.scanned_repos(_repos(v), True), out, state, TAX).awaitTermination()
+    # read again in every batch, so stored
+    scanned = written(mn.scanned_repos(_repos(v), True), "scanned")
+    st.stream_detect(stream, scanned, out, state, TAX).awaitTermination()
     return v.spark.read.schema(schemas.MENTIONS).parquet(out)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuscope import plans, taxonomy as tx
 from corpuscope.functions import dates, text as fx
-from corpuscope.operators import enrich as en, files as fo, gates, ranking, repos, stats
+from corpuscope.operators import files as fo, gates, ranking, repos, stats
 
 from .registry import count_sql, cte, days_sql, register, sq, sql_in
 from .views import AS_OF, TAX
@@ -132,8 +132,6 @@ register("decode_content", lambda v: v.documents.select(
 
 # -- file presence ----------------------------------------------------------------
 
-EXISTS = "bool_or(path = {0} or starts_with(path, {1}))"
-
 
 def _exists(path: str) -> str:
     return f"bool_or(path = {sq(path)} or starts_with(path, {sq(path + '/')}))"

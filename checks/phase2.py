@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuscope import plans, taxonomy as tx
 from corpuscope.functions import text as fx
-from corpuscope.operators import files as fo, gates, language as lg, quality, ranking, validation as va
+from corpuscope.operators import files as fo, gates, language as lg, quality, validation as va
 
 from .registry import cte, register, sq, sql_in, sql_list
 from . import phase1  # noqa: F401  (its CTEs are used here)

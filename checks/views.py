@@ -14,11 +14,15 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscope import taxonomy as tx
+from corpuscope.session import written
 from corpuscope.sources.readers import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+# Views that join or group whole tables and feed many queries; stored once per session, as the
+# tables they stand for would be.
+STORED_VIEWS = ("files",)
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 AS_OF = "2026-08-02 00:00:00"
@@ -160,7 +164,8 @@ class Views:
             table = self.spark.read.parquet(f"{self.folder}/{key}.parquet")
             return spread(table) if key in TEXT_TABLES else table
         sql = VIEWS[key]
-        return self.spark.sql(sql, **{p: self.table(p) for p in parts_of(sql)})
+        view = self.spark.sql(sql, **{p: self.table(p) for p in parts_of(sql)})
+        return written(view, key) if key in STORED_VIEWS else view
 
     def __getattr__(self, key: str) -> DataFrame:
         if key in TABLES or key in VIEWS:

@@ -35,7 +35,8 @@ def stream_detect(commits: DataFrame, scanned: DataFrame, out: str, checkpoint:
     """Mentions in arriving commits, appended to a Parquet table.
 
     Stateless: detection looks at one commit, and ``scanned`` (a static table of
-    repositories) joins the mention rows only.
+    repositories) joins the mention rows only. It is read in every batch, so it should be a
+    stored table rather than a long computation.
     """
     return (
         attach_repository(commit_findings(commits, tax), scanned).writeStream.format("parquet")
