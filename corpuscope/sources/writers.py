@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.ranking import dedup_best, sort_output
+from ..session import written
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -18,9 +19,11 @@ def write_repos(df: DataFrame, path: str, formats: tuple[str, ...] = ("csv", "js
     """The table, one best row per repository, best first, once per format.
 
     Returns the folder of each format. Rows are range-partitioned by rank, so file order is
-    the ranking and the write stays parallel.
+    the ranking and the write stays parallel. The best rows are determined once and stored
+    for all formats.
     """
-    ranked = sort_output(dedup_best(df) if "full_name" in df.columns else df)
+    best = dedup_best(df) if "full_name" in df.columns else df
+    ranked = sort_output(written(best, "best") if len(formats) > 1 else best)
     folders = {}
     for fmt in formats:
         folders[fmt] = f"{path}/{fmt}"
