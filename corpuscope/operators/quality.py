@@ -17,12 +17,18 @@ def _lines(df: DataFrame, rows: Sequence[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*rows)))
 
 
+def _score_aggregates(column: str) -> list[Column]:
+    c = F.col(column)
+    return [
+        F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("min"),
+        F.max(c).alias("max"), F.stddev_samp(c).alias("std")]
+
+
 def score_stats(df: DataFrame, column: str = "quality_score") -> DataFrame:
     """Distribution of the score over its non-null values."""
     c = F.col(column)
     return df.agg(
-        F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("min"),
-        F.max(c).alias("max"), F.stddev_samp(c).alias("std"),
+        *_score_aggregates(column),
         F.count_if(c >= 20).alias("n_ge_20"), F.count_if(c >= 15).alias("n_ge_15"))
 
 
@@ -32,14 +38,22 @@ def star_stats(df: DataFrame) -> DataFrame:
         F.min("stars").alias("min"), F.max("stars").alias("max"))
 
 
+def _completeness_parts(df: DataFrame, columns: Sequence[str]) -> tuple[list[Column], list[Column]]:
+    """Aggregates, and the report lines made from their results."""
+    present = [c for c in columns if c in df.columns]
+    aggregates = [F.count("*").alias("_rows"), *[F.count(c).alias(f"_n_{c}") for c in present]]
+    share = {c: F.col(f"_n_{c}") / F.nullif(F.col("_rows"), F.lit(0)) * 100 for c in present}
+    return aggregates, [
+        F.struct(F.lit(c).alias("column"), F.col(f"_n_{c}").alias("count"),
+                 F.round(share[c], 2).alias("percentage")) for c in present]
+
+
 def completeness(df: DataFrame, columns: Sequence[str] = tx.COMPLETENESS_COLUMNS) -> DataFrame:
     """Non-null count and percentage of each expected column that the table has."""
-    present = [c for c in columns if c in df.columns]
-    counted = df.agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in present])
-    return _lines(counted, [
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("count"),
-                 F.round(F.col(c) / F.nullif(F.col("_rows"), F.lit(0)) * 100, 2).alias("percentage"))
-        for c in present])
+    aggregates, lines = _completeness_parts(df, columns)
+    if not lines:
+        return df.sparkSession.createDataFrame([], "column string, count bigint, percentage double")
+    return _lines(df.agg(*aggregates), lines)
 
 
 def mean_completeness(df: DataFrame) -> DataFrame:
@@ -71,8 +85,8 @@ def structure_issues(df: DataFrame) -> DataFrame:
     return _lines(totals, rows).filter(F.col("n") > 0)
 
 
-def quality_issues(df: DataFrame) -> DataFrame:
-    """Counts of questionable rows; checks whose columns are absent are left out."""
+def _issue_parts(df: DataFrame) -> tuple[list[Column], list[Column]]:
+    """Aggregates, and the report lines made from their results."""
     checks: dict[str, tuple[tuple[str, ...], Column]] = {
         "low stars": (("stars",), F.col("stars") < tx.MIN_STARS),
         "no description": (("description",), F.coalesce(F.length("description"), F.lit(0)) == 0),
@@ -82,25 +96,34 @@ def quality_issues(df: DataFrame) -> DataFrame:
                        (F.col("ai_keyword_count") == 0) & (F.col("test_keyword_count") == 0)),
     }
     usable = {k: cond for k, (cols, cond) in checks.items() if set(cols) <= set(df.columns)}
-    counted = df.agg(*[F.count_if(cond).alias(k) for k, cond in usable.items()])
-    return _lines(counted, [
-        F.struct(F.lit(k).alias("issue"), F.col(f"`{k}`").alias("n")) for k in usable
-    ]).filter(F.col("n") > 0)
+    aggregates = [F.count_if(cond).alias(f"_issue_{i}") for i, cond in enumerate(usable.values())]
+    return aggregates, [
+        F.struct(F.lit(k).alias("issue"), F.col(f"_issue_{i}").alias("n")) for i, k in enumerate(usable)]
 
 
-def report(df: DataFrame) -> DataFrame:
-    """The whole report as one row: a JSON text in the column ``report``."""
+def quality_issues(df: DataFrame) -> DataFrame:
+    """Counts of questionable rows; checks whose columns are absent are left out."""
+    aggregates, lines = _issue_parts(df)
+    if not lines:
+        return df.sparkSession.createDataFrame([], "issue string, n bigint")
+    return _lines(df.agg(*aggregates), lines).filter(F.col("n") > 0)
 
-    def listed(part: DataFrame, name: str) -> DataFrame:
-        # each part has at most a few dozen lines
-        return part.agg(F.sort_array(F.collect_list(F.struct("*"))).alias(name))
 
-    parts = {
-        "structure_issues": listed(structure_issues(df), "p"),
-        "quality_issues": listed(quality_issues(df), "p"),
-        "enrichment_completeness": listed(completeness(df), "p"),
-        "quality_scores": score_stats(df).select(F.struct("mean", "median", "min", "max", "std")),
-    }
-    total = df.agg(F.count("*").alias("total_repos"))
-    whole = F.struct("total_repos", *[p.scalar().alias(name) for name, p in parts.items()])
-    return total.select(F.to_json(whole).alias("report"))
+def report(df: DataFrame) -> DataFrame:
+    """The whole report as one row: a JSON text in the column ``report``.
+
+    Two scans: one for all counts and the score, one grouped by name for the structure.
+    """
+    counts, complete = _completeness_parts(df, tx.COMPLETENESS_COLUMNS)
+    issue_counts, issues = _issue_parts(df)
+    scores = _score_aggregates("quality_score") if "quality_score" in df.columns else []
+    # at most one line per required column and issue
+    structure = structure_issues(df).agg(F.sort_array(F.collect_list(F.struct("*")))).scalar()
+    whole = F.struct(
+        F.col("_rows").alias("total_repos"), structure.alias("structure_issues"),
+        (F.filter(F.array(*issues), lambda line: line["n"] > 0) if issues else F.array())
+        .alias("quality_issues"),
+        F.array(*complete).alias("enrichment_completeness"),
+        F.struct("mean", "median", "min", "max", "std").alias("quality_scores")
+        if scores else F.lit(None).cast("string").alias("quality_scores"))
+    return df.agg(*counts, *issue_counts, *scores).select(F.to_json(whole).alias("report"))
