@@ -1,9 +1,14 @@
-"""Byte-level BPE ids of whole texts, with a memory of the stretches between blanks.
+"""Byte-level BPE of a tokenizer file, with a shortcut for whole tokens.
 
-The pre-tokenizer's pattern never takes white space into a piece except as its first
-character, so a text may be cut before every blank that is followed by other text, and
-each stretch be encoded alone. Natural text repeats its stretches, which makes most of the
-work a dictionary look-up. ``tests/llm`` hold this against the library.
+The merges of the file are run by a rank encoder over the file's own vocabulary. That gives
+the library's ids if merges are listed in the order of the ids they make and if every
+vocabulary string that is one pre-token is also reached by merging; both are proved when
+the file is loaded, and ``tests/llm`` hold the ids against the library.
+
+For counts, the pre-tokenizer's pattern never takes white space into a piece except as its
+first character, so a text may be cut before every blank that is followed by other text, and
+each stretch be counted alone. Natural text repeats its stretches, which makes most of the
+work a dictionary look-up.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 
 import regex
 
@@ -19,7 +25,7 @@ import regex
 BLANK = "\t-\r \x85\xa0  -     　"
 STRETCH = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]")
 #: Entries and length of an entry up to which stretches are remembered between batches.
-MEMORY, LONGEST = 400_000, 48
+MEMORY, LONGEST = 800_000, 48
 
 _LOADED: dict[str, "Bpe"] = {}
 
@@ -29,6 +35,7 @@ class Bpe:
 
     def __init__(self, content: str, pattern: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(content)
@@ -41,26 +48,31 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in added}
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.pieces = regex.compile(pattern)
-        self.ids: dict[str, bytes] = {}
+        decoder = {c: b for b, c in byte_letters().items()}
+        vocabulary = spec["model"]["vocab"]
+        made = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
+        ranks = {bytes(decoder[c] for c in entry): i for entry, i in vocabulary.items() if entry not in self.special}
+        if any(a >= b for a, b in zip(made, made[1:])) or max((vocabulary[c] for c in decoder), default=0) >= made[0]:
+            raise ValueError("merges are not listed in the order of the ids they make")
+        self.rank = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.whole = self._proved(ranks)
         self.counts: dict[str, int] = {}
-        self._whole: frozenset[str] | None = None
-
-    @property
-    def whole(self) -> frozenset[str]:
-        """Vocabulary strings proved to be one pre-token and to be encoded alone as one token."""
-        if self._whole is None:
-            decoder = {c: b for b, c in byte_letters().items()}
-            strings = []
-            for entry in self.library.get_vocab(with_added_tokens=False):
-                try:
-                    text = bytes(decoder[c] for c in entry).decode("utf-8")
-                except (KeyError, UnicodeDecodeError):
-                    continue
-                if self.pieces.findall(text) == [text]:
-                    strings.append(text)
-            coded = self.library.encode_batch_fast(strings, add_special_tokens=False)
-            self._whole = frozenset(s for s, e in zip(strings, coded) if len(e) == 1 and s not in self.special)
-        return self._whole
+
+    def _proved(self, ranks: dict[bytes, int]) -> frozenset[str]:
+        """Vocabulary strings that are one pre-token and that the library encodes alone as one token."""
+        strings = []
+        for entry in ranks:
+            try:
+                text = entry.decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if self.pieces.findall(text) == [text]:
+                strings.append(text)
+        coded = self.library.encode_batch_fast(strings, add_special_tokens=False)
+        whole = frozenset(s for s, e in zip(strings, coded) if len(e) == 1)
+        if len(whole) < len(strings):
+            raise ValueError("some vocabulary strings are not reached by merging")
+        return whole
 
     def parts(self, text: str) -> list[str]:
         """The stretches of a text; strings of special tokens stand alone."""
@@ -73,46 +85,37 @@ class Bpe:
             at = m.end()
         return out + STRETCH.findall(text[at:])
 
-    def _fill(self, memory: dict, lists: list[list[str]], compute) -> list[str]:
-        if len(memory) > MEMORY:
-            memory.clear()
-        new = list(set().union(*lists).difference(memory))
-        memory.update(zip(new, compute(new)))
-        return [s for s in new if len(s) > LONGEST]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        lists = [self.parts(t) for t in texts]
-        drop = self._fill(self.ids, lists, self._encode_new)
-        at = self.ids.__getitem__
-        out = [b"".join(map(at, x)) for x in lists]
-        for s in drop:
-            del self.ids[s]
+    def encode(self, text: str) -> array:
+        """The ids of a text as unsigned 32-bit numbers."""
+        if not self.special or not self.at_special.search(text):
+            return array("I", self.rank.encode_ordinary(text))
+        out, at = array("I"), 0
+        for m in self.at_special.finditer(text):
+            out.extend(self.rank.encode_ordinary(text[at:m.start()]))
+            out.append(self.special[m[0]])
+            at = m.end()
+        out.extend(self.rank.encode_ordinary(text[at:]))
         return out
 
-    def _encode_new(self, new: list[str]) -> list[bytes]:
-        import numpy as np
-
-        coded = self.library.encode_batch_fast(new, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in coded]
-
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text: pre-tokens that are whole tokens count one, the rest is merged."""
         lists = [self.parts(t) for t in texts]
-        drop = self._fill(self.counts, lists, self._count_new)
+        if len(self.counts) > MEMORY:
+            self.counts.clear()
+        new = set().union(*lists).difference(self.counts)
+        self.counts.update((s, self._count_new(s)) for s in new)
         at = self.counts.__getitem__
         out = [sum(map(at, x)) for x in lists]
-        for s in drop:
-            del self.counts[s]
+        for s in new:
+            if len(s) > LONGEST:
+                del self.counts[s]
         return out
 
-    def _count_new(self, new: list[str]) -> list[int]:
-        split = [[] if s in self.special else self.pieces.findall(s) for s in new]
-        rest = list(set().union(*split).difference(self.whole))
-        coded = self.library.encode_batch_fast(rest, add_special_tokens=False)
-        merged = {s: len(e) for s, e in zip(rest, coded)}
-        one = merged.get
-        return [1 if s in self.special else sum(one(p, 1) for p in pieces) for s, pieces in zip(new, split)]
+    def _count_new(self, stretch: str) -> int:
+        if stretch in self.special:
+            return 1
+        whole, merge = self.whole, self.rank.encode_ordinary
+        return sum(1 if p in whole else len(merge(p)) for p in self.pieces.findall(stretch))
 
 
 def byte_letters() -> dict[int, str]:

@@ -120,7 +120,6 @@ def pack(documents: DataFrame, content: str, pattern: str, end_id: int = 1, wind
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = bpe.load(content, pattern)
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        tail = np.array([end_id], "<u4").tobytes()
         ids: list[int | None] = []
         arrays: list[np.ndarray] = []
 
@@ -140,15 +139,15 @@ def pack(documents: DataFrame, content: str, pattern: str, end_id: int = 1, wind
         tokens = 0
         for batch in batches:
             texts = batch["text"].fillna("").tolist()
-            for lo in range(0, len(texts), 200):
-                coded = coder.encode(texts[lo:lo + 200])
-                for key, raw in zip(batch["doc_id"].iloc[lo:lo + 200], coded):
-                    ids.append(None if pd.isna(key) else int(key))
-                    arrays.append(np.frombuffer(raw + tail, "<u4"))
-                    tokens += len(arrays[-1])
-                    if len(arrays) >= SHARD_DOCUMENTS or tokens >= SHARD_TOKENS:
-                        yield flush()
-                        tokens = 0
+            for key, text in zip(batch["doc_id"], texts):
+                coded = coder.encode(text)
+                coded.append(end_id)
+                ids.append(None if pd.isna(key) else int(key))
+                arrays.append(np.frombuffer(coded, np.uint32).astype("<u4", copy=False))
+                tokens += len(coded)
+                if len(arrays) >= SHARD_DOCUMENTS or tokens >= SHARD_TOKENS:
+                    yield flush()
+                    tokens = 0
         if arrays:
             yield flush()
 
