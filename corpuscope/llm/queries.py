@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing, tokens
-from .common import bounded_batches, table
+from . import bpe, langid, packing, quality, rules, tokens, toxicity
+from .common import bounded_batches, held_out, labelled, table
 
+_KEYS = itertools.count()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,6 +25,74 @@ def byte_bpe() -> tuple[str, str]:
     return bpe.read(public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.PATTERN
 
 
+def shared(spark: SparkSession, model):
+    """A model, bounded by its training sample and hashed size, sent once to each executor."""
+    key = next(_KEYS)
+    return spark.sparkContext.broadcast((key, model))
+
+
+def language_model(spark: SparkSession, documents: DataFrame):
+    """Learned from the documents outside the held-out fold."""
+    return shared(spark, langid.train(documents.where(~held_out(F.col("doc_id")))))
+
+
+def rule_list(documents: DataFrame, labels: DataFrame) -> list:
+    """Rules learned from labelled documents outside the held-out fold that pass the base tests."""
+    rows = labelled(documents, labels.where(F.col("quality").isNotNull()), rules.TRAINING_DOCUMENTS)
+    measured = rows.select("doc_id", "quality", rules.measure(F.col("text")).alias("m")).select("doc_id", "quality", "m.*")
+    learned = measured.where(f"not ({rules.BASE_FAILED})").select(
+        (F.col("quality") == 0).alias("bad"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)).alias("part"),
+        *(F.expr(sql).alias(name) for name, sql in rules.FEATURES.items()))
+    return rules.learn(learned.toPandas())
+
+
+@query
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = table(spark, folder, "documents")
+    found = langid.language(F.col("text"), language_model(spark, docs))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), found.alias("f")).select(
+        "doc_id", "held_out", "f.*")
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    bounded_batches(spark)
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    sample = labelled(docs, labels.where(F.col("toxic").isNotNull()), toxicity.TRAINING_DOCUMENTS)
+    rows = sample.orderBy("doc_id", "toxic").select("text", "toxic").toPandas()
+    model = shared(spark, toxicity.fit(rows["text"].tolist(), rows["toxic"].tolist()))
+    found = toxicity.toxicity(F.col("text"), model)
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), found.alias("f")).select(
+        "doc_id", "held_out", "f.score", (F.col("f.score") >= 0.7).cast("int").alias("predicted"), "f.spans")
+
+
+@query
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Grades: 0 poor, 1 well formed but toxic, 2 good."""
+    bounded_batches(spark)
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    rated = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull())
+    sample = labelled(docs, rated, quality.TRAINING_DOCUMENTS).orderBy("doc_id", "quality", "toxic")
+    rows = sample.select("text", (F.col("quality") * (2 - F.col("toxic"))).cast("double").alias("grade")).toPandas()
+    model = quality.fit(rows["text"].tolist(), rows["grade"].tolist())
+    # selection asks for at least the second grade; one grade alone selects all
+    enough = F.coalesce(F.try_element_at("f.tail", F.lit(1)), F.lit(1.0))
+    found = quality.grade(F.col("text"), shared(spark, model))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), found.alias("f")).select(
+        "doc_id", "held_out", "f.expected_grade", enough.alias("tail_probability"), (enough >= 0.5).alias("kept"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = table(spark, folder, "documents")
+    learned = rule_list(docs, table(spark, folder, "labels"))
+    rows = docs.select("doc_id", rules.measure(F.col("text")).alias("m")).select("doc_id", "m.*")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       F.expr(rules.BASE_FAILED).alias("base_failed"), rules.verdict(learned).alias("kept"))
+
+
 @query
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     bounded_batches(spark)
