@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpuscope.session import shared_folder
+
 #: Rows an Arrow batch holds at most; Spark's own byte limit holds as well.
 BATCH_ROWS = 1000
 
@@ -46,3 +48,26 @@ def labelled(documents: DataFrame, labels: DataFrame, n: int) -> DataFrame:
         "doc_id", n)
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
     return texts.join(F.broadcast(drawn), "doc_id")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Kept:
+    """Tables written once below the shared folder, so that lost executors cost no recomputation."""
+
+    def __init__(self, spark: SparkSession, purpose: str) -> None:
+        self.spark, self.purpose = spark, purpose
+
+    def write(self, df: DataFrame) -> DataFrame:
+        folder = shared_folder(self.spark, self.purpose)
+        df.write.parquet(folder)
+        out = self.spark.read.schema(df.schema).parquet(folder)
+        out.folder = folder
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        remove(self.spark, df.folder)
