@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, packing, quality, rules, tokens, toxicity
+from . import bpe, chat, langid, minhash, packing, pieces, quality, rules, tokens, toxicity, vectors
 from .common import bounded_batches, held_out, labelled, table
 
 _KEYS = itertools.count()
@@ -46,6 +46,15 @@ def rule_list(documents: DataFrame, labels: DataFrame) -> list:
     return rules.learn(learned.toPandas())
 
 
+@query
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    bounded_batches(spark)
+    vocabulary = shared(spark, pieces.Vocabulary.read(public_tokenizers.path("piece_bpe_32k.model")))
+    coded = table(spark, folder, "documents").select("doc_id", "text", pieces.encode(F.col("text"), vocabulary).alias("ids"))
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), (
+        pieces.decode(F.col("ids"), vocabulary) == F.coalesce("text", F.lit(""))).alias("decodes_to_text"))
+
+
 @query
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     bounded_batches(spark)
@@ -55,6 +64,13 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "held_out", "f.*")
 
 
+@query
+def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    bounded_batches(spark)
+    found = minhash.near_duplicates(table(spark, folder, "documents"), lambda model: shared(spark, model))
+    return found.select("doc_id", "class_id", "kept")
+
+
 @query
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     bounded_batches(spark)
@@ -103,7 +119,26 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+#: The conversation that is formatted beside those of the table.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    bounded_batches(spark)
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(
+        F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.windows(turns, *byte_bpe()))
+
+
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     bounded_batches(spark)
     return packing.pack(table(spark, folder, "documents"), *byte_bpe())
+
+
+@query
+def op10_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    bounded_batches(spark)
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
