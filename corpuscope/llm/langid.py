@@ -24,7 +24,7 @@ SCHEMA = "lang_pred string, score double"
 
 
 def grams(word: str, n: int) -> list[str]:
-    padded = f"_{word}_"
+    padded = f"_{word}_" if n > 1 else word
     return [padded[i:i + n] for i in range(len(padded) - n + 1)]
 
 
@@ -144,7 +144,7 @@ def fit(counts: list[tuple[str, str, int]]) -> Model:
         for lang in languages:
             total.update(tables[lang][order])
         kept = [g for g, n in total.items() if n >= KNOWN_FROM]
-        table = np.array([[tables[lang][order].get(g, 0) for lang in languages] for g in kept]).reshape(-1, len(languages))
+        table = np.array([[tables[lang][order].get(g, 0) for lang in languages] for g in kept]).reshape(len(kept), len(languages))
         sums = np.array([tables[lang][order].total() for lang in languages])
         logs.append((np.log(table + 0.5) - np.log(sums + 0.5 * len(total) + 0.5)).astype(np.float32))
         rows.append({g: first + i for i, g in enumerate(kept)})

@@ -59,9 +59,10 @@ def shard_pieces(documents: list[np.ndarray], window: int) -> Iterator[tuple[int
     """``(document, start, length, sequence, offset)`` of one shard, every window full but the last few.
 
     Whole windows are cut off the front of long documents. The rests are the items of the index:
-    the first unused one opens a window and its unused neighbours fill it, best first, then the
-    next unused items in order. The item that crosses the end is cut there and its rest opens the
-    next window. What is left at last is cut to powers of two, which need no padding.
+    the first unused one is a seed, and its unused neighbours follow it into the window, best
+    first; when they are used up, the next unused item is the seed. The item that crosses the end
+    is cut there, and its rest and neighbours open the next window. What is left at last is cut to
+    powers of two, which need no padding.
     """
     sequence = 0
     begin = []
@@ -81,21 +82,16 @@ def shard_pieces(documents: list[np.ndarray], window: int) -> Iterator[tuple[int
     while left:
         size = window if left >= window else 1 << (left.bit_length() - 1)
         filled = 0
-        while turn < len(items) and used[turn]:
-            turn += 1
-        seed = carry[0] if carry else turn
-        near = iter(index.neighbours(seed))
+        near = iter(index.neighbours(carry[0]) if carry else ())
         while filled < size:
             if carry:
-                i, at = carry
-                carry = None
+                (i, at), carry = carry, None
             else:
-                i = next((x for x in near if not used[x]), None)
-                if i is None or (filled == 0 and not used[seed]):
-                    while used[turn] if filled else False:
+                i, at = next((x for x in near if not used[x]), None), 0
+                if i is None:
+                    while used[turn]:
                         turn += 1
-                    i = turn if filled else seed
-                at = 0
+                    i, near = turn, iter(index.neighbours(turn))
             used[i] = True
             take = min(len(items[i]) - at, size - filled)
             d = owners[i]

@@ -13,11 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Labelled documents that are drawn at most, and how many of each class the field is fitted on.
-TRAINING_DOCUMENTS, PER_CLASS = 8000, 700
-#: A word is a toxic token of a toxic document if it has so many surroundings in toxic documents,
+TRAINING_DOCUMENTS, PER_CLASS = 5000, 400
+#: A word is a toxic token of a toxic document if it or its beginning has so many surroundings in toxic documents,
 #: such a number of them for each toxic document, and log odds so high.
-TOKEN_DOCUMENTS, TOKEN_SHARE, TOKEN_ODDS = 3, 0.01, 3.0
-BUCKETS, STEPS, RATE, PENALTY = 1 << 16, 70, 0.35, 1e-4
+TOKEN_DOCUMENTS, TOKEN_SHARE, TOKEN_ODDS = 4, 0.01, 3.0
+BUCKETS, STEPS, RATE, PENALTY = 1 << 16, 60, 0.4, 1e-4
 #: Tokens of a chain at most; a longer run without an end mark is cut there.
 CHAIN = 32
 MEMORY = 500_000
@@ -157,21 +157,58 @@ class Model:
         return self.score(total), spans
 
 
-def toxic_tokens(lists: Sequence[list[str]], toxic: Sequence[int]) -> set[str]:
-    """Words that tell toxic documents from the others: the labelled tokens.
+def beginnings(word: str) -> tuple[str, ...]:
+    return tuple(f"{word[:n]}-" for n in (4, 5) if len(word) > n)
 
-    A word counts once for each pair of neighbours it stands between, not for each document, so
-    that the words of a text with many near copies do not pass for telling ones.
+
+def _surroundings(parts: list[np.ndarray], size: int) -> np.ndarray:
+    """How many different second numbers stand beside each first number."""
+    table = np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64)
+    table = table[np.lexsort((table[:, 1], table[:, 0]))]
+    new = np.ones(len(table), bool)
+    new[1:] = (table[1:] != table[:-1]).any(1)
+    return np.bincount(table[new, 0].astype(np.int64), minlength=size)
+
+
+def telling_units(texts: Sequence[str], toxic: Sequence[int]) -> set[str]:
+    """Words, and beginnings of other words, that tell toxic documents from the others.
+
+    A unit counts once for each pair of neighbours it stands between, not for each document, so
+    that the words of a text with many near copies do not pass for telling ones. Words that tell
+    by themselves say nothing about their beginnings.
     """
-    around: tuple[dict[str, set], dict[str, set]] = ({}, {})
-    for words, y in zip(lists, toxic):
-        found = around[bool(y)]
-        for left, word, right in zip(["", *words], words, [*words[1:], ""]):
-            found.setdefault(word, set()).add(hash((left, right)))
+    numbers: dict[str, int] = {"": 0}
+    rows: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for text, y in zip(texts, toxic):
+        own = [numbers.setdefault(w, len(numbers)) for w in TOKEN.findall(text.lower()) if w not in ENDS]
+        ids = np.array([0, *own, 0], np.uint64)
+        if own:
+            rows[bool(y)].append(np.stack([ids[1:-1], (ids[:-2] << np.uint64(32)) | ids[2:]], 1))
     n1, n0 = sum(map(bool, toxic)), sum(not y for y in toxic)
     least = max(TOKEN_DOCUMENTS, TOKEN_SHARE * n1)
-    return {w for w, c in around[1].items() if len(c) >= least and
-            np.log((len(c) + 0.5) / (n1 + 1)) - np.log((len(around[0].get(w, ())) + 0.5) / (n0 + 1)) >= TOKEN_ODDS}
+
+    def telling(clean: np.ndarray, bad: np.ndarray) -> np.ndarray:
+        odds = np.log((bad + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
+        return (bad >= least) & (odds >= TOKEN_ODDS)
+
+    words = list(numbers)
+    told = telling(*(_surroundings(p, len(words)) for p in rows))
+    units: dict[str, int] = {}
+    of = [[units.setdefault(u, len(units)) for u in beginnings(w)] for w in words]
+    found = {w for w, t in zip(words, told) if t}
+    if units:
+        spread = []
+        for parts in rows:
+            out = []
+            for n in range(2):
+                first = np.array([u[n] if len(u) > n and not t else -1 for u, t in zip(of, told)])
+                for table in parts:
+                    unit = first[table[:, 0].astype(np.int64)]
+                    keep = unit >= 0
+                    out.append(np.stack([unit[keep].astype(np.uint64), table[keep, 1]], 1))
+            spread.append(_surroundings(out, len(units)))
+        found |= {u for u, t in zip(units, telling(*spread)) if t}
+    return found
 
 
 def fit(texts: Sequence[str], toxic: Sequence[int]) -> Model:
@@ -185,7 +222,7 @@ def fit(texts: Sequence[str], toxic: Sequence[int]) -> Model:
     toxic = [int(bool(y)) for y in toxic]
     if len(set(toxic)) < 2:
         return Model(np.zeros(BUCKETS), np.zeros((3, 2)), ((30.0 if toxic and toxic[0] else -30.0), 0.0))
-    telling = toxic_tokens([[t for t in TOKEN.findall(x.lower()) if t not in ENDS] for x in texts], toxic)
+    telling = telling_units(texts, toxic)
     seen = [0, 0]
     chosen = []
     for i, y in enumerate(toxic):
@@ -196,7 +233,7 @@ def fit(texts: Sequence[str], toxic: Sequence[int]) -> Model:
     owner, chain, place, words = chains([TOKEN.findall(t) for t in sample])
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w.lower() for w in words))}
     at = np.fromiter((vocabulary[w.lower()] for w in words), np.int64, len(words))
-    tag = np.fromiter((w in telling for w in vocabulary), bool, len(vocabulary))[at] & (labels[owner] == 1)
+    tag = np.fromiter((not telling.isdisjoint((w, *beginnings(w))) for w in vocabulary), bool, len(vocabulary))[at] & (labels[owner] == 1)
     hashed = [features(w) for w in vocabulary]
     rows = np.repeat(np.arange(len(hashed)), [len(h) for h in hashed])
     columns = np.array([i for h in hashed for i in h], np.int64)

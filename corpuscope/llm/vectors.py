@@ -145,7 +145,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     sample = [unit(r[0]) for r in bounded_sample(single, "node", SAMPLE).select("embedding").toLocalIterator()]
     dims = [len(v) for v in sample]
     dim = max(set(dims), key=lambda n: (dims.count(n), n)) if dims else 0
-    middle = centres(np.array([v for v in sample if len(v) == dim]).reshape(-1, dim),
+    middle = centres(np.array([v for v in sample if len(v) == dim]).reshape(dims.count(dim), dim),
                      max(1, min(MOST_CELLS, total // CELL)))
     half = math.sqrt(max(2 - 2 * threshold, 0)) / 2 + 1e-9
 
