@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from corpuscope import schemas
+from corpuscope import plans, schemas
 from corpuscope.operators import mentions as mn, quality, validation as va
 from corpuscope.session import shared_folder, written
 from corpuscope.sources import readers, writers
@@ -77,8 +77,9 @@ from {best}, (select unnest(['csv', 'json']) as source)""")
 
 def _append_mentions(v):
     folder = shared_folder(v.spark, "mentions")
-    writers.append_mentions(mn.commit_mentions(v.commits, TAX), folder)
-    writers.append_mentions(mn.coauthor_trailers(v.commits), folder)
+    writers.append_mentions(mn.coauthor_trailers(v.commits), folder, "keywords")  # replaced below
+    writers.append_mentions(mn.commit_mentions(v.commits, TAX), folder, "keywords")
+    writers.append_mentions(mn.coauthor_trailers(v.commits), folder, "trailers")
     return v.spark.read.schema(schemas.MENTIONS).parquet(folder)
 
 
@@ -87,6 +88,19 @@ select {COLUMNS} from {{text_mentions}} where source_artifact = 'commit_message'
 union all select {COLUMNS} from {{trailers}}""")
 
 
+def _resumed(v):
+    """Two runs, the first over some repositories and repeated, against one over all."""
+    out, repos = shared_folder(v.spark, "resumed"), written(_repos(v), "repos")
+    some = lambda t: t.filter(F.pmod(F.xxhash64("full_name"), F.lit(3)) == 0)
+    for _ in range(2):
+        plans.detect_run(repos, v.messages, v.files, out, "first", tax=TAX, select=some)
+    plans.detect_run(repos, v.messages, v.files, out, "second", tax=TAX)
+    return v.spark.read.schema(schemas.MENTIONS).parquet(f"{out}/mentions")
+
+
+register("detect_resumed", _resumed, f"select {COLUMNS} from {{all_mentions}}")
+
+
 def _write_split(v):
     folder = writers.write_split(va.stage_a(_rated(v)), shared_folder(v.spark, "split"))
     return v.spark.read.parquet(folder).select("full_name", "exclusion_stage", "decision")
@@ -134,8 +148,10 @@ select m.* replace (coalesce(m.testing_relevant, s.has_infra) as testing_relevan
 
 def _stream_dedup(v):
     out, state = shared_folder(v.spark, "out"), shared_folder(v.spark, "state")
-    stream = _landing(v, v.commits.select("full_name", "committed_at"), "seen")
-    st.stream_dedup(stream, out, state, "committed_at", "36500 days").awaitTermination()
+    # arrivals of five days, so every repeat lies within the delay
+    arrived = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("commit_id"), F.lit(5 * 86_400)))
+    stream = _landing(v, v.commits.select("full_name", arrived.alias("arrived_at")), "seen")
+    st.stream_dedup(stream, out, state, "arrived_at", "7 days").awaitTermination()
     return v.spark.read.parquet(out).select("full_name")
 
 

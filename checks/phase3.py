@@ -14,7 +14,7 @@ from .registry import cte, register, sq
 from . import phase1  # noqa: F401
 from .views import TAX
 
-CAP = 8  # commits per repository; the given histories are short
+CAP = 8  # for the operators whose feature is a cap; the given histories are short
 
 
 def _cases(text: str, classes, default: str) -> str:
@@ -104,9 +104,8 @@ register("keyword_hits", lambda v: _commit_hits(v).select("commit_id", "keyword"
 select provenance as commit_id, keyword, pos from {bounded} where artifact = 'commit_message'""")
 register("context_window", lambda v: _contexts(v).select("commit_id", "keyword", "context"), """
 select provenance as commit_id, keyword, raw as context from {windowed} where artifact = 'commit_message'""")
-register("clean_snippet", lambda v: v.documents.select("doc_id", fx.clean_snippet("text").alias("snippet")), r"""
-select doc_id, substr(trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0A-\x1F]', '', 'g'), '[\s\x{A0}]+', ' ', 'g')), 1, 200)
-  as snippet from {documents}""")
+register("clean_snippet", lambda v: _contexts(v).select("commit_id", "keyword", fx.clean_snippet("context").alias("snippet")), """
+select provenance as commit_id, keyword, ctx as snippet from {snippets} where artifact = 'commit_message'""")
 register("classify_context", lambda v: v.commits.select("commit_id", fx.classify_context("message").alias("context_type")),
          f"select commit_id, {_class('message')} as context_type from {{commits}}")
 register("mention_type", lambda v: v.commits.select("commit_id", fx.mention_type("message").alias("mention_type")),
@@ -142,19 +141,27 @@ union all select {COLUMNS} from {{trailers}}""")
 register("readme_mentions", lambda v: mn.readme_mentions(v.files, TAX), f"""
 select {COLUMNS} from {{text_mentions}} where source_artifact = 'readme'""")
 cte("talks", f"select conv_id, turn, {_scrub('text')} as t from {{conversations}}")
+cte("talk_hits", "\nunion all\n".join(
+    f"select *, {sq(k)} as keyword, length(regexp_extract(t, {_bounded(k)[1]}, 1)) as pos from {{talks}} "
+    f"where regexp_matches(t, {_bounded(k)[0]})" for k in TAX.genai_keywords))
+cte("talk_windows", r"""
+select *, substr(trim(regexp_replace(regexp_replace(substr(t, greatest(pos - 70, 0) + 1, least(pos, 70) + length(keyword) + 70),
+  '[\x00-\x08\x0A-\x1F]', '', 'g'), '\s+', ' ', 'g')), 1, 200) as ctx from {talk_hits}""")
+cte("talk_mentions", f"""
+select conv_id::varchar as repo_id, 'conversation' as source_artifact, keyword, {_kind('ctx')} as mention_type,
+  {_class('ctx')} as context_type, {_class('ctx')} <> 'unspecified' or {_testing('ctx')} as testing_relevant,
+  round(least(greatest(0.5::double + case when {_class('ctx')} <> 'unspecified' then 0.15::double else 0.0 end
+    - case when {_class('ctx')} <> 'unspecified' or {_testing('ctx')} then 0.0 else 0.2::double end, 0.05), 1.0), 2) as confidence_score,
+  cast(null as varchar) as mention_date, 'keyword' as detection_method, turn::varchar as provenance, ctx as context_snippet
+from {{talk_windows}}""")
 register("detect_mentions", lambda v: mn.detect_mentions(
     v.conversations.withColumn("full_name", F.col("conv_id").cast("string")), "conversation", "text", TAX,
-    provenance=F.col("turn").cast("string")).select("repo_id", "keyword", "provenance", "confidence_score"),
-    "\nunion all\n".join(
-        f"select conv_id::varchar as repo_id, {sq(k)} as keyword, turn::varchar as provenance, "
-        f"0.3::double as confidence_score from {{talks}} where regexp_matches(t, {_bounded(k)[0]})"
-        for k in TAX.genai_keywords))
+    provenance=F.col("turn").cast("string")), f"select {COLUMNS} from {{talk_mentions}}")
 register("union_mentions", lambda v: mn.union_mentions(
     mn.commit_mentions(v.messages, TAX), mn.coauthor_trailers(v.commits), mn.readme_mentions(v.files, TAX),
-    mn.config_artifacts(v.files)).groupBy("source_artifact", "keyword").agg(F.count("*").alias("n")), """
-select source_artifact, keyword, count(*) as n from (select source_artifact, keyword from {text_mentions}
-  union all select source_artifact, keyword from {trailers} union all select source_artifact, keyword from {configs})
-group by 1, 2""")
+    mn.config_artifacts(v.files)), f"""
+select {COLUMNS} from {{text_mentions}} union all select {COLUMNS} from {{trailers}}
+union all select {COLUMNS} from {{configs}}""")
 
 # -- catalogs, cap, repositories ---------------------------------------------------
 
@@ -191,14 +198,13 @@ select m.* replace (coalesce(m.testing_relevant, s.has_infra) as testing_relevan
   union all select {COLUMNS} from {{trailers}}
   union all select {COLUMNS} from {{configs}}) m
 join {{scanned}} s on m.repo_id = s.full_name
-where s.repo_kind = 'project'
-  and (m.source_artifact in ('readme', 'config_artifact') or m.provenance in (select commit_id from {{capped}}))""")
-register("detect_repo_mentions", lambda v: mn.detect_repo_mentions(_repos(v), v.messages, v.files, TAX, CAP),
+where s.repo_kind = 'project'""")
+register("detect_repo_mentions", lambda v: mn.detect_repo_mentions(_repos(v), v.messages, v.files, TAX),
          f"select {COLUMNS} from {{all_mentions}}")
 register("scanned_repos", lambda v: mn.scanned_repos(_repos(v), include_catalog=True), "select * from {scanned}")
 cte("summary", f"""
-select s.full_name as repo_id, s.repo_kind, coalesce(least(c.n, {CAP}), 0)::bigint as n_commits_scanned,
-  coalesce(c.n > {CAP}, false) as commit_cap_hit, coalesce(m.n, 0) as n_mentions, coalesce(m.r, 0) as n_testing_relevant,
+select s.full_name as repo_id, s.repo_kind, coalesce(c.n, 0)::bigint as n_commits_scanned,
+  false as commit_cap_hit, coalesce(m.n, 0) as n_mentions, coalesce(m.r, 0) as n_testing_relevant,
   coalesce(m.n, 0) > 0 as has_mention, coalesce(m.r, 0) > 0 as has_testing_mention,
   m.first_mention_date, m.first_testing_mention_date, coalesce(m.tools, 0) as distinct_tools
 from {{scanned}} s
@@ -210,7 +216,7 @@ where s.repo_kind = 'project'""")
 
 
 def _detected(v):
-    return plans.detect(_repos(v), v.messages, v.files, tax=TAX, cap=CAP)
+    return plans.detect(_repos(v), v.messages, v.files, tax=TAX)
 
 
 register("repo_summary", lambda v: _detected(v).summary, "select * from {summary}")

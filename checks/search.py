@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuscope import taxonomy as tx
+from corpuscope import plans, taxonomy as tx
 from corpuscope.operators import gates, shards
 
 from .registry import cte, register, sq, sql_list
 from . import phase1  # noqa: F401
-from .views import TAX
+from .views import AS_OF, TAX
 
 cte("s_ai", f"select unnest({sql_list(TAX.genai_keywords)}) as term, unnest(range({len(TAX.genai_keywords)})) as ord1")
 cte("s_test", f"select unnest({sql_list(TAX.testing_keywords)}) as other, unnest(range({len(TAX.testing_keywords)})) as ord2")
@@ -64,12 +64,13 @@ def _seen_terms(v):
         F.count("*").alias("n_repos"))
 
 
-register("shard_plan", lambda v: _plan(v).join(F.broadcast(_seen_terms(v)), "term").select(
-    "query_id", "strategy", "term", "other", "query", "star_lo", "star_hi", "created_lo", "created_hi", "n_repos"), """
+register("shard_plan", lambda v: _plan(v).join(_seen_terms(v), "term", "left").select(
+    "query_id", "strategy", "term", "other", "query", "star_lo", "star_hi", "created_lo", "created_hi",
+    F.coalesce("n_repos", F.lit(0)).alias("n_repos")), """
 select query_id, strategy, p.term, other, query, case when strategy_no < 4 then lo end::bigint as star_lo,
   case when strategy_no < 4 then hi end::bigint as star_hi, cast(d_lo as varchar) as created_lo,
-  cast(d_hi as varchar) as created_hi, n_repos
-from {plan} p join (select term, count(*) as n_repos from (select term from {s_ai} union all select term from {s_phrase})
+  cast(d_hi as varchar) as created_hi, coalesce(n_repos, 0) as n_repos
+from {plan} p left join (select term, count(*) as n_repos from (select term from {s_ai} union all select term from {s_phrase})
   join {searched} on contains(body, lower(term)) group by 1) s on p.term = s.term""")
 register("simple_plan", lambda v: shards.simple_plan(v.spark, TAX).join(
     F.broadcast(_seen_terms(v)), "term", "left").select("query_id", "query", F.coalesce("n_repos", F.lit(0)).alias("n_repos")), f"""
@@ -77,6 +78,23 @@ select ord1 as query_id, '"' || term || '" stars:>={TAX.min_stars}' as query, co
 from {{s_ai}} left join {{searched}} on contains(body, lower(term)) group by 1, 2""")
 register("shard_search", lambda v: _found(v).select("query_id", "query", "full_name"),
          "select query_id, query, full_name from {found}")
+cte("found_simple", f"""
+select ord1 as query_id, '"' || term || '" stars:>={TAX.min_stars}' as query, h.* from {{s_ai}}
+join {{searched}} h on contains(h.body, lower(term)) and h.stargazers_count >= {TAX.min_stars}""")
+register("simple_search", lambda v: shards.simple_search(v.corpus, shards.simple_plan(v.spark, TAX), TAX, ["full_name"]),
+         "select query_id, query, full_name from {found_simple}")
+register("mine_from_search", lambda v: plans.mine_from_search(
+    v.corpus, *[getattr(v, t) for t in phase1.SIX], AS_OF, TAX).select(
+    "full_name", "first_query_id", "stars", "quality_score", "ai_keyword_count", "commit_count", "taxonomy_version"), f"""
+select r.full_name, q as first_query_id, stars, quality_score::double as quality_score, ai_keyword_count, commit_count,
+  {sq(TAX.version)} as taxonomy_version
+from {{rated}} r join (select full_name, min(query_id) as q from {{found}} group by 1) f on r.full_name = f.full_name
+where quality_score >= 10""")
+for _key, _simple, _hits in (("mine_basic", False, "found"), ("mine_basic_simple", True, "found_simple")):
+    register(_key, lambda v, simple=_simple: plans.mine_basic(v.corpus, v.hits, TAX, simple), f"""
+select full_name, html_url, stargazers_count as stars, language, description, min(query_id) as first_query_id
+from {{{{{_hits}}}}} where stargazers_count >= {tx.MIN_STARS} and coalesce(description, '') <> ''
+  and not archived and not fork group by 1, 2, 3, 4, 5""".replace("{{", "{").replace("}}", "}"))
 register("shard_predicate", lambda v: shards.shard_predicate(
     v.corpus, ["Claude", "Pytest"], 500, 5000, "Python", ("2010-01-01", "2024-12-31")).select("full_name", "stars"), """
 select full_name, stargazers_count as stars from {searched} where contains(body, 'claude') and contains(body, 'pytest')
@@ -85,16 +103,18 @@ select full_name, stargazers_count as stars from {searched} where contains(body,
 
 
 def _executed(v):
-    """The plan rows of every hit; one row per hit, so the queries repeat."""
-    return _plan(v).join(_found(v).select("query_id"), "query_id")
+    """Every plan row once for each hit, and once without one, so queries repeat."""
+    return _plan(v).join(_found(v).select("query_id", "full_name"), "query_id", "left")
 
 
-register("dedup_queries", lambda v: shards.dedup_queries(_executed(v)).select("query_id", "query"),
-         "select distinct query_id, query from {found}")
+cte("hits_of", "select p.query_id, p.query, count(f.query_id) as n_hits from {plan} p left join {found} f on p.query_id = f.query_id group by 1, 2")
+register("dedup_queries", lambda v: shards.dedup_queries(_executed(v)).join(
+    _found(v).groupBy("query_id").agg(F.count("*").alias("n_hits")), "query_id", "left").select(
+    "query_id", "query", F.coalesce("n_hits", F.lit(0)).alias("n_hits")), "select * from {hits_of}")
 register("query_stats", lambda v: shards.query_stats(shards.dedup_queries(_executed(v))), """
 select count(*) as n_queries, count(*) filter (where contains(query, 'language:')) as with_language,
   count(*) filter (where contains(query, 'created:')) as with_period, count(*) filter (where contains(query, '..')) as with_range
-from (select distinct query from {found})""")
+from {hits_of}""")
 register("first_seen", lambda v: shards.first_seen(_found(v)),
          "select full_name, min(query_id) as first_query_id from {found} group by 1")
 register("search_topk", lambda v: shards.search_topk(_found(v), "stars", True, 10).select(

@@ -69,14 +69,30 @@ def readme_length(text) -> Column:
 
 def decode_content(encoded) -> Column:
     """Base64 (line-wrapped or not) to text; bytes that are not UTF-8 are left out."""
-    raw = F.unbase64(as_col(encoded)).cast("string")
-    return F.regexp_replace(F.make_valid_utf8(raw), "�", "")
+    return valid_text(F.unbase64(as_col(encoded)))
+
+
+def valid_text(raw) -> Column:
+    """UTF-8 bytes to text without the bytes that are not; a real U+FFFD stays.
+
+    Bytes with a genuine U+FFFD are cut at its three bytes first, so that every mark the
+    repair puts in stands for a bad byte.
+    """
+    mark = "\ufffd"
+    raw = as_col(raw)
+    plain = F.regexp_replace(F.make_valid_utf8(raw.cast("string")), mark, "")
+    # in hexadecimal two digits are a byte, so a split there meets whole bytes only
+    real = "EFBFBD"
+    parts = F.split(F.regexp_replace(F.hex(raw), "(..)", "$1 "), "EF BF BD ")
+    mended = F.array_join(F.transform(parts, lambda p: F.regexp_replace(
+        F.make_valid_utf8(F.unhex(F.replace(p, F.lit(" "), F.lit(""))).cast("string")), mark, "")), mark)
+    return F.when(F.contains(raw, F.unhex(F.lit(real))), mended).otherwise(plain)
 
 
 def parse_topics(text) -> Column:
     """A list literal such as ``['a', 'b']`` (or JSON) to an array; anything else gives []."""
     text = as_col(text)
-    parsed = F.from_json(F.translate(text, "'", '"'), "array<string>")
+    parsed = F.from_json(text, "array<string>", {"allowSingleQuotes": "true"})
     return F.coalesce(parsed, F.array().cast("array<string>"))
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import schemas, taxonomy as tx
 from ..functions import text as fx
-from ..session import written
 from .files import chosen_readme, present_artifacts, readme_files
 from .ranking import top_k_per_group
 from .validation import infra_ok
@@ -175,31 +174,30 @@ def skipped_catalogs(repos: DataFrame) -> DataFrame:
         F.col("full_name").alias("repo_id"), F.lit("catalog/awesome-list").alias("reason"))
 
 
-def commit_cutoffs(commits: DataFrame, cap: int = tx.COMMIT_CAP) -> DataFrame:
+def commit_cutoffs(commits: DataFrame, cap: int) -> DataFrame:
     """Per repository its commit count and, above ``cap``, the last commit inside the cap.
 
     Columns: ``full_name, n_commits, cap_hit, cutoff_at, cutoff_id``. History order is
-    (committed_at, commit_id), missing dates first. Only keys are read.
+    (committed_at, commit_id), missing dates first. Only keys are read, in two scans.
 
     A repository may own a third of all commits, so its history is never sorted as one
-    group. Repositories above the cap have their commits counted per day, the running total
-    finds the day in which the cap falls, and only that day is ranked (in salted parts
-    first). The list of these repositories and their days are written to the shared folder:
-    Spark then knows their size, broadcasts them if it is small, and need not shuffle the
-    commits to meet them.
+    group. One count per repository and day gives the total, the day in which the cap falls
+    and how much of that day is inside; only the commits of such days are ranked, in salted
+    parts first.
     """
     day = F.coalesce(F.to_date("committed_at"), F.lit("0001-01-01").cast("date"))
     keyed = commits.select("full_name", "committed_at", "commit_id", day.alias("day"))
-    per_repo = commits.groupBy("full_name").agg(F.count("*").alias("n_commits"))
-    over = written(per_repo.filter(F.col("n_commits") > cap).select("full_name"), "over-cap")
-    daily = keyed.join(over, "full_name", "left_semi").groupBy("full_name", "day").agg(
+    # without commits of no repository, so that the joins below read the same counts again
+    daily = keyed.filter(F.col("full_name").isNotNull()).groupBy("full_name", "day").agg(
         F.count("*").alias("n"))
-    history = W.partitionBy("full_name").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
-    boundary = written(
-        daily.withColumn("upto", F.sum("n").over(history))
-        .filter((F.col("upto") >= cap) & (F.col("upto") - F.col("n") < cap))
-        .select("full_name", "day", (F.lit(cap) - (F.col("upto") - F.col("n"))).alias("take")),
-        "cap-days")
+    of_repo = W.partitionBy("full_name")
+    history = of_repo.orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    summed = daily.withColumns({
+        "n_commits": F.sum("n").over(of_repo), "upto": F.sum("n").over(history)})
+    per_repo = summed.groupBy("full_name").agg(F.max("n_commits").alias("n_commits"))
+    boundary = summed.filter(
+        (F.col("n_commits") > cap) & (F.col("upto") >= cap) & (F.col("upto") - F.col("n") < cap)
+    ).select("full_name", "day", (F.lit(cap) - (F.col("upto") - F.col("n"))).alias("take"))
     order = [F.col("committed_at").asc_nulls_first(), F.col("commit_id")]
     cutoff = (
         top_k_per_group(keyed.join(boundary, ["full_name", "day"]), ["full_name"], order, cap,
@@ -221,10 +219,9 @@ def within_cap(date: str, commit_id: str) -> Column:
     return F.col("cutoff_id").isNull() | F.coalesce(earlier, F.lit(False)) | same
 
 
-def cap_commits(commits: DataFrame, cap: int = tx.COMMIT_CAP) -> DataFrame:
+def cap_commits(commits: DataFrame, cap: int) -> DataFrame:
     """The first ``cap`` commits of each repository in history order."""
-    cut = written(
-        commit_cutoffs(commits, cap).filter(F.col("cap_hit")).drop("n_commits", "cap_hit"), "cutoffs")
+    cut = commit_cutoffs(commits, cap).filter(F.col("cap_hit")).drop("n_commits", "cap_hit")
     return (
         commits.join(cut, "full_name", "left")
         .filter(within_cap("committed_at", "commit_id")).select(*commits.columns)
@@ -254,11 +251,12 @@ def attach_repository(mentions: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def detect_repo_mentions(repos: DataFrame, commits: DataFrame, files: DataFrame,
-                         tax: tx.Taxonomy = tx.DEFAULT, cap: int = tx.COMMIT_CAP,
+                         tax: tx.Taxonomy = tx.DEFAULT, cap: int = 0,
                          include_catalog: bool = False) -> DataFrame:
-    """All mentions in the commits (up to the cap), README and files of each repository.
+    """All mentions in the commits, README and files of each repository.
 
-    The cap and the repository's attributes are applied to mention rows, never to commits.
+    A caller may ask for the first ``cap`` commits of each repository only. The cap and the
+    repository's attributes are applied to mention rows, never to commits.
     """
     from_commits = commit_findings(commits, tax)
     if cap:
@@ -273,7 +271,7 @@ def detect_repo_mentions(repos: DataFrame, commits: DataFrame, files: DataFrame,
 
 
 def repo_summary(mentions: DataFrame, scanned: DataFrame, commits: DataFrame,
-                 cap: int = tx.COMMIT_CAP) -> DataFrame:
+                 cap: int = 0) -> DataFrame:
     """One row per scanned repository, with zeros where nothing was found."""
     relevant = F.col("testing_relevant")
     found = mentions.groupBy(F.col("repo_id").alias("full_name")).agg(

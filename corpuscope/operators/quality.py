@@ -1,26 +1,56 @@
 """Quality report on an output table. Each report is one aggregation over one scan.
 
-Medians are exact. Their state is one counter per distinct value, so they suit whole-number
-columns with a bounded range, such as stars and the 0-30 score.
+Medians are exact and come from a second scan of their column: see :func:`median_of`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import taxonomy as tx
 
 
+#: Neighbouring values that are counted as one row when the middle is looked for.
+MEDIAN_BUCKETS = 4096
+
+
+def median_of(df: DataFrame, column: str) -> Column:
+    """The exact median of a numeric column as a scalar subquery (NULL without values).
+
+    Rows are counted by value first, combined map-side. Values are then summed into buckets
+    between the least and the greatest one; a running count over the few buckets finds those
+    that hold the two middle places, and only their distinct values are put in order.
+    """
+    value = F.col(column).cast("double")
+    counted = df.select(value.alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("n"))
+    ends = counted.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    spot = F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * (MEDIAN_BUCKETS - 1))
+    placed = counted.withColumn("e", ends.select(F.struct("*")).scalar()).select("v", "n", "e.*").withColumn(
+        "b", F.coalesce(spot, F.lit(0)))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    buckets = placed.groupBy("b", "total").agg(F.sum("n").alias("in_b"))
+    along = W.partitionBy("total").orderBy("b").rowsBetween(W.unboundedPreceding, 0)
+    upto = buckets.withColumn("upto", F.sum("in_b").over(along))
+    middle = upto.filter((F.col("upto") >= low) & (F.col("upto") - F.col("in_b") < high)).select(
+        "b", (F.col("upto") - F.col("in_b")).alias("before"))
+    inside = W.partitionBy("b").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = placed.join(middle, "b").withColumn("last", F.col("before") + F.sum("n").over(inside))
+    hit = (F.col("last") >= low) & (F.col("last") - F.col("n") < high)
+    both = F.when(F.count_if(hit) == 1, F.max(F.when(hit, F.col("v")))).otherwise(
+        (F.min(F.when(hit, F.col("v"))) + F.max(F.when(hit, F.col("v")))) / 2)
+    return ranked.agg(both.alias("median")).scalar()
+
+
 def _lines(df: DataFrame, rows: Sequence[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*rows)))
 
 
-def _score_aggregates(column: str) -> list[Column]:
+def _score_aggregates(df: DataFrame, column: str) -> list[Column]:
     c = F.col(column)
     return [
-        F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("min"),
+        F.avg(c).alias("mean"), median_of(df, column).alias("median"), F.min(c).alias("min"),
         F.max(c).alias("max"), F.stddev_samp(c).alias("std")]
 
 
@@ -28,13 +58,13 @@ def score_stats(df: DataFrame, column: str = "quality_score") -> DataFrame:
     """Distribution of the score over its non-null values."""
     c = F.col(column)
     return df.agg(
-        *_score_aggregates(column),
+        *_score_aggregates(df, column),
         F.count_if(c >= 20).alias("n_ge_20"), F.count_if(c >= 15).alias("n_ge_15"))
 
 
 def star_stats(df: DataFrame) -> DataFrame:
     return df.agg(
-        F.avg("stars").alias("mean"), F.median("stars").alias("median"),
+        F.avg("stars").alias("mean"), median_of(df, "stars").alias("median"),
         F.min("stars").alias("min"), F.max("stars").alias("max"))
 
 
@@ -116,7 +146,7 @@ def report(df: DataFrame) -> DataFrame:
     """
     counts, complete = _completeness_parts(df, tx.COMPLETENESS_COLUMNS)
     issue_counts, issues = _issue_parts(df)
-    scores = _score_aggregates("quality_score") if "quality_score" in df.columns else []
+    scores = _score_aggregates(df, "quality_score") if "quality_score" in df.columns else []
     # at most one line per required column and issue
     structure = structure_issues(df).agg(F.sort_array(F.collect_list(F.struct("*")))).scalar()
     whole = F.struct(

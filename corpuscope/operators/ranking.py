@@ -93,20 +93,34 @@ def top_languages(languages: DataFrame, n: int = 3) -> DataFrame:
 def moving_avg_eta(log: DataFrame, window: int = 10, block: int = 100_000) -> DataFrame:
     """Estimated time left after each query of a run.
 
-    ``log`` holds ``run_id``, ``query_no`` (0-based, without gaps within a run), ``seconds``
-    and ``total``, the length of the run's plan. The mean of the last ``window`` durations
-    is multiplied by the queries still to run. A run is cut into blocks of consecutive
-    queries, and the last ``window - 1`` rows of a block are also handed to the next one, so
-    a long run spreads over many tasks with the same result as one window over all of it.
+    ``log`` holds ``run_id``, ``query_no`` (0-based; numbers may be missing), ``seconds`` and
+    ``total``, the length of the run's plan. The mean of the last ``window`` durations is
+    multiplied by the queries still to run. A run is cut into blocks by the query's number, so
+    a long run spreads over many tasks. Rows are counted per block first; with the running
+    count a row knows its position in the run, and rows whose position is among the last
+    ``window - 1`` before a later block's first row are handed to that block as well, so the
+    result is that of one window over the whole run, whatever ``block`` is.
     """
-    own = F.floor(F.col("query_no") / block)
-    near_end = F.pmod(F.col("query_no"), F.lit(block)) >= block - (window - 1)
-    spread = log.withColumn(
-        "_block", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))
+    blocked = log.withColumn("_own", F.floor(F.col("query_no") / block))
+    of_run = W.partitionBy("run_id").orderBy("_own")
+    before = F.coalesce(F.sum("_n").over(of_run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = blocked.groupBy("run_id", "_own").agg(F.count("*").alias("_n")).withColumn("_first", before)
+    # the blocks that a block's last rows reach: those that begin within window - 1 rows after them
+    ahead = starts.withColumn("_later", F.collect_list(F.struct("_own", "_first")).over(
+        of_run.rowsBetween(1, max(window - 1, 1))))
+    inside = W.partitionBy("run_id", "_own").orderBy("query_no")
+    placed = (
+        blocked.withColumn("_at", F.row_number().over(inside) - 1)
+        .join(ahead, ["run_id", "_own"]).withColumn("_at", F.col("_at") + F.col("_first"))
+    )
+    reached = F.filter("_later", lambda b: b["_first"] - F.col("_at") <= window - 1)
+    spread = placed.withColumn("_block", F.explode(F.concat(
+        F.array("_own"), F.transform(reached, lambda b: b["_own"]))))
     recent = W.partitionBy("run_id", "_block").orderBy("query_no").rowsBetween(-(window - 1), 0)
     timed = (
         spread.withColumn("avg_seconds", F.avg("seconds").over(recent))
-        .filter(F.col("_block") == own).drop("_block")
+        .filter(F.col("_block") == F.col("_own"))
+        .drop("_block", "_own", "_at", "_n", "_first", "_later")
         .withColumn("remaining", F.col("total") - F.col("query_no") - 1)
         .withColumn("eta_seconds", F.col("avg_seconds") * F.col("remaining"))
     )

@@ -110,14 +110,6 @@ def plan_size(tax: tx.Taxonomy = tx.DEFAULT) -> int:
     )
 
 
-MAX_BROADCAST_PLAN = 200_000
-
-
-def _bounded(plan: DataFrame, tax: tx.Taxonomy) -> DataFrame:
-    """Broadcast hint only while the taxonomy proves the plan small."""
-    return F.broadcast(plan) if plan_size(tax) <= MAX_BROADCAST_PLAN else plan
-
-
 def simple_plan(spark: SparkSession, tax: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
     """One query per AI keyword, above the star minimum."""
     terms = spark.range(1).select(_terms(tax.genai_keywords, "term"))
@@ -161,9 +153,23 @@ def _keys(strategy: str, terms: Column, others: Column, shards: Column) -> Colum
             s.alias("shard")))))))
 
 
-def shard_search(repos: DataFrame, plan: DataFrame, tax: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
+def simple_search(repos: DataFrame, plan: DataFrame, tax: tx.Taxonomy = tx.DEFAULT,
+                  carry: Sequence[str] | None = None) -> DataFrame:
+    """Every (query, repository) pair of the one-keyword plan; ``carry`` as in :func:`shard_search`."""
+    carry = repos.columns if carry is None else carry
+    matched = repos.filter(F.col("stars") >= tax.min_stars).select(
+        *carry, F.explode_outer(_matching(search_text(), tax.genai_keywords)).alias("term")
+    ).filter(F.col("term").isNotNull())
+    return matched.join(plan.select("query_id", "query", "term"), "term").select("query_id", "query", *carry)
+
+
+def shard_search(repos: DataFrame, plan: DataFrame, tax: tx.Taxonomy = tx.DEFAULT,
+                 carry: Sequence[str] | None = None) -> DataFrame:
     """Every (query, repository) pair in which the repository meets the shard query.
 
+    ``carry`` names the repository's columns that every pair is given; all unless set. What
+    only the chosen pairs need is better joined after the choice.
+
     Each repository computes the shard keys it belongs to from its matched terms, star
     buckets, language and creation period, and meets the plan in an equi join on them; the
     repositories are read once and not shuffled. Adjacent star ranges share their end
@@ -187,18 +193,20 @@ def shard_search(repos: DataFrame, plan: DataFrame, tax: tx.Taxonomy = tx.DEFAUL
         _keys(PERIOD, F.col("_early"), none, F.col("_time")),
     )
     # outer: for a plain inline Spark would copy the whole key expression into a filter
-    wanted = matched.select(*repos.columns, F.inline_outer(keys).alias(*KEYS)).filter(
+    carry = repos.columns if carry is None else carry
+    wanted = matched.select(*carry, F.inline_outer(keys).alias(*KEYS)).filter(
         F.col("strategy").isNotNull())
     lookup = plan.select("query_id", "query", *KEYS)
-    return wanted.join(_bounded(lookup, tax), list(KEYS)).select("query_id", "query", *repos.columns)
+    return wanted.join(lookup, list(KEYS)).select("query_id", "query", *carry)
 
 
 def shard_predicate(repos: DataFrame, terms: Sequence[str], star_lo: int = tx.MIN_STARS,
                     star_hi: int | None = None, language: str | None = None,
-                    created: tuple[str, str] | None = None) -> DataFrame:
-    """Repositories that meet one shard query."""
+                    created: tuple[str, str] | None = None,
+                    tax: tx.Taxonomy = tx.DEFAULT) -> DataFrame:
+    """Repositories that meet one shard query, above the taxonomy's star minimum."""
     text = search_text()
-    condition = (F.col("stars") >= star_lo) & (F.col("stars") >= tx.MIN_STARS)
+    condition = (F.col("stars") >= star_lo) & (F.col("stars") >= tax.min_stars)
     for term in terms:
         condition &= text.contains(term.lower())
     if star_hi is not None:
@@ -221,7 +229,7 @@ SORT_COLUMNS = {"stars": "stars", "forks": "forks", "updated": "updated_at"}
 
 def search_topk(hits: DataFrame, sort: str = "stars", descending: bool = True,
                 max_results: int = tx.SEARCH_RESULT_CAP) -> DataFrame:
-    """The first ``max_results`` (at most 1,000) hits of each query in the given order.
+    """The first ``max_results`` hits of each query in the given order.
 
     Queries are ranked in salted parts first: one broad query may own most hits. Spark cuts
     each part to the limit before it shuffles, as long as the limit does not exceed
@@ -229,8 +237,7 @@ def search_topk(hits: DataFrame, sort: str = "stars", descending: bool = True,
     """
     column = F.col(SORT_COLUMNS[sort])
     order = [column.desc_nulls_last() if descending else column.asc_nulls_last(), F.col("full_name")]
-    k = min(max_results or tx.SEARCH_RESULT_CAP, tx.SEARCH_RESULT_CAP)
-    return top_k_per_group(hits, ["query_id"], order, k, spread=["full_name"])
+    return top_k_per_group(hits, ["query_id"], order, max_results, spread=["full_name"])
 
 
 def shard_coverage(hits: DataFrame, plan: DataFrame, cap: int = tx.SEARCH_RESULT_CAP) -> DataFrame:

@@ -15,12 +15,9 @@ def commit_stats(commits: DataFrame) -> DataFrame:
     return commits.groupBy("full_name").agg(F.count("*").alias("commit_count"))
 
 
-def contributor_stats(commits: DataFrame, cap: int | None = None,
-                      approximate: bool = False) -> DataFrame:
-    """Distinct authors per repository, optionally capped or as a sketch estimate."""
-    distinct = (F.approx_count_distinct if approximate else F.count_distinct)("author_id")
-    count = F.least(distinct, F.lit(cap)) if cap else distinct
-    return commits.groupBy("full_name").agg(count.cast("long").alias("contributor_count"))
+def contributor_stats(commits: DataFrame) -> DataFrame:
+    """Distinct authors per repository."""
+    return commits.groupBy("full_name").agg(F.count_distinct("author_id").alias("contributor_count"))
 
 
 def history_stats(commits: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import taxonomy as tx
 from ..functions import text as fx
+from .quality import median_of
 
 STAGES = (
     "Phase 1 candidates",
@@ -44,9 +45,17 @@ def infra_gate(df: DataFrame) -> DataFrame:
 
 def tutorial_reason(df: DataFrame) -> DataFrame:
     """Adds ``tutorial_reason``, NULL where no rule fires."""
+    return _once(df, _tutorial()).withColumn("tutorial_reason", _reason()).drop("_hit")
+
+
+def _once(df: DataFrame, hit: Column) -> DataFrame:
+    """Adds ``_hit``. The outer explode keeps Spark from copying the rules into filters on it."""
+    return df.withColumn("_hit", F.explode_outer(F.array(hit)))
+
+
+def _reason() -> Column:
     hit = F.col("_hit")
-    reason = F.concat(F.lit("tutorial: "), hit["keyword"], F.lit(" (matched '"), hit["token"], F.lit("')"))
-    return df.withColumn("_hit", _tutorial()).withColumn("tutorial_reason", reason).drop("_hit")
+    return F.concat(F.lit("tutorial: "), hit["keyword"], F.lit(" (matched '"), hit["token"], F.lit("')"))
 
 
 def tutorial_gate(df: DataFrame) -> DataFrame:
@@ -65,10 +74,9 @@ def stage_a(df: DataFrame) -> DataFrame:
     stage = (
         F.when(~license_ok(), "license: not an accepted OSS license")
         .when(~infra_ok(), "testing-infra: no CI/CD config and no test directory")
-        .when(hit.isNotNull(), F.concat(
-            F.lit("tutorial: "), hit["keyword"], F.lit(" (matched '"), hit["token"], F.lit("')")))
+        .when(hit.isNotNull(), _reason())
     )
-    return df.withColumn("_hit", tutorial).withColumn("exclusion_stage", stage).drop("_hit")
+    return _once(df, tutorial).withColumn("exclusion_stage", stage).drop("_hit")
 
 
 def survivors(staged: DataFrame) -> DataFrame:
@@ -146,6 +154,6 @@ def corpus_profile(df: DataFrame) -> DataFrame:
     ci = F.coalesce(F.col("has_ci_config"), F.lit(False)).cast("long")
     return df.agg(
         F.count("*").alias("n_repos"), F.sum(ci).alias("n_ci"),
-        (F.avg(ci) * 100).alias("pct_ci"), F.median("stars").alias("median_stars"),
+        (F.avg(ci) * 100).alias("pct_ci"), median_of(df, "stars").alias("median_stars"),
         F.avg("quality_score").alias("mean_score"),
     )

@@ -1,5 +1,6 @@
-from .detection import Detected, detect
-from .mining import mine, score_and_rank
+from .detection import Detected, detect, detect_run
+from .mining import found_by_search, mine, mine_basic, mine_from_search, score_and_rank
 from .validation import Validated, validate
 
-__all__ = ["Detected", "Validated", "detect", "mine", "score_and_rank", "validate"]
+__all__ = ["Detected", "Validated", "detect", "detect_run", "found_by_search", "mine", "mine_basic",
+           "mine_from_search", "score_and_rank", "validate"]

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import taxonomy as tx
 from ..operators.enrich import enrich
-from ..operators.gates import high_precision_filter, hit_condition
+from ..operators.gates import high_precision_filter, hit_condition, simple_filter
 from ..operators.ranking import dedup_best, sort_output
-from ..operators.repos import taxonomy_stamp
+from ..operators.repos import basic_projection, taxonomy_stamp
+from ..operators.shards import first_seen, shard_plan, shard_search, simple_plan, simple_search
 
 
 def mine(hits: DataFrame, details: DataFrame, commits: DataFrame, releases: DataFrame,
@@ -28,6 +29,35 @@ def mine(hits: DataFrame, details: DataFrame, commits: DataFrame, releases: Data
     return sort_output(taxonomy_stamp(best, tax))
 
 
+def found_by_search(repos: DataFrame, tax: tx.Taxonomy = tx.DEFAULT, simple: bool = False) -> DataFrame:
+    """``full_name, first_query_id`` of the repositories that a query of the plan finds."""
+    spark = repos.sparkSession
+    search, plan = (simple_search, simple_plan) if simple else (shard_search, shard_plan)
+    return first_seen(search(repos, plan(spark, tax), tax, ["full_name"]))
+
+
+def mine_from_search(repos: DataFrame, hits: DataFrame, details: DataFrame, commits: DataFrame,
+                     releases: DataFrame, languages: DataFrame, files: DataFrame, as_of,
+                     tax: tx.Taxonomy = tx.DEFAULT, simple: bool = False) -> DataFrame:
+    """Plan, search, first hit, enrichment, gates and best rows in one plan.
+
+    ``repos`` is what the search looks at, ``hits`` what it returns of a repository. Only names
+    and query numbers leave the search; ``first_query_id`` is kept beside the mined columns.
+    """
+    found = found_by_search(repos, tax, simple)
+    mined = mine(hits.join(found, "full_name", "left_semi"), details, commits, releases, languages,
+                 files, as_of, tax)
+    return sort_output(mined.join(found, "full_name"))
+
+
+def mine_basic(repos: DataFrame, hits: DataFrame, tax: tx.Taxonomy = tx.DEFAULT,
+               simple: bool = False) -> DataFrame:
+    """The run without enrichment: search, first hit, basic filter, five columns, best rows."""
+    found = found_by_search(repos, tax, simple)
+    rows = basic_projection(simple_filter(hits)).join(found, "full_name")
+    return sort_output(dedup_best(rows))
+
+
 def score_and_rank(hits: DataFrame, details: DataFrame, commits: DataFrame,
                    releases: DataFrame, languages: DataFrame, files: DataFrame, as_of,
                    tax: tx.Taxonomy = tx.DEFAULT) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.incremental import resume_anti_join
 from ..operators.language import corpus_readme_language, train_profile
 from ..operators.validation import (
     excluded, funnel, join_language, language_gate, stage_a, survivors)
@@ -23,22 +24,26 @@ class Validated:
 
 
 def validate(mined: DataFrame, files: DataFrame | None = None,
-             labelled: DataFrame | None = None, languages: Sequence[str] = ()) -> Validated:
+             labelled: DataFrame | None = None, languages: Sequence[str] = (),
+             known: DataFrame | None = None) -> Validated:
     """All gates in order, cheapest first.
 
-    With ``files`` and a labelled corpus the READMEs of the stage-A survivors (and no
-    others) are scored; without them only stage A runs. The staged table is written once,
-    because the survivors, the excluded rows, the READMEs to score and the funnel all start
-    from it.
+    With ``files`` and a labelled corpus the READMEs are scored where they are read and the
+    scores are joined, so no README is shuffled; without them only stage A runs. ``known``
+    holds verdicts of an earlier run (``full_name, readme_lang, readme_lang_conf``): they are
+    taken as they are, and the READMEs of these repositories are left out. The staged table is
+    written once, because the survivors, the excluded rows and the funnel start from it.
     """
     staged = written(stage_a(mined), "staged")
     if files is None or labelled is None:
         kept = survivors(staged)
         return Validated(kept.withColumn("phase2_pass", F.lit(True)), excluded(staged), funnel(staged))
-    names = survivors(staged).select("full_name")
-    theirs = files.join(names, "full_name", "left_semi")
     # small, but it costs a pass over the labelled corpus
     profile = written(train_profile(labelled, languages), "profile")
-    told = join_language(staged, corpus_readme_language(theirs, profile, languages))
+    verdicts = corpus_readme_language(files, profile, languages)
+    if known is not None:
+        known = known.select("full_name", "readme_lang", "readme_lang_conf")
+        verdicts = resume_anti_join(verdicts, known).unionByName(known)
+    told = join_language(staged, verdicts)
     kept = language_gate(survivors(told))
     return Validated(kept.withColumn("phase2_pass", F.lit(True)), excluded(staged), funnel(told))

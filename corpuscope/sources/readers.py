@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from .. import schemas
-from ..functions.text import decode_content, parse_topics
+from ..functions.text import decode_content, parse_topics, valid_text
 
 
 def _missing(error: AnalysisException) -> bool:
@@ -23,31 +24,38 @@ def flat_schema(schema: T.StructType) -> T.StructType:
 
 
 def read_repos(spark: SparkSession, path: str, schema: T.StructType = schemas.ENRICHED,
-               required: Sequence[str] = ("full_name",), fmt: str = "csv") -> DataFrame:
+               required: Sequence[str] = ("full_name",), fmt: str = "csv",
+               missing: str = "error", multi_line: bool = True) -> DataFrame:
     """A repository table from CSV or Parquet.
 
-    A missing path, or one whose header lacks a required column, gives an empty table: an
-    incremental run then starts afresh. Array columns of a CSV are parsed from their text.
+    A missing path or a header without a required column is an error. With
+    ``missing="empty"`` it gives an empty table, so that an incremental run starts afresh.
+    Line breaks inside CSV fields cost one task per file; ``multi_line=False`` splits files
+    that have none. Array columns of a CSV are parsed from their text.
     Columns are matched by header name; ones the file lacks come back as NULL, and so do
     empty texts, which a CSV cannot tell from missing ones.
     """
+    if missing not in ("error", "empty"):
+        raise ValueError("missing is 'error' or 'empty'")
     empty = spark.createDataFrame([], schema)
     try:
         if fmt != "csv":
             df = spark.read.format(fmt).load(path)
             header = df.columns
         else:
-            options = dict(header=True, multiLine=True, escape='"', enforceSchema=False)
+            options = dict(header=True, multiLine=multi_line, escape='"', enforceSchema=False)
             header = spark.read.options(header=True, inferSchema=False, escape='"').csv(path).columns
             flat = {f.name: f for f in flat_schema(schema).fields}
             wanted = T.StructType([flat.get(c, T.StructField(c, T.StringType())) for c in header])
             df = spark.read.options(**options).schema(wanted).csv(path)
     except AnalysisException as error:
-        if _missing(error):
+        if _missing(error) and missing == "empty":
             return empty
         raise
     if not set(required) <= set(header):
-        return empty
+        if missing == "empty":
+            return empty
+        raise ValueError(f"{path} lacks the columns {sorted(set(required) - set(header))}")
     columns = []
     for f in schema.fields:
         if f.name not in header:
@@ -65,15 +73,22 @@ SEARCH_PAGE = T.StructType([
 ])
 
 
-def read_repo_json(spark: SparkSession, path: str) -> DataFrame:
-    """Search hits from dumped result pages (``{"total_count": n, "items": [...]}``)."""
-    pages = spark.read.schema(SEARCH_PAGE).json(path)
-    return pages.select(F.inline("items"))
+def _json(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    """Records that are no JSON of this form fail the read; they are never NULL rows."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", multi_line).json(path)
+
 
+def read_repo_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Search hits from dumped result pages (``{"total_count": n, "items": [...]}``).
+
+    One page per line, or with ``multi_line`` one (pretty-printed) page per file.
+    """
+    return _json(spark, path, SEARCH_PAGE, multi_line).select(F.inline("items"))
 
-def read_details_json(spark: SparkSession, path: str) -> DataFrame:
-    """Repository details, one JSON object per line."""
-    return spark.read.schema(schemas.DETAILS).json(path)
+
+def read_details_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Repository details, one JSON object per line, or per file with ``multi_line``."""
+    return _json(spark, path, schemas.DETAILS, multi_line)
 
 
 def read_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -85,19 +100,40 @@ def read_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     """
     if fmt != "binaryFile":
         return spark.read.schema(schemas.FILES).format(fmt).load(path)
-    root = path.rstrip("/").split(":", 1)[-1]
-    relative = F.regexp_extract("path", r"^(?:file:)?/*" + _quoted(root.lstrip("/")) + r"/(.*)$", 1)
+    # the scheme and host of a path may be spelled out or not
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path.rstrip("/"))
+    pattern = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/*" + _quoted(root.strip("/")) + r"/(.*)$"
+    relative = F.when(F.col("path").rlike(pattern), F.regexp_extract("path", pattern, 1)).otherwise(
+        F.raise_error(F.concat(F.lit(f"not below {path}: "), F.col("path"))))
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         .select(relative.alias("rel"), "content")
     )
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "�", "")
+    text = valid_text("content")
     return raw.select(
         F.substring_index("rel", "/", 2).alias("full_name"),
         F.regexp_extract("rel", r"^[^/]+/[^/]+/(.*)$", 1).alias("path"),
         F.lit(False).alias("is_dir"), text.alias("content"))
 
 
+FINISHED = T.StructType([T.StructField("full_name", T.StringType()), T.StructField("outcome", T.StringType())])
+
+
+def read_finished(spark: SparkSession, path: str, before: str | None = None) -> DataFrame:
+    """Repositories that earlier runs have finished; none if there was no run yet.
+
+    ``before`` leaves out the run of that name, so that a repeated run does its work again.
+    """
+    with_run = T.StructType([*FINISHED.fields, T.StructField("run", T.StringType())])
+    try:
+        rows = spark.read.schema(with_run).parquet(path)
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+        return spark.createDataFrame([], FINISHED)
+    return rows.filter(F.col("run") != before).drop("run") if before is not None else rows.drop("run")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer input splits than cores, redistributed for CPU-heavy text work.
 

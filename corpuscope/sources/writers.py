@@ -34,9 +34,23 @@ def write_repos(df: DataFrame, path: str, formats: tuple[str, ...] = ("csv", "js
     return folders
 
 
-def append_mentions(df: DataFrame, path: str) -> str:
-    """Adds mention rows to the table at ``path``."""
-    df.write.mode("append").parquet(path)
+def append_mentions(df: DataFrame, path: str, run: str) -> str:
+    """Adds the mention rows of one run to the table at ``path``, in the partition ``run``.
+
+    A repeated run replaces its own partition, so nothing stands there twice.
+    """
+    df.write.mode("overwrite").parquet(f"{path}/run={run}")
+    return path
+
+
+def append_finished(summary: DataFrame, skipped: DataFrame, path: str, run: str) -> str:
+    """Adds the repositories that a run has searched or skipped: ``full_name, outcome``.
+
+    Written after the mentions. A later run leaves these repositories out.
+    """
+    rows = summary.select(F.col("repo_id").alias("full_name"), F.lit("searched").alias("outcome"))
+    rows = rows.unionByName(skipped.select(F.col("repo_id").alias("full_name"), F.lit("skipped").alias("outcome")))
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}")
     return path
 
 

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__
 from checks import compare
+from checks.registry import ORACLES as SQL, QUERIES, oracle_text
 from .conftest import SMALL
 
-QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+ORACLES = {key: oracle_text(sql) for key, sql in SQL.items()}
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,7 @@ def test_query_equals_sql(spark, duck, key):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
 def test_entry(spark):

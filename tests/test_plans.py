@@ -56,3 +56,58 @@ def test_enrich_shuffles_the_hits_once(spark):
     exchanges = len(re.findall(r"Exchange hashpartitioning\(full_name#\d+, 8\)", plan))
     # one for the hits, and one that brings in each further side
     assert joins >= 6 and exchanges == joins + 1
+
+
+def _plain_plan(spark, make) -> str:
+    """The plan without adaptive execution, in which reused exchanges are shown, and without broadcasts."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, value in zip(old, ("-1", "false")):
+            spark.conf.set(k, value)
+        return plan_of(make())
+    finally:
+        for k, value in old.items():
+            spark.conf.set(k, value)
+
+
+def test_cutoffs_read_the_commits_twice(spark, tmp_path):
+    from corpuscope import schemas
+    from corpuscope.operators import mentions as mn
+    commits = _table(spark, tmp_path, [], schemas.COMMITS)
+    assert _plain_plan(spark, lambda: mn.commit_cutoffs(commits, 10)).count("FileScan parquet") == 2
+
+
+def test_tutorial_rules_are_planned_once(spark, tmp_path):
+    from corpuscope import taxonomy as tx
+    from corpuscope.operators import validation as va
+    schema = ("full_name string, description string, topics array<string>, license string, "
+              "has_ci_config boolean, has_test_directory boolean")
+    staged = va.stage_a(_table(spark, tmp_path, [], schema))
+    for df in (va.survivors(staged), va.excluded(staged)):
+        assert plan_of(df).count("arrays_overlap(") == len(tx.TUTORIAL_WORDS)
+
+
+def test_scoring_readmes_moves_no_text(spark, tmp_path):
+    from corpuscope import schemas
+    from corpuscope.operators import language as lg
+    files = _table(spark, tmp_path, [("a/b", "README.md", False, "text")], schemas.FILES)
+    profile = spark.createDataFrame([("abc", 1, 2)], "trigram string, lp_de long, lp_en long")
+    plan = _plain_plan(spark, lambda: lg.corpus_readme_language(files, profile, ["de", "en"]))
+    for line in plan.splitlines():
+        if "Exchange" in line:
+            assert "content" not in line
+
+
+def test_medians_count_before_they_rank(spark):
+    from corpuscope.operators import quality
+    rows = [(float(i % 101) if i % 7 else None,) for i in range(1000)]
+    df = spark.createDataFrame(rows, "v double").repartition(5)
+    import statistics
+    want = statistics.median(v for v, in rows if v is not None)
+    assert spark.range(1).select(quality.median_of(df, "v").alias("m")).first().m == want
+    assert "percentile" not in plan_of(df.agg(quality.median_of(df, "v").alias("m")))
+    for values in ([], [None], [3.0], [1.0, 2.0], [5.0, 5.0, 9.0], [1e9, -1e9, 0.0, 4.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        known = [v for v in values if v is not None]
+        got = spark.range(1).select(quality.median_of(df, "v").alias("m")).first().m
+        assert got == (statistics.median(known) if known else None)

@@ -116,10 +116,11 @@ def test_salted_ranking_equals_one_window(spark):
     assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
 
 
-def test_search_topk_caps_at_a_thousand(spark):
+def test_search_topk_takes_as_many_as_asked(spark):
     hits = spark.range(2500).selectExpr("0 as query_id", "cast(id as string) as full_name", "id as stars", "id as forks")
-    top = shards.search_topk(hits, max_results=5000)
-    assert top.count() == 1000 and top.agg(F.min("stars")).first()[0] == 1500
+    assert shards.search_topk(hits, max_results=5000).count() == 2500
+    top = shards.search_topk(hits, max_results=1500)
+    assert top.count() == 1500 and top.agg(F.min("stars")).first()[0] == 1000
     assert [r.forks for r in shards.search_topk(hits, "forks", False, 2).orderBy("rank").collect()] == [0, 1]
 
 
@@ -155,6 +156,19 @@ def test_select_top_falls_back_to_stars(spark):
     assert [r.full_name for r in ranking.select_top(df, 2).collect()] == ["b", "c"]
 
 
+@pytest.mark.parametrize("block", [1, 3, 10, 40])
+@pytest.mark.parametrize("window", [1, 4, 10])
+def test_moving_average_with_gaps_and_small_blocks(spark, block, window):
+    log = spark.range(120).filter("id % 7 < 4 and (id < 40 or id > 77)").selectExpr(
+        "0 as run_id", "id as query_no", "cast(id * id % 17 as double) as seconds", "120 as total")
+    rows = sorted((r.query_no, r.seconds) for r in log.collect())
+    got = {r.query_no: r.avg_seconds for r in ranking.moving_avg_eta(log, window, block).collect()}
+    assert len(got) == len(rows)
+    for i, (no, _) in enumerate(rows):
+        recent = [s for _, s in rows[max(0, i - window + 1):i + 1]]
+        assert got[no] == pytest.approx(sum(recent) / len(recent))
+
+
 @pytest.mark.parametrize("block", [10, 13, 10_000])
 def test_moving_average_equals_one_window(spark, block):
     log = spark.range(100).selectExpr("id % 2 as run_id", "id div 2 as query_no", "cast(id * id % 17 as double) as seconds", "50 as total")

@@ -16,11 +16,42 @@ RESULT = "full_name string, html_url string, stars bigint, quality_score double"
 
 
 def test_missing_file_and_missing_key_give_an_empty_table(spark, tmp_path):
-    assert readers.read_repos(spark, str(tmp_path / "none.csv")).count() == 0
+    assert readers.read_repos(spark, str(tmp_path / "none.csv"), missing="empty").count() == 0
     (tmp_path / "t.csv").write_text("name,stars\nx,1\n")
-    empty = readers.read_repos(spark, str(tmp_path / "t.csv"))
+    empty = readers.read_repos(spark, str(tmp_path / "t.csv"), missing="empty")
     assert empty.count() == 0 and empty.schema == schemas.ENRICHED
-    assert readers.read_repos(spark, str(tmp_path / "none"), fmt="parquet").count() == 0
+    assert readers.read_repos(spark, str(tmp_path / "none"), fmt="parquet", missing="empty").count() == 0
+
+
+def test_missing_input_is_an_error_unless_asked_for(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_repos(spark, str(tmp_path / "none.csv"))
+    (tmp_path / "t.csv").write_text("name,stars\nx,1\n")
+    with pytest.raises(ValueError, match="full_name"):
+        readers.read_repos(spark, str(tmp_path / "t.csv"))
+
+
+def test_names_with_apostrophes_survive_a_csv(spark, tmp_path):
+    table = spark.createDataFrame([("a/b", ["Ren'Py", 'a "b"', "Python"]), ("c/d", [])], "full_name string, topics array<string>")
+    writers.flat(table).write.option("header", True).option("escape", '"').csv(str(tmp_path / "t"))
+    got = {r.full_name: r.topics for r in readers.read_repos(spark, str(tmp_path / "t"), table.schema).collect()}
+    assert got == {"a/b": ["Ren'Py", 'a "b"', "Python"], "c/d": []}
+
+
+def test_corrupt_and_pretty_json(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"full_name": "a/b"\n')
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+        readers.read_details_json(spark, str(tmp_path / "bad.json")).collect()
+    (tmp_path / "p.json").write_text('{\n  "items": [\n    {"full_name": "a/b"}\n  ]\n}\n')
+    assert [r.full_name for r in readers.read_repo_json(spark, str(tmp_path / "p.json"), multi_line=True).collect()] == ["a/b"]
+
+
+def test_paths_with_a_scheme(spark, tmp_path):
+    (tmp_path / "o/r").mkdir(parents=True)
+    (tmp_path / "o/r/a.txt").write_bytes("x\ufffdy".encode() + b"\xff\xfe")
+    for path in (f"file:{tmp_path}", f"file://{tmp_path}/", str(tmp_path)):
+        row = readers.read_files(spark, path, "binaryFile").first()
+        assert (row.full_name, row.path, row.content) == ("o/r", "a.txt", "x\ufffdy")
 
 
 def test_csv_columns_match_by_name(spark, tmp_path):
