@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Kept, bounded_sample
 from .components import components
 
-#: Vectors the centres are fitted on at most, vectors a cell should hold, cells at most, rounds.
-SAMPLE, CELL, MOST_CELLS, ROUNDS = 20_000, 2000, 1024, 12
-#: Vectors of a block at most; two blocks are compared in one task.
-BLOCK = 1024
+#: Vectors the centres are fitted on at most, cells at most, and rounds of the fit.
+SAMPLE, MOST_CELLS, ROUNDS = 20_000, 1024, 12
+#: Vectors of a block at most on average; two blocks are compared in one task.
+BLOCK = 2048
+#: Seconds that one product and one row handed to a task take, roughly: what the number of
+#: cells is chosen by. The result does not depend on it.
+PRODUCT_S, ROW_S = 5e-9, 2e-5
 #: Products this close to the threshold are computed again without rounding of the sums.
 CLOSE = 1e-9
 
@@ -34,25 +37,49 @@ def centres(x: np.ndarray, k: int) -> np.ndarray:
     c = x[chosen].copy()
     for _ in range(ROUNDS):
         home = np.argmax(x @ c.T, 1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, home, x)
+        sums = np.stack([np.bincount(home, x[:, j], len(c)) for j in range(x.shape[1])], 1)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-12), c)
     return c
 
 
-def unit(v) -> np.ndarray | None:
-    """The vector in double precision at length one; none for what links with nothing."""
-    if v is None:
-        return None
-    x = np.array([math.nan if e is None else e for e in v], np.float64)
-    if not len(x) or not np.isfinite(x).all():
-        return None
-    top = np.abs(x).max()
-    if top == 0:
-        return None
-    x = x / top
-    return x / np.linalg.norm(x)
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows at length one, in double precision. Scaled first, so that no square overflows."""
+    x = np.asarray(x, np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def guests(near: np.ndarray, gap: np.ndarray, half: float) -> np.ndarray:
+    """Which other cells each vector visits, from its products with the centres and their distances."""
+    home = near.argmax(1)
+    rows = np.arange(len(near))
+    away = near[rows, home][:, None] - near <= half * gap[home]
+    away[rows, home] = False
+    return away
+
+
+def gaps(middle: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * middle @ middle.T, 0))
+
+
+def cells(sample: np.ndarray, size: float, half: float) -> np.ndarray:
+    """The centres that make comparing cheapest for ``size`` vectors of a label, judged by the sample.
+
+    More cells mean fewer products but more guests, above all where vectors lie evenly around
+    the origin. Two cells are the least for more vectors than a block holds.
+    """
+    best, cost, k = centres(sample, 1), float("inf") if size > BLOCK else 0.0, 2
+    while k <= MOST_CELLS and k * BLOCK <= 4 * size and k <= len(sample):
+        middle = centres(sample, k)
+        visits = guests(sample @ middle.T, gaps(middle), half).sum(1).mean()
+        at_home, away = size / k, visits * size / k
+        blocks, other = math.ceil(at_home / BLOCK), math.ceil(away / BLOCK)
+        now = at_home * (1 + visits) * PRODUCT_S + (blocks + other + visits * blocks) * ROW_S
+        if now >= cost:
+            break
+        best, cost, k = middle, now, 2 * k
+    return best
 
 
 def exact_cosine(x: np.ndarray, y: np.ndarray) -> float:
@@ -78,34 +105,33 @@ def forest(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int
     return out
 
 
-def compare(left: pd.DataFrame, right: pd.DataFrame | None, cell: int, threshold: float) -> pd.DataFrame:
-    """Links between two blocks of a cell, or within one: counts by vector and connecting links.
+def compare(left: pd.DataFrame, right: pd.DataFrame | None, cell: int, threshold: float, kind: str) -> pd.DataFrame:
+    """Links of a block of home vectors with another block of its cell, or within it.
 
-    A pair of vectors from two cells may meet in both; it is counted in the lower cell unless it
-    meets in the other one only. Two guests are not compared: they meet elsewhere.
+    Counts by vector, and links that connect what is linked. A pair from two cells may meet in
+    both; it is counted in the lower cell unless it meets in the other one only.
     """
     same = right is None
     right = left if same else right
-    x = np.stack([np.frombuffer(v, np.float64) for v in left["x"]])
-    y = x if same else np.stack([np.frombuffer(v, np.float64) for v in right["x"]])
+    x = units(np.frombuffer(b"".join(left["x"]), kind).reshape(len(left), -1))
+    y = x if same else units(np.frombuffer(b"".join(right["x"]), kind).reshape(len(right), -1))
     product = x @ y.T
     hit = product >= threshold
     for i, j in zip(*np.nonzero(np.abs(product - threshold) < CLOSE)):
         hit[i, j] = exact_cosine(x[i], y[j]) >= threshold
-    home_l, home_r = left["home"].to_numpy() == cell, right["home"].to_numpy() == cell
-    hit &= home_l[:, None] | home_r[None, :]
     if same:
         np.fill_diagonal(hit, False)
-    count = hit.copy()
-    # pairs of a home vector and a guest that meet in the guest's own cell as well
-    guests_l, guests_r = left["guests"].tolist(), right["guests"].tolist()
-    for i, j in zip(*np.nonzero(hit & (home_l[:, None] != home_r[None, :]))):
-        at_home, other = (guests_l[i], right["home"].iat[j]) if home_l[i] else (guests_r[j], left["home"].iat[i])
-        if other < cell and other in at_home:
-            count[i, j] = False
+    count = hit
+    home = right["home"].to_numpy()
+    if not same and (home < cell).any():
+        count = hit.copy()
+        visited = left["guests"].tolist()
+        for i, j in zip(*np.nonzero(hit & (home < cell)[None, :])):
+            if home[j] in visited[i]:
+                count[i, j] = False
     copies_l, copies_r = left["copies"].to_numpy(float), right["copies"].to_numpy(float)
     node_l, node_r = left["node"].to_numpy(np.int64), right["node"].to_numpy(np.int64)
-    links = [(node_l, count @ copies_r)] + ([] if same else [(node_r, count.T @ copies_l)])
+    links = [(node_l, count @ copies_r)] + ([] if same else [(node_r, copies_l @ count)])
     out = [pd.DataFrame({"node": n, "links": v.astype(np.int64)})[v > 0] for n, v in links]
     edges = pd.DataFrame(forest(hit, node_l, node_r), columns=["node", "other"])
     return pd.concat([*(o.assign(other=pd.NA) for o in out), edges.assign(links=0)], ignore_index=True)[
@@ -125,8 +151,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     d = sqrt(2 - 2 threshold); if it has two homes, the distances of both vectors to the plane
     between the two centres add up to d at most, so one of them is within d / 2. Such vectors
     are guests in the other cell too, which makes the search exact whatever the centres are.
-    A cell is cut into blocks of at most ``BLOCK`` vectors on average and the blocks are compared
-    two by two, so no task holds a cell.
+    The vectors at home in a cell and its guests are cut into blocks of at most ``BLOCK`` on
+    average; a block at home is compared with every other one in a task of its own, so no task
+    holds a cell.
     """
     spark = vectors.sparkSession
     kept = Kept(spark, "vectors")
@@ -141,47 +168,60 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     single = kept.write(good.groupBy("label", "k1", "k2").agg(
         F.min(F.struct("vec_id", "embedding")).alias("first"), F.count("*").alias("copies")).select(
         "label", F.col("first.vec_id").alias("node"), "copies", F.col("first.embedding").alias("embedding")))
-    total = single.count()
-    sample = [unit(r[0]) for r in bounded_sample(single, "node", SAMPLE).select("embedding").toLocalIterator()]
-    dims = [len(v) for v in sample]
+    # the size of the label that the average vector has
+    size = single.groupBy("label").count().agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 0
+    drawn = bounded_sample(single, "node", SAMPLE).select("embedding").toPandas()["embedding"]
+    dims = [len(v) for v in drawn]
     dim = max(set(dims), key=lambda n: (dims.count(n), n)) if dims else 0
-    middle = centres(np.array([v for v in sample if len(v) == dim]).reshape(dims.count(dim), dim),
-                     max(1, min(MOST_CELLS, total // CELL)))
     half = math.sqrt(max(2 - 2 * threshold, 0)) / 2 + 1e-9
+    middle = cells(units(np.stack([v for v in drawn if len(v) == dim])), size, half) if dim else np.zeros((0, 0))
+    label, vector = (dict(single.dtypes)[c] for c in ("label", "embedding"))
+    kind = "<f4" if vector == "array<float>" else "<f8"
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gap = np.linalg.norm(middle[:, None, :] - middle[None, :, :], axis=2) if len(middle) else None
+        gap = gaps(middle)
         for batch in batches:
-            out = []
-            for label, node, copies, v in batch.itertuples(index=False):
-                x = unit(v)
-                home, guests = -1, []
-                if len(x) == dim:
-                    near = middle @ x
-                    home = int(np.argmax(near))
-                    away = (near[home] - near) <= half * gap[home]
-                    away[home] = False
-                    guests = [int(c) for c in np.flatnonzero(away)]
-                out += [(label, len(x), c, home, node, copies, x.tobytes(), guests) for c in [home, *guests]]
-            yield pd.DataFrame(out, columns=["label", "dim", "cell", "home", "node", "copies", "x", "guests"])
-
-    label = dict(single.dtypes)["label"]
+            batch = batch.reset_index(drop=True)
+            size = batch["embedding"].map(len).to_numpy()
+            home = np.full(len(batch), -1)
+            visited: list[list[int]] = [[]] * len(batch)
+            fits = np.flatnonzero(size == dim)  # other lengths share the cell -1
+            if len(fits):
+                near = units(np.stack(batch["embedding"].iloc[fits].tolist())) @ middle.T
+                home[fits] = near.argmax(1)
+                for i, row in zip(fits, guests(near, gap, half)):
+                    visited[i] = np.flatnonzero(row).tolist()
+            raw = [np.asarray(v, kind).tobytes() for v in batch["embedding"]]
+            out = batch[["label", "node", "copies"]].assign(dim=size, home=home, guests=visited, x=raw)
+            away = out.loc[np.repeat(out.index, [len(v) for v in visited])].assign(cell=[c for v in visited for c in v])
+            yield pd.concat([out.assign(cell=home), away], ignore_index=True)[
+                ["label", "dim", "cell", "home", "node", "copies", "x", "guests"]]
+
     placed = kept.write(single.select("label", "node", "copies", "embedding").mapInPandas(
         place, f"label {label}, dim int, cell int, home int, node long, copies long, x binary, guests array<int>"))
     key = ["label", "dim", "cell"]
-    blocks = placed.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cut = placed.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        *key, "home", "node", "copies", "x", "guests", "block",
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    at_home = F.col("home") == F.col("cell")
+    count = lambda c: F.ceil(F.count_if(c) / BLOCK).cast("int")
+    blocks = placed.groupBy(*key).agg(count(at_home).alias("homes"), count(~at_home).alias("others"))
+    mine = F.pmod(F.xxhash64("node"), F.when(at_home, F.col("homes")).otherwise(F.col("others"))).cast("int")
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), left.alias("is_left"))
+    # guest blocks have the numbers below zero
+    of_home = F.concat(
+        F.transform(upto("homes"), lambda o: pair(F.least("block", o), F.greatest("block", o), F.col("block") <= o)),
+        F.transform(upto("others"), lambda o: pair(F.col("block"), -o - 1, F.lit(True))))
+    of_guest = F.transform(upto("homes"), lambda o: pair(o, -F.col("block") - 1, F.lit(False)))
+    paired = placed.join(blocks, key).withColumn("block", mine).select(
+        *key, "home", "node", "copies", "x", "guests", F.explode(F.when(at_home, of_home).otherwise(of_guest)).alias("p")
+    ).select(*key, "home", "node", "copies", "x", "guests", "p.i", "p.j", "p.is_left")
 
     def cross(group: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        cell, i, j = group[2], group[3], group[4]
-        left = table[table["block"] == i].reset_index(drop=True)
-        right = None if i == j else table[table["block"] == j].reset_index(drop=True)
-        if len(left) < 2 and i == j or i != j and (not len(left) or not len(right)):
+        left, right = (table[table["is_left"] == side].reset_index(drop=True) for side in (True, False))
+        if group[3] == group[4]:
+            right = None
+        if len(left) == 0 or len(left) == 1 and right is None or right is not None and len(right) == 0:
             return pd.DataFrame({"node": [], "other": [], "links": []}).astype({"node": "int64", "other": "Int64", "links": "int64"})
-        return compare(left, right, cell, threshold)
+        return compare(left, right, group[2], threshold, kind)
 
     found = kept.write(paired.groupBy(*key, "i", "j").applyInPandas(cross, "node long, other long, links long"))
     links = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))

@@ -25,7 +25,7 @@ ROWS = [
     (6, "123 456 !!", "fr", "b", 9), (7, copies(7), "de", "b", 1), (8, copies(7) + " more", "de", "b", 1),
     (9, "x" * 30_000, "fr", "c", 1), (10, ("wort " * 30_000).strip(), "de", "c", 1), (11, "one two", "en", "c", 1),
     (12, "a <|endoftext|> b  \x0b <|im_start|> ▁ 你好 \U0001f600́", None, "c", 1), (13, PROSE.upper() + " scum", "en", "d", 1),
-    *((100 + i, copies(i) + " " + PROSE[: 20 + i], ("de", "en", "fr")[i % 3], "e", 1) for i in range(40)),
+    *((100 + i, copies(100 + i) + " " + PROSE[: 20 + i], ("de", "en", "fr")[i % 3], "e", 1) for i in range(40)),
 ]
 
 

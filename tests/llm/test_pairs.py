@@ -117,7 +117,8 @@ def test_samples_agree_as_often_as_texts_are_similar():
 
 def vector_truth(rows, threshold=0.93):
     links, counts = [], {r[0]: 0 for r in rows}
-    sound = [(i, l, vectors.unit(v)) for i, v, l in rows if l is not None and vectors.unit(v) is not None]
+    ok = lambda v: bool(v) and all(e is not None and math.isfinite(e) for e in v) and any(v)
+    sound = [(i, l, vectors.units(np.array([v]))[0]) for i, v, l in rows if l is not None and ok(v)]
     for a in range(len(sound)):
         for b in range(a):
             (i, l, x), (j, m, y) = sound[a], sound[b]
@@ -129,11 +130,12 @@ def vector_truth(rows, threshold=0.93):
     return {i: (counts[i], root[i], root[i] == i) for i in root}
 
 
-@pytest.mark.parametrize("cell, block", [(2000, 1024), (30, 16), (5, 4)])
-def test_vectors_by_brute_force(spark, monkeypatch, cell, block):
-    monkeypatch.setattr(vectors, "CELL", cell)
+@pytest.mark.parametrize("block", [2048, 64, 16, 5])
+def test_vectors_by_brute_force(spark, monkeypatch, block):
+    """Blocks smaller than the labels' sizes, so that there are cells, guests and several blocks."""
     monkeypatch.setattr(vectors, "BLOCK", block)
-    rng = np.random.default_rng(cell)
+    monkeypatch.setattr(vectors, "ROW_S", 0)
+    rng = np.random.default_rng(block)
     rows = []
     for family in range(25):
         base = rng.normal(size=6)
@@ -146,6 +148,15 @@ def test_vectors_by_brute_force(spark, monkeypatch, cell, block):
     assert got == vector_truth(rows)
 
 
+def test_more_cells_where_vectors_lie_in_clusters():
+    rng = np.random.default_rng(1)
+    even = vectors.units(rng.normal(size=(4000, 64)))
+    clustered = vectors.units(rng.normal(size=(40, 64))[rng.integers(0, 40, 4000)] + 0.2 * rng.normal(size=(4000, 64)))
+    half = math.sqrt(2 - 2 * 0.93) / 2
+    assert len(vectors.cells(clustered, 1e6, half)) > len(vectors.cells(even, 1e4, half)) >= 2
+    assert len(vectors.cells(even, 500, half)) == 1
+
+
 def test_vector_query_by_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = {r[0]: tuple(r)[1:] for r in QUERIES["op10_vectors"](spark, SMALL).collect()}
