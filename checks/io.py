@@ -80,7 +80,7 @@ def _append_mentions(v):
     writers.append_mentions(mn.coauthor_trailers(v.commits), folder, "keywords")  # replaced below
     writers.append_mentions(mn.commit_mentions(v.commits, TAX), folder, "keywords")
     writers.append_mentions(mn.coauthor_trailers(v.commits), folder, "trailers")
-    return v.spark.read.schema(schemas.MENTIONS).parquet(folder)
+    return v.spark.read.schema(schemas.MENTIONS).parquet(folder).drop("run")
 
 
 register("append_mentions", _append_mentions, f"""
@@ -95,7 +95,7 @@ def _resumed(v):
     for _ in range(2):
         plans.detect_run(repos, v.messages, v.files, out, "first", tax=TAX, select=some)
     plans.detect_run(repos, v.messages, v.files, out, "second", tax=TAX)
-    return v.spark.read.schema(schemas.MENTIONS).parquet(f"{out}/mentions")
+    return v.spark.read.schema(schemas.MENTIONS).parquet(f"{out}/mentions").drop("run")
 
 
 register("detect_resumed", _resumed, f"select {COLUMNS} from {{all_mentions}}")

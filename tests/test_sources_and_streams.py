@@ -111,7 +111,7 @@ def test_split_and_append(spark, tmp_path):
     assert [r.full_name for r in spark.read.parquet(folder + "/decision=survivor").collect()] == ["a"]
     empty = spark.createDataFrame([], schemas.MENTIONS)
     for _ in range(2):
-        writers.append_mentions(empty, str(tmp_path / "m"))
+        writers.append_mentions(empty, str(tmp_path / "m"), "one")
     assert spark.read.schema(schemas.MENTIONS).parquet(str(tmp_path / "m")).count() == 0
     report = writers.write_report(quality.report(spark.createDataFrame([("a", "u", 1, 2.0)], RESULT)), str(tmp_path / "r"))
     assert '"total_repos":1' in spark.read.text(report).first().value
