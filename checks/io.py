@@ -113,13 +113,10 @@ from {staged}""")
 
 def _write_report(v):
     folder = writers.write_report(quality.report(v.results), shared_folder(v.spark, "report"))
-    return v.spark.read.text(folder).select(
-        F.get_json_object("value", "$.total_repos").cast("long").alias("total_repos"),
-        F.get_json_object("value", "$.quality_scores.max").cast("double").alias("max_score"))
+    return phase2.read_report(v.spark.read.text(folder).withColumnRenamed("value", "report"))
 
 
-register("write_report", _write_report, """
-select count(*) as total_repos, max(quality_score) as max_score from {results}""")
+register("write_report", _write_report, phase2.REPORT_SQL)
 
 # -- streams -----------------------------------------------------------------------
 

@@ -267,23 +267,33 @@ select * from (
 where n > 0""")
 
 
-def _report(v):
-    text = quality.report(v.results)
-    shape = """total_repos bigint, structure_issues array<struct<issue string, column string, n bigint>>,
-      quality_issues array<struct<issue string, n bigint>>, enrichment_completeness array<struct<column string, count bigint>>,
-      quality_scores struct<mean double, median double, min double, max double, std double>"""
-    r = text.select(F.from_json("report", shape).alias("r"))
+REPORT = """total_repos bigint, structure_issues array<string>, quality_issues array<string>,
+  enrichment_stats struct<total_repos bigint, enrichment_completeness map<string, struct<count bigint, percentage double>>,
+  quality_scores struct<mean double, median double, min double, max double, std double>>"""
+
+
+def read_report(text):
+    """Every part of the JSON text as columns."""
+    r, line = text.select(F.from_json("report", REPORT).alias("r")), lambda e: F.concat_ws(
+        ":", e["key"], e["value"]["count"].cast("string"), F.format_number(e["value"]["percentage"], 2))
+    stats = "r.enrichment_stats"
     return r.select(
-        "r.total_repos", F.aggregate("r.structure_issues", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_structure"),
-        F.aggregate("r.quality_issues", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_quality"),
-        F.aggregate("r.enrichment_completeness", F.lit(0).cast("long"), lambda a, x: a + x["count"]).alias("n_present"),
-        "r.quality_scores.mean", "r.quality_scores.median", "r.quality_scores.std")
+        "r.total_repos", F.array_join("r.structure_issues", "|").alias("structure_issues"),
+        F.array_join("r.quality_issues", "|").alias("quality_issues"), F.col(f"{stats}.total_repos").alias("n_stats"),
+        F.array_join(F.transform(F.array_sort(F.map_entries(f"{stats}.enrichment_completeness")), line), "|").alias("complete"),
+        *[f"{stats}.quality_scores.{c}" for c in ("mean", "median", "min", "max", "std")])
 
 
-register("report_json", _report, """
+REPORT_SQL = """
 select count(*) as total_repos,
-  ((select sum(n) from (select count(*) as n from {results} group by full_name having count(*) > 1))
-   + count(*) filter (where html_url is null))::bigint as n_structure,
-  count(*) filter (where stars < 50) as n_quality, count(stars) + count(primary_language) as n_present,
-  round(avg(quality_score), 6) as mean, median(quality_score) as median, round(stddev_samp(quality_score), 6) as std
-from {results}""")
+  concat_ws('|', (select 'Found ' || sum(n)::bigint::varchar || ' duplicate repositories' from (select count(*) as n from {results}
+    group by full_name having count(*) > 1)), case when count(*) filter (where html_url is null) > 0
+    then 'Column ''html_url'' has ' || (count(*) filter (where html_url is null))::varchar || ' null values' end) as structure_issues,
+  coalesce(case when count(*) filter (where stars < 50) > 0 then 'Found ' || (count(*) filter (where stars < 50))::varchar
+    || ' repos with < 50 stars (below threshold)' end, '') as quality_issues, count(*) as n_stats,
+  'primary_language:' || count(primary_language)::varchar || ':' || printf('%.2f', round(count(primary_language) / count(*)::double * 100, 2))
+  || '|stars:' || count(stars)::varchar || ':' || printf('%.2f', round(count(stars) / count(*)::double * 100, 2)) as complete,
+  round(avg(quality_score), 6) as mean, median(quality_score) as median, min(quality_score) as min, max(quality_score) as max,
+  round(stddev_samp(quality_score), 6) as std
+from {results}"""
+register("report_json", lambda v: read_report(quality.report(v.results)), REPORT_SQL)

@@ -90,11 +90,8 @@ def mean_completeness(df: DataFrame) -> DataFrame:
     return completeness(df).agg(F.round(F.avg("percentage"), 1).alias("mean_completeness"))
 
 
-def structure_issues(df: DataFrame) -> DataFrame:
-    """Missing required columns, rows in duplicate groups and nulls in required columns.
-
-    Only issues that occur are listed, as ``(issue, column, n)``.
-    """
+def _structure(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """One row of totals, and the issue lines made from it."""
     present = [c for c in tx.REQUIRED_COLUMNS if c in df.columns]
     missing = [c for c in tx.REQUIRED_COLUMNS if c not in df.columns]
     key = [F.col("full_name")] if "full_name" in present else []
@@ -111,7 +108,15 @@ def structure_issues(df: DataFrame) -> DataFrame:
     rows = [row("missing column", c, F.lit(1)) for c in missing]
     if key:
         rows.append(row("duplicate rows", "full_name", F.col("dup")))
-    rows += [row("null values", c, F.col(f"null_{c}")) for c in present]
+    return totals, rows + [row("null values", c, F.col(f"null_{c}")) for c in present]
+
+
+def structure_issues(df: DataFrame) -> DataFrame:
+    """Missing required columns, rows in duplicate groups and nulls in required columns.
+
+    Only issues that occur are listed, as ``(issue, column, n)``.
+    """
+    totals, rows = _structure(df)
     return _lines(totals, rows).filter(F.col("n") > 0)
 
 
@@ -139,6 +144,20 @@ def quality_issues(df: DataFrame) -> DataFrame:
     return _lines(df.agg(*aggregates), lines).filter(F.col("n") > 0)
 
 
+def _texts(lines: Sequence[Column]) -> Column:
+    """The report's sentences for the issues that occur, in order."""
+    none = F.array().cast("array<string>")
+    if not lines:
+        return none
+
+    def text(line: Column) -> Column:
+        sentence = F.element_at(F.create_map(*[F.lit(v) for pair in tx.REPORT_TEXTS.items() for v in pair]), line["issue"])
+        sentence = F.replace(sentence, F.lit("{n}"), line["n"].cast("string"))
+        return F.replace(sentence, F.lit("{column}"), line["column"])
+
+    return F.transform(F.filter(F.array(*lines), lambda line: line["n"] > 0), text)
+
+
 def report(df: DataFrame) -> DataFrame:
     """The whole report as one row: a JSON text in the column ``report``.
 
@@ -147,13 +166,15 @@ def report(df: DataFrame) -> DataFrame:
     counts, complete = _completeness_parts(df, tx.COMPLETENESS_COLUMNS)
     issue_counts, issues = _issue_parts(df)
     scores = _score_aggregates(df, "quality_score") if "quality_score" in df.columns else []
-    # at most one line per required column and issue
-    structure = structure_issues(df).agg(F.sort_array(F.collect_list(F.struct("*")))).scalar()
+    totals, structure = _structure(df)
+    issues = [F.struct(i["issue"].alias("issue"), F.lit("").alias("column"), i["n"].alias("n")) for i in issues]
+    columns = F.map_from_entries(F.array(*[
+        F.struct(c["column"].alias("key"), F.struct(c["count"].alias("count"), c["percentage"].alias("percentage")).alias("value"))
+        for c in complete])) if complete else F.create_map().cast("map<string,bigint>")
+    quality_scores = F.struct("mean", "median", "min", "max", "std") if scores else F.lit(None).cast("string")
     whole = F.struct(
-        F.col("_rows").alias("total_repos"), structure.alias("structure_issues"),
-        (F.filter(F.array(*issues), lambda line: line["n"] > 0) if issues else F.array())
-        .alias("quality_issues"),
-        F.array(*complete).alias("enrichment_completeness"),
-        F.struct("mean", "median", "min", "max", "std").alias("quality_scores")
-        if scores else F.lit(None).cast("string").alias("quality_scores"))
+        F.col("_rows").alias("total_repos"), totals.select(_texts(structure)).scalar().alias("structure_issues"),
+        _texts(issues).alias("quality_issues"),
+        F.struct(F.col("_rows").alias("total_repos"), columns.alias("enrichment_completeness"),
+                 quality_scores.alias("quality_scores")).alias("enrichment_stats"))
     return df.agg(*counts, *issue_counts, *scores).select(F.to_json(whole).alias("report"))

@@ -190,18 +190,20 @@ def test_completeness_of_an_empty_table(spark):
 def test_report_on_a_table_with_few_columns(spark):
     df = spark.createDataFrame([("a",), ("a",)], "full_name string")
     got = json.loads(quality.report(df).first().report)
-    assert got["total_repos"] == 2 and got["quality_issues"] == [] == got["enrichment_completeness"]
-    assert {(i["issue"], i["column"], i["n"]) for i in got["structure_issues"]} == {
-        ("duplicate rows", "full_name", 2), ("missing column", "html_url", 1), ("missing column", "stars", 1)}
+    assert got["total_repos"] == 2 and got["quality_issues"] == []
+    assert got["enrichment_stats"] == {"total_repos": 2, "enrichment_completeness": {}}
+    assert got["structure_issues"] == [
+        "Missing required column: html_url", "Missing required column: stars", "Found 2 duplicate repositories"]
     assert quality.quality_issues(df).count() == 0 == quality.completeness(df).count()
 
 
 def test_report_numbers(spark):
     got = json.loads(quality.report(frame(spark, {}, dict(stars=10, description="")).withColumn(
         "quality_score", F.lit(12.0))).first().report)
-    assert {i["issue"]: i["n"] for i in got["quality_issues"]} == {"low stars": 1, "no description": 1}
-    assert got["quality_scores"] == {"mean": 12.0, "median": 12.0, "min": 12.0, "max": 12.0, "std": 0.0}
-    assert {c["column"]: c["percentage"] for c in got["enrichment_completeness"]}["stars"] == 100.0
+    assert got["quality_issues"] == [
+        "Found 1 repos with < 50 stars (below threshold)", "Found 1 repos without descriptions"]
+    assert got["enrichment_stats"]["quality_scores"] == {"mean": 12.0, "median": 12.0, "min": 12.0, "max": 12.0, "std": 0.0}
+    assert got["enrichment_stats"]["enrichment_completeness"]["stars"] == {"count": 2, "percentage": 100.0}
 
 
 def test_thresholds_are_the_documented_ones():
