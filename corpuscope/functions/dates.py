@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, functions as F
 
 DAY_MICROS = 86_400_000_000
 
 
 def parse_iso(col) -> Column:
-    """ISO-8601 text with ``Z`` or an offset to a timestamp; unparsable text gives NULL."""
-    return F.try_to_timestamp(col)
+    """ISO-8601 text to a timestamp; without ``Z`` or an offset it is UTC, unparsable it is NULL."""
+    col = F.col(col) if isinstance(col, str) else col
+    local = col.rlike(r"\d[T ]\d") & ~col.rlike(r"(?i)(Z|UTC|[+-]\d\d:?\d\d)\s*$")
+    return F.try_to_timestamp(F.when(local, F.concat(F.trim(col), F.lit("Z"))).otherwise(col))
+
+
+def utc_instant(moment) -> Column:
+    """A point in time given as ISO text, ``datetime`` or Column; without a zone it is UTC."""
+    if isinstance(moment, Column):
+        return moment.cast("timestamp")
+    moment = datetime.fromisoformat(moment) if isinstance(moment, str) else moment
+    moment = moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
+    return F.timestamp_micros(F.lit((moment - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)))
+
+
+def utc_date(ts) -> Column:
+    """The day of a timestamp in UTC, whatever the session's zone is."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    micros = F.unix_micros(ts.cast("timestamp"))
+    return F.date_from_unix_date(((micros - F.pmod(micros, F.lit(DAY_MICROS))) / DAY_MICROS).cast("int"))
 
 
 def days_since(ts, as_of) -> Column:
@@ -19,9 +39,7 @@ def days_since(ts, as_of) -> Column:
     microseconds are divided instead.
     """
     ts = F.col(ts) if isinstance(ts, str) else ts
-    if not isinstance(as_of, Column):
-        as_of = F.lit(as_of)
-    elapsed = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(ts.cast("timestamp")))
+    elapsed = (F.unix_micros(utc_instant(as_of)) - F.unix_micros(ts.cast("timestamp")))
     # exact in whole numbers: subtract the non-negative remainder first
     return ((elapsed - F.pmod(elapsed, F.lit(DAY_MICROS))) / DAY_MICROS).cast("long")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import taxonomy as tx
 from ..functions import text as fx
+from ..functions.dates import utc_date
 from .ranking import top_k_per_group
 
 KEYS = ("strategy", "term", "other", "shard")
@@ -139,7 +140,7 @@ def _star_ids(tax: tx.Taxonomy) -> Column:
 
 
 def _time_ids(tax: tx.Taxonomy) -> Column:
-    day = F.to_date("created_at")
+    day = utc_date("created_at")
     ids = F.array_compact(F.array(*[
         F.when(day.between(F.lit(lo).cast("date"), F.lit(hi).cast("date")), F.lit(i))
         for i, (lo, hi) in enumerate(tax.time_shards)]))
@@ -214,7 +215,7 @@ def shard_predicate(repos: DataFrame, terms: Sequence[str], star_lo: int = tx.MI
     if language is not None:
         condition &= F.col("language") == language
     if created is not None:
-        condition &= F.to_date("created_at").between(
+        condition &= utc_date("created_at").between(
             F.lit(created[0]).cast("date"), F.lit(created[1]).cast("date"))
     return repos.filter(condition)
 

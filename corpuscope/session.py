@@ -37,6 +37,24 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a written table that nothing reads any more; one that is gone already is fine."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the folders of all tables :func:`written` so far.
+
+    Results that still read one have to be stored before.
+    """
+    while _WRITTEN:
+        remove(spark, _WRITTEN.pop())
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """The table after one trip through the shared folder.
 
@@ -44,5 +62,6 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     executors, so nothing above them is computed again.
     """
     folder = shared_folder(df.sparkSession, purpose)
+    _WRITTEN.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -17,6 +17,7 @@ from .. import taxonomy as tx
 from ..operators.incremental import resume_anti_join
 from ..operators.mentions import attach_repository, commit_findings
 from ..operators.ranking import dedup_best
+from ..session import remove
 
 
 def read_landing(spark: SparkSession, path: str, schema: T.StructType, name_glob: str | None = None,
@@ -98,13 +99,15 @@ def stream_merge_best(results: DataFrame, out: str, checkpoint: str) -> Streamin
     """Keeps the best row per repository over all arrivals.
 
     Every batch merges the previous version of the table with the arriving rows into a new
-    version folder, never into the one it reads; :func:`latest_version` finds the last.
+    version folder, never into the one it reads; :func:`latest_version` finds the last. The
+    last two versions are kept: the one before is what a repeated batch reads again.
     """
 
     def step(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         merged = merge_best(read_version(spark, out, batch - 1, rows.schema), rows)
         merged.write.mode("overwrite").parquet(f"{out}/version={batch}")
+        remove(spark, f"{out}/version={batch - 2}")
 
     return _by_batch(results, checkpoint, step)
 

@@ -1,6 +1,6 @@
 import pytest
 
-from corpuscope.session import local_session
+from corpuscope.session import local_session, release
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -10,4 +10,5 @@ def spark():
     session = local_session("8")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()

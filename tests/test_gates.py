@@ -9,10 +9,10 @@ from corpuscope import taxonomy as tx
 from corpuscope.operators import enrich, gates, quality, repos, validation as va
 
 GOOD = dict(
-    full_name="test/repo", description="AI testing repository", stars=100, readme_length=500,
-    ai_keyword_count=5, test_keyword_count=3, ai_dependency_count=1, intersection_phrase_count=1,
-    days_since_last_push=30, commit_count=100, contributor_count=5, open_issues=10,
-    commits_per_month=10.0, archived=False, fork=False, has_test_directory=True, has_ci_config=True,
+    full_name="org/helper", description="Checks for a chat assistant", stars=640, readme_length=1200,
+    ai_keyword_count=7, test_keyword_count=6, ai_dependency_count=1, intersection_phrase_count=1,
+    days_since_last_push=75, commit_count=420, contributor_count=12, open_issues=3,
+    commits_per_month=6.5, archived=False, fork=False, has_test_directory=True, has_ci_config=True,
     has_discussions=True, has_topics=True, has_contributing=True, has_license=True,
     has_code_of_conduct=True, license="MIT License", topics=["ai"])
 KINDS = {int: "bigint", float: "double", bool: "boolean", str: "string", list: "array<string>"}
@@ -29,8 +29,8 @@ def score(spark, **change):
 
 def test_worked_score(spark):
     parts = gates.score_components(frame(spark)).first()
-    assert [parts[p] for p in ("popularity", "activity", "community", "documentation", "signals")] == [1, 5, 3, 4, 5]
-    assert score(spark) == 18.0
+    assert [parts[p] for p in ("popularity", "activity", "community", "documentation", "signals")] == [2, 3, 4, 5, 6]
+    assert score(spark) == 20.0
 
 
 @pytest.mark.parametrize("field, values, scores", [
@@ -49,7 +49,7 @@ def test_tiers(spark, field, values, scores):
 
 def test_score_is_capped(spark):
     top = dict(stars=10**6, contributor_count=99, readme_length=9999, intersection_phrase_count=9,
-               ai_keyword_count=99, test_keyword_count=99)
+               ai_keyword_count=99, test_keyword_count=99, days_since_last_push=1, commits_per_month=99.0)
     assert score(spark, **top) == 30.0
 
 
@@ -86,7 +86,7 @@ def test_activity(spark, change, passes):
 
 def test_high_precision_keeps_every_row(spark):
     rows = gates.high_precision_filter(frame(spark, {}, dict(stars=1), dict(days_since_last_push=None))).collect()
-    assert sorted((r.passes, r.quality_score) for r in rows) == [(False, 0.0), (False, 0.0), (True, 18.0)]
+    assert sorted((r.passes, r.quality_score) for r in rows) == [(False, 0.0), (False, 0.0), (True, 20.0)]
 
 
 # -- validation ------------------------------------------------------------------------
