@@ -142,3 +142,20 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_vectors(spark: SparkSession, folder: str) -> DataFrame:
     bounded_batches(spark)
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+#: Links and what they reach, by comparing all vectors of a label.
+ORACLES["op10_vectors"] = """
+with recursive sound as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda e: e is null or isnan(e) or isinf(e))) = 0
+    and list_sum(list_transform(embedding::double[], lambda e: e * e)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from sound a join sound b on a.label = b.label and a.vec_id <> b.vec_id
+    and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.93),
+reach as (select vec_id as a, vec_id as b from sound union select r.a, l.b from reach r join links l on r.b = l.a),
+counts as (select a, count(*) as n from links group by 1),
+roots as (select a, min(b) as c from reach group by 1)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(c, vec_id) as component_id, vec_id = coalesce(c, vec_id) as kept
+from embeddings left join counts on counts.a = vec_id left join roots on roots.a = vec_id"""
