@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -14,6 +16,11 @@ SPACE = "▁"
 MEMORY, LONGEST = 500_000, 48
 #: Positions between two looks for a common boundary of the paths.
 LOOK = 64
+#: Stretches up to this length are searched many at a time, so many at most.
+SHORT, AT_ONCE = 32, 4096
+
+_U = np.uint64
+_BASE, _ODD = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 
 
 @dataclass
@@ -30,16 +37,16 @@ class Vocabulary:
     unknown: float
     longest: int = 1
     splits: bool = False
-    _texts: dict[int, str] = field(default_factory=dict, repr=False)
-    _memory: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    _memory: dict[str, bytes] = field(default_factory=dict, repr=False)
+    _table: tuple = field(default=(), repr=False)
+    _raw: dict[int, bytes] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         self.longest = max(map(len, self.ids), default=1)
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self._texts = {i: p for p, i in self.ids.items()}
 
     def __getstate__(self):
-        return self.__dict__ | {"_memory": {}}
+        return self.__dict__ | {"_memory": {}, "_table": (), "_raw": {}}
 
     @classmethod
     def read(cls, path: str) -> "Vocabulary":
@@ -116,27 +123,102 @@ class Vocabulary:
         cuts.reverse()
         return [i for a, b in zip(cuts, cuts[1:]) for i in self._ids_of(text[a:b])]
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a whole text; an empty one has none.
+    def _hashed(self) -> tuple:
+        """Sorted hashes of the pieces with their ids and scores, and a coarse map of the hashes."""
+        if not self._table:
+            hashes = []
+            for piece in self.ids:
+                h = _U(0)
+                with np.errstate(over="ignore"):
+                    for c in piece:
+                        h = h * _BASE + _U(ord(c) + 1)
+                hashes.append(h)
+            keys = np.array(hashes, np.uint64)
+            order = np.argsort(keys)
+            coarse = np.zeros(1 << 20, bool)
+            coarse[((keys * _ODD) >> _U(44)).astype(np.int64)] = True
+            ids = np.array(list(self.ids.values()), np.int32)[order]
+            scores = np.array([self.scores[p] for p in self.ids])[order]
+            self._table = keys[order], ids, scores, coarse
+        return self._table
+
+    def _search_short(self, stretches: list[str], out: dict[str, bytes]) -> None:
+        """``search`` for stretches of one length, place by place for all of them."""
+        keys, ids, scores, coarse = self._hashed()
+        m, n = len(stretches), len(stretches[0])
+        codes = np.frombuffer("".join(stretches).encode("utf-32-le"), "<u4").reshape(m, n).T.astype(np.uint64) + _U(1)
+        best = np.full((n + 1, m), -np.inf)
+        best[0] = 0.0
+        last = np.zeros((n + 1, m), np.int32)  # id of the last piece, and its length
+        size = np.zeros((n + 1, m), np.int8)
+        row = np.full((n, min(self.longest, n)), None, object)  # (stretches, ids, scores) of [begin, length - 1]
+        known = np.ones(m, bool)
+        for begin in range(n):
+            h = np.zeros(m, np.uint64)
+            for length in range(1, min(self.longest, n - begin) + 1):
+                h = h * _BASE + codes[begin + length - 1]
+                maybe = np.flatnonzero(coarse[((h * _ODD) >> _U(44)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+                hit = keys[at] == h[maybe]
+                row[begin, length - 1] = maybe[hit], ids[at[hit]], scores[at[hit]]
+                if length == 1:
+                    alone = np.zeros(m, bool)
+                    alone[maybe[hit]] = True
+                    known &= alone
+        for end in range(1, n + 1):
+            for length in range(min(self.longest, end), 0, -1):
+                who, piece, score = row[end - length, length - 1]
+                s = best[end - length, who] + score
+                better = s > best[end, who]
+                who = who[better]
+                best[end, who], last[end, who], size[end, who] = s[better], piece[better], length
+        path = np.zeros((m, n), "<i4")
+        place, rows, column = np.full(m, n), np.arange(m), n
+        count = np.zeros(m, np.int64)
+        while (place > 0).any() and column > 0:
+            column -= 1
+            path[:, column] = last[place, rows]
+            count += place > 0
+            place = np.maximum(place - size[place, rows], 0)
+        raw = path.tobytes()
+        for r, (stretch, k, sure) in enumerate(zip(stretches, count.tolist(), known.tolist())):
+            if sure:
+                out[stretch] = raw[4 * (r * n + n - k):4 * (r + 1) * n]
+
+    def _fill(self, new: set[str]) -> None:
+        """Search what is not remembered; characters without a piece are left to the streaming search."""
+        by_length = defaultdict(list)
+        for stretch in new:
+            if len(stretch) <= SHORT:
+                by_length[len(stretch)].append(stretch)
+        for same in by_length.values():
+            for lo in range(0, len(same), AT_ONCE):
+                self._search_short(same[lo:lo + AT_ONCE], self._memory)
+        for stretch in new.difference(self._memory):
+            runs = [np.array(run, "<i4").tobytes() for run in self.search(stretch)]
+            self._memory[stretch] = b"".join(runs)
+
+    def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids of whole texts; an empty one has none.
 
         Spaces become ``SPACE`` and one is put in front. A text that holds that character itself is
         decoded with a space in its place, as by the library.
         """
-        if not text:
-            return []
-        text = SPACE + text.replace(" ", SPACE)
-        out: list[int] = []
-        for part in self._stretches(text):
-            ids = self._memory.get(part)
-            if ids is None:
-                ids = tuple(i for run in self.search(part) for i in run)
-                if len(part) <= LONGEST:
-                    if len(self._memory) >= MEMORY:
-                        self._memory.clear()
-                    self._memory[part] = ids
-            out += ids
+        lists = [self._stretches(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self._memory) > MEMORY:
+            self._memory.clear()
+        new = set().union(*lists).difference(self._memory)
+        self._fill(new)
+        at = self._memory.__getitem__
+        out = [np.frombuffer(b"".join(map(at, x)), "<i4") for x in lists]
+        for stretch in new:
+            if len(stretch) > LONGEST:
+                del self._memory[stretch]
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0].tolist()
+
     def _stretches(self, text: str) -> list[str]:
         """The text cut before every space that follows another character, if no piece lies across."""
         if not self.splits:
@@ -150,17 +232,14 @@ class Vocabulary:
                 spaces += SPACE
         return parts + [spaces] if spaces else parts
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
-        first = self.byte_ids[0]
-        raw = b"".join(bytes([i - first]) if i in self._bytes else self._texts[i].encode("utf-8") for i in ids)
-        text = raw.decode("utf-8", "replace").replace(SPACE, " ")
+        if not self._raw:
+            self._raw = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+            self._raw |= {i: p.replace(SPACE, " ").encode("utf-8") for p, i in self.ids.items()}
+        text = b"".join(map(self._raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
-    @property
-    def _bytes(self) -> range:
-        return range(self.byte_ids[0], self.byte_ids[0] + 256)
-
 
 _LOADED: dict[int, Vocabulary] = {}
 
@@ -178,7 +257,7 @@ def encode(text: Column, shared) -> Column:
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
         vocabulary = _vocabulary(shared)
-        return pd.Series([vocabulary.encode(t) for t in texts.fillna("")])
+        return pd.Series(vocabulary.encode_all(texts.fillna("").tolist()), dtype=object)
 
     return run(text)
 
@@ -188,6 +267,6 @@ def decode(ids: Column, shared) -> Column:
     @F.pandas_udf("string")
     def run(lists: pd.Series) -> pd.Series:
         vocabulary = _vocabulary(shared)
-        return pd.Series([vocabulary.decode([] if x is None else list(x)) for x in lists])
+        return pd.Series([vocabulary.decode([] if x is None else x.tolist()) for x in lists], dtype=object)
 
     return run(ids)

@@ -43,15 +43,15 @@ def best(vocabulary, text):
 
 def cost(vocabulary, ids):
     """The score of ids; a run of byte pieces is as many unknown characters as it decodes to."""
-    total, raw = 0.0, b""
+    total, raw, names = 0.0, b"", {i: p for p, i in vocabulary.ids.items()}
     for i in [*ids, None]:
-        if i is not None and i in vocabulary._bytes:
+        if i is not None and i in vocabulary.byte_ids:
             raw += bytes([i - vocabulary.byte_ids[0]])
             continue
         total += vocabulary.unknown * len(raw.decode())
         raw = b""
         if i is not None:
-            total += vocabulary.scores[vocabulary._texts[i]]
+            total += vocabulary.scores[names[i]]
     return total
 
 
@@ -69,6 +69,14 @@ def test_best_path_and_round_trip(vocabulary):
         assert cost(vocabulary, ids) == pytest.approx(best(vocabulary, marked))
 
 
+def test_many_at_a_time_equals_one_by_one(vocabulary):
+    for t in texts():
+        for part in vocabulary._stretches("▁" + t.replace(" ", "▁")):
+            assert vocabulary.encode_all([t])[0].tolist() == [
+                i for p in vocabulary._stretches("▁" + t.replace(" ", "▁")) for run in vocabulary.search(p) for i in run]
+            break
+
+
 def test_the_window_commits_before_the_end(vocabulary):
     text = "▁" + "thequickbrownfoxjumps" * 200
     runs = list(vocabulary.search(text))
