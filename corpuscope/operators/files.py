@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import taxonomy as tx
 from ..functions import text as fx
+from ..session import written
 
 
 def _below(path: str) -> Column:
@@ -121,12 +122,17 @@ def chosen_readme(files: DataFrame) -> DataFrame:
 
 
 def pick_readme(files: DataFrame) -> DataFrame:
-    """The first README of each repository in order of preference, with its content."""
-    return (
-        readme_files(files).groupBy("full_name")
-        .agg(F.min_by(F.struct("path", "content"), "readme_rank").alias("r"))
-        .select("full_name", "r.path", "r.content")
-    )
+    """The first README of each repository in order of preference, with its content.
+
+    Few repositories have more than one, so the variants that lose are found on paths alone and
+    stored; Spark then knows their size, and where it is small the contents stay in place.
+    """
+    best = chosen_readme(files).withColumnRenamed("readme_rank", "best")
+    variants = readme_files(files).select("full_name", "readme_rank").distinct()
+    beaten = written(variants.join(best, "full_name").filter(
+        F.col("readme_rank") > F.col("best")).drop("best"), "beaten-readmes")
+    return readme_files(files).join(beaten, ["full_name", "readme_rank"], "left_anti").select(
+        "full_name", "path", "content")
 
 
 def artifact_path() -> Column:
