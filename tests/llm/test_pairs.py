@@ -99,6 +99,22 @@ def test_frequent_shingles_weigh_less(spark):
     assert sorted(set(np.round(weight, 9))) == pytest.approx([math.log(2), math.log(11)])
 
 
+def test_near_copies_do_not_count_as_common_phrases(spark):
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        words = list(base) if i % 3 == 0 else [f"o{i}w{k}" for k in range(60)]
+        if i % 3 == 0:
+            for _ in range(2):
+                words[rng.randrange(200)] = f"x{rng.random()}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert len(minhash._heavy(docs).heavy) < 20
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs, lambda m: shared(spark, m)).collect()}
+    assert all(got[i] == (0 if i % 3 == 0 else i) for i in range(300))
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = random.Random(4)
     sampler = minhash.Sampler(minhash.Weights(1000, {}))
