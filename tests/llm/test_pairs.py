@@ -90,11 +90,12 @@ def test_one_row_of_each_class_stays(spark):
 
 
 def test_frequent_shingles_weigh_less(spark):
-    shared_part = " ".join(f"s{i}" for i in range(30))
-    texts = [f"{shared_part} " + " ".join(f"d{d}w{i}" for i in range(10)) for d in range(40)]
+    shared_part = " ".join(f"s{i}" for i in range(12))
+    texts = [f"{shared_part} " + " ".join(f"d{d}w{i}" for i in range(60)) for d in range(40)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     weights = minhash._heavy(docs)
-    assert weights.n == 40 and len(weights.heavy) == 26 and set(weights.heavy.values()) == {40}
+    # those whose min-hash lies in the shared passage count once a task
+    assert 28 <= weights.n <= 40 and len(weights.heavy) == 8 and set(weights.heavy.values()) == {weights.n}
     hashes, weight = weights.bag(texts[0])
     assert sorted(set(np.round(weight, 9))) == pytest.approx([math.log(2), math.log(11)])
 
