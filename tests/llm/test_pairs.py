@@ -64,7 +64,11 @@ def brute(rows):
     return joined([r[0] for r in rows], links)
 
 
-def test_near_copies_by_brute_force(spark):
+@pytest.mark.parametrize("paired", [48, 0])
+def test_near_copies_by_brute_force(spark, monkeypatch, paired):
+    monkeypatch.setattr(minhash, "PAIRED", paired)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "LEADERS", 1 if paired == 0 else 4)
     rng = random.Random(9)
     rows = []
     for family in range(30):
@@ -100,6 +104,16 @@ def test_frequent_shingles_weigh_less(spark):
     assert sorted(set(np.round(weight, 9))) == pytest.approx([math.log(2), math.log(11)])
 
 
+def test_similarities_of_blocks_are_those_of_pairs(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abc", k=rng.randint(1, 60))) for _ in range(40)]
+    weights = minhash.Weights(100, {int(h): 50 for h in minhash.shingles(texts[0])[:4]})
+    want = [[minhash.weighted_jaccard(weights.bag(a), weights.bag(b)) for b in texts[15:]] for a in texts[:15]]
+    items = [weights.items(t) for t in texts]
+    assert minhash.similarities(items[:15], items[15:]) == pytest.approx(np.array(want))
+
+
 def test_near_copies_do_not_count_as_common_phrases(spark):
     rng = random.Random(6)
     base = [f"b{i}" for i in range(200)]
