@@ -104,6 +104,20 @@ def test_frequent_shingles_weigh_less(spark):
     assert sorted(set(np.round(weight, 9))) == pytest.approx([math.log(2), math.log(11)])
 
 
+@pytest.mark.parametrize("parts", [1, 200])
+def test_frequencies_cover_all_documents_on_any_split(spark, parts):
+    """A passage that makes up most of each document, beside a group of near copies."""
+    shared_part = " ".join(f"s{i}" for i in range(30))
+    rows = [f"{shared_part} " + " ".join(f"d{d}w{i}" for i in range(10)) for d in range(40)]
+    rows += [" ".join(f"c{i}" for i in range(100)) + f" end{d}" for d in range(60)]
+    rows += [" ".join(f"o{d}w{i}" for i in range(20)) for d in range(100)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(parts)
+    weights = minhash._heavy(docs)
+    passage = set(np.unique(minhash.shingles(shared_part)).tolist())
+    # the near copies but those whose own words hold the min-hash count once
+    assert 141 <= weights.n <= 145 and set(weights.heavy) == passage and set(weights.heavy.values()) == {40}
+
+
 def test_similarities_of_blocks_are_those_of_pairs(monkeypatch):
     monkeypatch.setattr(minhash, "COLUMNS", 7)
     rng = random.Random(3)
