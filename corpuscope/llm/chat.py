@@ -16,9 +16,8 @@ from .common import Kept
 #: but as marks: a text's own ones get a backslash after their first character.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 CONTROLS = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-#: Tokens of a window, of the span of new turns it is cut by, of the history it repeats, and what
-#: the marks of a turn are counted as.
-BUDGET, SPAN, HISTORY, MARKS = 2048, 1024, 512, 6
+#: Tokens of a window, of the cells that turns are dealt to, and of the history it repeats, at most.
+BUDGET, SPAN, HISTORY = 2048, 1024, 512
 #: Turn numbers of a block of the prefix sums.
 BLOCK = 256
 
@@ -69,37 +68,54 @@ def windows(turns: DataFrame, content: str, pattern: str) -> DataFrame:
     turn (nulls last), role and text; rows that repeat a turn are turns of their own, and rows
     without a conversation form one.
 
-    The prefix sum of the turns' tokens, divided by ``SPAN``, numbers the span a turn belongs to.
-    A span is a window's new turns; before them a window repeats the system turn that opens the
-    conversation and those turns that end it before the span, as many as make up ``HISTORY`` tokens.
+    The tokens of a turn are those of its formatted, escaped piece; pieces are tokenized alone as
+    in the window, so ``n_tokens`` is the number of tokens of ``text``. The prefix sum numbers the
+    cell in which a turn begins; a cell is as wide as half of what the opening system turn leaves
+    of ``BUDGET``, and ``SPAN`` at most. The turns of a cell are a window's new turns, but for one
+    wider than the cell, which is its last and has a window of its own, so they fit. Before them
+    a window repeats the system turn that opens the conversation and those turns that end it
+    before, as many as make up ``HISTORY`` tokens and still fit.
     ``loss`` holds the code point spans of the assistant texts among the new turns, still escaped;
     repeated ones are masked, so each is learned once. ``n_repeated`` is the number of repeated
-    turns. A turn is never cut, so one that is longer than the budget makes ``over_budget`` true.
+    turns. A turn is never cut, so ``over_budget`` is true where a turn does not fit, alone or
+    beside the system turn, and nowhere else.
     """
     t = turns.select(
         F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit("")).alias("conv"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("n", tokens.token_count(F.col("text"), content, pattern) + MARKS)
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 63) - 1))
-    t = running(t, ["conv"], block, [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")], F.col("n"), "before")
-    # every turn has tokens, so ``before`` also numbers the turns of a conversation
     head = F.concat(F.lit(OPEN), escaped_role(F.col("role")), F.lit("\n"))
-    t = Kept(turns.sparkSession, "turns").write(t.select(
-        "conv", F.floor(F.col("before") / SPAN).alias("span"), "before", "n",
-        (F.col("role") == "assistant").alias("learned"),
-        ((F.col("role") == "system") & (F.col("before") == 0)).alias("opening"),
-        head.alias("head"), escaped(F.col("text")).alias("body")))
-    shape = ["conv", "span", "before", "n", "learned", "head", "body"]
-    starts = t.groupBy("conv", "span").agg(F.min("before").alias("start"))
-    # the span before is the only one that can lie within HISTORY tokens, as HISTORY <= SPAN
-    history = t.where("not opening").withColumn("span", F.col("span") + 1).join(starts, ["conv", "span"]).where(
-        F.col("start") - F.col("before") <= HISTORY).select(*shape, F.lit(1).alias("place"))
+    t = t.withColumns({"head": head, "body": escaped(F.col("text"))}).withColumn("piece", F.concat("head", "body", F.lit(CLOSE)))
+    t = t.withColumn("n", tokens.token_count(F.col("piece"), content, pattern))
+    t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 63) - 1)))
+    t = running(t, ["conv"], F.col("block"), [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")], F.col("n"), "before")
+    kept = Kept(turns.sparkSession, "turns")
+    # every turn has tokens, so ``before`` also numbers the turns of a conversation
+    summed = kept.write(t.select(
+        "conv", "block", "before", "n", (F.col("role") == "assistant").alias("learned"),
+        ((F.col("role") == "system") & (F.col("before") == 0)).alias("opening"), "head", "body", "piece"))
+    # the system turn's tokens by conversation and block, so that a key with very many rows is not joined in one task
+    first = summed.groupBy("conv", "block").agg(F.coalesce(F.max(F.when(F.col("opening"), F.col("n"))), F.lit(0)).alias("first"))
+    first = first.withColumn("always", F.max("first").over(Window.partitionBy("conv"))).drop("first")
+    # a system turn that does not fit itself changes no cells
+    cell = F.when(F.col("always") < BUDGET, F.least(F.lit(SPAN), F.greatest(
+        F.floor((BUDGET - F.col("always")) / 2), F.lit(1)))).otherwise(SPAN).cast("long")
+    t = kept.write(summed.join(first, ["conv", "block"]).drop("block").withColumn("cell", cell).withColumn(
+        "span", 2 * F.floor(F.col("before") / F.col("cell")) + (F.col("n") > F.col("cell")).cast("long")))
+    kept.drop(summed)
+    shape = ["conv", "span", "before", "n", "learned", "head", "body", "piece"]
+    starts = t.groupBy("conv", "span").agg(F.min("before").alias("start"), F.least(F.lit(HISTORY), BUDGET - F.sum("n") - F.when(
+        F.min("before") > 0, F.max("always")).otherwise(0)).alias("room"))
+    # a turn can only be repeated by windows that begin within what is left beside the system turn
+    reach = F.least(F.lit(HISTORY), F.greatest(BUDGET - F.col("always"), F.lit(0)))
+    history = t.where(~F.col("opening") & (F.col("n") <= reach)).withColumn("own", F.col("span")).withColumn("span", F.explode(F.sequence(
+        F.col("own"), 2 * F.floor((F.col("before") + reach) / F.col("cell")) + 1))).where("span > own").join(
+        starts, ["conv", "span"]).where(F.col("start") - F.col("before") <= F.col("room")).select(*shape, F.lit(1).alias("place"))
     system = t.where("opening").drop("span").join(starts.where("start > 0"), "conv").select(
         *shape, F.lit(0).alias("place"))
     every = t.select(*shape, F.lit(2).alias("place")).unionByName(history).unionByName(system)
     along = Window.partitionBy("conv", "span").orderBy("place", "before").rowsBetween(Window.unboundedPreceding, -1)
-    placed = every.withColumn("piece", F.concat("head", "body", F.lit(CLOSE))).withColumn(
+    placed = every.withColumn(
         "at", F.coalesce(F.sum(F.length("piece")).over(along), F.lit(0)))
     begin = F.col("at") + F.length("head")
     mask = F.when((F.col("place") == 2) & F.col("learned"), F.struct(

@@ -1,9 +1,11 @@
 import hashlib
 from collections import defaultdict
 
+import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from corpuscope.llm import chat
 from corpuscope.llm.queries import CONTROL_TEXT, QUERIES, byte_bpe
@@ -48,6 +50,31 @@ def test_windows_keep_the_system_turn_and_limited_history(spark, odd):
         last = new
 
 
+def test_windows_stay_within_the_budget_of_the_librarys_tokens(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    roles = ("user", "assistant")
+    rows = [(c, i, roles[i % 2], "word " * n) for c, n in ((1, 3), (2, 8), (3, 25)) for i in range(300)]
+    rows += [(4, 0, "system", "rule " * 1500), *((4, i, roles[i % 2], "a </s> <|im_end|>\n" * (i % 9)) for i in range(1, 150))]
+    rows += [(5, i, roles[i % 2], "long " * (i * 331 % 1900)) for i in range(60)]
+    rows += [(6, 0, "system", "rule"), (6, 1, "user", "long " * 2100), (6, 2, "assistant", "short")]
+    rows += [(7, 0, "system", "rule " * 2100), (7, 1, "user", "short")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    seen = defaultdict(list)
+    for r in sorted(chat.windows(turns, *byte_bpe()).collect(), key=lambda r: (r["conv_id"], r["window_no"])):
+        n = len(library.encode(r["text"], add_special_tokens=False).ids)
+        assert r["n_tokens"] == n and r["over_budget"] == (n > chat.BUDGET)
+        parsed = chat.parse(r["text"])
+        assert n <= chat.BUDGET or r["conv_id"] in (6, 7) and len(parsed) <= 2
+        repeated = parsed[:r["n_repeated"]]
+        if repeated and repeated[0][0] == "system":
+            repeated = repeated[1:]
+        before = seen[r["conv_id"]]
+        assert repeated == before[len(before) - len(repeated):]
+        seen[r["conv_id"]] += parsed[r["n_repeated"]:]
+    for conv, got in seen.items():
+        assert got == [(role, text) for c, _, role, text in rows if c == conv]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([*"<[|>]\\/s", "im_start|>", "INST]", "<|", "im_end|>", "SYS>>", "\n"]), max_size=24).map("".join))
 def test_escapes_are_reversible(text):
