@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,49 +19,83 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 #: Documents and tokens after which a shard is closed. Both bound the memory of a task.
 SHARD_DOCUMENTS, SHARD_TOKENS = 3000, 3_000_000
 #: BM25's usual constants, terms of a seed that are looked up, and the share of a shard's
-#: items from which a term says nothing.
-K1, B, QUERY_TERMS, COMMON = 1.2, 0.75, 8, 0.1
+#: items up to which a term is looked up: all of them, idf alone weighs them.
+K1, B, QUERY_TERMS, COMMON = 1.2, 0.75, math.inf, 1.0
+#: Share of the different items from which a term's weights are held as a dense row, and ids counted at once.
+DENSE, PART = 1 / 8, 1 << 20
+
+
+def _counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if len(ids) < 4096:
+        return np.unique(ids, return_counts=True)
+    total = np.zeros(int(ids.max()) + 1, np.int64)
+    for lo in range(0, len(ids), PART):
+        some = np.bincount(ids[lo:lo + PART].astype(np.int64))
+        total[:len(some)] += some
+    found = np.flatnonzero(total)
+    return found, total[found]
 
 
 class Index:
-    """Inverted BM25 index over the items of one shard; terms are token ids."""
+    """Inverted BM25 index over the items of one shard; terms are token ids.
+
+    Items with equal ids stand in it once, with their number, so that a large group of copies
+    costs no more than one of them.
+    """
 
     def __init__(self, items: list[np.ndarray]) -> None:
         n = len(items)
-        sizes = np.array([len(x) for x in items], np.int64)
-        owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
-        terms = np.concatenate(items).astype(np.int64) if n else np.zeros(0, np.int64)
-        pairs, tf = np.unique(terms * n + owner, return_counts=True) if n else (terms, terms)
-        term, self.owner = np.divmod(pairs, max(n, 1))
-        df = np.bincount(term) if len(term) else np.zeros(1, np.int64)
+        numbers: dict[bytes, int] = {}
+        self.group = np.array([numbers.setdefault(xxhash.xxh3_128_digest(np.ascontiguousarray(x)), len(numbers)) for x in items], np.int64)
+        self.members = np.argsort(self.group, kind="stable")
+        times = np.bincount(self.group, minlength=len(numbers))
+        self.begin = np.concatenate([[0], np.cumsum(times)])
+        different = [items[i] for i in self.members[self.begin[:-1]]]
+        sizes = np.array([len(x) for x in different], np.int64)
+        counted = [_counts(x) for x in different]
+        term = np.concatenate([t for t, _ in counted]).astype(np.int64) if n else np.zeros(0, np.int64)
+        tf = np.concatenate([c for _, c in counted]) if n else term
+        owner = np.repeat(np.arange(len(different)), [len(t) for t, _ in counted])
+        df = np.bincount(term, times[owner]) if len(term) else np.zeros(1)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(sizes.mean() if n else 1, 1))
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[self.owner])).astype(np.float32)
-        self.first = np.concatenate([[0], np.cumsum(df)])
-        self.n = n
-        # the terms that speak most for each item, by the weight they have in it
-        told = np.where((df[term] > 1) & (df[term] <= max(2, COMMON * n)), self.weight, -1.0)
-        order = np.lexsort((term, -told, self.owner))
-        begin = np.searchsorted(self.owner[order], np.arange(n + 1))
-        self.terms = [
-            term[(o := order[begin[i]:begin[i + 1]][:QUERY_TERMS])[told[o] > 0]] for i in range(n)]
+        norm = K1 * (1 - B + B * sizes / max((sizes * times).sum() / max(n, 1), 1))
+        weight = (idf[term] * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float32)
+        # a term of one item leads to no other
+        told = np.split(term, np.cumsum([len(t) for t, _ in counted])[:-1]) if n else []
+        told = [t[df[t] > 1] for t in told]
+        self.terms = [told[g] for g in self.group]
+        order = np.argsort(term, kind="stable")
+        self.owner, self.weight = owner[order], weight[order]
+        postings = np.bincount(term, minlength=1)
+        self.first = np.concatenate([[0], np.cumsum(postings)])
+        common = np.flatnonzero(postings > DENSE * len(different))
+        self.row = np.full(len(postings), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(different)), np.float32)
+        at = self.row[term]
+        self.dense[at[at >= 0], owner[at >= 0]] = weight[at >= 0]
 
     def neighbours(self, item: int) -> np.ndarray:
-        """Items that share telling terms with ``item``, best first, itself included."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.terms[item]]
-        if not spans:
-            return np.zeros(0, np.int64)
-        found = np.concatenate([self.owner[s] for s in spans])
-        score = np.bincount(found, np.concatenate([self.weight[s] for s in spans]))
+        """Items that share terms with ``item``, best first by BM25 over all its terms, itself included."""
+        terms = self.terms[item]
+        rows = self.row[terms]
+        score = self.dense[rows[rows >= 0]].sum(axis=0).astype(float)
+        spans = [slice(self.first[t], self.first[t + 1]) for t in terms[rows < 0]]
+        if spans:
+            found = np.concatenate([self.owner[s] for s in spans])
+            score += np.bincount(found, np.concatenate([self.weight[s] for s in spans]), len(score))
         hit = np.flatnonzero(score)
-        return hit[np.argsort(-score[hit], kind="stable")]
+        hit = hit[np.argsort(-score[hit], kind="stable")]
+        sizes = self.begin[hit + 1] - self.begin[hit]
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self.members[np.repeat(self.begin[hit], sizes) + within]
 
 
 def shard_pieces(documents: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """``(document, start, length, sequence, offset)`` of one shard, every window full but the last few.
 
-    Whole windows are cut off the front of long documents. The rests are the items of the index:
-    the first unused one is a seed, and its unused neighbours follow it into the window, best
+    Whole windows are cut off the front of long documents. The rests are what is retrieved, by the
+    terms of their whole documents: the first unused one is a seed, and its unused neighbours follow it into the window, best
     first; when they are used up, the next unused item is the seed. The item that crosses the end
     is cut there, and its rest and neighbours open the next window. What is left at last is cut to
     powers of two, which need no padding.
@@ -74,15 +110,20 @@ def shard_pieces(documents: list[np.ndarray], window: int) -> Iterator[tuple[int
         begin.append(whole * window)
     owners = [d for d, ids in enumerate(documents) if len(ids) > begin[d]]
     items = [documents[d][begin[d]:] for d in owners]
-    index = Index(items)
+    index = Index([documents[d] for d in owners])
     left = sum(map(len, items))
     used = np.zeros(len(items), bool)
     turn = 0
+
+    def following(i: int) -> Iterator[int]:
+        near = index.neighbours(i)
+        return iter(near[~used[near]].tolist())
+
     carry = None  # the item whose rest opens the next window, and where that rest begins
     while left:
         size = window if left >= window else 1 << (left.bit_length() - 1)
         filled = 0
-        near = iter(index.neighbours(carry[0]) if carry else ())
+        near = following(carry[0]) if carry else iter(())
         while filled < size:
             if carry:
                 (i, at), carry = carry, None
@@ -91,7 +132,7 @@ def shard_pieces(documents: list[np.ndarray], window: int) -> Iterator[tuple[int
                 if i is None:
                     while used[turn]:
                         turn += 1
-                    i, near = turn, iter(index.neighbours(turn))
+                    i, near = turn, following(turn)
             used[i] = True
             take = min(len(items[i]) - at, size - filled)
             d = owners[i]

@@ -95,3 +95,33 @@ def test_similar_documents_share_a_window():
     for d, _, _, sequence, _ in packing.shard_pieces(documents, 2048):
         at[sequence].add(d % 30)
     assert np.mean([len(x) for x in at.values()]) < 3
+
+
+def test_neighbours_by_all_terms_with_a_third_of_copies():
+    rng = np.random.default_rng(8)
+    copy = rng.integers(0, 300, 60).astype("<u4")
+    items = [copy if i % 3 == 0 else rng.integers(0, 300, rng.integers(5, 80)).astype("<u4") for i in range(90)]
+    index = packing.Index(items)
+    mean = np.mean([len(x) for x in items])
+    df = {t: sum(t in x for x in items) for t in range(300)}
+
+    def bm25(t, x):
+        tf = int((x == t).sum())
+        return np.log1p((90 - df[t] + 0.5) / (df[t] + 0.5)) * tf * (packing.K1 + 1) / (
+            tf + packing.K1 * (1 - packing.B + packing.B * len(x) / mean))
+
+    for i in range(0, 90, 5):
+        want = np.array([sum(bm25(t, x) for t in set(items[i].tolist()) if df[t] > 1) for x in items])
+        got = index.neighbours(i)
+        assert sorted(got) == list(np.flatnonzero(want))
+        assert np.all(np.diff(want[got]) <= 1e-4)
+    assert set(range(0, 90, 3)) <= set(index.neighbours(0).tolist())
+
+
+def test_the_rest_of_a_long_document_follows_its_front():
+    topic = np.arange(64)
+    documents = [np.concatenate([topic, np.arange(1000, 1020)])]
+    documents += [np.arange(2000 + 30 * i, 2022 + 30 * i) for i in range(20)] + [topic[:20], topic[30:50]]
+    documents = [d.astype("<u4") for d in documents]
+    at = {d: s for d, start, _, s, offset in packing.shard_pieces(documents, 64) if d in (0, 21, 22)}
+    assert at[0] == at[21] == at[22]
