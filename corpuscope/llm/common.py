@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from corpuscope.session import shared_folder
+from corpuscope.session import remove, shared_folder
 
 #: Rows an Arrow batch holds at most; Spark's own byte limit holds as well.
 BATCH_ROWS = 1000
@@ -50,12 +50,6 @@ def labelled(documents: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     return texts.join(F.broadcast(drawn), "doc_id")
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a written table that nothing reads any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 class Kept:
     """Tables written once below the shared folder, so that lost executors cost no recomputation."""
 
@@ -71,3 +65,21 @@ class Kept:
 
     def drop(self, df: DataFrame) -> None:
         remove(self.spark, df.folder)
+
+
+def numbered(kept: Kept, rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """The rows with their place in ``order``, counted from 1 over the whole table, as column ``name``.
+
+    Rows are sorted in ranges and counted within them; equal rows may lie in several ranges. A range's
+    first number comes from the sizes of those before it, one row a shuffle partition.
+    """
+    spot = F.rand(29)
+    ranged = rows.repartitionByRange(*order, spot).sortWithinPartitions(*order)
+    placed = kept.write(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    firsts = placed.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(firsts), "_range").withColumn(
+        name, F.col("_first") + inside + 1).drop("_at", "_range", "_first")

@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, langid, minhash, packing, pieces, quality, rules, tokens, toxicity, vectors
+from . import (
+    bpe, chat, collocations, langid, minhash, packing, pieces, pii, quality, resampling, rules, tokens, toxicity, vectors)
 from .common import bounded_batches, held_out, labelled, table
 
 _KEYS = itertools.count()
@@ -144,6 +145,24 @@ def op10_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
 
 
+@query
+def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    bounded_batches(spark)
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    bounded_batches(spark)
+    return table(spark, folder, "documents").select("doc_id", pii.personal_data(F.col("text")).alias("f")).select("doc_id", "f.*")
+
+
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    bounded_batches(spark)
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 #: Links and what they reach, by comparing all vectors of a label.
 ORACLES["op10_vectors"] = """
 with recursive sound as (
@@ -159,3 +178,60 @@ counts as (select a, count(*) as n from links group by 1),
 roots as (select a, min(b) as c from reach group by 1)
 select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(c, vec_id) as component_id, vec_id = coalesce(c, vec_id) as kept
 from embeddings left join counts on counts.a = vec_id left join roots on roots.a = vec_id"""
+
+#: Features of every text, their checksums byte by byte, gains, noise and ranks.
+ORACLES["op11_resampling"] = r"""
+with recursive steps as (select i, i::bigint as c, 0 as k from range(256) t(i) union all
+  select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from steps where k < 8),
+crc as (select list(c order by i) as t from steps where k = 8),
+texts as (select 'd' as side, row_number() over () as id, text from documents union all
+  select 'b', row_number() over (), text from benchmark),
+words as (select side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+features as (
+  select side, id, unnest(w) as f from words union all
+  select side, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from words),
+named as (select f, hex(encode(f)) as h from (select distinct f from features)),
+hashed as (select f, xor(4294967295, list_reduce(
+    list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::bigint),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::bigint)) % 10000 as bucket from named, crc),
+placed as (select side, id, bucket from features join hashed using (f)),
+counts as (select b as bucket, coalesce(s, 0) as s, coalesce(t, 0) as t from range(10000) r(b)
+  left join (select bucket, count(*) as s from placed where side = 'd' group by 1) x on x.bucket = b
+  left join (select bucket, count(*) as t from placed where side = 'b' group by 1) y on y.bucket = b),
+gains as (select bucket, floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double
+  / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as gain from counts),
+weighed as (select id, count(*)::bigint as n, sum(gain)::bigint as total from placed join gains using (bucket) where side = 'd' group by 1),
+docs as (select row_number() over () as id, doc_id, text from documents),
+scored as (select doc_id, len(w) as n_words, coalesce(n, 0) as n_features,
+    case when n is null then 0 else ((total - ((total % n) + n) % n) // n)::bigint end as weight,
+    floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(doc_id::varchar, ''))[1:8])::bigint + 0.5::double) / 4294967296::double)))::bigint as noise
+  from docs join words on words.side = 'd' and words.id = docs.id left join weighed on weighed.id = docs.id),
+drawn as (select *, weight + noise as score, n_words >= 20 as able from scored),
+ranked as (select *, case when able then row_number() over (partition by able order by score desc, doc_id nulls last, n_features) end as place,
+  count(*) filter (able) over () as total from drawn)
+select doc_id, n_features::bigint as n_features, weight, score, case when place <= 25 * total // 100 then place::bigint end as rank
+from ranked"""
+
+#: All phrases of up to five words, the weakest cut of the frequent ones, and those not inside longer ones.
+ORACLES["op13_collocations"] = r"""
+with texts as (select coalesce(lang, 'und') as lang, string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as pieces from documents),
+pieces as (select lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') as w from texts),
+spans as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as phrase
+  from pieces, range(1, 6) t(k) where len(w) >= k),
+n as (select lang, sum(len(w)) as n from pieces group by 1),
+f as materialized (select lang, phrase, any_value(k) as k, count(*) as f from spans group by 1, 2 having count(*) >= 100),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1),
+halves as (select lang, phrase, a, k, j, array_to_string(w[1 : j], ' ') as x, array_to_string(w[j + 1 : k], ' ') as y
+  from (select *, unnest(range(1, k)) as j from c)),
+cuts as (select h.lang, h.phrase, h.a, n.n, h.j, x.f as l, y.f as r, (1000::hugeint * h.a * n.n) // (x.f::hugeint * y.f) as score
+  from halves h join n on n.lang = h.lang join f x on x.lang = h.lang and x.phrase = h.x join f y on y.lang = h.lang and y.phrase = h.y),
+best as (select * from (select *, row_number() over (partition by lang, phrase order by score, j) as i from cuts) where i = 1),
+inside as (select lang, phrase, max(a) as most from (
+  select lang, a, array_to_string(w[i : i + m - 1], ' ') as phrase from (
+    select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from c))) group by 1, 2),
+kept as (select b.* from best b left join inside i on i.lang = b.lang and i.phrase = b.phrase where i.most is null or i.most < b.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from ranked where rank <= 2000"""

@@ -31,7 +31,7 @@ ROWS = [
 
 def write(spark, folder, empty: bool) -> str:
     """The tables the queries read, with awkward rows, or without any, and with columns that clash."""
-    clash = {c: F.lit(1) for c in ("score", "kept", "lang_pred", "n_words", "found", "m", "row", "before", "span", "node", "ids")}
+    clash = {c: F.lit(1) for c in ("score", "kept", "lang_pred", "n_words", "found", "m", "row", "before", "span", "node", "ids", "rank", "n", "weight", "f")}
     labels = [(r[0], i % 3 > 0, i % 4 == 0) for i, r in enumerate(ROWS)] + [(1, None, None), (1, True, None), (999, True, True)]
     labels = [(d, None if q is None else int(q), None if t is None else int(t)) for d, q, t in labels]
     turns = [(1, 0, "system", "be kind"), (1, 1, "user", None), (1, 2, "assistant", "</s>[INST] \\ <\\/s> <|im_end|>\n"),
@@ -42,7 +42,8 @@ def write(spark, folder, empty: bool) -> str:
     vectors = [(1, v, 1), (2, v, 1), (2, v, 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [], 1), (7, [0.0, 0.0, 0.0], 1),
                (8, [0.6, None, 0.8], 1), (9, [float("nan"), 1.0, 1.0], 1), (10, [float("inf"), 1.0, 1.0], 1), (None, v, 1),
                (11, [1.2, 1.6, 0.1], 1), (12, [0.6, 0.8], 1), (13, [3e38, 4e38 / 10, 0.0], 1), (14, [0.0, 0.0, 1.0], 1)]
-    for name, rows, schema in (("documents", ROWS, DOCUMENTS), ("labels", labels, LABELS),
+    target = [(1, PROSE), (2, None), (3, ""), (4, "one two three one two")]
+    for name, rows, schema in (("documents", ROWS, DOCUMENTS), ("labels", labels, LABELS), ("benchmark", target, "item_id long, text string"),
                                ("conversations", turns, TURNS), ("embeddings", vectors, VECTORS)):
         df = spark.createDataFrame([] if empty else rows, schema)
         new = {c: x for c, x in clash.items() if c not in df.columns}

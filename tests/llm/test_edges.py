@@ -9,7 +9,7 @@ from corpuscope.llm.queries import QUERIES
 
 from .conftest import ROWS
 
-BY_DOCUMENT = [k for k in QUERIES if k.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op6", "op7")]
+BY_DOCUMENT = [k for k in QUERIES if k.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op11", "op12")]
 
 
 @pytest.mark.parametrize("key", [*QUERIES, "pipeline"])
