@@ -2,11 +2,14 @@
 
 Frequent words are numbered by frequency. A pair of neighbouring ids is a cell of a square that is cut
 into tiles: the tile of the most frequent ids is counted densely by ``bincount``, the others, which
-are mostly empty, as sorted coordinates. Frequent pairs are numbered by frequency again, and two
-pairs that overlap in all but a word at each end are a pair of ids of the next level.
+are mostly empty, as sorted coordinates. For longer phrases the frequent pairs of a block of text are
+numbered by frequency again, and two that overlap in all but a word at each end are a pair of the next
+level; so it goes on to the longest phrases.
 
 Texts are read once, into blocks of word numbers with a dictionary of their own. A dictionary meets the
-table of frequent words in a join, so no vocabulary is broadcast or held whole by a task.
+table of frequent words in a join, so no vocabulary is broadcast or held whole by a task. Which phrases
+of a block may be frequent is told by a filter of fixed size; one that it lets through by mistake is
+counted and then falls short like any other.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ from .common import Kept, numbered
 LONGEST, LEAST, INSIDE, TOLD = 5, 100, 100, 2000
 UNKNOWN = "und"
 #: Words of a block, ids on a side of the dense tile, and sparse cells a task holds before it hands them on.
-BLOCK, SIDE, HELD = 1 << 20, 1 << 11, 1 << 21
-#: Bits of the fixed-size filter that pairs which cannot be frequent are dropped by before they are joined.
-FILTER = 1 << 24
+BLOCK, SIDE, HELD = 1 << 20, 1 << 10, 1 << 20
+#: Bits of the filter that phrases which cannot be frequent are dropped by, whatever the corpus: 8 MB.
+FILTER = 1 << 26
 #: Lower-cased letters; piece ends become line breaks, blanks become spaces.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else 10 if i in b".,;:!?\n\v\f\r" else 32 if i == 9 else i for i in range(256))
 
@@ -133,44 +136,104 @@ class Tiles:
         yield from self.hand_on()
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tiles = Tiles()
-
-    def rows(parts):
-        for columns in parts:
-            for lo in range(0, len(columns[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo:lo + (1 << 16)], pa.int64()) for c in columns], names=["a", "b", "n"])
-
-    for batch in batches:
-        for raw in batch.column("ids"):
-            tiles.add(*_pairs(np.frombuffer(raw.as_buffer(), "<i8")))
-            if tiles.held >= HELD:
-                tiles.merge()
-                if tiles.held >= HELD // 2:
-                    yield from rows(tiles.hand_on())
-    yield from rows(tiles.rest())
-
-
-def _spot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The place of a pair in the filter."""
-    h = a.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + b.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)
-    return ((h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9) >> _U(40)).astype(np.int64) % FILTER
+def _spot(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The place in the filter of the phrases of ``size`` ids that begin at the places ``at``."""
+    h = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        h = (h ^ ids[at + j].astype(np.uint64)) * _U(0x9E3779B97F4A7C15)
+        h ^= h >> _U(29)
+    return ((h * _U(0xBF58476D1CE4E5B9)) >> _U(32)).astype(np.int64) % FILTER
 
 
-def _filter(frequent: DataFrame) -> np.ndarray:
-    """Which places of the filter hold a frequent pair: ``FILTER`` bits, whatever the number of pairs."""
+def _filter(frequent: DataFrame, size: int) -> np.ndarray:
+    """Which places of the filter hold a frequent phrase, as ``FILTER`` packed bits."""
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(FILTER, bool)
         for batch in batches:
-            met[_spot(batch.column(0).to_numpy(), batch.column(1).to_numpy())] = True
+            ids = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            met[_spot(ids, np.arange(0, len(ids), size), size)] = True
         words = np.packbits(met).view("<i8")
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at], pa.int64())], names=["at", "w"])
 
     out = np.zeros(FILTER // 64, "<i8")
-    found = frequent.select("a", "b").mapInArrow(bits, "at long, w long").groupBy("at").agg(F.bit_or("w").alias("w")).toPandas()
+    found = frequent.select("ids").mapInArrow(bits, "at long, w long").groupBy("at").agg(F.bit_or("w").alias("w")).toPandas()
     out[found["at"].to_numpy(np.int64)] = found["w"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8)).astype(bool)
+    return out
+
+
+def _let_through(mask: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """The bits of packed ``mask`` at the places ``spot``."""
+    return (mask.view(np.uint8)[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _ranked_units(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of pairs by falling frequency, and where each number is met first."""
+    at, first, order = _runs(a, b)
+    n = np.diff(np.append(first, len(a)))
+    rank = np.empty(len(at), np.int64)
+    by = np.argsort(-n, kind="stable")
+    rank[by] = np.arange(len(at))
+    unit = np.empty(len(a), np.int64)
+    unit[order] = np.repeat(rank, n)
+    return unit, at[by]
+
+
+def _phrases(ids: np.ndarray, size: int, masks: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word ids of the phrases of three words or more whose parts may all be frequent, with their counts.
+
+    ``masks`` are the filters of the phrases of two to ``size - 1`` words. Pairs that pass are numbered by
+    frequency within the block; then neighbours among the numbers are the pairs that are looked at next.
+    """
+    at = np.flatnonzero(ids >= 0)
+    unit, spots = ids[at], at
+    for length, mask in enumerate(masks, 2):
+        beside = np.flatnonzero(np.diff(at) == 1)
+        beside = beside[_let_through(mask, _spot(ids, at[beside], length))]
+        unit, first = _ranked_units(unit[beside], unit[beside + 1])
+        at = at[beside]
+        spots = at[first]
+    beside = np.flatnonzero(np.diff(at) == 1)
+    tiles = Tiles()
+    tiles.add(unit[beside], unit[beside + 1])
+    for a, b, n in tiles.rest():
+        yield np.concatenate([ids[spots[a][:, None] + np.arange(size - 1)], ids[spots[b] + size - 2][:, None]], 1), n
+
+
+def _count(level: DataFrame, size: int, masks: list) -> DataFrame:
+    """``ids, n``: how often each phrase of ``size`` words occurs, added up over parts of the table.
+
+    Frequent phrases are all there with whole counts; of others only those that pass the filters.
+    """
+    names = [f"w{i}" for i in range(size)]
+
+    def rows(words: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(n), 1 << 16):
+            some = words[lo:lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(some[:, i])) for i in range(size)),
+                                              pa.array(n[lo:lo + (1 << 16)])], names=[*names, "n"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles = Tiles()
+        for batch in batches:
+            for raw in batch.column("ids"):
+                tiles.add(*_pairs(np.frombuffer(raw.as_buffer(), "<i8")))
+                if tiles.held >= HELD:
+                    tiles.merge()
+                    if tiles.held >= HELD // 2:
+                        for a, b, n in tiles.hand_on():
+                            yield from rows(np.stack([a, b], 1), n)
+        for a, b, n in tiles.rest():
+            yield from rows(np.stack([a, b], 1), n)
+
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("ids"):
+                for words, n in _phrases(np.frombuffer(raw.as_buffer(), "<i8"), size, [m.value for m in masks]):
+                    yield from rows(words, n)
+
+    counted = level.select("ids").mapInArrow(longer if masks else pairs, ", ".join(f"{c} long" for c in [*names, "n"]))
+    return counted.groupBy(*names).agg(F.sum("n").alias("f")).select(F.array(*names).alias("ids"), "f")
 
 
 def _level_ids(words: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -198,67 +261,17 @@ def _dense(block: int, ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"block": [block], "ids": [out.astype("<i8").tobytes()]})
 
 
-def _next_ids(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``block, ids`` with the ranked id of the frequent pair that begins at each place, gaps elsewhere.
-
-    The distinct pairs of a block that pass the filter meet the table of frequent pairs in a join; the
-    filter only spares the join pairs that are surely not there.
-    """
-    mask = blocks.sparkSession.sparkContext.broadcast(np.packbits(_filter(frequent)))
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.unpackbits(mask.value).astype(bool)
-        for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                a, b = _pairs(np.frombuffer(raw.as_buffer(), "<i8"))
-                likely = keep[_spot(a, b)]
-                a, b = a[likely], b[likely]
-                at = _runs(a, b)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block), pa.int64()), pa.array(a[at]), pa.array(b[at])],
-                                                 names=["block", "a", "b"])
-
-    met = blocks.select("block", "ids").mapInArrow(distinct, "block long, a long, b long").join(
-        frequent.select("a", "b", "id"), ["a", "b"]).select(F.col("block").alias("of"), "a", "b", "id")
-
-    def rename(key: tuple, block: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
-        ids = np.frombuffer(block["ids"].iloc[0], "<i8")
-        new = np.full(len(ids), -1, np.int64)
-        a, b, i = (met[c].to_numpy(np.int64) for c in ("a", "b", "id"))
-        if len(a):
-            # pairs as one sorted list, found by the numbers of their two ids within the block
-            left, right = np.unique(a), np.unique(b)
-            cell = np.searchsorted(left, a) * len(right) + np.searchsorted(right, b)
-            order = np.argsort(cell)
-            x = np.minimum(np.searchsorted(left, ids[:-1]), len(left) - 1)
-            y = np.minimum(np.searchsorted(right, ids[1:]), len(right) - 1)
-            want = x * len(right) + y
-            at = np.minimum(np.searchsorted(cell[order], want), len(cell) - 1)
-            hit = (left[x] == ids[:-1]) & (right[y] == ids[1:]) & (cell[order][at] == want)
-            new[:-1][hit] = i[order][at[hit]]
-        return _dense(key[0], new)
-
-    return blocks.groupBy("block").cogroup(met.groupBy("of")).applyInPandas(rename, "block long, ids binary")
-
-
-def _ranked(kept: Kept, rows: DataFrame) -> DataFrame:
-    """The rows of a level with ``id``, from 0 by falling frequency ``f``."""
-    return numbered(kept, rows, "id", F.col("f").desc()).withColumn("id", F.col("id") - 1)
-
-
-def _last_word(phrase: str) -> Column:
-    return F.substring_index(phrase, " ", -1)
-
-
-def _longer(frequent: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Phrases of the next level: ``id, lang, phrase, first, last``.
+def _longer(frequent: DataFrame, phrases: DataFrame, size: int) -> DataFrame:
+    """Phrases of ``size`` words: ``ids, lang, phrase, first, last``, from those of a word less.
 
     ``first`` holds the frequencies of a phrase's first words, from one to all of them, ``last`` those of its last words.
     """
-    begin = phrases.select(F.col("id").alias("a"), "lang", "phrase", "first")
-    end = phrases.select(F.col("id").alias("b"), _last_word("phrase").alias("word"), "last")
-    return frequent.join(begin, "a").join(end, "b").select(
-        "id", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), F.concat("first", F.array("f")).alias("first"),
-        F.concat("last", F.array("f")).alias("last"), "a", "b")
+    begin = phrases.select(F.col("ids").alias("a"), "lang", "phrase", "first")
+    end = phrases.select(F.col("ids").alias("b"), F.substring_index("phrase", " ", -1).alias("word"), "last")
+    cut = frequent.select("ids", "f", F.slice("ids", 1, size - 1).alias("a"), F.slice("ids", 2, size - 1).alias("b"))
+    return cut.join(begin, "a").join(end, "b").select(
+        "ids", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), F.concat("first", F.array("f")).alias("first"),
+        F.concat("last", F.array("f")).alias("last"))
 
 
 def _weakest_cut(n: Column) -> Column:
@@ -296,29 +309,26 @@ def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGES
         F.sum("w.counts").alias("f"))
     totals = kept.write(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("n")).groupBy("lang").agg(
         F.sum("n").alias("n")))
-    frequent = _ranked(kept, words.where(F.col("f") >= least))
-    phrases = frequent.select("id", "lang", F.col("word").alias("phrase"), F.array("f").alias("first"), F.array("f").alias("last"))
+    frequent = numbered(kept, words.where(F.col("f") >= least), "id", F.col("f").desc()).withColumn("id", F.col("id") - 1)
+    phrases = frequent.select(F.array("id").alias("ids"), "lang", F.col("word").alias("phrase"), F.array("f").alias("first"), F.array("f").alias("last"))
     level = kept.write(_level_ids(frequent, blocks))
     kept.drop(blocks)
-    found = []
+    found, masks = [], []
     for size in range(2, longest + 1):
-        counted = level.select("ids").mapInArrow(_count_pairs, "a long, b long, n long")
-        frequent = _ranked(kept, counted.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-        if size < longest:
-            after = kept.write(_next_ids(level, frequent))
-            kept.drop(level)
-            level = after
-        phrases = kept.write(_longer(frequent, phrases))
+        frequent = kept.write(_count(level, size, masks).where(F.col("f") >= least))
+        phrases = kept.write(_longer(frequent, phrases, size))
         found.append(phrases)
+        if size < longest:
+            masks.append(documents.sparkSession.sparkContext.broadcast(_filter(frequent, size)))
     kept.drop(level)
     whole = lambda c: F.element_at(c, -1)
     candidates = []
     for shorter, longer in zip(found, [*found[1:], None]):
         if longer is not None:
             # a longer phrase has all shorter ones between them as candidates too, so the next size tells
-            parts = [longer.where(100 * whole("first") >= INSIDE * F.element_at(c, -2)).select(F.col(i).alias("id")) for c, i in
-                     (("first", "a"), ("last", "b"))]
-            shorter = shorter.join(parts[0].unionByName(parts[1]).distinct(), "id", "left_anti")
+            parts = [longer.where(100 * whole("first") >= INSIDE * F.element_at(c, -2)).select(F.slice("ids", begin, F.size("ids") - 1).alias("ids"))
+                     for c, begin in (("first", 1), ("last", 2))]
+            shorter = shorter.join(parts[0].unionByName(parts[1]).distinct(), "ids", "left_anti")
         candidates.append(shorter.select("lang", "phrase", "first", "last"))
     every = candidates[0]
     for more in candidates[1:]:

@@ -85,3 +85,30 @@ def test_tiles_count_every_pair():
 
 def test_query_equals_sql(spark):
     assert compare.compare(spark, SMALL, "op13", QUERIES["op13_collocations"], ORACLES["op13_collocations"]) == ""
+
+
+@pytest.mark.parametrize("side", [1, 3, 1 << 10])
+def test_longer_phrases_of_a_block_by_brute_force(monkeypatch, side):
+    monkeypatch.setattr(collocations, "SIDE", side)
+    rng = np.random.default_rng(side)
+    ids = np.where(rng.random(3000) < 0.1, -1, rng.integers(0, 7, 3000) ** 2 * 1_000_003)
+    every = np.full(collocations.FILTER // 64, -1, "<i8")
+    for size in (3, 4, 5):
+        got = Counter()
+        for words, n in collocations._phrases(ids, size, [every] * (size - 2)):
+            got.update({tuple(w): int(c) for w, c in zip(words.tolist(), n)})
+        windows = (tuple(ids[i:i + size].tolist()) for i in range(len(ids) - size + 1))
+        assert got == Counter(w for w in windows if min(w) >= 0)
+    none = np.zeros(collocations.FILTER // 64, "<i8")
+    assert sum(n.sum() for _, n in collocations._phrases(ids, 3, [none])) == 0
+    assert list(collocations._phrases(ids[:0], 4, [every, every]))[0][0].shape == (0, 4)
+
+
+def test_the_filter_lets_frequent_phrases_through(spark):
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 1 << 40, (500, 3))
+    mask = collocations._filter(spark.createDataFrame([(x,) for x in ids.tolist()], "ids array<long>").repartition(3), 3)
+    flat = ids.ravel()
+    assert collocations._let_through(mask, collocations._spot(flat, np.arange(0, 1500, 3), 3)).all()
+    other = rng.integers(0, 1 << 40, 3000)
+    assert collocations._let_through(mask, collocations._spot(other, np.arange(0, 3000, 3), 3)).sum() < 5
