@@ -4,14 +4,16 @@ The detector is trained here on a labelled corpus by counting, so its verdicts a
 by accuracy on labelled text and are not meant to equal those of any other detector.
 
 Text is folded to 28 symbols (a-z, ``~`` for any other letter, space), so a profile has at
-most 28**3 = 21,952 rows however large the corpus is. That bound is why it is broadcast.
+most 28**3 = 21,952 rows however large the corpus is. For scoring it becomes one dense array
+per language with a cell for every trigram number, and a text is scored within its row: its
+trigrams are numbered and the cells summed, without a join or a row per trigram.
 Log-probabilities are whole numbers (millionths), which makes sums exact and independent
 of the order in which partitions arrive.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,6 +22,8 @@ from ..functions import text as fx
 from .files import chosen_readme, readme_files
 
 ALPHABET_CUBED = 28 ** 3
+#: Trigram numbers: three symbols of five bits.
+CELLS = 32 ** 3
 SCALE = 1_000_000
 MIN_PROBABILITY = 0.1
 
@@ -62,31 +66,89 @@ def train_profile(documents: DataFrame, languages: Sequence[str], text: str = "t
     return counts.select("trigram", *[log_probability(lang) for lang in languages])
 
 
+def symbol(character: Column) -> Column:
+    """Five bits of a folded character: space 0, a-z 1 to 26, ``~`` 30."""
+    return F.ascii(character).bitwiseAND(F.lit(31))
+
+
+def dense_profile(profile: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """The profile as one row with an array per language, addressed by trigram number.
+
+    Cells without a trigram hold 0, which no logarithm of a probability is.
+    """
+    columns = [score_column(lang) for lang in languages]
+    at = [symbol(F.substring("trigram", i, 1)) for i in (1, 2, 3)]
+    number = F.shiftleft(at[0], 10) + F.shiftleft(at[1], 5) + at[2]
+    cells = profile.select(number.cast("long").alias("cell"), *columns).unionByName(
+        profile.sparkSession.range(CELLS).select(F.col("id").alias("cell"), *[F.lit(0).cast("long").alias(c) for c in columns]))
+    summed = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in columns])
+    rows = summed.agg(F.array_sort(F.collect_list(F.struct("cell", *columns))).alias("rows"))
+    return rows.select(*[F.col("rows")[c].alias(c) for c in columns])
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def trigram_numbers(text) -> Column:
+    """The numbers of all overlapping trigrams of a text."""
+    symbols = F.transform(F.split(fold_letters(text), ""), symbol)
+    return _bound(symbols, lambda a: F.transform(
+        F.slice(a, 3, F.size(a)),
+        lambda s, i: F.shiftleft(F.get(a, i), 10) + F.shiftleft(F.get(a, i + 1), 5) + s))
+
+
+def scores(text: Column, dense: Column, languages: Sequence[str]) -> Column:
+    """A text's summed log-probability in each language and the best one, as a struct.
+
+    Trigrams that the training corpus never showed add nothing; a text without a known one
+    gets NULLs. Equal sums go to the later language name.
+    """
+    def summed(numbers: Column, lang: str) -> Column:
+        cells = dense[score_column(lang)]
+        total = F.aggregate(numbers, F.lit(0).cast("long"), lambda s, n: s + F.get(cells, n))
+        return F.nullif(total, F.lit(0).cast("long"))
+
+    sums = _bound(trigram_numbers(text), lambda numbers: F.struct(
+        *[summed(numbers, lang).alias(score_column(lang)) for lang in languages]))
+    return _bound(sums, lambda s: F.struct(
+        *[s[score_column(lang)].alias(score_column(lang)) for lang in languages], best(s, languages).alias("best_lang")))
+
+
+def best(sums: Column, languages: Sequence[str]) -> Column:
+    top = F.array_max(F.array(*[
+        F.struct(sums[score_column(lang)].alias("score"), F.lit(lang).alias("lang")) for lang in languages]))
+    return F.when(sums[score_column(languages[0])].isNotNull(), top["lang"])
+
+
+def _with_profile(df: DataFrame, profile: DataFrame, languages: Sequence[str], values: Column,
+                  score: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds ``_scored``: ``score(value, profile)`` of each of the row's ``values``.
+
+    The profile is a scalar subquery that is met once per row; it is bound outside the loop.
+    """
+    dense = dense_profile(profile, languages).select(F.struct("*")).scalar()
+    both = df.withColumn("_dense", dense).withColumn("_values", values)
+    return both.withColumn("_scored", _bound(
+        F.struct("_dense", "_values"), lambda b: F.transform(b["_values"], lambda v: score(v, b["_dense"])))).drop("_dense", "_values")
+
+
 def score_texts(df: DataFrame, profile: DataFrame, languages: Sequence[str],
                 keys: Sequence[str], text: str) -> DataFrame:
-    """Per key the summed log-probability of its text in each language, and the best one.
+    """Per row its keys, its text's summed log-probability in each language, and the best one.
 
-    Trigrams that the training corpus never showed add nothing; a text without a known one
-    keeps a row of NULLs. The trigrams of one text sit in one task, so the partial
-    aggregation leaves one row per text for the shuffle. Equal sums go to the later
-    language name.
+    See :func:`scores`. Narrow: no row meets another one.
     """
-    columns = [score_column(lang) for lang in languages]
-    summed = (
-        df.select(*keys, F.explode_outer(trigrams(text)).alias("trigram"))
-        .join(F.broadcast(profile), "trigram", "left")
-        .groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
-    )
-    best = F.array_max(F.array(*[
-        F.struct(F.col(score_column(lang)).alias("score"), F.lit(lang).alias("lang"))
-        for lang in languages]))
-    return summed.withColumn("best_lang", F.when(best["score"].isNotNull(), best["lang"]))
+    scored = _with_profile(df.select(*keys, F.col(text).alias("_text")), profile, languages, F.array("_text"),
+                           lambda t, dense: scores(t, dense, languages))
+    return scored.select(*keys, F.col("_scored")[0].alias("_s")).select(*keys, "_s.*")
 
 
-def probability(language: str, languages: Sequence[str]) -> Column:
+def probability(sums: Column, language: str, languages: Sequence[str]) -> Column:
     """Softmax share of one language in the summed log-probabilities."""
-    own = F.col(score_column(language))
-    odds = [F.exp(F.least((F.col(score_column(lang)) - own) / SCALE, F.lit(700.0)))
+    own = sums[score_column(language)]
+    odds = [F.exp(F.least((sums[score_column(lang)] - own) / SCALE, F.lit(700.0)))
             for lang in languages]
     total = odds[0]
     for o in odds[1:]:
@@ -94,27 +156,18 @@ def probability(language: str, languages: Sequence[str]) -> Column:
     return F.lit(1.0) / total
 
 
-def readme_units(readmes: DataFrame, keys: Sequence[str] = ("full_name",),
-                 text: str = "content") -> DataFrame:
-    """One row per kept line of the cleaned README, with the number of them.
-
-    A README without such a line gives one row with its whole cleaned text and 0 lines.
-    """
-    lines = (
-        readmes.select(*keys, fx.clean_readme(text).alias("_cleaned"))
-        .withColumn("_lines", fx.text_lines("_cleaned"))
-        .withColumn("n_lines", F.size("_lines"))
-    )
-    units = F.when(F.col("n_lines") == 0, F.array("_cleaned")).otherwise(F.col("_lines"))
-    return lines.select(*keys, "n_lines", F.posexplode_outer(units).alias("line_no", "line"))
+def _lines(readmes: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """The kept lines of each cleaned README."""
+    cleaned = readmes.select(*keys, fx.clean_readme(text).alias("_cleaned"))
+    return cleaned.withColumn("_lines", fx.text_lines("_cleaned"))
 
 
 def line_language(readmes: DataFrame, profile: DataFrame, languages: Sequence[str],
                   keys: Sequence[str] = ("full_name",), text: str = "content") -> DataFrame:
     """Best language of each kept README line; NULL where none could be told."""
-    units = readme_units(readmes, keys, text).filter(F.col("n_lines") > 0)
-    scored = score_texts(units, profile, languages, [*keys, "line_no"], "line")
-    return scored.select(*keys, "line_no", F.col("best_lang").alias("line_lang"))
+    scored = _with_profile(_lines(readmes, keys, text), profile, languages, F.col("_lines"),
+                           lambda line, dense: scores(line, dense, languages)["best_lang"])
+    return scored.select(*keys, F.posexplode("_scored").alias("line_no", "line_lang"))
 
 
 def english_share(readmes: DataFrame, profile: DataFrame, languages: Sequence[str],
@@ -124,17 +177,21 @@ def english_share(readmes: DataFrame, profile: DataFrame, languages: Sequence[st
 
     Lines no language could be told for stay in the denominator. A README without a kept
     line gets the probability that its whole text is English, or NULL if that is below
-    0.1 or nothing in it is known. Lines and whole texts are scored in the same pass, and
-    a very long README is shuffled line by line, not as a whole.
+    0.1 or nothing in it is known. Everything is computed within the README's row.
     """
-    units = readme_units(readmes, keys, text)
-    scored = score_texts(units, profile, languages, [*keys, "n_lines", "line_no"], "line")
-    per_readme = scored.groupBy(*keys, "n_lines").agg(
-        F.count_if(F.col("best_lang") == english).alias("n_english"),
-        F.max(F.when(F.col("n_lines") == 0, probability(english, languages))).alias("p_whole"))
-    share = F.when(F.col("n_lines") > 0, F.col("n_english") / F.col("n_lines")).otherwise(
-        F.when(F.col("p_whole") > MIN_PROBABILITY, F.col("p_whole")))
-    return per_readme.select(*keys, share.alias("readme_lang_conf"))
+    lines = _lines(readmes, keys, text)
+    whole = F.coalesce(F.size("_lines"), F.lit(0)) == 0
+
+    def judged(unit: Column, dense: Column) -> Column:
+        return _bound(scores(unit, dense, languages), lambda s: F.struct(
+            (s["best_lang"] == english).alias("is_english"), probability(s, english, languages).alias("p")))
+
+    scored = _with_profile(lines.select(*keys, whole.alias("_whole"), F.when(whole, F.array("_cleaned")).otherwise(F.col("_lines")).alias("_units")),
+                           profile, languages, F.col("_units"), judged)
+    n_english = F.size(F.filter("_scored", lambda r: F.coalesce(r["is_english"], F.lit(False))))
+    share = F.when(~F.col("_whole"), n_english / F.size("_scored")).otherwise(
+        F.when(F.col("_scored")[0]["p"] > MIN_PROBABILITY, F.col("_scored")[0]["p"]))
+    return scored.select(*keys, share.alias("readme_lang_conf"))
 
 
 def readme_language(readmes: DataFrame, profile: DataFrame, languages: Sequence[str],
@@ -144,14 +201,19 @@ def readme_language(readmes: DataFrame, profile: DataFrame, languages: Sequence[
 
 
 def corpus_readme_language(files: DataFrame, profile: DataFrame, languages: Sequence[str],
-                           threshold: float = tx.ENGLISH_THRESHOLD) -> DataFrame:
+                           threshold: float = tx.ENGLISH_THRESHOLD, among: DataFrame | None = None) -> DataFrame:
     """:func:`readme_language` of the README that counts for each repository.
 
     Every README variant is scored where it is read, and the one that counts is picked among
-    the scores, on paths alone; so no README is shuffled.
+    the scores, on paths alone; so no README is shuffled. With ``among`` (``full_name``) only
+    READMEs of these repositories are scored. Of ``files`` stored in buckets of ``full_name``
+    (``session.bucketed``) that moves no README either, however many names there are.
     """
     keys = ("full_name", "readme_rank")
-    shares = english_share(readme_files(files), profile, languages, keys)
+    readmes = readme_files(files)
+    if among is not None:
+        readmes = readmes.join(among.select("full_name"), "full_name", "left_semi")
+    shares = english_share(readmes, profile, languages, keys)
     picked = shares.join(chosen_readme(files), list(keys), "left_semi")
     return _named(picked, threshold)
 
