@@ -12,27 +12,37 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import taxonomy as tx
 
 
-#: Neighbouring values that are counted as one row when the middle is looked for.
-MEDIAN_BUCKETS = 4096
+#: Shares of the values below which the ranges end that the middle is looked for in: ever
+#: narrower towards one half, so that the range around it holds about 1/500 of the values.
+MEDIAN_CUTS = tuple(sorted({0.5 + side / 2 ** k for k in range(2, 11) for side in (-1, 1)} | {0.5}))
 
 
-def median_of(df: DataFrame, column: str) -> Column:
-    """The exact median of a numeric column as a scalar subquery (NULL without values).
+def _ranges(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values ``v`` of a column with their count ``n``, the ``total`` and a range number ``b``.
 
-    Rows are counted by value first, combined map-side. Values are then summed into buckets
-    between the least and the greatest one; a running count over the few buckets finds those
-    that hold the two middle places, and only their distinct values are put in order.
+    Ranges end at approximate quantiles, so they are as deep as ``MEDIAN_CUTS`` say wherever the
+    values lie. The approximation decides about speed only.
     """
     value = F.col(column).cast("double")
     counted = df.select(value.alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("n"))
-    ends = counted.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    spot = F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * (MEDIAN_BUCKETS - 1))
-    placed = counted.withColumn("e", ends.select(F.struct("*")).scalar()).select("v", "n", "e.*").withColumn(
-        "b", F.coalesce(spot, F.lit(0)))
+    cuts = F.percentile_approx(value, F.array(*map(F.lit, MEDIAN_CUTS)), F.lit(20_000))
+    known = df.agg(F.struct(cuts.alias("cuts"), F.count(value).alias("total")))
+    told = counted.withColumn("k", known.scalar()).select("v", "n", "k.total", "k.cuts")
+    return told.withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+
+
+def median_of(df: DataFrame, column: str) -> Column:
+    """The exact median of a numeric column as a scalar subquery (NULL without values).
+
+    Rows are counted by value first, combined map-side. The counts are summed into a few ranges of
+    values; a running count over them finds those that hold the two middle places, and only
+    their distinct values are put in order.
+    """
+    placed = _ranges(df, column)
     low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
-    buckets = placed.groupBy("b", "total").agg(F.sum("n").alias("in_b"))
+    ranges = placed.groupBy("b", "total").agg(F.sum("n").alias("in_b"))
     along = W.partitionBy("total").orderBy("b").rowsBetween(W.unboundedPreceding, 0)
-    upto = buckets.withColumn("upto", F.sum("in_b").over(along))
+    upto = ranges.withColumn("upto", F.sum("in_b").over(along))
     middle = upto.filter((F.col("upto") >= low) & (F.col("upto") - F.col("in_b") < high)).select(
         "b", (F.col("upto") - F.col("in_b")).alias("before"))
     inside = W.partitionBy("b").orderBy("v").rowsBetween(W.unboundedPreceding, 0)

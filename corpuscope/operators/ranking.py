@@ -95,32 +95,37 @@ def moving_avg_eta(log: DataFrame, window: int = 10, block: int = 100_000) -> Da
 
     ``log`` holds ``run_id``, ``query_no`` (0-based; numbers may be missing), ``seconds`` and
     ``total``, the length of the run's plan. The mean of the last ``window`` durations is
-    multiplied by the queries still to run. A run is cut into blocks by the query's number, so
-    a long run spreads over many tasks. Rows are counted per block first; with the running
-    count a row knows its position in the run, and rows whose position is among the last
-    ``window - 1`` before a later block's first row are handed to that block as well, so the
-    result is that of one window over the whole run, whatever ``block`` is.
+    multiplied by the queries still to run. Rows with one number go by ``seconds``, then ``total``.
+
+    A run is cut into blocks by the query's number, so a long run spreads over many tasks and is
+    shuffled once. The last ``window - 1`` durations of each block form an array, cut to that size
+    before the shuffle; from the arrays before it a block knows what its first rows still need, so
+    the result is that of one window over the whole run, whatever ``block`` is.
     """
-    blocked = log.withColumn("_own", F.floor(F.col("query_no") / block))
-    of_run = W.partitionBy("run_id").orderBy("_own")
-    before = F.coalesce(F.sum("_n").over(of_run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = blocked.groupBy("run_id", "_own").agg(F.count("*").alias("_n")).withColumn("_first", before)
-    # the blocks that a block's last rows reach: those that begin within window - 1 rows after them
-    ahead = starts.withColumn("_later", F.collect_list(F.struct("_own", "_first")).over(
-        of_run.rowsBetween(1, max(window - 1, 1))))
-    inside = W.partitionBy("run_id", "_own").orderBy("query_no")
-    placed = (
+    halo = window - 1
+    order = ["query_no", "seconds", "total"]
+    blocked = log.withColumn("_block", F.coalesce(F.floor(F.col("query_no") / block), F.lit(-1)))
+    inside = W.partitionBy("run_id", "_block").orderBy(*order)
+    recent = inside.rowsBetween(-halo, 0)
+    rolled = (
         blocked.withColumn("_at", F.row_number().over(inside) - 1)
-        .join(ahead, ["run_id", "_own"]).withColumn("_at", F.col("_at") + F.col("_first"))
+        .withColumn("_sum", F.sum("seconds").over(recent)).withColumn("_n", F.count("seconds").over(recent))
     )
-    reached = F.filter("_later", lambda b: b["_first"] - F.col("_at") <= window - 1)
-    spread = placed.withColumn("_block", F.explode(F.concat(
-        F.array("_own"), F.transform(reached, lambda b: b["_own"]))))
-    recent = W.partitionBy("run_id", "_block").orderBy("query_no").rowsBetween(-(window - 1), 0)
+    ends = top_k_per_group(blocked.select("run_id", "_block", *order), ["run_id", "_block"], [F.col(c).desc() for c in order], halo)
+    latest = F.transform(F.array_sort(F.collect_list(F.struct("rank", "seconds"))), lambda r: F.struct(
+        r["seconds"].cast("double").alias("s")))
+    before = W.partitionBy("run_id").orderBy("_block").rowsBetween(-max(halo, 1), -1)
+    # the arrays of the blocks before, the nearest first, each from its last row backwards
+    edges = ends.groupBy("run_id", "_block").agg(latest.alias("_latest")).select(
+        F.col("run_id").alias("_run"), F.col("_block").alias("_of"),
+        F.slice(F.flatten(F.reverse(F.collect_list("_latest").over(before))), 1, max(halo, 1)).alias("_halo"))
+    joined = rolled.join(edges, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_block") == F.col("_of")), "left")
+    lacking = F.greatest(F.lit(halo) - F.col("_at"), F.lit(0))
+    more = F.filter(F.slice(F.coalesce("_halo", F.array().cast("array<struct<s:double>>")), 1, lacking), lambda r: r["s"].isNotNull())
+    total = F.aggregate(more, F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)), lambda t, r: t + r["s"])
     timed = (
-        spread.withColumn("avg_seconds", F.avg("seconds").over(recent))
-        .filter(F.col("_block") == F.col("_own"))
-        .drop("_block", "_own", "_at", "_n", "_first", "_later")
+        joined.withColumn("avg_seconds", total / F.nullif(F.col("_n") + F.size(more), F.lit(0)))
+        .drop("_block", "_at", "_sum", "_n", "_run", "_of", "_halo")
         .withColumn("remaining", F.col("total") - F.col("query_no") - 1)
         .withColumn("eta_seconds", F.col("avg_seconds") * F.col("remaining"))
     )

@@ -228,8 +228,7 @@ def first_seen(hits: DataFrame) -> DataFrame:
 SORT_COLUMNS = {"stars": "stars", "forks": "forks", "updated": "updated_at"}
 
 
-def search_topk(hits: DataFrame, sort: str = "stars", descending: bool = True,
-                max_results: int = tx.SEARCH_RESULT_CAP) -> DataFrame:
+def search_topk(hits: DataFrame, max_results: int, sort: str = "stars", descending: bool = True) -> DataFrame:
     """The first ``max_results`` hits of each query in the given order.
 
     Queries are ranked in salted parts first: one broad query may own most hits. Spark cuts
