@@ -11,10 +11,10 @@ from corpuscope.sources import readers, writers
 from corpuscope.streaming import incremental as st
 
 from .registry import register
-from . import phase2, phase3, search  # noqa: F401
+from . import phase1, phase2, search
 from .phase2 import _rated
 from .phase3 import COLUMNS, _repos
-from .views import TAX
+from .views import AS_OF, LANGS, TAX
 
 RESULT = T.StructType([
     T.StructField("full_name", T.StringType()), T.StructField("html_url", T.StringType()),
@@ -80,7 +80,7 @@ def _append_mentions(v):
     writers.append_mentions(mn.coauthor_trailers(v.commits), folder, "keywords")  # replaced below
     writers.append_mentions(mn.commit_mentions(v.commits, TAX), folder, "keywords")
     writers.append_mentions(mn.coauthor_trailers(v.commits), folder, "trailers")
-    return v.spark.read.schema(schemas.MENTIONS).parquet(folder).drop("run")
+    return readers.read_mentions(v.spark, folder)
 
 
 register("append_mentions", _append_mentions, f"""
@@ -95,7 +95,7 @@ def _resumed(v):
     for _ in range(2):
         plans.detect_run(repos, v.messages, v.files, out, "first", tax=TAX, select=some)
     plans.detect_run(repos, v.messages, v.files, out, "second", tax=TAX)
-    return v.spark.read.schema(schemas.MENTIONS).parquet(f"{out}/mentions").drop("run")
+    return readers.read_mentions(v.spark, f"{out}/mentions")
 
 
 register("detect_resumed", _resumed, f"select {COLUMNS} from {{all_mentions}}")
@@ -118,6 +118,47 @@ def _write_report(v):
 
 register("write_report", _write_report, phase2.REPORT_SQL)
 
+
+def _halves(key: str, half: int):
+    """One half of a table, by a hash of a column."""
+    return lambda t: t.filter(F.pmod(F.xxhash64(key), F.lit(2)) == half)
+
+
+def _validate_resumed(v):
+    """Two runs, the first over half of the repositories and repeated, against one over all."""
+    out, mined = shared_folder(v.spark, "verdicts"), _rated(v)
+    for _ in range(2):
+        plans.validate_run(_halves("full_name", 0)(mined), v.files, v.documents, LANGS, out, "first")
+    found = plans.validate_run(mined, v.files, v.documents, LANGS, out, "second")
+    return found.survivors.select("full_name", "stars", "readme_lang", "phase2_pass")
+
+
+register("validate_resumed", _validate_resumed, phase2.VALIDATE_SQL)
+
+
+def _verdicts(v):
+    out, mined = shared_folder(v.spark, "verdicts"), _rated(v)
+    for half in (0, 1):
+        plans.validate_run(_halves("full_name", half)(mined), v.files, v.documents, LANGS, out, f"run {half}")
+    return readers.read_verdicts(v.spark, out)
+
+
+register("append_verdicts", _verdicts, """
+select full_name, readme_lang, readme_lang_conf from {readme_languages} join (
+  select full_name from {staged} where exclusion_stage is null) using (full_name)""")
+
+
+def _mine_resumed(v):
+    """Two runs over halves of the plan, and one without work, against one over all."""
+    out = shared_folder(v.spark, "mined")
+    tables = [v.corpus, *[getattr(v, t) for t in phase1.SIX]]
+    plans.mine_run(*tables, AS_OF, out, TAX, select=_halves("query_id", 0))
+    plans.mine_run(*tables, AS_OF, out, TAX)
+    return plans.mine_run(*tables, AS_OF, out, TAX).select(*search.MINED)
+
+
+register("mine_resumed", _mine_resumed, search.MINED_SQL)
+
 # -- streams -----------------------------------------------------------------------
 
 
@@ -158,7 +199,7 @@ register("stream_dedup", _stream_dedup, "select distinct full_name from {commits
 def _stream_first_seen(v):
     out, state = shared_folder(v.spark, "out"), shared_folder(v.spark, "state")
     st.stream_first_seen(_landing(v, v.results, "seen"), out, state).awaitTermination()
-    return v.spark.read.parquet(out).select("full_name")
+    return st.read_first_seen(v.spark, out, v.results.schema).select("full_name")
 
 
 register("stream_first_seen", _stream_first_seen, "select distinct full_name from {results}")
@@ -166,9 +207,8 @@ register("stream_first_seen", _stream_first_seen, "select distinct full_name fro
 
 def _merge_best(v):
     out, state = shared_folder(v.spark, "out"), shared_folder(v.spark, "state")
-    query = st.stream_merge_best(_landing(v, v.results, "results"), out, state)
-    query.awaitTermination()
-    return st.latest_version(v.spark, query, out, v.results.schema)
+    st.stream_merge_best(_landing(v, v.results, "results"), out, state).awaitTermination()
+    return st.read_merged(v.spark, out, v.results.schema)
 
 
 register("merge_best", _merge_best, "select * from {best}")

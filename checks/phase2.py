@@ -220,9 +220,10 @@ def _validated(v):
     return plans.validate(_rated(v), v.files, v.documents, LANGS)
 
 
-register("validate", lambda v: _validated(v).survivors.select("full_name", "stars", "readme_lang", "phase2_pass"), f"""
+VALIDATE_SQL = f"""
 select full_name, stars, readme_lang, true as phase2_pass from {{staged}} left join {{readme_languages}} using (full_name)
-where exclusion_stage is null and {LANG_OK}""")
+where exclusion_stage is null and {LANG_OK}"""
+register("validate", lambda v: _validated(v).survivors.select("full_name", "stars", "readme_lang", "phase2_pass"), VALIDATE_SQL)
 register("validation_funnel", lambda v: _validated(v).funnel, _funnel_sql(True))
 
 # -- quality report ------------------------------------------------------------------

@@ -83,13 +83,14 @@ select ord1 as query_id, '"' || term || '" stars:>={TAX.min_stars}' as query, h.
 join {{searched}} h on contains(h.body, lower(term)) and h.stargazers_count >= {TAX.min_stars}""")
 register("simple_search", lambda v: shards.simple_search(v.corpus, shards.simple_plan(v.spark, TAX), TAX, ["full_name"]),
          "select query_id, query, full_name from {found_simple}")
-register("mine_from_search", lambda v: plans.mine_from_search(
-    v.corpus, *[getattr(v, t) for t in phase1.SIX], AS_OF, TAX).select(
-    "full_name", "first_query_id", "stars", "quality_score", "ai_keyword_count", "commit_count", "taxonomy_version"), f"""
+MINED = ("full_name", "first_query_id", "stars", "quality_score", "ai_keyword_count", "commit_count", "taxonomy_version")
+MINED_SQL = f"""
 select r.full_name, q as first_query_id, stars, quality_score::double as quality_score, ai_keyword_count, commit_count,
   {sq(TAX.version)} as taxonomy_version
 from {{rated}} r join (select full_name, min(query_id) as q from {{found}} group by 1) f on r.full_name = f.full_name
-where quality_score >= 10""")
+where quality_score >= 10"""
+register("mine_from_search", lambda v: plans.mine_from_search(
+    v.corpus, *[getattr(v, t) for t in phase1.SIX], AS_OF, TAX).select(*MINED), MINED_SQL)
 for _key, _simple, _hits in (("mine_basic", False, "found"), ("mine_basic_simple", True, "found_simple")):
     register(_key, lambda v, simple=_simple: plans.mine_basic(v.corpus, v.hits, TAX, simple), f"""
 select full_name, html_url, stargazers_count as stars, language, description, min(query_id) as first_query_id
@@ -117,7 +118,7 @@ select count(*) as n_queries, count(*) filter (where contains(query, 'language:'
 from {hits_of}""")
 register("first_seen", lambda v: shards.first_seen(_found(v)),
          "select full_name, min(query_id) as first_query_id from {found} group by 1")
-register("search_topk", lambda v: shards.search_topk(_found(v), "stars", True, 10).select(
+register("search_topk", lambda v: shards.search_topk(_found(v), 10, "stars", True).select(
     "query_id", "full_name", "stars", "rank"), """
 select query_id, full_name, stargazers_count as stars, rank from (select *, row_number() over (
   partition by query_id order by stargazers_count desc, full_name) as rank from {found}) where rank <= 10""")

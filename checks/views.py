@@ -14,8 +14,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscope import taxonomy as tx
-from corpuscope.session import written
-from corpuscope.sources.readers import spread
+from corpuscope.session import bucketed
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -23,6 +22,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 # Views that join or group whole tables and feed many queries; stored once per session, as the
 # tables they stand for would be.
 STORED_VIEWS = ("files",)
+#: Buckets of a stored view, by the name of the repository.
+BUCKETS = 16
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 AS_OF = "2026-08-02 00:00:00"
@@ -38,6 +39,15 @@ TAX = replace(
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer input splits than cores, redistributed for CPU-heavy text work.
+
+    The given tables are single small files; a table of many files comes back as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def name(key: str) -> str:
     return (
         f"concat('org', cast({key} % 97 as string), "
@@ -165,7 +175,7 @@ class Views:
             return spread(table) if key in TEXT_TABLES else table
         sql = VIEWS[key]
         view = self.spark.sql(sql, **{p: self.table(p) for p in parts_of(sql)})
-        return written(view, key) if key in STORED_VIEWS else view
+        return bucketed(view, "full_name", BUCKETS, key) if key in STORED_VIEWS else view
 
     def __getattr__(self, key: str) -> DataFrame:
         if key in TABLES or key in VIEWS:

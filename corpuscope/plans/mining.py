@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import taxonomy as tx
 from ..operators.enrich import enrich
 from ..operators.gates import high_precision_filter, hit_condition, simple_filter
-from ..operators.ranking import dedup_best, sort_output
+from ..operators.incremental import resume_anti_join
+from ..operators.ranking import dedup_best, select_all, sort_output
 from ..operators.repos import basic_projection, taxonomy_stamp
 from ..operators.shards import first_seen, shard_plan, shard_search, simple_plan, simple_search
+from ..session import written
+from ..sources.manifest import Manifest
 
 
 def mine(hits: DataFrame, details: DataFrame, commits: DataFrame, releases: DataFrame,
@@ -29,11 +34,20 @@ def mine(hits: DataFrame, details: DataFrame, commits: DataFrame, releases: Data
     return sort_output(taxonomy_stamp(best, tax))
 
 
-def found_by_search(repos: DataFrame, tax: tx.Taxonomy = tx.DEFAULT, simple: bool = False) -> DataFrame:
-    """``full_name, first_query_id`` of the repositories that a query of the plan finds."""
+def found_by_search(repos: DataFrame, tax: tx.Taxonomy = tx.DEFAULT, simple: bool = False,
+                    done: DataFrame | None = None,
+                    select: Callable[[DataFrame], DataFrame] = select_all) -> DataFrame:
+    """``full_name, first_query_id`` of the repositories that a query of the plan finds.
+
+    Queries in ``done`` (``query_id``) are left out; ``select`` chooses among the others.
+    """
     spark = repos.sparkSession
     search, plan = (simple_search, simple_plan) if simple else (shard_search, shard_plan)
-    return first_seen(search(repos, plan(spark, tax), tax, ["full_name"]))
+    return first_seen(search(repos, _still_to_do(plan(spark, tax), done, select), tax, ["full_name"]))
+
+
+def _still_to_do(plan: DataFrame, done: DataFrame | None, select: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return select(plan if done is None else resume_anti_join(plan, done, ["query_id"]))
 
 
 def mine_from_search(repos: DataFrame, hits: DataFrame, details: DataFrame, commits: DataFrame,
@@ -50,6 +64,42 @@ def mine_from_search(repos: DataFrame, hits: DataFrame, details: DataFrame, comm
     return sort_output(mined.join(found, "full_name"))
 
 
+FOUND = T.StructType([T.StructField("full_name", T.StringType()), T.StructField("first_query_id", T.LongType())])
+QUERIES = T.StructType([T.StructField("query_id", T.LongType())])
+
+
+def mine_run(repos: DataFrame, hits: DataFrame, details: DataFrame, commits: DataFrame,
+             releases: DataFrame, languages: DataFrame, files: DataFrame, as_of, out: str,
+             tax: tx.Taxonomy = tx.DEFAULT, simple: bool = False,
+             select: Callable[[DataFrame], DataFrame] = select_all) -> DataFrame:
+    """One resumable run of :func:`mine_from_search` below the folder ``out``; returns all results so far.
+
+    Queries that earlier runs have finished are left out, ``select`` chooses among the others, and
+    repositories that were found before are not mined again. Results, found names and finished
+    queries become visible in one commit, so a run that died is simply repeated. Runs over all
+    queries of a plan give what one run gives.
+    """
+    spark, manifest = repos.sparkSession, Manifest(repos.sparkSession, out)
+    plan = (simple_plan if simple else shard_plan)(spark, tax)
+    done = manifest.read(QUERIES, ["queries"])
+    todo = written(_still_to_do(plan, done, select).select(F.col("query_id").cast("long")), "queries")
+    chosen = lambda p: p.join(todo, "query_id", "left_semi")
+    now = written(found_by_search(repos, tax, simple, select=chosen), "found")
+    before = manifest.read(FOUND, ["found"])
+    new = resume_anti_join(now, before).select("full_name")
+    mined = mine(hits.join(new, "full_name", "left_semi"), details, commits, releases, languages, files, as_of, tax)
+    old = manifest.read(mined.schema, ["results"])
+    found = before.unionByName(now.select("full_name", F.col("first_query_id").cast("long").alias("first_query_id")))
+    parts = {"results": old.unionByName(mined), "queries": done.unionByName(todo),
+             "found": found.groupBy("full_name").agg(F.min("first_query_id").alias("first_query_id"))}
+    entries = manifest.entries()
+    for name, rows in parts.items():
+        entries[name] = manifest.fresh(name)
+        rows.write.parquet(f"{manifest.root}/{entries[name]}")
+    manifest.commit(entries)
+    return sort_output(manifest.read(mined.schema, ["results"]).join(manifest.read(FOUND, ["found"]), "full_name"))
+
+
 def mine_basic(repos: DataFrame, hits: DataFrame, tax: tx.Taxonomy = tx.DEFAULT,
                simple: bool = False) -> DataFrame:
     """The run without enrichment: search, first hit, basic filter, five columns, best rows."""

@@ -44,6 +44,7 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 _WRITTEN: list[str] = []
+_TABLES: list[str] = []
 
 
 def release(spark: SparkSession) -> None:
@@ -51,6 +52,8 @@ def release(spark: SparkSession) -> None:
 
     Results that still read one have to be stored before.
     """
+    while _TABLES:
+        spark.sql(f"drop table if exists {_TABLES.pop()}")
     while _WRITTEN:
         remove(spark, _WRITTEN.pop())
 
@@ -65,3 +68,16 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     _WRITTEN.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, purpose: str) -> DataFrame:
+    """The table stored in sorted buckets of ``key``, below the shared folder.
+
+    Joins and groups by the key read it without a shuffle; only the other side moves.
+    """
+    folder, name = shared_folder(df.sparkSession, purpose), f"corpuscope_{purpose}_{uuid.uuid4().hex}"
+    _WRITTEN.append(folder)
+    _TABLES.append(name)
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
+     .option("path", folder).saveAsTable(name))
+    return df.sparkSession.table(name)

@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 
 from .. import schemas
 from ..functions.text import decode_content, parse_topics, valid_text
+from .manifest import Manifest
 
 
 def _missing(error: AnalysisException) -> bool:
@@ -116,31 +117,34 @@ def read_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
         F.lit(False).alias("is_dir"), text.alias("content"))
 
 
+VERDICTS = T.StructType([
+    T.StructField("full_name", T.StringType()), T.StructField("readme_lang", T.StringType()),
+    T.StructField("readme_lang_conf", T.DoubleType())])
 FINISHED = T.StructType([T.StructField("full_name", T.StringType()), T.StructField("outcome", T.StringType())])
 
 
+def _read_runs(spark: SparkSession, path: str, schema: T.StructType, before: str | None) -> DataFrame:
+    """What runs have added to a table; ``before`` leaves out the run of that name."""
+    manifest = Manifest(spark, path)
+    return manifest.read(schema, [run for run in manifest.entries() if run != before])
+
+
 def read_finished(spark: SparkSession, path: str, before: str | None = None) -> DataFrame:
     """Repositories that earlier runs have finished; none if there was no run yet.
 
     ``before`` leaves out the run of that name, so that a repeated run does its work again.
     """
-    with_run = T.StructType([*FINISHED.fields, T.StructField("run", T.StringType())])
-    try:
-        rows = spark.read.schema(with_run).parquet(path)
-    except AnalysisException as error:
-        if not _missing(error):
-            raise
-        return spark.createDataFrame([], FINISHED)
-    return rows.filter(F.col("run") != before).drop("run") if before is not None else rows.drop("run")
+    return _read_runs(spark, path, FINISHED, before)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer input splits than cores, redistributed for CPU-heavy text work.
+def read_mentions(spark: SparkSession, path: str) -> DataFrame:
+    """The mentions of all runs; none if there was no run yet."""
+    return _read_runs(spark, path, schemas.MENTIONS, None)
 
-    A table of many files comes back as it is; only the plan is looked at, no data is read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def read_verdicts(spark: SparkSession, path: str, before: str | None = None) -> DataFrame:
+    """README verdicts of earlier runs: ``full_name, readme_lang, readme_lang_conf``."""
+    return _read_runs(spark, path, VERDICTS, before)
 
 
 def _quoted(literal: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.ranking import dedup_best, sort_output
 from ..session import written
+from .manifest import Manifest
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -34,15 +35,21 @@ def write_repos(df: DataFrame, path: str, formats: tuple[str, ...] = ("csv", "js
     return folders
 
 
-def append_mentions(df: DataFrame, path: str, run: str) -> str:
-    """Adds the mention rows of one run to the table at ``path``, in the partition ``run``.
+def _append(df: DataFrame, path: str, run: str) -> str:
+    """Adds the rows of one run to the table at ``path``.
 
-    A repeated run replaces its own partition, so nothing stands there twice.
+    They are written first and committed by a manifest, so a run that dies adds nothing and one
+    that is repeated replaces its own rows in one step. Read it with ``sources.readers``.
     """
-    df.write.mode("overwrite").parquet(f"{path}/run={run}")
+    Manifest(df.sparkSession, path).replace(run, df)
     return path
 
 
+def append_mentions(df: DataFrame, path: str, run: str) -> str:
+    """Adds the mention rows of one run; a repeated run replaces its own."""
+    return _append(df, path, run)
+
+
 def append_finished(summary: DataFrame, skipped: DataFrame, path: str, run: str) -> str:
     """Adds the repositories that a run has searched or skipped: ``full_name, outcome``.
 
@@ -50,8 +57,12 @@ def append_finished(summary: DataFrame, skipped: DataFrame, path: str, run: str)
     """
     rows = summary.select(F.col("repo_id").alias("full_name"), F.lit("searched").alias("outcome"))
     rows = rows.unionByName(skipped.select(F.col("repo_id").alias("full_name"), F.lit("skipped").alias("outcome")))
-    rows.write.mode("overwrite").parquet(f"{path}/run={run}")
-    return path
+    return _append(rows, path, run)
+
+
+def append_verdicts(verdicts: DataFrame, path: str, run: str) -> str:
+    """Adds the README verdicts of one run: ``full_name, readme_lang, readme_lang_conf``."""
+    return _append(verdicts.select("full_name", "readme_lang", "readme_lang_conf"), path, run)
 
 
 def write_split(staged: DataFrame, path: str) -> str:

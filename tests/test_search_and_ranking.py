@@ -121,7 +121,7 @@ def test_search_topk_takes_as_many_as_asked(spark):
     assert shards.search_topk(hits, max_results=5000).count() == 2500
     top = shards.search_topk(hits, max_results=1500)
     assert top.count() == 1500 and top.agg(F.min("stars")).first()[0] == 1000
-    assert [r.forks for r in shards.search_topk(hits, "forks", False, 2).orderBy("rank").collect()] == [0, 1]
+    assert [r.forks for r in shards.search_topk(hits, 2, "forks", False).orderBy("rank").collect()] == [0, 1]
 
 
 def test_dedup_best(spark):
@@ -183,6 +183,29 @@ def test_moving_average_equals_one_window(spark, block):
         assert r.eta_seconds == pytest.approx(r.avg_seconds * (49 - r.query_no))
 
 
+@pytest.mark.parametrize("block, window", [(3, 10), (4, 2), (1, 4), (7, 1), (100, 10)])
+def test_moving_average_of_ties_gaps_and_nulls(spark, block, window):
+    """Repeated numbers go by their seconds; missing seconds take a place but do not count."""
+    rows = [(r, q, s, 60) for r in (1, None) for q, s in (
+        [(i, float(i * 7 % 5)) for i in range(0, 40, 3)] + [(9, 100.0), (9, 50.0), (9, 50.0), (10, None), (20, None), (None, 3.0)])]
+    log = spark.createDataFrame(rows, "run_id int, query_no long, seconds double, total int")
+    got = sorted(((r.run_id is None, r.query_no is not None, r.query_no or 0, r.seconds is not None, r.seconds or 0), r.avg_seconds)
+                 for r in ranking.moving_avg_eta(log, window, block).collect())
+    assert len(got) == len(rows)
+    for one in (False, True):
+        own = [g for g in got if g[0][0] is one]
+        for i, (key, avg) in enumerate(own):
+            recent = [k[4] for k, _ in own[max(0, i - window + 1):i + 1] if k[3]]
+            assert avg == (pytest.approx(sum(recent) / len(recent)) if recent else None), key
+
+
+def test_moving_average_shuffles_the_log_once(spark):
+    log = spark.range(1000).selectExpr("0 as run_id", "id as query_no", "1.0D as seconds", "1000 as total")
+    plan = ranking.moving_avg_eta(log, block=100)._jdf.queryExecution().executedPlan().toString()
+    # the others carry the last rows of each block, cut before they are shuffled
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange hashpartitioning(run_id") <= 3
+
+
 @pytest.mark.parametrize("seconds, no, text", [
     (59.9, 1, "59s"), (61.0, 1, "1m 1s"), (3600.0, 1, "1h 0m"), (7325.0, 1, "2h 2m"), (5.0, 0, "calculating...")])
 def test_eta_text(spark, seconds, no, text):

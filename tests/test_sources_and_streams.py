@@ -4,12 +4,14 @@ import base64
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from checks.views import spread
 from corpuscope import plans, schemas
 from corpuscope.operators import incremental, mentions as mn, quality, validation as va
 from corpuscope.session import shared_folder, written
 from corpuscope.sources import readers, writers
+from corpuscope.sources.manifest import Manifest
 from corpuscope.streaming import incremental as st
 
 RESULT = "full_name string, html_url string, stars bigint, quality_score double"
@@ -91,9 +93,9 @@ def test_spread_only_touches_few_splits(spark, tmp_path):
     folder = str(tmp_path / "t")
     spark.range(100).coalesce(1).write.parquet(folder)
     few = spark.read.parquet(folder)
-    assert readers.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(0, 100, 1, 64)
-    assert readers.spread(many) is many
+    assert spread(many) is many
 
 
 def test_written_files_are_in_rank_order(spark, tmp_path):
@@ -112,7 +114,7 @@ def test_split_and_append(spark, tmp_path):
     empty = spark.createDataFrame([], schemas.MENTIONS)
     for _ in range(2):
         writers.append_mentions(empty, str(tmp_path / "m"), "one")
-    assert spark.read.schema(schemas.MENTIONS).parquet(str(tmp_path / "m")).count() == 0
+    assert readers.read_mentions(spark, str(tmp_path / "m")).count() == 0
     report = writers.write_report(quality.report(spark.createDataFrame([("a", "u", 1, 2.0)], RESULT)), str(tmp_path / "r"))
     assert '"total_repos":1' in spark.read.text(report).first().value
 
@@ -198,27 +200,159 @@ def test_stream_dedup_within_the_watermark(spark, tmp_path):
     assert sorted(r.full_name for r in spark.read.parquet(out).collect()) == ["r0", "r1", "r2", "r3", "r4"]
 
 
+def test_a_name_with_many_arrivals_reaches_its_state_once_a_task(spark, tmp_path):
+    """A third and more of the rows have one name; repeats are dropped where they are read."""
+    land, out, state = (str(tmp_path / d) for d in ("land", "out", "state"))
+    rows = spark.range(6000).selectExpr(
+        "if(id % 3 < 2, 'hot', concat('r', id % 500)) as full_name", "cast(id as string) as commit_id",
+        "timestampadd(SECOND, cast(id as int), timestamp'2024-01-01 00:00:00') as committed_at", "'d' as author_id", "'x' as message")
+    rows.repartition(3).write.parquet(land)
+    stream = st.read_landing(spark, land, schemas.COMMITS, max_files=1)
+    query = st.stream_dedup(stream, out, state, "committed_at", "365 days")
+    query.awaitTermination()
+    got = [r.full_name for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(set(got)) == rows.select("full_name").distinct().count()
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    assert sum(p["numInputRows"] for p in progress) == 6000
+    # what the stateful task of the hot name still had to drop: one a task and batch, and the latest rows
+    for p in progress:
+        dropped = p["stateOperators"][0]["customMetrics"]["numDroppedDuplicateRows"]
+        assert dropped <= rows.select("full_name").distinct().count() + 8
+
+
+def test_the_latest_row_of_a_batch_carries_the_watermark(spark):
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"full_name": ["a", "a", None, "b", None, "a"], "t": pa.array([1, 9, 3, None, 4, 2], pa.timestamp("us"))})
+    once = st._once_a_task("t")
+    assert [b.to_pydict()["full_name"] for b in once(iter([batch, batch]))] == [["a", "a", None, "b"], ["a"]]
+    empty = batch.slice(0, 0)
+    assert [b.num_rows for b in once(iter([empty]))] == [0]
+
+
+def test_manifest_keeps_the_last_two_commits(spark, tmp_path):
+    m = Manifest(spark, str(tmp_path / "t"))
+    schema = spark.range(1).schema
+    assert m.last() == -1 and m.entries() == {} and m.read(schema).count() == 0
+    for i in range(4):
+        m.replace("x" if i < 3 else "y", spark.range(i + 1))
+    assert m.numbers() == [2, 3]
+    assert m.read(schema, ["x"]).count() == 3 and m.read(schema, ["y"]).count() == 4 and m.read(schema).count() == 7
+    # the first table is named by no commit that is left
+    assert len(list((tmp_path / "t" / "data").iterdir())) == 2
+    with pytest.raises(FileExistsError):
+        m.commit({}, 3)
+
+
+def test_a_run_that_dies_between_writing_and_commit_loses_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "finished")
+    one = lambda n: spark.createDataFrame([(n,)], "repo_id string")
+    none = spark.createDataFrame([], "repo_id string")
+    writers.append_finished(one("a"), none, path, "first")
+    with monkeypatch.context() as m:
+        m.setattr(Manifest, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("died")))
+        with pytest.raises(RuntimeError):
+            writers.append_finished(one("b"), none, path, "first")
+        with pytest.raises(RuntimeError):
+            writers.append_finished(one("c"), none, path, "second")
+    assert [r.full_name for r in readers.read_finished(spark, path).collect()] == ["a"]
+    writers.append_finished(one("b"), none, path, "first")
+    writers.append_finished(none, one("c"), path, "second")
+    assert {tuple(r) for r in readers.read_finished(spark, path).collect()} == {("b", "searched"), ("c", "skipped")}
+    assert [r.full_name for r in readers.read_finished(spark, path, before="first").collect()] == ["c"]
+
+
+def test_verdicts_of_a_run_are_replaced_by_its_repetition(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = lambda *r: spark.createDataFrame(r, readers.VERDICTS)
+    assert readers.read_verdicts(spark, path).count() == 0
+    writers.append_verdicts(rows(("a", "en", 1.0), ("b", None, None)), path, "one")
+    writers.append_verdicts(rows(("a", "en", 0.9)), path, "one")
+    writers.append_verdicts(rows(("c", "non-en", 0.1)), path, "two")
+    assert {tuple(r) for r in readers.read_verdicts(spark, path).collect()} == {("a", "en", 0.9), ("c", "non-en", 0.1)}
+    assert [r.full_name for r in readers.read_verdicts(spark, path, before="two").collect()] == ["a"]
+
+
+def changed(manifest, before, after):
+    old, new = manifest.entries(before), manifest.entries(after)
+    return {k for k in new if old.get(k) != new[k]}
+
+
+def land_rows(spark, folder, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
 def test_first_seen_is_exact_over_restarts(spark, tmp_path):
     land, out, state = (str(tmp_path / d) for d in ("land", "out", "state"))
-    seen = []
+    seen, schema = [], T.StructType([T.StructField("full_name", T.StringType())])
     for names in (["a", "b", "a"], ["b", "c"], ["a", "c", "d"]):
-        spark.createDataFrame([(n,) for n in names], "full_name string").coalesce(1).write.mode("append").parquet(land)
-        schema = spark.createDataFrame([], "full_name string").schema
-        st.stream_first_seen(st.read_landing(spark, land, schema), out, state).awaitTermination()
-        seen.append(sorted(r.full_name for r in spark.read.parquet(out).collect()))
+        land_rows(spark, land, [(n,) for n in names], schema)
+        st.stream_first_seen(st.read_landing(spark, land, schema), out, state, buckets=8).awaitTermination()
+        seen.append(sorted(r.full_name for r in st.read_first_seen(spark, out, schema).collect()))
     assert seen == [["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d"]]
 
 
+def test_first_seen_reads_and_rewrites_only_the_buckets_of_a_batch(spark, tmp_path, monkeypatch):
+    land, out, state = (str(tmp_path / d) for d in ("land", "out", "state"))
+    schema = T.StructType([T.StructField("full_name", T.StringType())])
+    read = []
+    monkeypatch.setattr(Manifest, "read", lambda self, schema, names=None, f=Manifest.read: (read.append(names), f(self, schema, names))[1])
+    for names in ([f"r{i}" for i in range(200)], ["r5"], ["new", "r7"]):
+        land_rows(spark, land, [(n,) for n in names], schema)
+        st.stream_first_seen(st.read_landing(spark, land, schema), out, state, buckets=32).awaitTermination()
+    m = Manifest(spark, f"{out}/seen")
+    assert [len(n) for n in read] == [32, 1, 2] and m.numbers() == [1, 2] and len(changed(m, 1, 2)) == 2
+    assert st.read_first_seen(spark, out, schema).count() == 201
+    with pytest.raises(Exception, match="buckets"):
+        land_rows(spark, land, [("x",)], schema)
+        st.stream_first_seen(st.read_landing(spark, land, schema), out, state, buckets=8).awaitTermination()
+
+
 def test_merge_best_over_restarts(spark, tmp_path):
     land, out, state = (str(tmp_path / d) for d in ("land", "out", "state"))
-    schema = spark.createDataFrame([], RESULT).schema
     for rows in ([("a", "u1", 1, 5.0), ("b", "u2", 1, 5.0)], [("a", "u3", 9, 5.0), ("b", "u4", 9, 4.0), ("c", "u5", 1, None)]):
-        spark.createDataFrame(rows, RESULT).coalesce(1).write.mode("append").parquet(land)
-        query = st.stream_merge_best(st.read_landing(spark, land, schema), out, state)
-        query.awaitTermination()
-        table = st.latest_version(spark, query, out, schema)
+        land_rows(spark, land, rows, RESULT)
+        st.stream_merge_best(st.read_landing(spark, land, RESULT), out, state).awaitTermination()
+    table = st.read_merged(spark, out, RESULT)
     assert {r.full_name: r.html_url for r in table.collect()} == {"a": "u3", "b": "u2", "c": "u5"}
-    # nothing new: the last version stays the latest
-    query = st.stream_merge_best(st.read_landing(spark, land, schema), out, state)
-    query.awaitTermination()
-    assert st.latest_version(spark, query, out, schema).count() == 3
+    # nothing new: the table stays
+    st.stream_merge_best(st.read_landing(spark, land, RESULT), out, state).awaitTermination()
+    assert st.read_merged(spark, out, RESULT).count() == 3
+
+
+def test_merge_best_rewrites_only_the_buckets_of_a_batch(spark, tmp_path):
+    land, out, state = (str(tmp_path / d) for d in ("land", "out", "state"))
+    sizes = []
+    for rows in ([(f"r{i}", "u", 1, 5.0) for i in range(300)], [("r3", "better", 2, 6.0)], [("r4", "worse", 0, 1.0), ("r3", "v", 3, 6.0)]):
+        land_rows(spark, land, rows, RESULT)
+        st.stream_merge_best(st.read_landing(spark, land, RESULT), out, state, buckets=32).awaitTermination()
+        m = Manifest(spark, out)
+        newest = {f.split("/_bucket")[0] for f in m.entries().values()} if m.last() == 0 else {
+            m.entries()[k].split("/_bucket")[0] for k in changed(m, m.last() - 1, m.last())}
+        sizes.append(sum(len(list((tmp_path / "out" / f).glob("_bucket=*"))) for f in newest))
+    assert sizes == [32, 1, 2]
+    got = {r.full_name: r.html_url for r in st.read_merged(spark, out, RESULT).collect()}
+    assert len(got) == 300 and (got["r3"], got["r4"]) == ("v", "u")
+
+
+@pytest.mark.parametrize("committed", [False, True])
+def test_a_batch_that_dies_around_its_commit_is_done_once(spark, tmp_path, monkeypatch, committed):
+    """Death before the commit repeats the batch; death after it, before the stream noted it, does not."""
+    land, out, state = (str(tmp_path / d) for d in ("land", "out", "state"))
+    land_rows(spark, land, [("a", "u1", 1, 5.0), ("b", "u2", 1, 5.0)], RESULT)
+    st.stream_merge_best(st.read_landing(spark, land, RESULT), out, state).awaitTermination()
+    land_rows(spark, land, [("a", "u3", 9, 5.0), ("c", "u4", 1, 1.0)], RESULT)
+    real = Manifest.commit
+
+    def dies(self, entries, number=None):
+        if committed:
+            real(self, entries, number)
+        raise RuntimeError("died")
+
+    with monkeypatch.context() as m:
+        m.setattr(Manifest, "commit", dies)
+        with pytest.raises(Exception, match="died"):
+            st.stream_merge_best(st.read_landing(spark, land, RESULT), out, state).awaitTermination()
+    assert st.read_merged(spark, out, RESULT).count() == (3 if committed else 2)
+    st.stream_merge_best(st.read_landing(spark, land, RESULT), out, state).awaitTermination()
+    assert {r.full_name: r.html_url for r in st.read_merged(spark, out, RESULT).collect()} == {"a": "u3", "b": "u2", "c": "u4"}
+    assert Manifest(spark, out).numbers() == [0, 1]
