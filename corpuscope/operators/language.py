@@ -4,8 +4,8 @@ The detector is trained here on a labelled corpus by counting, so its verdicts a
 by accuracy on labelled text and are not meant to equal those of any other detector.
 
 Text is folded to 28 symbols (a-z, ``~`` for any other letter, space), so a profile has at
-most 28**3 = 21,952 rows however large the corpus is. For scoring it becomes one dense array
-per language with a cell for every trigram number, and a text is scored within its row: its
+most 28**3 = 21,952 rows however large the corpus is. For scoring it becomes one dense table
+with a cell for every trigram number and language, and a text is scored within its row: its
 trigrams are numbered and the cells summed, without a join or a row per trigram.
 Log-probabilities are whole numbers (millionths), which makes sums exact and independent
 of the order in which partitions arrive.
@@ -13,8 +13,11 @@ of the order in which partitions arrive.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import taxonomy as tx
@@ -66,83 +69,77 @@ def train_profile(documents: DataFrame, languages: Sequence[str], text: str = "t
     return counts.select("trigram", *[log_probability(lang) for lang in languages])
 
 
-def symbol(character: Column) -> Column:
-    """Five bits of a folded character: space 0, a-z 1 to 26, ``~`` 30."""
-    return F.ascii(character).bitwiseAND(F.lit(31))
+def dense_profile(profile: DataFrame, languages: Sequence[str]) -> np.ndarray:
+    """The profile as a table with a row per trigram number and a column per language.
 
-
-def dense_profile(profile: DataFrame, languages: Sequence[str]) -> DataFrame:
-    """The profile as one row with an array per language, addressed by trigram number.
-
-    Cells without a trigram hold 0, which no logarithm of a probability is.
+    At most ``ALPHABET_CUBED`` rows are collected. Rows without a trigram hold 0, which no logarithm
+    of a probability is.
     """
     columns = [score_column(lang) for lang in languages]
-    at = [symbol(F.substring("trigram", i, 1)) for i in (1, 2, 3)]
-    number = F.shiftleft(at[0], 10) + F.shiftleft(at[1], 5) + at[2]
-    cells = profile.select(number.cast("long").alias("cell"), *columns).unionByName(
-        profile.sparkSession.range(CELLS).select(F.col("id").alias("cell"), *[F.lit(0).cast("long").alias(c) for c in columns]))
-    summed = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in columns])
-    rows = summed.agg(F.array_sort(F.collect_list(F.struct("cell", *columns))).alias("rows"))
-    return rows.select(*[F.col("rows")[c].alias(c) for c in columns])
-
-
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+    dense = np.zeros((CELLS, len(columns)), np.int64)
+    for r in profile.select("trigram", *columns).collect():
+        one, two, three = r["trigram"].encode()
+        dense[(one & 31) << 10 | (two & 31) << 5 | three & 31] = [r[c] for c in columns]
+    return dense
 
 
-def trigram_numbers(text) -> Column:
-    """The numbers of all overlapping trigrams of a text."""
-    symbols = F.transform(F.split(fold_letters(text), ""), symbol)
-    return _bound(symbols, lambda a: F.transform(
-        F.slice(a, 3, F.size(a)),
-        lambda s, i: F.shiftleft(F.get(a, i), 10) + F.shiftleft(F.get(a, i + 1), 5) + s))
+def sums(folded: pa.Array, dense: np.ndarray) -> np.ndarray:
+    """The summed log-probabilities of folded texts, a row a text.
 
-
-def scores(text: Column, dense: Column, languages: Sequence[str]) -> Column:
-    """A text's summed log-probability in each language and the best one, as a struct.
+    A folded text has one byte a symbol, and five bits of it tell the symbols apart. Three of them are a
+    trigram's number. Running sums over all texts of a batch give each text's sum as a difference.
+    """
+    folded = pc.fill_null(folded, "").cast(pa.large_string())
+    _, places, letters = folded.buffers()
+    bounds = np.frombuffer(places, np.int64)[folded.offset:folded.offset + len(folded) + 1] if len(folded) else np.zeros(1, np.int64)
+    data = np.frombuffer(letters or b"", np.uint8)[bounds[0]:bounds[-1]]
+    begins, ends = bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
+    code = data.astype(np.int32) & 31
+    number = code[:-2] << 10 | code[1:-1] << 5 | code[2:]
+    last = np.maximum(ends - 2, begins)  # a text's trigrams begin before this place
+    out = np.zeros((len(folded), dense.shape[1]), np.int64)
+    for j in range(dense.shape[1]):
+        total = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(dense[:, j][number], out=total[1:len(number) + 1])
+        out[:, j] = total[last] - total[begins]
+    return out
+
+
+def scores(texts: Column, profile: DataFrame, languages: Sequence[str]) -> Column:
+    """Each text's summed log-probability in each language, for an array of texts: an array of structs.
 
     Trigrams that the training corpus never showed add nothing; a text without a known one
-    gets NULLs. Equal sums go to the later language name.
+    gets NULLs. Texts are folded by Spark and summed in Arrow batches.
     """
-    def summed(numbers: Column, lang: str) -> Column:
-        cells = dense[score_column(lang)]
-        total = F.aggregate(numbers, F.lit(0).cast("long"), lambda s, n: s + F.get(cells, n))
-        return F.nullif(total, F.lit(0).cast("long"))
+    dense = dense_profile(profile, languages)
+    columns = [score_column(lang) for lang in languages]
 
-    sums = _bound(trigram_numbers(text), lambda numbers: F.struct(
-        *[summed(numbers, lang).alias(score_column(lang)) for lang in languages]))
-    return _bound(sums, lambda s: F.struct(
-        *[s[score_column(lang)].alias(score_column(lang)) for lang in languages], best(s, languages).alias("best_lang")))
+    @F.arrow_udf("array<struct<" + ",".join(f"{c}:bigint" for c in columns) + ">>")
+    def summed(lists: pa.Array) -> pa.Array:
+        found = sums(lists.flatten(), dense)
+        known = found[:, 0] != 0
+        fields = [pa.array(found[:, j], pa.int64(), mask=~known) for j in range(len(columns))]
+        offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays(fields, names=columns))
+
+    return summed(F.transform(texts, fold_letters))
 
 
 def best(sums: Column, languages: Sequence[str]) -> Column:
+    """The language with the highest sum; equal sums go to the later name."""
     top = F.array_max(F.array(*[
         F.struct(sums[score_column(lang)].alias("score"), F.lit(lang).alias("lang")) for lang in languages]))
     return F.when(sums[score_column(languages[0])].isNotNull(), top["lang"])
 
 
-def _with_profile(df: DataFrame, profile: DataFrame, languages: Sequence[str], values: Column,
-                  score: Callable[[Column, Column], Column]) -> DataFrame:
-    """Adds ``_scored``: ``score(value, profile)`` of each of the row's ``values``.
-
-    The profile is a scalar subquery that is met once per row; it is bound outside the loop.
-    """
-    dense = dense_profile(profile, languages).select(F.struct("*")).scalar()
-    both = df.withColumn("_dense", dense).withColumn("_values", values)
-    return both.withColumn("_scored", _bound(
-        F.struct("_dense", "_values"), lambda b: F.transform(b["_values"], lambda v: score(v, b["_dense"])))).drop("_dense", "_values")
-
-
 def score_texts(df: DataFrame, profile: DataFrame, languages: Sequence[str],
                 keys: Sequence[str], text: str) -> DataFrame:
     """Per row its keys, its text's summed log-probability in each language, and the best one.
 
     See :func:`scores`. Narrow: no row meets another one.
     """
-    scored = _with_profile(df.select(*keys, F.col(text).alias("_text")), profile, languages, F.array("_text"),
-                           lambda t, dense: scores(t, dense, languages))
-    return scored.select(*keys, F.col("_scored")[0].alias("_s")).select(*keys, "_s.*")
+    scored = df.select(*keys, scores(F.array(text), profile, languages).alias("_s")).select(*keys, F.col("_s")[0].alias("_s"))
+    return scored.select(*keys, "_s.*", best(F.col("_s"), languages).alias("best_lang"))
 
 
 def probability(sums: Column, language: str, languages: Sequence[str]) -> Column:
@@ -165,9 +162,10 @@ def _lines(readmes: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
 def line_language(readmes: DataFrame, profile: DataFrame, languages: Sequence[str],
                   keys: Sequence[str] = ("full_name",), text: str = "content") -> DataFrame:
     """Best language of each kept README line; NULL where none could be told."""
-    scored = _with_profile(_lines(readmes, keys, text), profile, languages, F.col("_lines"),
-                           lambda line, dense: scores(line, dense, languages)["best_lang"])
-    return scored.select(*keys, F.posexplode("_scored").alias("line_no", "line_lang"))
+    scored = _lines(readmes, keys, text).select(*keys, scores(F.col("_lines"), profile, languages).alias("_scored"))
+    # an inner generator would have Spark ask for the size of the array, and score the lines twice for it
+    lines = scored.select(*keys, F.posexplode_outer("_scored").alias("line_no", "_s")).filter(F.col("line_no").isNotNull())
+    return lines.select(*keys, "line_no", best(F.col("_s"), languages).alias("line_lang"))
 
 
 def english_share(readmes: DataFrame, profile: DataFrame, languages: Sequence[str],
@@ -179,19 +177,15 @@ def english_share(readmes: DataFrame, profile: DataFrame, languages: Sequence[st
     line gets the probability that its whole text is English, or NULL if that is below
     0.1 or nothing in it is known. Everything is computed within the README's row.
     """
-    lines = _lines(readmes, keys, text)
     whole = F.coalesce(F.size("_lines"), F.lit(0)) == 0
-
-    def judged(unit: Column, dense: Column) -> Column:
-        return _bound(scores(unit, dense, languages), lambda s: F.struct(
-            (s["best_lang"] == english).alias("is_english"), probability(s, english, languages).alias("p")))
-
-    scored = _with_profile(lines.select(*keys, whole.alias("_whole"), F.when(whole, F.array("_cleaned")).otherwise(F.col("_lines")).alias("_units")),
-                           profile, languages, F.col("_units"), judged)
-    n_english = F.size(F.filter("_scored", lambda r: F.coalesce(r["is_english"], F.lit(False))))
-    share = F.when(~F.col("_whole"), n_english / F.size("_scored")).otherwise(
-        F.when(F.col("_scored")[0]["p"] > MIN_PROBABILITY, F.col("_scored")[0]["p"]))
-    return scored.select(*keys, share.alias("readme_lang_conf"))
+    units = F.when(whole, F.array("_cleaned")).otherwise(F.col("_lines"))
+    scored = _lines(readmes, keys, text).select(*keys, whole.alias("_whole"), scores(units, profile, languages).alias("_scored"))
+    told = scored.select(
+        *keys, "_whole", F.size("_scored").alias("_n"),
+        F.size(F.filter("_scored", lambda s: F.coalesce(best(s, languages) == english, F.lit(False)))).alias("_n_english"),
+        F.when(F.col("_whole"), probability(F.col("_scored")[0], english, languages)).alias("_p"))
+    share = F.when(~F.col("_whole"), F.col("_n_english") / F.col("_n")).otherwise(F.when(F.col("_p") > MIN_PROBABILITY, F.col("_p")))
+    return told.select(*keys, share.alias("readme_lang_conf"))
 
 
 def readme_language(readmes: DataFrame, profile: DataFrame, languages: Sequence[str],
