@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -11,13 +11,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from .common import resident
+
 SPACE = "▁"
 #: Stretches between spaces that a worker remembers, and the length of a remembered one.
 MEMORY, LONGEST = 500_000, 48
 #: Positions between two looks for a common boundary of the paths.
-LOOK = 64
-#: Stretches up to this length are searched many at a time, so many at most.
-SHORT, AT_ONCE = 32, 4096
+LOOK = 16
+#: Stretches that are searched side by side, and the length of one that is searched on its own.
+AT_ONCE, ALONE = 4096, 256
+#: Texts cut before every space that follows another character.
+STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 _U = np.uint64
 _BASE, _ODD = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -37,8 +41,11 @@ class Vocabulary:
     unknown: float
     longest: int = 1
     splits: bool = False
-    _memory: dict[str, bytes] = field(default_factory=dict, repr=False)
+    _young: dict[str, bytes] = field(default_factory=dict, repr=False)
+    _old: dict[str, bytes] = field(default_factory=dict, repr=False)
     _table: tuple = field(default=(), repr=False)
+    _pieces: dict[int, str] = field(default_factory=dict, repr=False)
+    _sizes: np.ndarray | None = field(default=None, repr=False)
     _raw: dict[int, bytes] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
@@ -46,7 +53,7 @@ class Vocabulary:
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
 
     def __getstate__(self):
-        return self.__dict__ | {"_memory": {}, "_table": (), "_raw": {}}
+        return self.__dict__ | {"_young": {}, "_old": {}, "_table": (), "_pieces": {}, "_sizes": None, "_raw": {}}
 
     @classmethod
     def read(cls, path: str) -> "Vocabulary":
@@ -135,102 +142,193 @@ class Vocabulary:
                 hashes.append(h)
             keys = np.array(hashes, np.uint64)
             order = np.argsort(keys)
+            if len(np.unique(keys)) < len(keys):
+                raise ValueError("two pieces have one hash")
             coarse = np.zeros(1 << 20, bool)
             coarse[((keys * _ODD) >> _U(44)).astype(np.int64)] = True
             ids = np.array(list(self.ids.values()), np.int32)[order]
             scores = np.array([self.scores[p] for p in self.ids])[order]
             self._table = keys[order], ids, scores, coarse
+            self._pieces = {i: p for p, i in self.ids.items()}
+            self._sizes = np.zeros(max(self._pieces, default=0) + 1, np.int64)
+            self._sizes[list(self._pieces)] = [len(p) for p in self._pieces.values()]
         return self._table
 
-    def _search_short(self, stretches: list[str], out: dict[str, bytes]) -> None:
-        """``search`` for stretches of one length, place by place for all of them."""
+    def _search_many(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``search`` for many stretches, ordered by length, side by side and place by place: all ids and their number in each.
+
+        Hashes, scores and places that can still be extended are kept for the last ``longest`` places
+        only. Every ``LOOK`` places each stretch commits what lies before the boundary its paths meet
+        at. A character without a piece is told as its code point, counted from -2 downwards.
+        """
         keys, ids, scores, coarse = self._hashed()
-        m, n = len(stretches), len(stretches[0])
-        codes = np.frombuffer("".join(stretches).encode("utf-32-le"), "<u4").reshape(m, n).T.astype(np.uint64) + _U(1)
-        best = np.full((n + 1, m), -np.inf)
+        m, longest = len(stretches), self.longest
+        length = np.array([len(x) for x in stretches], np.int64)
+        n = int(length.max())
+        codes = np.zeros((m, n), "<u4")
+        codes[np.arange(n) < length[:, None]] = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = codes.T
+        ring = longest + 1
+        best = np.full((ring, m), -np.inf)
         best[0] = 0.0
-        last = np.zeros((n + 1, m), np.int32)  # id of the last piece, and its length
-        size = np.zeros((n + 1, m), np.int8)
-        row = np.full((n, min(self.longest, n)), None, object)  # (stretches, ids, scores) of [begin, length - 1]
-        known = np.ones(m, bool)
-        for begin in range(n):
-            h = np.zeros(m, np.uint64)
-            for length in range(1, min(self.longest, n - begin) + 1):
-                h = h * _BASE + codes[begin + length - 1]
+        hashes = np.zeros((ring, m), np.uint64)
+        low = 0  # the first place whose backpointers are kept
+        last, size = [np.zeros(m, np.int64)], [np.zeros(m, np.int64)]
+        base = np.zeros(m, np.int64)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def commit(upto: np.ndarray) -> None:
+            """Hand out the paths between ``base`` and ``upto``."""
+            width = len(last)
+            path = np.full((width, m), -1, np.int64)
+            place, rows = upto.copy(), np.arange(m)
+            while len(rows):
+                rows = rows[place[rows] > base[rows]]
+                at = place[rows]
+                for k in np.unique(at - low).tolist() if len(rows) < 64 else ():
+                    some = rows[at - low == k]
+                    path[k, some], place[some] = last[k][some], place[some] - size[k][some]
+                if len(rows) >= 64:
+                    k = int((at - low).max())
+                    some = rows[at - low == k]
+                    path[k, some], place[some] = last[k][some], place[some] - size[k][some]
+            there = path.T != -1
+            out.append((path.T[there], there.sum(1)))
+            np.maximum(base, upto, out=base)
+
+        def meeting(end: int) -> np.ndarray:
+            """The boundary at which the paths of all places that can still be extended meet."""
+            first = max(low, end - longest + 1)
+            alive = np.zeros((end - low + 1, m), bool)
+            alive[first - low:] = np.arange(first, end + 1)[:, None] >= base
+            alive[base - low, np.arange(m)] |= ~alive.any(0)
+            count = alive.sum(0)
+            for place in range(end, low, -1):
+                some = np.flatnonzero(alive[place - low] & (count > 1))
+                if len(some):
+                    alive[place - low, some] = False
+                    before = np.maximum(place - size[place - low][some], base[some]) - low
+                    count[some] -= alive[before, some]
+                    alive[before, some] = True
+            return np.where(length >= end, alive.argmax(0) + low, base)
+
+        for end in range(1, n + 1):
+            on = int(np.searchsorted(length, end))  # stretches before this one have ended
+            code = codes[end - 1, on:].astype(np.uint64) + _U(1)
+            top, piece = np.full(m - on, -np.inf), (-2 - codes[end - 1, on:].astype(np.int64))
+            width = np.ones(m - on, np.int64)
+            hashes[(end - 1) % ring, on:] = 0
+            found = []
+            for begin in range(max(0, end - longest), end):
+                h = hashes[begin % ring, on:]
+                h *= _BASE
+                h += code
                 maybe = np.flatnonzero(coarse[((h * _ODD) >> _U(44)).astype(np.int64)])
                 at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
                 hit = keys[at] == h[maybe]
-                row[begin, length - 1] = maybe[hit], ids[at[hit]], scores[at[hit]]
-                if length == 1:
-                    alone = np.zeros(m, bool)
-                    alone[maybe[hit]] = True
-                    known &= alone
-        for end in range(1, n + 1):
-            for length in range(min(self.longest, end), 0, -1):
-                who, piece, score = row[end - length, length - 1]
-                s = best[end - length, who] + score
-                better = s > best[end, who]
-                who = who[better]
-                best[end, who], last[end, who], size[end, who] = s[better], piece[better], length
-        path = np.zeros((m, n), "<i4")
-        place, rows, column = np.full(m, n), np.arange(m), n
-        count = np.zeros(m, np.int64)
-        while (place > 0).any() and column > 0:
-            column -= 1
-            path[:, column] = last[place, rows]
-            count += place > 0
-            place = np.maximum(place - size[place, rows], 0)
-        raw = path.tobytes()
-        for r, (stretch, k, sure) in enumerate(zip(stretches, count.tolist(), known.tolist())):
-            if sure:
-                out[stretch] = raw[4 * (r * n + n - k):4 * (r + 1) * n]
-
-    def _fill(self, new: set[str]) -> None:
-        """Search what is not remembered; characters without a piece are left to the streaming search."""
-        by_length = defaultdict(list)
+                found.append((begin, maybe[hit], at[hit]))
+            for begin, who, at in found:
+                s = best[begin % ring, on:][who] + scores[at]
+                better = (s > top[who]) & (base[on:][who] <= begin)
+                who, at = who[better], at[better]
+                top[who], piece[who], width[who] = s[better], ids[at], end - begin
+            alone = np.ones(m - on, bool)
+            alone[found[-1][1]] = False  # those without a piece of one character
+            s = best[(end - 1) % ring, on:] + self.unknown
+            better = alone & (s > top)
+            top[better], piece[better], width[better] = s[better], -2 - codes[end - 1, on:][better].astype(np.int64), 1
+            best[end % ring, on:] = top
+            row, steps = np.zeros(m, np.int64), np.zeros(m, np.int64)
+            row[on:], steps[on:] = piece, width
+            last.append(row)
+            size.append(steps)
+            done = length == end
+            if done.any() or end % LOOK == 0:
+                upto = base.copy()
+                if end % LOOK == 0 and not done.all():
+                    upto = np.maximum(upto, meeting(end))
+                upto[done] = end
+                commit(upto)
+                keep = int(np.where(length > end, base, end).min()) - low
+                if keep:
+                    del last[:keep], size[:keep]
+                    low += keep
+        order = np.argsort(np.repeat(np.arange(len(out)), m) + np.tile(np.arange(m), len(out)) * len(out), kind="stable")
+        counts = np.concatenate([c for _, c in out])
+        starts = np.cumsum(counts) - counts
+        flat = np.concatenate([f for f, _ in out])
+        pick = np.repeat(starts[order], counts[order]) + np.arange(len(flat)) - np.repeat(np.cumsum(counts[order]) - counts[order], counts[order])
+        per = counts.reshape(len(out), m).sum(0)
+        return flat[pick], per
+
+    def _fill(self, new: list[str]) -> None:
+        """Search what is not remembered.
+
+        Hashes found the pieces, so the paths are held against the texts they should spell; if one does
+        not, the stretches are searched by their pieces.
+        """
+        several = sorted((x for x in new if len(x) <= ALONE), key=len)
         for stretch in new:
-            if len(stretch) <= SHORT:
-                by_length[len(stretch)].append(stretch)
-        for same in by_length.values():
-            for lo in range(0, len(same), AT_ONCE):
-                self._search_short(same[lo:lo + AT_ONCE], self._memory)
-        for stretch in new.difference(self._memory):
-            runs = [np.array(run, "<i4").tobytes() for run in self.search(stretch)]
-            self._memory[stretch] = b"".join(runs)
+            if len(stretch) > ALONE:
+                self._young[stretch] = self._one(stretch)
+        for lo in range(0, len(several), AT_ONCE):
+            some = several[lo:lo + AT_ONCE]
+            flat, per = self._search_many(some)
+            known = flat >= 0
+            sizes = np.ones(len(flat), np.int64)
+            sizes[known] = self._sizes[flat[known]]
+            ends = np.cumsum(per)
+            spelled = "".join([self._pieces[i] if i >= 0 else chr(-2 - i) for i in flat.tolist()])
+            lengths = np.add.reduceat(sizes, ends - per)
+            raw, ends = flat.astype("<i4").tobytes(), (4 * ends).tolist()
+            if spelled == "".join(some) and lengths.tolist() == list(map(len, some)):
+                self._young.update(zip(some, (raw[a:b] for a, b in zip([0, *ends], ends))))
+                whole = np.logical_and.reduceat(known, np.cumsum(per) - per)
+                for r in np.flatnonzero(~whole).tolist():
+                    self._young[some[r]] = self._with_bytes(flat[(ends[r] // 4 - per[r]):ends[r] // 4].tolist())
+            else:
+                self._young.update((x, self._one(x)) for x in some)
+
+    def _one(self, stretch: str) -> bytes:
+        return b"".join(np.array(run, "<i4").tobytes() for run in self.search(stretch))
+
+    def _with_bytes(self, path: list[int]) -> bytes:
+        """A path with the bytes of characters that have no piece in their place."""
+        ids = [j for i in path for j in ((i,) if i >= 0 else (self.byte_ids[b] for b in chr(-2 - i).encode("utf-8", "surrogatepass")))]
+        return np.array(ids, "<i4").tobytes()
 
     def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of whole texts; an empty one has none.
 
         Spaces become ``SPACE`` and one is put in front. A text that holds that character itself is
-        decoded with a space in its place, as by the library.
+        decoded with a space in its place, as by the library. What half the memory's stretches ago was
+        last met is forgotten.
         """
         lists = [self._stretches(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self._memory) > MEMORY:
-            self._memory.clear()
-        new = set().union(*lists).difference(self._memory)
+        if len(self._young) > MEMORY // 2:
+            self._old, self._young = self._young, {}
+        young, old = self._young, self._old
+        unmet = set().union(*lists).difference(young)
+        again = unmet & old.keys()
+        young.update((x, old[x]) for x in again)
+        new = list(unmet - again)
         self._fill(new)
-        at = self._memory.__getitem__
+        at = young.__getitem__
         out = [np.frombuffer(b"".join(map(at, x)), "<i4") for x in lists]
         for stretch in new:
             if len(stretch) > LONGEST:
-                del self._memory[stretch]
+                del young[stretch]
         return out
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
 
     def _stretches(self, text: str) -> list[str]:
-        """The text cut before every space that follows another character, if no piece lies across."""
-        if not self.splits:
-            return [text]
-        parts, spaces = [], ""
-        for word in text[1:].split(SPACE):
-            if word:
-                parts.append(spaces + SPACE + word)
-                spaces = ""
-            else:
-                spaces += SPACE
-        return parts + [spaces] if spaces else parts
+        """The text cut before every space that follows another character, if no piece lies across.
+
+        All paths meet at such a place, whatever follows: what lies before it can be committed.
+        """
+        return STRETCH.findall(text) if self.splits else [text]
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -241,15 +339,9 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
 
-_LOADED: dict[int, Vocabulary] = {}
-
-
 def _vocabulary(shared) -> Vocabulary:
     key, vocabulary = shared.value
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = vocabulary
-    return _LOADED[key]
+    return resident("pieces", "vocabulary", key, lambda: vocabulary)
 
 
 def encode(text: Column, shared) -> Column:

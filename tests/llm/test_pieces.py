@@ -69,12 +69,37 @@ def test_best_path_and_round_trip(vocabulary):
         assert cost(vocabulary, ids) == pytest.approx(best(vocabulary, marked))
 
 
-def test_many_at_a_time_equals_one_by_one(vocabulary):
-    for t in texts():
-        for part in vocabulary._stretches("▁" + t.replace(" ", "▁")):
-            assert vocabulary.encode_all([t])[0].tolist() == [
-                i for p in vocabulary._stretches("▁" + t.replace(" ", "▁")) for run in vocabulary.search(p) for i in run]
-            break
+def one_by_one(vocabulary, text):
+    return [i for p in vocabulary._stretches("▁" + text.replace(" ", "▁")) for run in vocabulary.search(p) for i in run]
+
+
+def test_many_side_by_side_equal_one_by_one(vocabulary):
+    rng = random.Random(7)
+    long = ["".join(rng.choices("abcdeinorst.é你▁\U0001f600thetion", k=k)) for k in (15, 16, 17, 31, 33, 64, 100, 255, 256, 257, 700)]
+    every = texts() + long
+    together = vocabulary.encode_all(every)
+    for t, ids in zip(every, together):
+        assert ids.tolist() == one_by_one(vocabulary, t)
+
+
+@pytest.mark.parametrize("memory", [0, 3, 40])
+def test_forgotten_stretches_are_searched_again(vocabulary, monkeypatch, memory):
+    monkeypatch.setattr(pieces, "MEMORY", memory)
+    every = texts()[:200]
+    for lo in range(0, 200, 20):
+        for t, ids in zip(every[lo:lo + 20], vocabulary.encode_all(every[lo:lo + 20])):
+            assert ids.tolist() == one_by_one(vocabulary, t)
+    assert len(vocabulary._young) + len(vocabulary._old) < 5000
+
+
+def test_a_path_that_spells_something_else_is_searched_by_pieces(vocabulary, monkeypatch):
+    """As if a hash had met another text's: the path is checked against the text."""
+    right = one_by_one(vocabulary, "some text here")
+    wrong = vocabulary.ids["▁the"]
+    monkeypatch.setattr(vocabulary, "_search_many", lambda xs: (pieces.np.array([wrong] * len(xs)), pieces.np.ones(len(xs), int)))
+    vocabulary._young.clear(), vocabulary._old.clear()
+    assert vocabulary.encode("some text here") == right
+    vocabulary._young.clear()
 
 
 def test_the_window_commits_before_the_end(vocabulary):
@@ -84,6 +109,15 @@ def test_the_window_commits_before_the_end(vocabulary):
     assert cost(vocabulary, [i for r in runs for i in r]) == pytest.approx(best(vocabulary, text))
 
 
+def test_ordinary_text_is_committed_as_it_goes(vocabulary, spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(20).collect()
+    for r in rows:
+        text = "▁" + r["text"].replace(" ", "▁")
+        runs = list(vocabulary.search(text))
+        # nothing waits much longer than the window and a look
+        assert max(map(len, runs)) <= 2 * pieces.LOOK + vocabulary.longest and len(runs) >= len(text) // 50
+
+
 def test_the_librarys_ids(vocabulary, library):
     different = sum(vocabulary.encode(t) != library.encode(t) for t in texts())
     assert different <= 12  # ties in the score and single precision of the library
