@@ -11,8 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, resident
 
+#: Signs that count as word characters but are no letters: fractions, circled and Roman numbers and the like.
+NUMBER_SIGN = re.compile("[%s]" % "".join(c for c in map(chr, range(0x80, 0x10000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Documents the frequencies are counted over at most, the count from which a word or n-gram
@@ -23,6 +26,16 @@ MEMORY, LONGEST_WORD = 300_000, 40
 SCHEMA = "lang_pred string, score double"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters."""
+    if not text.isascii():
+        if NUMBER_SIGN.search(text):
+            text = NUMBER_SIGN.sub(" ", text)
+        if BEYOND.search(text):
+            text = BEYOND.sub(lambda m: m[0] if m[0].isalpha() else " ", text)
+    return WORD.findall(text)
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f"_{word}_" if n > 1 else word
     return [padded[i:i + n] for i in range(len(padded) - n + 1)]
@@ -67,7 +80,8 @@ class Model:
         size = np.array([len(f) for f in found], np.int64)
         owner = np.repeat(np.arange(len(words)), size)
         picked = self.logs[np.array([r for f in found for r in f], np.int64)]
-        mean = np.stack([np.bincount(owner, picked[:, j], len(words)) for j in range(len(self.languages))], 1)
+        # without any evidence bincount counts, in whole numbers
+        mean = np.stack([np.bincount(owner, picked[:, j], len(words)) for j in range(len(self.languages))], 1).astype(float)
         mean /= np.maximum(size, 1)[:, None]
         mean -= mean.max(1, keepdims=True)
         return mean - np.log(np.exp(mean).sum(1, keepdims=True))
@@ -78,7 +92,7 @@ class Model:
         The language has the highest sum of word scores, the first by name among equals; the score
         is the mean over the words of the probability they give it.
         """
-        lists = [WORD.findall(t) if t and self.languages else [] for t in texts]
+        lists = [words_of(t) if t and self.languages else [] for t in texts]
         if self._rows and len(self._rows[0]) > MEMORY:
             self._seen, self._rows = {}, []
         seen = self._seen
@@ -97,8 +111,9 @@ class Model:
             logs = rows[np.fromiter(map(seen.__getitem__, words), np.int64, len(words))]
             best = int(np.argmax(logs.sum(0)))
             out.append((self.languages[best], float(np.exp(logs[:, best]).mean())))
-        if any(len(w) > LONGEST_WORD for w in new):  # very long words would outgrow the memory
-            self._seen = {w: i for w, i in seen.items() if len(w) <= LONGEST_WORD}
+        for w in new:  # very long words would outgrow the memory
+            if len(w) > LONGEST_WORD:
+                del seen[w]
         return out
 
 
@@ -117,7 +132,7 @@ def train(documents: DataFrame, n: int = TRAINING_DOCUMENTS) -> Model:
         for batch in batches:
             counts: dict[str, Counter] = {}
             for lang, text in zip(batch["lang"], batch["text"]):
-                counts.setdefault(lang, Counter()).update(w.lower() for w in WORD.findall(text))
+                counts.setdefault(lang, Counter()).update(w.lower() for w in words_of(text))
             found = [(lang, w, c) for lang, words in counts.items() for w, c in words.items()]
             yield pd.DataFrame(found, columns=["lang", "word", "n"])
 
@@ -152,9 +167,6 @@ def fit(counts: list[tuple[str, str, int]]) -> Model:
     return Model(languages, rows, np.concatenate(logs))
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def language(text: Column, shared) -> Column:
     """``struct<lang_pred, score>`` of whole texts by the model in the broadcast ``shared``.
 
@@ -163,11 +175,8 @@ def language(text: Column, shared) -> Column:
     """
     @F.pandas_udf(SCHEMA)
     def predict(texts: pd.Series) -> pd.DataFrame:
-        key = shared.value[0]
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = shared.value[1]
-        found = _MODELS[key].predict(texts.where(texts.notna(), None).tolist())
+        model = resident("language", "model", shared.value[0], lambda: shared.value[1])
+        found = model.predict(texts.where(texts.notna(), None).tolist())
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
     return predict(text)
