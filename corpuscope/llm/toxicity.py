@@ -12,14 +12,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-#: Labelled documents that are drawn at most, and how many of each class the field is fitted on.
-TRAINING_DOCUMENTS, PER_CLASS = 5000, 400
+from .common import resident
+
+#: Labelled documents that are drawn at most, and how many of each class the field is fitted on: the first
+#: in the order of a hash of the id.
+TRAINING_DOCUMENTS, PER_CLASS = 8000, 700
 #: A word is a toxic token of a toxic document if it or its beginning has so many surroundings in toxic documents,
 #: such a number of them for each toxic document, and log odds so high.
 TOKEN_DOCUMENTS, TOKEN_SHARE, TOKEN_ODDS = 4, 0.01, 3.0
 BUCKETS, STEPS, RATE, PENALTY = 1 << 16, 60, 0.4, 1e-4
-#: Tokens of a chain at most; a longer run without an end mark is cut there.
-CHAIN = 32
+#: Tokens of a block. A longer run without an end mark is several blocks that hand on their states.
+BLOCK = 32
 MEMORY = 500_000
 #: Marginal from which a token counts for the document.
 FAINT = 0.1
@@ -35,13 +38,13 @@ def features(token: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts)
 
 
-def chains(lists: Sequence[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Document, chain and place in the chain of every word, and the words in order."""
+def chains(lists: Sequence[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Document, block and place in the block of every word, whether a block goes on from the one before, and the words in order."""
     flat = [t for x in lists for t in x]
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     if not flat:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, []
+        return empty, empty, empty, np.zeros(0, bool), []
     ends = np.fromiter((t in ENDS for t in flat), bool, len(flat))
     new = np.concatenate([[True], (owner[1:] != owner[:-1]) | ends[:-1]])
     run = np.cumsum(new) - 1
@@ -50,53 +53,90 @@ def chains(lists: Sequence[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     first = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.zeros(0, bool)
     begin = np.maximum.accumulate(np.where(first, np.arange(len(run)), 0)) if len(run) else run
     place = np.arange(len(run)) - begin
-    cut = first | (place % CHAIN == 0)
-    return owner, np.cumsum(cut) - 1, place % CHAIN, [t for t, k in zip(flat, keep) if k]
+    cut = first | (place % BLOCK == 0)
+    return owner, np.cumsum(cut) - 1, place % BLOCK, ~first[cut], [t for t, k in zip(flat, keep) if k]
+
 
+def _handed_on(weight: np.ndarray, there: np.ndarray, t: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forward state each block begins with and the backward one it ends with, both as shares.
 
-def marginals(emission: np.ndarray, chain: np.ndarray, place: np.ndarray,
-              trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    A block is a product of 2 x 2 matrices, so the states of a run of any length are passed from
+    block to block; all runs are passed together.
+    """
+    n = len(follows)
+    before, behind = np.tile([1.0, 0.0], (n, 1)), np.ones((n, 2))
+    if not follows.any():
+        return before, behind
+    part = np.flatnonzero(follows | np.append(follows[1:], False))
+    matrix = np.tile(np.eye(2), (len(part), 1, 1))
+    for i in range(len(weight)):
+        on = there[i, part]
+        step = np.tile(t[:2], (len(part), 1, 1))
+        if i == 0:
+            step[~follows[part]] = t[2]
+        step[:, :, 1] *= weight[i, part, None]
+        after = matrix @ step
+        matrix[on] = (after / after.sum((1, 2), keepdims=True))[on]
+    whole = np.zeros((n, 2, 2))
+    whole[part] = matrix
+    run = np.cumsum(~follows) - 1
+    turn = np.arange(n) - np.flatnonzero(~follows)[run]
+    for k in range(1, int(turn.max()) + 1):
+        at = np.flatnonzero(turn == k)
+        state = (before[at - 1, None, :] @ whole[at - 1])[:, 0]
+        before[at] = state / state.sum(1, keepdims=True)
+    for k in range(int(turn.max()), 0, -1):
+        at = np.flatnonzero(turn == k)
+        state = (whole[at] @ behind[at][:, :, None])[:, :, 0]
+        behind[at - 1] = state / state.sum(1, keepdims=True)
+    return before, behind
+
+
+def marginals(emission: np.ndarray, chain: np.ndarray, place: np.ndarray, trans: np.ndarray,
+              follows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """P(toxic) of each token, and the expected transitions, by forward and backward passes.
 
     ``emission`` is the log weight of the toxic tag against the other one; ``trans[a, b]`` the log
-    weight of tag b after a, ``trans[2]`` that at the beginning. All chains are passed together.
+    weight of tag b after a, ``trans[2]`` that at the beginning. ``chain`` numbers blocks of tokens;
+    one that ``follows`` goes on from the block before it. All blocks are passed together.
     """
     n = int(chain[-1]) + 1 if len(chain) else 0
     width = int(place.max()) + 1 if len(place) else 0
+    follows = np.zeros(n, bool) if follows is None else follows
     weight = np.ones((width, n))
     there = np.zeros((width, n), bool)
     weight[place, chain] = np.exp(np.clip(emission, -30, 30))
     there[place, chain] = True
     t = np.exp(np.clip(trans, -30, 30))
+    before, behind = _handed_on(weight, there, t, follows)
     forward = np.zeros((width, n, 2))
     for i in range(width):
-        if i == 0:
-            a0, a1 = np.full(n, t[2, 0]), t[2, 1] * weight[0]
-        else:
-            p0, p1 = forward[i - 1, :, 0], forward[i - 1, :, 1]
-            a0, a1 = p0 * t[0, 0] + p1 * t[1, 0], (p0 * t[0, 1] + p1 * t[1, 1]) * weight[i]
+        p0, p1 = (before if i == 0 else forward[i - 1]).T
+        # a run begins with the state (1, 0) and the weights of a beginning
+        s = np.where(follows[:, None, None], t[:2], t[2]) if i == 0 else t[None, :2]
+        a0, a1 = p0 * s[:, 0, 0] + p1 * s[:, 1, 0], (p0 * s[:, 0, 1] + p1 * s[:, 1, 1]) * weight[i]
         total = a0 + a1
         forward[i, :, 0], forward[i, :, 1] = a0 / total, a1 / total
-    b0, b1 = np.ones(n), np.ones(n)
+    b0, b1 = behind.T.copy()
     toxic = np.zeros((width, n))
     expected = np.zeros((3, 2))
     for i in range(width - 1, -1, -1):
-        # a place beyond the chain's end passes nothing back
+        # a place beyond the block's end passes nothing back
         f0, f1 = forward[i, :, 0], forward[i, :, 1]
         total = f0 * b0 + f1 * b1
         toxic[i] = f1 * b1 / total
         w1 = weight[i] * b1
+        p0, p1 = (before if i == 0 else forward[i - 1]).T
+        joint = np.stack([p0 * t[0, 0] * b0, p0 * t[0, 1] * w1, p1 * t[1, 0] * b0, p1 * t[1, 1] * w1])
+        on = there[i] if i else follows
+        expected[:2] += (joint / joint.sum(0))[:, on].sum(1).reshape(2, 2)
         if i:
-            p0, p1 = forward[i - 1, :, 0], forward[i - 1, :, 1]
-            joint = np.stack([p0 * t[0, 0] * b0, p0 * t[0, 1] * w1, p1 * t[1, 0] * b0, p1 * t[1, 1] * w1])
-            on = there[i]
-            expected[:2] += (joint / joint.sum(0))[:, on].sum(1).reshape(2, 2)
             n0 = t[0, 0] * b0 + t[0, 1] * w1
             n1 = t[1, 0] * b0 + t[1, 1] * w1
             scale = n0 + n1
-            b0, b1 = np.where(on, n0 / scale, 1.0), np.where(on, n1 / scale, 1.0)
+            b0, b1 = np.where(on, n0 / scale, b0), np.where(on, n1 / scale, b1)
         else:
-            expected[2] = [(1 - toxic[0]).sum(), toxic[0].sum()]
+            expected[2] = [(1 - toxic[0])[~follows].sum(), toxic[0][~follows].sum()]
     return toxic[place, chain], expected
 
 
@@ -128,8 +168,8 @@ class Model:
 
         Tokens below ``FAINT`` are left out, so that length alone makes no document toxic.
         """
-        owner, chain, place, words = chains([TOKEN.findall(t) for t in texts])
-        p, _ = marginals(self._emissions(words), chain, place, self.trans)
+        owner, chain, place, follows, words = chains([TOKEN.findall(t) for t in texts])
+        p, _ = marginals(self._emissions(words), chain, place, self.trans, follows)
         total = np.bincount(owner, np.where(p < FAINT, 0, -np.log1p(-np.minimum(p, 1 - 1e-12))), len(texts))
         return total, np.split(p, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])
 
@@ -230,7 +270,7 @@ def fit(texts: Sequence[str], toxic: Sequence[int]) -> Model:
             seen[y] += 1
             chosen.append(i)
     sample, labels = [texts[i] for i in chosen], np.array([toxic[i] for i in chosen])
-    owner, chain, place, words = chains([TOKEN.findall(t) for t in sample])
+    owner, chain, place, follows, words = chains([TOKEN.findall(t) for t in sample])
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w.lower() for w in words))}
     at = np.fromiter((vocabulary[w.lower()] for w in words), np.int64, len(words))
     tag = np.fromiter((not telling.isdisjoint((w, *beginnings(w))) for w in vocabulary), bool, len(vocabulary))[at] & (labels[owner] == 1)
@@ -238,7 +278,7 @@ def fit(texts: Sequence[str], toxic: Sequence[int]) -> Model:
     rows = np.repeat(np.arange(len(hashed)), [len(h) for h in hashed])
     columns = np.array([i for h in hashed for i in h], np.int64)
     before = np.full(len(tag), 2)
-    before[1:] = np.where(place[1:] > 0, tag[:-1].astype(int), 2)
+    before[1:] = np.where((place[1:] > 0) | follows[chain[1:]], tag[:-1].astype(int), 2)
     observed = np.zeros((3, 2))
     np.add.at(observed, (before, tag.astype(int)), 1)
     weights, trans = np.zeros(BUCKETS), np.zeros((3, 2))
@@ -246,7 +286,7 @@ def fit(texts: Sequence[str], toxic: Sequence[int]) -> Model:
     state = [np.zeros(BUCKETS + 6), np.zeros(BUCKETS + 6)]
     n = len(labels)
     for step in range(1, STEPS + 1):
-        p, expected = marginals(np.bincount(rows, weights[columns], len(hashed))[at], chain, place, trans)
+        p, expected = marginals(np.bincount(rows, weights[columns], len(hashed))[at], chain, place, trans, follows)
         error = np.bincount(at, p - tag, len(hashed))
         grad = np.concatenate([np.bincount(columns, error[rows], BUCKETS) / n + PENALTY * weights,
                                ((expected - observed) / n).ravel()])
@@ -268,9 +308,6 @@ def fit(texts: Sequence[str], toxic: Sequence[int]) -> Model:
     return model
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def toxicity(text: Column, shared) -> Column:
     """``struct<score, spans>`` of whole texts by the model in the broadcast ``shared``.
 
@@ -279,10 +316,7 @@ def toxicity(text: Column, shared) -> Column:
     @F.pandas_udf(SCHEMA)
     def tag(texts: pd.Series) -> pd.DataFrame:
         key, model = shared.value
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = model
-        model = _MODELS[key]
+        model = resident("toxicity", "model", key, lambda: model)
         texts = texts.where(texts.notna(), None).tolist()
         scores, spans = [], []
         for lo in range(0, len(texts), 250):
