@@ -21,13 +21,14 @@ from array import array
 
 import regex
 
+from .common import resident
+
 #: White space as the pattern of the pre-tokenizer understands it.
 BLANK = "\t-\r \x85\xa0  -     　"
 STRETCH = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]")
 #: Entries and length of an entry up to which stretches are remembered between batches.
 MEMORY, LONGEST = 800_000, 48
 
-_LOADED: dict[str, "Bpe"] = {}
 
 
 class Bpe:
@@ -128,10 +129,7 @@ def byte_letters() -> dict[int, str]:
 def load(content: str, pattern: str) -> Bpe:
     """The tokenizer of a file's content, built once in each worker."""
     key = hashlib.sha1((content + pattern).encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Bpe(content, pattern)
-    return _LOADED[key]
+    return resident("bpe", "coder", key, lambda: Bpe(content, pattern))
 
 
 def read(path: str) -> str:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from corpuscope.session import remove, shared_folder
@@ -26,28 +30,62 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
+_RESIDENT: dict[str, dict[str, tuple]] = {}
+
+
+def resident(operator: str, part: str, key, make: Callable):
+    """What a Python worker keeps between tasks, made by ``make`` when ``key`` is new.
+
+    Workers outlive stages. Only one operator's things are kept, so the memory of a worker that has
+    served many operators is bounded by the largest of them; what others left is given back.
+    """
+    if operator not in _RESIDENT:
+        _RESIDENT.clear()
+        give_back()
+        _RESIDENT[operator] = {}
+    parts = _RESIDENT[operator]
+    if part not in parts or parts[part][0] != key:
+        parts.pop(part, None)
+        parts[part] = (key, make())
+    return parts[part][1]
+
+
+def give_back() -> None:
+    """Return freed memory to the machine, where its allocator can be told to."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """At most ``n`` rows, those with the smallest hash of ``key``: the same ones on every run.
+    """At most ``n`` different rows, those with the smallest hash of ``key`` and then of the whole row.
 
-    A first cut by the hash keeps about 1.2 n rows, so that few rows are ranked.
+    The same ones on every run. A first cut by the hash keeps about 1.2 n rows, so that few rows are
+    ranked; rows that repeat count once, and of rows that share a key the first by hash is taken.
     """
     spot = F.pmod(F.xxhash64(F.col(key), F.lit(29)), F.lit(1 << 30))
     total = rows.count()
     kept = rows.where(spot < int((1 << 30) * min(1.0, 1.2 * n / max(total, 1)) + 1))
-    return kept.orderBy(spot, key).limit(n)
+    columns = F.struct(*(F.col(c) for c in rows.columns))
+    first = kept.groupBy(key).agg(F.min_by(columns, F.struct(F.xxhash64(*rows.columns), columns)).alias("first")).select("first.*")
+    return first.orderBy(spot, key).limit(n)
 
 
 def labelled(documents: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     """``doc_id, text, quality, toxic`` of at most ``n`` labelled documents outside the held-out fold.
 
-    The label rows are drawn first; they are at most ``n``, so they may be broadcast to the texts.
-    A repeated label counts as often as it stands there.
+    The label rows are drawn first, one an id; they are at most ``n``, so they may be broadcast to the
+    texts. Of several texts with one id the first by hash is taken, so the bound holds for the
+    result too. Ordered by a hash of the id, so that a beginning of it is a draw as well.
     """
     drawn = bounded_sample(
         labels.select("doc_id", "quality", "toxic").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()),
         "doc_id", n)
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
-    return texts.join(F.broadcast(drawn), "doc_id")
+    met = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality", "toxic").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+    return met.select("doc_id", "text", "quality", "toxic").orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id")
 
 
 class Kept:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -13,14 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import bpe
+from .common import give_back
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 #: Documents and tokens after which a shard is closed. Both bound the memory of a task.
 SHARD_DOCUMENTS, SHARD_TOKENS = 3000, 3_000_000
-#: BM25's usual constants, terms of a seed that are looked up, and the share of a shard's
-#: items up to which a term is looked up: all of them, idf alone weighs them.
-K1, B, QUERY_TERMS, COMMON = 1.2, 0.75, math.inf, 1.0
+#: BM25's usual constants.
+K1, B = 1.2, 0.75
 #: Share of the different items from which a term's weights are held as a dense row, and ids counted at once.
 DENSE, PART = 1 / 8, 1 << 20
 
@@ -187,5 +186,6 @@ def pack(documents: DataFrame, content: str, pattern: str, end_id: int = 1, wind
                     tokens = 0
         if arrays:
             yield flush()
+        give_back()  # an index is far larger than what a worker needs otherwise
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, SCHEMA)

@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from .common import resident
+
 #: Labelled documents the model is fitted on at most, size of the hashed space, and training.
 TRAINING_DOCUMENTS, BUCKETS, STEPS, RATE, PENALTY = 4000, 1 << 16, 100, 0.4, 1e-5
 #: Words a worker remembers the weight of.
@@ -148,9 +150,6 @@ def fit(texts: Iterable[str], ratings: Iterable[float]) -> Model:
     return Model(grades, first + np.concatenate([[0], np.cumsum(np.exp(gaps))]), weights.astype(np.float32))
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def grade(text: Column, shared) -> Column:
     """``struct<expected_grade, tail array>`` of whole texts by the model in the broadcast ``shared``.
 
@@ -160,10 +159,7 @@ def grade(text: Column, shared) -> Column:
     @F.pandas_udf("expected_grade double, tail array<double>")
     def score(texts: pd.Series) -> pd.DataFrame:
         key, model = shared.value
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = model
-        model = _MODELS[key]
+        model = resident("quality", "model", key, lambda: model)
         latent = np.array([model.latent(t) for t in texts.where(texts.notna(), None)], float)
         tails = model.tails(latent)
         return pd.DataFrame({"expected_grade": model.expected(tails), "tail": list(tails)})

@@ -49,6 +49,7 @@ def rule_list(documents: DataFrame, labels: DataFrame) -> list:
 
 @query
 def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole text, and whether they decode to it. Null and empty texts have no ids; equal rows get equal ones."""
     bounded_batches(spark)
     vocabulary = shared(spark, pieces.Vocabulary.read(public_tokenizers.path("piece_bpe_32k.model")))
     coded = table(spark, folder, "documents").select("doc_id", "text", pieces.encode(F.col("text"), vocabulary).alias("ids"))
@@ -58,6 +59,7 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every whole text. Null texts and those without a letter are ``und`` with score 0, as all are where nothing is learned."""
     bounded_batches(spark)
     docs = table(spark, folder, "documents")
     found = langid.language(F.col("text"), language_model(spark, docs))
@@ -67,6 +69,7 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of every row. Texts without words are classes of their own; rows without an id have none; equal rows share theirs."""
     bounded_batches(spark)
     found = minhash.near_duplicates(table(spark, folder, "documents"), lambda model: shared(spark, model))
     return found.select("doc_id", "class_id", "kept")
@@ -74,10 +77,11 @@ def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every whole text. Null and empty texts have the lowest; without labels of both kinds all score alike."""
     bounded_batches(spark)
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     sample = labelled(docs, labels.where(F.col("toxic").isNotNull()), toxicity.TRAINING_DOCUMENTS)
-    rows = sample.orderBy("doc_id", "toxic").select("text", "toxic").toPandas()
+    rows = sample.select("text", "toxic").toPandas()
     model = shared(spark, toxicity.fit(rows["text"].tolist(), rows["toxic"].tolist()))
     found = toxicity.toxicity(F.col("text"), model)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), found.alias("f")).select(
@@ -90,7 +94,7 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     bounded_batches(spark)
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     rated = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull())
-    sample = labelled(docs, rated, quality.TRAINING_DOCUMENTS).orderBy("doc_id", "quality", "toxic")
+    sample = labelled(docs, rated, quality.TRAINING_DOCUMENTS)
     rows = sample.select("text", (F.col("quality") * (2 - F.col("toxic"))).cast("double").alias("grade")).toPandas()
     model = quality.fit(rows["text"].tolist(), rows["grade"].tolist())
     # selection asks for at least the second grade; one grade alone selects all
@@ -102,6 +106,7 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and verdict of every whole text. Null texts have none and fail; without labels only the base tests count."""
     bounded_batches(spark)
     docs = table(spark, folder, "documents")
     learned = rule_list(docs, table(spark, folder, "labels"))
@@ -112,6 +117,7 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every whole text; null and empty texts have none."""
     bounded_batches(spark)
     docs = table(spark, folder, "documents")
     n = tokens.token_count(F.col("text"), *byte_bpe())
@@ -126,6 +132,10 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 @query
 def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Read back from the formatted windows, a row a conversation.
+
+    Null texts are empty; turns with equal numbers go by role and text; rows without a conversation are left out.
+    """
     bounded_batches(spark)
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(
         F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
@@ -135,30 +145,35 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every document. Null texts are empty, so each row has at least its end id; equal rows are packed each."""
     bounded_batches(spark)
     return packing.pack(table(spark, folder, "documents"), *byte_bpe())
 
 
 @query
 def op10_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of every vector. What is null, zero or not finite links with nothing; equal rows count each."""
     bounded_batches(spark)
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
 
 
 @query
 def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight, score and rank of every row. Null texts have no features; equal rows are drawn one by one; ids that are null come last among ties."""
     bounded_batches(spark)
     return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 @query
 def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every whole text, as written and disguised; null texts have none."""
     bounded_batches(spark)
     return table(spark, folder, "documents").select("doc_id", pii.personal_data(F.col("text")).alias("f")).select("doc_id", "f.*")
 
 
 @query
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first phrases of each language; a null language is ``und``, null texts are empty, equal rows count each."""
     bounded_batches(spark)
     return collocations.collocations(table(spark, folder, "documents"))
 

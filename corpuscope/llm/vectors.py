@@ -124,11 +124,12 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, cell: int, threshold
     count = hit
     home = right["home"].to_numpy()
     if not same and (home < cell).any():
-        count = hit.copy()
-        visited = left["guests"].tolist()
-        for i, j in zip(*np.nonzero(hit & (home < cell)[None, :])):
-            if home[j] in visited[i]:
-                count[i, j] = False
+        lower = np.unique(home[home < cell])
+        visits = np.zeros((len(left), len(lower) + 1), bool)  # the last column stands for other homes
+        for i, cells_ in enumerate(left["guests"].tolist()):
+            visits[i, :-1] = np.isin(lower, cells_)
+        at = np.where(home < cell, np.minimum(np.searchsorted(lower, home), len(lower) - 1), len(lower))
+        count = hit & ~visits[:, at]
     copies_l, copies_r = left["copies"].to_numpy(float), right["copies"].to_numpy(float)
     node_l, node_r = left["node"].to_numpy(np.int64), right["node"].to_numpy(np.int64)
     links = [(node_l, count @ copies_r)] + ([] if same else [(node_r, copies_l @ count)])

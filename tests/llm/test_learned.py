@@ -1,6 +1,7 @@
 """The learned operators: accuracy on held-out documents and brute-force checks of their parts."""
 
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -9,8 +10,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from corpuscope.llm import langid, quality, rules, toxicity
-from corpuscope.llm.queries import QUERIES
+import corpus_pipeline
+from corpuscope.llm import common, langid, quality, rules, toxicity
+from corpuscope.llm.queries import QUERIES, rule_list
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -131,6 +133,122 @@ def test_marginals_by_brute_force():
     assert got == pytest.approx(want) and expected == pytest.approx(pairs)
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7])
+def test_blocks_of_a_run_equal_the_whole_run(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    lists = [["a"] * n + ["."] + ["b"] * k for n, k in ((1, 0), (5, 9), (20, 1), (0, 2))]
+    owner, chain, place, follows, words = toxicity.chains(lists)
+    assert place.max() < block and len(follows) == chain[-1] + 1
+    emission, trans = rng.normal(size=len(words)) * 2, rng.normal(size=(3, 2))
+    got = toxicity.marginals(emission, chain, place, trans, follows)
+    monkeypatch.setattr(toxicity, "BLOCK", 1000)
+    owner, chain, place, follows, words = toxicity.chains(lists)
+    assert not follows.any()
+    want = toxicity.marginals(emission, chain, place, trans, follows)
+    assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1])
+
+
+def test_long_runs_without_an_end_mark(spark):
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS), np.array([[0.0, -3.0], [0.0, 1.0], [0.0, -3.0]]), (0.0, 1.0))
+    scores, _ = model.predict(["word " * 200_000])
+    assert np.isfinite(scores).all()
+
+
+def plain_prediction(model, text):
+    """A text's language by plain dictionaries, word by word."""
+    logs = model.logs.astype(float)
+    total, each = np.zeros(len(model.languages)), []
+    for word in re.findall(r"\w+", "".join(c if c.isalpha() else " " for c in text or "")):
+        w = word.lower()
+        padded = f"_{w}_"
+        rows = [model.orders[0][w]] if w in model.orders[0] else []
+        for n in range(langid.LONGEST, 0, -1):
+            source = padded if n > 1 else w
+            rows = rows or [model.orders[n][source[i:i + n]] for i in range(len(source) - n + 1) if source[i:i + n] in model.orders[n]]
+        mean = logs[rows].mean(0) if rows else np.zeros(len(total))
+        p = np.exp(mean - mean.max())
+        p /= p.sum()
+        total += np.log(p)
+        each.append(p)
+    if not each:
+        return langid.UNKNOWN, 0.0
+    best = int(np.argmax(total))
+    return model.languages[best], float(np.mean([p[best] for p in each]))
+
+
+ODD_TEXTS = ["日本語 テキスト", "½ ① Ⅷ", "½ ① Ⅷ haus", "чужой", "", None, "42 _ -", "haus " * 3, "housing the", "der ① thé", "x" * 90 + " the"]
+
+
+def test_prediction_by_plain_dictionaries():
+    counts = [("de", "haus", 9), ("en", "house", 9), ("en", "haushold", 2), ("de", "der", 5), ("en", "the", 5), ("fr", "thé", 4)]
+    for text in ODD_TEXTS:  # each alone, as the only new words of a batch
+        model = langid.fit(counts)
+        lang, score = model.predict([text])[0]
+        want = plain_prediction(model, text)
+        assert lang == want[0] and score == pytest.approx(want[1], abs=1e-5), text
+    model = langid.fit(counts)
+    together = model.predict(["the haus der", *ODD_TEXTS])[1:]
+    assert [x[0] for x in together] == [plain_prediction(model, t)[0] for t in ODD_TEXTS]
+    assert model.predict(["½ ① Ⅷ"]) == [("und", 0.0)]
+
+
+def test_language_query_with_an_unseen_script(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(100_000 + i, t, None) for i, t in enumerate(ODD_TEXTS)], docs.schema)
+    docs.unionByName(odd).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["lang_pred"] for r in QUERIES["op2_language"](spark, str(tmp_path)).collect()}
+    assert len(got) == docs.count() + len(ODD_TEXTS) and got[100_001] == got[100_004] == got[100_005] == got[100_006] == "und"
+    assert got[100_000] != "und"
+    stage = corpus_pipeline.language(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert not {100_001, 100_004, 100_005, 100_006} & {r["doc_id"] for r in stage.select("doc_id").collect()}
+
+
+def test_one_id_in_a_third_of_the_rows_takes_one_place(spark):
+    rows = [(i, f"text {i}", i % 2, i % 3 % 2) for i in range(900)] + [(7, f"text {i}", 1, 1) for i in range(450)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(r[0], *r[2:]) for r in rows], "doc_id long, quality int, toxic int")
+    got = common.labelled(docs, labels, 100).collect()
+    assert got == common.labelled(docs.repartition(3), labels.repartition(2), 100).collect()
+    ids = [r["doc_id"] for r in got]
+    assert 40 <= len(ids) <= 100 and len(set(ids)) == len(ids) and ids != sorted(ids)
+    sample = common.bounded_sample(docs, "doc_id", 100).collect()
+    assert len(sample) <= 100 and len({r["doc_id"] for r in sample}) == len(sample)
+
+
+def test_verdict_is_a_plain_reading_of_the_list(spark):
+    """Rules learned from the table, applied in Python and by the emitted expression."""
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    learned = rule_list(docs, labels)
+    assert learned
+    got = {r["doc_id"]: r["kept"] for r in QUERIES["op6_quality_rules"](spark, FOLDER).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        m = dict(zip((c.split()[0] for c in rules.SCHEMA.split(", ")), rules.statistics(r["text"])))
+        words, chars = m["n_words"], m["word_chars"]
+        share = lambda a, b: a / b if b else 0.0
+        f = {"n_words": float(words), "mean_word_chars": share(chars, words), "symbol_share": share(m["n_symbols"], chars),
+             "mark_share": share(m["n_marks"], chars), "upper_share": share(m["n_upper"], chars), "digit_share": share(m["n_digits"], chars),
+             "dup_line_share": share(m["n_dup_lines"], m["n_lines"]), "repeat_share": share(m["n_repeat_words"], words),
+             "distinct_share": share(m["n_distinct"], words), "adjacent_share": share(m["n_adjacent"], words), "bare_share": share(m["n_bare"], words)}
+        bad = words < 10 or 100 * m["n_repeat_words"] > 20 * words
+        bad = bad or any(all((f[c.feature] >= c.cut) == c.at_least for c in rule) for rule in learned)
+        assert got[r["doc_id"]] == (not bad)
+
+
+def test_grades_by_plain_sums():
+    """The latent value, tails and expected grade of a fitted model from its numbers alone."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["good", "bad", "fine", "x1", "…"], k=rng.randint(0, 30))) for _ in range(120)]
+    model = quality.fit(texts, [float(i % 3) for i in range(120)])
+    for t in [*texts[:20], None, ""]:
+        latent = model.latent(t)
+        tails = [1 / (1 + math.exp(min(max(c - latent, -700), 700))) for c in model.thresholds]
+        got = model.tails(np.array([latent]))
+        assert got[0] == pytest.approx(tails)
+        grades = list(model.grades)
+        assert model.expected(got)[0] == pytest.approx(grades[0] + sum((b - a) * p for a, b, p in zip(grades, grades[1:], tails)))
+
+
 def test_spans_are_offsets_of_the_text():
     rng = random.Random(3)
     words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]

@@ -93,6 +93,20 @@ def test_one_row_of_each_class_stays(spark):
         [rows[0], rows[3], rows[4], rows[5], rows[6], rows[7]], docs.schema).collect()))
 
 
+def test_word_hashes_tell_words_apart_wherever_they_stand():
+    rng = random.Random(5)
+    words = list({"".join(rng.choices("abé你0-", k=rng.randint(1, 90))) for _ in range(4000)})
+    text = [rng.choice(words) for _ in range(9000)]
+    seen: dict[int, str] = {}
+    for lo, hi in ((0, 9000), (17, 18), (100, 7000)):
+        some = text[lo:hi]
+        hashes = minhash.word_hashes(" ".join(some).encode())
+        assert len(hashes) == len(some)
+        for w, h in zip(some, hashes.tolist()):
+            assert seen.setdefault(h, w) == w
+    assert len(seen) == len(set(text))
+
+
 def test_frequent_shingles_weigh_less(spark):
     shared_part = " ".join(f"s{i}" for i in range(12))
     texts = [f"{shared_part} " + " ".join(f"d{d}w{i}" for i in range(60)) for d in range(40)]
@@ -216,3 +230,21 @@ def test_awkward_vectors(spark, odd):
     for i in (3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14):
         assert by[i] == (0, i, True)
     assert by[None] == (0, None, False)
+
+
+def test_a_border_of_two_cells_full_of_near_copies_is_compared_at_once():
+    """Counting what meets in two cells takes no time per pair."""
+    import time
+
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    side = lambda home, guests: pd.DataFrame({
+        "node": np.arange(1500) + 10_000 * home, "x": [(base + 0.01 * rng.normal(size=16)).astype("<f8").tobytes() for _ in range(1500)],
+        "home": home, "guests": [guests] * 1500, "copies": 1})
+    started = time.perf_counter()
+    both = vectors.compare(side(5, [2]), side(2, [5]), 5, 0.93, "<f8")
+    other = vectors.compare(side(5, []), side(2, [5]), 5, 0.93, "<f8")
+    assert time.perf_counter() - started < 4
+    assert both["links"].sum() == 0 and other["links"].sum() == 2 * 1500 * 1500
+    assert len(both) == 2999
