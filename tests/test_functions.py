@@ -33,8 +33,8 @@ def test_days_since_counts_elapsed_days(spark, ts, days):
 
 
 @pytest.mark.parametrize("n, days, month, year", [
-    (100, 10, 300.0, 3650.0), (12, 365, 12 / (365 / 30), 12.0), (24, 730, 24 / (730 / 30), 12.0),
-    (100, 0, 0.0, 0.0), (100, -3, 0.0, 0.0)])
+    (9, 45, 6.0, 73.0), (7, 146, 7 / (146 / 30), 17.5), (31, 1000, 0.93, 31 / (1000 / 365)),
+    (17, 0, 0.0, 0.0), (17, -3, 0.0, 0.0)])
 def test_rates(spark, n, days, month, year):
     assert one(spark, dates.commits_per_month("n", "d"), n=n, d=days) == pytest.approx(month)
     assert one(spark, dates.releases_per_year("n", "d"), n=n, d=days) == pytest.approx(year)
