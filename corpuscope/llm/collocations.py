@@ -216,8 +216,8 @@ def _count(level: DataFrame, size: int, masks: list) -> DataFrame:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles = Tiles()
         for batch in batches:
-            for raw in batch.column("ids"):
-                tiles.add(*_pairs(np.frombuffer(raw.as_buffer(), "<i8")))
+            for ids in _ids_of(batch):
+                tiles.add(*_pairs(ids))
                 if tiles.held >= HELD:
                     tiles.merge()
                     if tiles.held >= HELD // 2:
@@ -228,16 +228,16 @@ def _count(level: DataFrame, size: int, masks: list) -> DataFrame:
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column("ids"):
-                for words, n in _phrases(np.frombuffer(raw.as_buffer(), "<i8"), size, [m.value for m in masks]):
+            for ids in _ids_of(batch):
+                for words, n in _phrases(ids, size, [m.value for m in masks]):
                     yield from rows(words, n)
 
-    counted = level.select("ids").mapInArrow(longer if masks else pairs, ", ".join(f"{c} long" for c in [*names, "n"]))
+    counted = level.select("wide", "ids").mapInArrow(longer if masks else pairs, ", ".join(f"{c} long" for c in [*names, "n"]))
     return counted.groupBy(*names).agg(F.sum("n").alias("f")).select(F.array(*names).alias("ids"), "f")
 
 
 def _level_ids(words: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``block, ids`` with ranked ids of the frequent words in place of the blocks' own numbers, other words left as gaps."""
+    """``block, wide, ids`` with ranked ids of the frequent words in place of the blocks' own numbers, other words left as gaps."""
     own = blocks.select("block", "lang", F.posexplode("words").alias("pos", "word"))
     met = own.join(words.select("lang", "word", "id"), ["lang", "word"]).select(
         F.col("block").alias("of"), "pos", "id")
@@ -248,17 +248,25 @@ def _level_ids(words: DataFrame, blocks: DataFrame) -> DataFrame:
         new[met["pos"].to_numpy(np.int64)] = met["id"].to_numpy(np.int64)
         return _dense(key[0], new[raw])
 
-    return blocks.select("block", "ids").groupBy("block").cogroup(met.groupBy("of")).applyInPandas(rename, "block long, ids binary")
+    return blocks.select("block", "ids").groupBy("block").cogroup(met.groupBy("of")).applyInPandas(
+        rename, "block long, wide boolean, ids binary")
 
 
 def _dense(block: int, ids: np.ndarray) -> pd.DataFrame:
-    """A row of a block's ids with a single gap between runs; none if there are fewer than two together."""
+    """A row of a block's ids with a single gap between runs, in four bytes each if they fit; none if there are no ids."""
     at = np.flatnonzero(ids >= 0)
     if not len(at):
-        return pd.DataFrame({"block": [], "ids": []})
+        return pd.DataFrame({"block": [], "wide": [], "ids": []})
     apart = np.flatnonzero(np.diff(at) > 1) + 1
     out = np.insert(ids[at], apart, -1)
-    return pd.DataFrame({"block": [block], "ids": [out.astype("<i8").tobytes()]})
+    wide = bool(out.max() >= 1 << 31)
+    return pd.DataFrame({"block": [block], "wide": [wide], "ids": [out.astype("<i8" if wide else "<i4").tobytes()]})
+
+
+def _ids_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The ids of each of the blocks in a batch."""
+    for wide, raw in zip(batch.column("wide").to_pylist(), batch.column("ids")):
+        yield np.frombuffer(raw.as_buffer(), "<i8" if wide else "<i4").astype(np.int64)
 
 
 def _longer(frequent: DataFrame, phrases: DataFrame, size: int) -> DataFrame:

@@ -88,15 +88,27 @@ def labelled(documents: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     return met.select("doc_id", "text", "quality", "toxic").orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id")
 
 
+#: Whether Spark deletes an execution's shuffle files when it ends, not when its driver's garbage is collected.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Kept:
-    """Tables written once below the shared folder, so that lost executors cost no recomputation."""
+    """Tables written once below the shared folder, so that lost executors cost no recomputation.
+
+    A written table needs no shuffle files any more, so they go with the write that made them.
+    """
 
     def __init__(self, spark: SparkSession, purpose: str) -> None:
         self.spark, self.purpose = spark, purpose
 
     def write(self, df: DataFrame) -> DataFrame:
         folder = shared_folder(self.spark, self.purpose)
-        df.write.parquet(folder)
+        before = self.spark.conf.get(CLEAN_UP, "false")
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(folder)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
         out = self.spark.read.schema(df.schema).parquet(folder)
         out.folder = folder
         return out
