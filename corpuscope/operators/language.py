@@ -13,7 +13,7 @@ of the order in which partitions arrive.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ ALPHABET_CUBED = 28 ** 3
 #: Trigram numbers: three symbols of five bits.
 CELLS = 32 ** 3
 SCALE = 1_000_000
+#: Bytes of text that are summed at a time.
+STRETCH = 1 << 20
 MIN_PROBABILITY = 0.1
 
 
@@ -46,18 +48,48 @@ def score_column(language: str) -> str:
     return f"lp_{language}"
 
 
+def count_trigrams(folded: pa.Array) -> np.ndarray:
+    """How often each trigram number occurs in folded texts, ``STRETCH`` bytes at a time."""
+    folded = folded.cast(pa.large_string())
+    total = np.zeros(CELLS + 1, np.int64)
+    if len(folded):
+        _, places, letters = folded.buffers()
+        bounds = np.frombuffer(places, np.int64)[folded.offset:folded.offset + len(folded) + 1]
+        data = np.frombuffer(letters or b"", np.uint8)[bounds[0]:bounds[-1]]
+        ends = bounds[1:] - bounds[0]
+        across = np.unique(np.concatenate([ends - 2, ends - 1]))  # where trigrams begin that no text holds
+        for lo in range(0, len(data) - 2, STRETCH):
+            code = data[lo:lo + STRETCH + 2].astype(np.int32) & 31
+            number = code[:-2] << 10 | code[1:-1] << 5 | code[2:]
+            number[across[slice(*np.searchsorted(across, [lo, lo + len(number)]))] - lo] = CELLS
+            total += np.bincount(number, minlength=CELLS + 1)
+    return total[:CELLS]
+
+
 def train_profile(documents: DataFrame, languages: Sequence[str], text: str = "text",
                   label: str = "lang") -> DataFrame:
     """Smoothed log-probability of each trigram in each language.
 
-    Trigram rows collapse in the map-side aggregation, so what is shuffled is bounded by
-    the alphabet too.
+    Texts are folded by Spark and counted in Arrow batches; a task sends one row a trigram, so what is
+    shuffled is bounded by the alphabet too.
     """
+    letters = {i: chr(i | 96) for i in (*range(1, 27), 30)} | {0: " "}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(languages), CELLS), np.int64)
+        for batch in batches:
+            for j, lang in enumerate(languages):
+                total[j] += count_trigrams(batch.column(1).filter(pc.equal(batch.column(0), lang)))
+        met = np.flatnonzero(total.any(axis=0))
+        names = ["".join(letters[i] for i in (n >> 10, n >> 5 & 31, n & 31)) for n in met.tolist()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), *(pa.array(row[met]) for row in total)], ["trigram", *(f"n_{x}" for x in languages)])
+
+    labelled = documents.filter(F.col(label).isin(*languages)).select(F.col(label).cast("string"), fold_letters(text).alias("folded"))
     counts = (
-        documents.filter(F.col(label).isin(*languages))
-        .select(F.col(label).alias("lang"), F.explode_outer(trigrams(text)).alias("trigram"))
-        .filter(F.col("trigram").isNotNull()).groupBy("trigram")
-        .agg(*[F.count_if(F.col("lang") == lang).alias(f"n_{lang}") for lang in languages])
+        labelled.filter(F.col("folded").isNotNull())
+        .mapInArrow(count, "trigram string, " + ", ".join(f"`n_{x}` bigint" for x in languages))
+        .groupBy("trigram").agg(*[F.sum(f"`n_{lang}`").alias(f"n_{lang}") for lang in languages])
     )
     totals = counts.agg(
         F.struct(*[F.sum(f"n_{lang}").alias(lang) for lang in languages]).alias("totals")).scalar()
@@ -87,21 +119,31 @@ def sums(folded: pa.Array, dense: np.ndarray) -> np.ndarray:
     """The summed log-probabilities of folded texts, a row a text.
 
     A folded text has one byte a symbol, and five bits of it tell the symbols apart. Three of them are a
-    trigram's number. Running sums over all texts of a batch give each text's sum as a difference.
+    trigram's number. Running sums give each text's sum as a difference. They are taken over ``STRETCH``
+    bytes at a time and go on across texts, so memory does not depend on how much text a batch holds.
     """
     folded = pc.fill_null(folded, "").cast(pa.large_string())
     _, places, letters = folded.buffers()
     bounds = np.frombuffer(places, np.int64)[folded.offset:folded.offset + len(folded) + 1] if len(folded) else np.zeros(1, np.int64)
     data = np.frombuffer(letters or b"", np.uint8)[bounds[0]:bounds[-1]]
     begins, ends = bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
-    code = data.astype(np.int32) & 31
-    number = code[:-2] << 10 | code[1:-1] << 5 | code[2:]
     last = np.maximum(ends - 2, begins)  # a text's trigrams begin before this place
+    # texts lie in order, so begins and last are sorted
     out = np.zeros((len(folded), dense.shape[1]), np.int64)
-    for j in range(dense.shape[1]):
-        total = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(dense[:, j][number], out=total[1:len(number) + 1])
-        out[:, j] = total[last] - total[begins]
+    before = np.zeros(dense.shape[1], np.int64)
+    for lo in range(0, len(data) + 1, STRETCH):
+        size = min(STRETCH, len(data) - lo)
+        code = data[lo:lo + size + 2].astype(np.int32) & 31
+        number = code[:-2] << 10 | code[1:-1] << 5 | code[2:]
+        here = [slice(*np.searchsorted(at, [lo, lo + STRETCH])) for at in (last, begins)]
+        for j in range(dense.shape[1]):
+            total = np.full(size + 1, before[j])
+            np.cumsum(dense[:, j][number], out=total[1:len(number) + 1])
+            total[1:len(number) + 1] += before[j]
+            total[len(number) + 1:] = total[len(number)]
+            out[here[0], j] += total[last[here[0]] - lo]
+            out[here[1], j] -= total[begins[here[1]] - lo]
+            before[j] = total[size]
     return out
 
 
