@@ -126,10 +126,11 @@ def _halves(key: str, half: int):
 
 def _validate_resumed(v):
     """Two runs, the first over half of the repositories and repeated, against one over all."""
-    out, mined = shared_folder(v.spark, "verdicts"), _rated(v)
+    # every run reads what was mined, and the profile of the same documents
+    out, mined, profile = shared_folder(v.spark, "verdicts"), written(_rated(v), "mined"), written(phase2._profile(v), "profile")
     for _ in range(2):
-        plans.validate_run(_halves("full_name", 0)(mined), v.files, v.documents, LANGS, out, "first")
-    found = plans.validate_run(mined, v.files, v.documents, LANGS, out, "second")
+        plans.validate_run(_halves("full_name", 0)(mined), v.files, v.documents, LANGS, out, "first", profile)
+    found = plans.validate_run(mined, v.files, v.documents, LANGS, out, "second", profile)
     return found.survivors.select("full_name", "stars", "readme_lang", "phase2_pass")
 
 
@@ -137,9 +138,9 @@ register("validate_resumed", _validate_resumed, phase2.VALIDATE_SQL)
 
 
 def _verdicts(v):
-    out, mined = shared_folder(v.spark, "verdicts"), _rated(v)
+    out, mined, profile = shared_folder(v.spark, "verdicts"), written(_rated(v), "mined"), written(phase2._profile(v), "profile")
     for half in (0, 1):
-        plans.validate_run(_halves("full_name", half)(mined), v.files, v.documents, LANGS, out, f"run {half}")
+        plans.validate_run(_halves("full_name", half)(mined), v.files, v.documents, LANGS, out, f"run {half}", profile)
     return readers.read_verdicts(v.spark, out)
 
 
@@ -162,11 +163,12 @@ register("mine_resumed", _mine_resumed, search.MINED_SQL)
 # -- streams -----------------------------------------------------------------------
 
 
-def _landing(v, table, purpose: str, files: int = 4):
-    """The table as files in a landing folder, taken in one per batch."""
+def _landing(v, table, purpose: str, batches: int = 4):
+    """The table as files in a landing folder, taken in by so many batches; a batch has a file a core."""
     folder = shared_folder(v.spark, purpose)
-    table.repartition(files).write.parquet(folder)
-    return st.read_landing(v.spark, folder, table.schema, max_files=1)
+    cores = v.spark.sparkContext.defaultParallelism
+    table.repartition(batches * cores).write.parquet(folder)
+    return st.read_landing(v.spark, folder, table.schema, max_files=cores)
 
 
 def _stream_detect(v):

@@ -32,11 +32,17 @@ def detect(repos: DataFrame, commits: DataFrame, files: DataFrame,
     """Mentions, summaries and totals; repositories in ``done`` are left out.
 
     ``select`` chooses among the repositories still to do (``select_top``, ``select_random``).
-    All commits are read unless ``cap`` asks for the first ones of each repository only.
+    All commits are read unless ``cap`` asks for the first ones of each repository only. Where
+    repositories are left out, the texts of the others are picked before they are searched, which costs
+    more than to move them.
 
     The mentions are written once: they are a result and what the summary is made from.
     """
     todo = select(repos if done is None else resume_anti_join(repos, done))
+    if done is not None or select is not select_all:
+        # stored, since several joins read it: only names, and Spark knows how many
+        names = written(scanned_repos(todo, include_catalog).select("full_name").distinct(), "todo")
+        commits, files = (t.join(names, "full_name", "left_semi") for t in (commits, files))
     mentions = written(
         detect_repo_mentions(todo, commits, files, tax, cap, include_catalog), "mentions")
     summary = repo_summary(mentions, scanned_repos(todo, include_catalog), commits, cap)

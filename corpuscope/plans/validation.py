@@ -31,14 +31,15 @@ class Validated:
 
 def validate(mined: DataFrame, files: DataFrame | None = None,
              labelled: DataFrame | None = None, languages: Sequence[str] = (),
-             known: DataFrame | None = None) -> Validated:
+             known: DataFrame | None = None, profile: DataFrame | None = None) -> Validated:
     """All gates in order, cheapest first.
 
     With ``files`` and a labelled corpus the READMEs of the repositories that pass the other gates
     are scored where they are read and the scores are joined, so no README is shuffled if ``files``
     is stored in buckets of ``full_name``; without them only stage A runs. ``known`` holds
     verdicts of an earlier run (``full_name, readme_lang, readme_lang_conf``): they are
-    taken as they are, and the READMEs of these repositories are left out. The staged table and the
+    taken as they are, and the READMEs of these repositories are left out. ``profile`` is a stored
+    ``train_profile`` of the same corpus, if there is one. The staged table and the
     verdicts are written once, because several results start from them.
     """
     staged = written(stage_a(mined), "staged")
@@ -46,7 +47,8 @@ def validate(mined: DataFrame, files: DataFrame | None = None,
         kept = survivors(staged)
         return Validated(kept.withColumn("phase2_pass", F.lit(True)), excluded(staged), funnel(staged))
     # small, but it costs a pass over the labelled corpus
-    profile = written(train_profile(labelled, languages), "profile")
+    if profile is None:
+        profile = written(train_profile(labelled, languages), "profile")
     names = survivors(staged).select("full_name")
     if known is not None:
         known = known.select("full_name", "readme_lang", "readme_lang_conf")
@@ -58,12 +60,12 @@ def validate(mined: DataFrame, files: DataFrame | None = None,
 
 
 def validate_run(mined: DataFrame, files: DataFrame, labelled: DataFrame, languages: Sequence[str],
-                 out: str, run: str) -> Validated:
+                 out: str, run: str, profile: DataFrame | None = None) -> Validated:
     """One resumable validation: README verdicts of other runs below ``out`` are taken as they are.
 
     New verdicts are added when all are told. A run that died is repeated under its name.
     """
     known = read_verdicts(mined.sparkSession, out, before=run)
-    found = validate(mined, files, labelled, languages, known)
+    found = validate(mined, files, labelled, languages, known, profile)
     append_verdicts(found.verdicts, out, run)
     return found
