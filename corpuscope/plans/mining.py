@@ -86,8 +86,11 @@ def mine_run(repos: DataFrame, hits: DataFrame, details: DataFrame, commits: Dat
     chosen = lambda p: p.join(todo, "query_id", "left_semi")
     now = written(found_by_search(repos, tax, simple, select=chosen), "found")
     before = manifest.read(FOUND, ["found"])
-    new = resume_anti_join(now, before).select("full_name")
-    mined = mine(hits.join(new, "full_name", "left_semi"), details, commits, releases, languages, files, as_of, tax)
+    new = written(resume_anti_join(now, before).select("full_name"), "new")
+    facts = [details, commits, releases, languages, files]
+    if "found" in manifest.entries():  # a run that goes on: what earlier ones have mined is not added up again
+        facts = [t.join(new, "full_name", "left_semi") for t in facts]
+    mined = mine(hits.join(new, "full_name", "left_semi"), *facts, as_of, tax)
     old = manifest.read(mined.schema, ["results"])
     found = before.unionByName(now.select("full_name", F.col("first_query_id").cast("long").alias("first_query_id")))
     parts = {"results": old.unionByName(mined), "queries": done.unionByName(todo),
