@@ -86,14 +86,15 @@ def detect_mentions(df: DataFrame, artifact: str, text: str,
         .withColumns({
             "_date": date.cast("timestamp"), "_provenance": provenance,
             "context_snippet": pick(F.lit(TRAILER["context_snippet"]), snippet)})
+        .withColumn("_lowered", F.lower("context_snippet"))  # once; some sixty cues read it
         .withColumn("context_type", pick(
-            F.lit(TRAILER["context_type"]), fx.classify_context("context_snippet")))
+            F.lit(TRAILER["context_type"]), fx.classify_context("context_snippet", "_lowered")))
         .withColumn("testing_relevant", pick(F.lit(None).cast("boolean"), related))
     )
     return typed.select(
         F.col("full_name").alias("repo_id"),
         pick(F.lit(TRAILER["artifact"]), F.lit(artifact)).alias("source_artifact"), "keyword",
-        pick(F.lit(TRAILER["mention_type"]), fx.mention_type("context_snippet")).alias("mention_type"),
+        pick(F.lit(TRAILER["mention_type"]), fx.mention_type("context_snippet", "_lowered")).alias("mention_type"),
         "context_type", "testing_relevant",
         pick(F.lit(TRAILER["score"]), fx.confidence(
             F.lit(artifact), "context_type", "testing_relevant")).alias("confidence_score"),
