@@ -53,12 +53,13 @@ def _still_to_do(plan: DataFrame, done: DataFrame | None, select: Callable[[Data
 def mine_from_search(repos: DataFrame, hits: DataFrame, details: DataFrame, commits: DataFrame,
                      releases: DataFrame, languages: DataFrame, files: DataFrame, as_of,
                      tax: tx.Taxonomy = tx.DEFAULT, simple: bool = False) -> DataFrame:
-    """Plan, search, first hit, enrichment, gates and best rows in one plan.
+    """Plan, search, first hit, enrichment, gates and best rows.
 
     ``repos`` is what the search looks at, ``hits`` what it returns of a repository. Only names
-    and query numbers leave the search; ``first_query_id`` is kept beside the mined columns.
+    and query numbers leave the search, and they are written once, because they choose the hits and
+    come back at the end; ``first_query_id`` is kept beside the mined columns.
     """
-    found = found_by_search(repos, tax, simple)
+    found = written(found_by_search(repos, tax, simple), "found")
     mined = mine(hits.join(found, "full_name", "left_semi"), details, commits, releases, languages,
                  files, as_of, tax)
     return sort_output(mined.join(found, "full_name"))

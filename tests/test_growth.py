@@ -5,12 +5,14 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from checks import io
 from checks.views import VIEWS, Views, parts_of
-from corpuscope import plans
-from corpuscope.operators import language as lg, mentions as mn
+from corpuscope import plans, taxonomy as tx
+from corpuscope.functions import text as fx
+from corpuscope.operators import files as fo, language as lg, mentions as mn
 from corpuscope.plans import detection, mining, validation
 from corpuscope.sources.manifest import Manifest
 
@@ -103,3 +105,36 @@ def test_a_mining_run_that_goes_on_adds_up_new_repositories_only(spark, tmp_path
         [r["full_name"] for r in t.collect()] for t in facts[:5]) or hits)
     plans.mine_run(names, names, names, names, names, names, names, "2026-01-01", str(tmp_path))
     assert seen == [["b/b"]] * 5
+
+
+def test_terms_are_counted_as_by_replacement(spark):
+    terms = {"a": ("aa", "é", "b c", "zz", "B C"), "b": ("x", "aa")}
+    texts = ["", None, "a", "aaaa aé", "b cb c zz", "x" * 5, "aaa\u20ac", "no term", "éé b c" * 300]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    want = df.select("i", *[fx.lowered_keyword_count("t", w).alias(n) for n, w in terms.items()], fx.library_hits("t", terms["a"]).alias("c"))
+    got = df.select("i", fo.term_counts(F.col("t"), terms, {"c": terms["a"]}).alias("n")).select("i", "n.*")
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_few_terms_are_searched_for():
+    """A text is searched only for terms whose neighbouring bytes it holds."""
+    class Text(bytes):
+        def count(self, term):
+            sought.append(term)
+            return bytes.count(self, term)
+
+    sought = []
+    terms = [b"openai", b"tion", b"q", b"gpt-4"]
+    assert fo.counter(terms)(Text(b"station to station")).tolist() == [0, 2, 0, 0]
+    assert sought == [b"tion", b"q"]
+
+
+def test_the_search_is_evaluated_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mining, "found_by_search", lambda *_: seen.append(1) or spark.createDataFrame([("a/b", 3)], "full_name string, first_query_id long"))
+    monkeypatch.setattr(mining, "mine", lambda hits, *_: hits)
+    monkeypatch.setattr(mining, "sort_output", lambda df: df)
+    hits = spark.createDataFrame([("a/b",), ("c/d",)], "full_name string")
+    mined = mining.mine_from_search(hits, hits, *[None] * 6)
+    assert seen == [1] and any("/found-" in f for f in mined.inputFiles())
+    assert [tuple(r) for r in mined.collect()] == [("a/b", 3)]
