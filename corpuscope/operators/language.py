@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import taxonomy as tx
 from ..functions import text as fx
@@ -48,6 +48,63 @@ def score_column(language: str) -> str:
     return f"lp_{language}"
 
 
+class Folding:
+    """:func:`fold_letters` for Arrow arrays: what each character is folded to, looked up in a table.
+
+    The table is made by Spark's own functions. A character that lower case makes several of is replaced first.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+        chars = spark.range(0xD800).union(spark.range(0xE000, 0x110000)).select("id", F.lower(char).alias("lower"))
+        # within the blanks that a folded text is padded by
+        told = chars.select("id", "lower", F.substring(fold_letters("lower"), 2, 1).alias("symbol")).where(
+            (F.length("lower") > 1) | ~F.col("symbol").isin("", " ")).toArrow()
+        ids, several = told["id"].to_numpy(), pc.greater(pc.utf8_length(told["lower"]), 1).to_numpy(zero_copy_only=False)
+        self.several = {chr(i): lower for i, lower in zip(ids[several].tolist(), told["lower"].filter(pa.array(several)).to_pylist())}
+        self.table = np.full(int(ids.max()) + 2, ord(" "), np.uint8)  # no letter lies behind the last place
+        self.table[ids] = [ord(x[:1] or " ") for x in told["symbol"].to_pylist()]
+
+    def _symbols(self, text: str) -> np.ndarray:
+        parts = [np.frombuffer(text[lo:lo + STRETCH].encode("utf-32-le"), "<u4") for lo in range(0, len(text), STRETCH)]
+        return np.concatenate([np.zeros(0, np.uint8), *(self.table[np.minimum(p, len(self.table) - 1)] for p in parts)])
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        """The folded texts; null ones as empty ones. About ``STRETCH`` bytes are folded at a time, and a longer text alone."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        folded, lo = [pa.array([], pa.large_string())], 0
+        while lo < len(texts):
+            hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STRETCH, "right")), lo + 1)
+            folded.append(self._fold(texts[lo:hi]))
+            lo = hi
+        return pa.concat_arrays(folded)
+
+    def _fold(self, texts: pa.Array) -> pa.Array:
+        rows = texts.to_pylist()
+        for char, lower in self.several.items():
+            rows = [t.replace(char, lower) for t in rows]
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        end = np.cumsum(size)
+        symbols = np.insert(self._symbols("".join(rows)), np.stack([end - size, end], 1).ravel(), ord(" "))
+        begin = end - size + 2 * np.arange(len(rows))
+        kept = symbols != ord(" ")
+        kept[1:] |= kept[:-1]  # of a run of blanks the first stays
+        kept[begin] = True
+        places = np.concatenate([[0], np.cumsum(np.add.reduceat(kept, begin, dtype=np.int64))])
+        return pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(places), pa.py_buffer(symbols[kept]))
+
+
+_FOLDING: list[Folding] = []
+
+
+def folding(spark: SparkSession) -> Folding:
+    """The table, made once."""
+    if not _FOLDING:
+        _FOLDING.append(Folding(spark))
+    return _FOLDING[0]
+
+
 def count_trigrams(folded: pa.Array) -> np.ndarray:
     """How often each trigram number occurs in folded texts, ``STRETCH`` bytes at a time."""
     folded = folded.cast(pa.large_string())
@@ -70,24 +127,25 @@ def train_profile(documents: DataFrame, languages: Sequence[str], text: str = "t
                   label: str = "lang") -> DataFrame:
     """Smoothed log-probability of each trigram in each language.
 
-    Texts are folded by Spark and counted in Arrow batches; a task sends one row a trigram, so what is
+    Texts are folded and counted in Arrow batches; a task sends one row a trigram, so what is
     shuffled is bounded by the alphabet too.
     """
+    fold = folding(documents.sparkSession)
     letters = {i: chr(i | 96) for i in (*range(1, 27), 30)} | {0: " "}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), CELLS), np.int64)
         for batch in batches:
             for j, lang in enumerate(languages):
-                total[j] += count_trigrams(batch.column(1).filter(pc.equal(batch.column(0), lang)))
+                total[j] += count_trigrams(fold(batch.column(1).filter(pc.equal(batch.column(0), lang))))
         met = np.flatnonzero(total.any(axis=0))
         names = ["".join(letters[i] for i in (n >> 10, n >> 5 & 31, n & 31)) for n in met.tolist()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), *(pa.array(row[met]) for row in total)], ["trigram", *(f"n_{x}" for x in languages)])
 
-    labelled = documents.filter(F.col(label).isin(*languages)).select(F.col(label).cast("string"), fold_letters(text).alias("folded"))
+    labelled = documents.filter(F.col(label).isin(*languages)).select(F.col(label).cast("string"), F.col(text).cast("string").alias("text"))
     counts = (
-        labelled.filter(F.col("folded").isNotNull())
+        labelled.filter(F.col("text").isNotNull())
         .mapInArrow(count, "trigram string, " + ", ".join(f"`n_{x}` bigint" for x in languages))
         .groupBy("trigram").agg(*[F.sum(f"`n_{lang}`").alias(f"n_{lang}") for lang in languages])
     )
@@ -151,20 +209,20 @@ def scores(texts: Column, profile: DataFrame, languages: Sequence[str]) -> Colum
     """Each text's summed log-probability in each language, for an array of texts: an array of structs.
 
     Trigrams that the training corpus never showed add nothing; a text without a known one
-    gets NULLs. Texts are folded by Spark and summed in Arrow batches.
+    gets NULLs. Texts are folded and summed in Arrow batches.
     """
-    dense = dense_profile(profile, languages)
+    dense, fold = dense_profile(profile, languages), folding(profile.sparkSession)
     columns = [score_column(lang) for lang in languages]
 
     @F.arrow_udf("array<struct<" + ",".join(f"{c}:bigint" for c in columns) + ">>")
     def summed(lists: pa.Array) -> pa.Array:
-        found = sums(lists.flatten(), dense)
+        found = sums(fold(lists.flatten()), dense)
         known = found[:, 0] != 0
         fields = [pa.array(found[:, j], pa.int64(), mask=~known) for j in range(len(columns))]
         offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays(fields, names=columns))
 
-    return summed(F.transform(texts, fold_letters))
+    return summed(texts)
 
 
 def best(sums: Column, languages: Sequence[str]) -> Column:

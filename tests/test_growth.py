@@ -138,3 +138,32 @@ def test_the_search_is_evaluated_once(spark, monkeypatch):
     mined = mining.mine_from_search(hits, hits, *[None] * 6)
     assert seen == [1] and any("/found-" in f for f in mined.inputFiles())
     assert [tuple(r) for r in mined.collect()] == [("a/b", 3)]
+
+
+def test_folding_is_that_of_the_columns(spark):
+    texts = ["", None, "  ", "Ab, ab é", "İstanbul K\u212a ΣΑΣ", "ǅ 你好 𝒜𐐀 \ufeffx", "a" * 50 + "  -- " * 9, "\n", "ß", "\u0345a1b"]
+    texts += ["".join(chr(c) for c in range(lo, lo + 997) if not 0xD800 <= c < 0xE000) for lo in range(1, 0x32400, 997)]
+    want = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1).select(lg.fold_letters("t")).collect()]
+    fold = lg.folding(spark)
+    for stretch in (7, 1 << 20):
+        fold_small = pytest.MonkeyPatch()
+        fold_small.setattr(lg, "STRETCH", stretch)
+        got = fold(pa.array(texts)).to_pylist()
+        fold_small.undo()
+        assert [t if t.strip() else "" for t in got] == [t if t and t.strip() else "" for t in want]
+
+
+def test_tokens_are_split_once_for_all_rules(spark):
+    rows = spark.createDataFrame([("My Demo labs", ["x"]), ("plain", [" Tutorial "]), ("plain", None), (None, None)], "t string, p array<string>")
+    hit = rows.select(fx.tutorial_hit("t", "p").alias("h"))
+    assert hit._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r["h"] and r["h"]["token"] for r in hit.collect()] == ["demo", "tutorial", None, None]
+
+
+def test_texts_without_code_and_links_are_cleaned_alike(spark):
+    texts = ["a `b` c", "```x``` `", "see http://a.b/c `d://e` #f", "a:```b```//c", "``", None, "plain text", "https://x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    plain = F.col("t")
+    for pattern in ("(?s)" + tx.CODE_FENCE, tx.INLINE_CODE, "(?U)" + tx.URL, tx.MARKDOWN_MARKS):
+        plain = F.regexp_replace(plain, pattern, " ")
+    assert df.where(~fx.clean_readme("t").eqNullSafe(plain)).count() == 0
