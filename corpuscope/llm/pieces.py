@@ -362,3 +362,17 @@ def decode(ids: Column, shared) -> Column:
         return pd.Series([vocabulary.decode([] if x is None else x.tolist()) for x in lists], dtype=object)
 
     return run(ids)
+
+
+def round_trip(text: Column, shared) -> Column:
+    """``ids`` of whole texts as by :func:`encode` and the ``text`` they decode to as by :func:`decode`, as a struct.
+
+    Spark would encode a text again for a decoding that is given its encoding.
+    """
+    @F.pandas_udf("ids array<int>, text string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        vocabulary = _vocabulary(shared)
+        ids = vocabulary.encode_all(texts.fillna("").tolist())
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "text": [vocabulary.decode(x.tolist()) for x in ids]})
+
+    return run(text)

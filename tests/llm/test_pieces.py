@@ -2,10 +2,11 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
 from corpuscope.llm import pieces
-from corpuscope.llm.queries import QUERIES
+from corpuscope.llm.queries import QUERIES, shared
 
 from .conftest import SMALL
 
@@ -126,3 +127,15 @@ def test_the_librarys_ids(vocabulary, library):
 def test_query_decodes_to_the_texts(spark):
     rows = QUERIES["op1_sentencepiece"](spark, SMALL).collect()
     assert all(r["decodes_to_text"] and r["n_ids"] == len(r["ids"]) for r in rows)
+
+
+def test_a_text_is_encoded_once(spark, tmp_path):
+    texts = ["", None, "two words", "two words", "ünïcode 你好 \U0001f600  x", "▁ in it"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op1_sentencepiece"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("run(") == 1
+    vocabulary = shared(spark, pieces.Vocabulary.read(PATH))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ids = pieces.encode(F.col("text"), vocabulary)
+    want = docs.select("doc_id", ids, F.size(ids).cast("long"), pieces.decode(ids, vocabulary) == F.coalesce("text", F.lit("")))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, want.collect())))
