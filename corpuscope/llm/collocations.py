@@ -6,10 +6,11 @@ are mostly empty, as sorted coordinates. For longer phrases the frequent pairs o
 numbered by frequency again, and two that overlap in all but a word at each end are a pair of the next
 level; so it goes on to the longest phrases.
 
-Texts are read once, into blocks of word numbers with a dictionary of their own. A dictionary meets the
-table of frequent words in a join, so no vocabulary is broadcast or held whole by a task. Which phrases
-of a block may be frequent is told by a filter of fixed size; one that it lets through by mistake is
-counted and then falls short like any other.
+Texts are read once, into blocks of word numbers; a task's blocks share a dictionary, a book. The entries of
+all books are dealt out by word once. Where a word's entries meet, they are added up, the word gets its id,
+and each book is told the ids of its words as two arrays, so no vocabulary is broadcast or held whole by
+a task. Which phrases of a block may be frequent is told by a filter of fixed size; one that it lets
+through by mistake is counted and then falls short like any other.
 """
 
 from __future__ import annotations
@@ -19,25 +20,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuscope.operators.ranking import top_k_per_group
 
-from .common import Kept, numbered
+from .common import Kept, give_back
 
 #: Words of the longest phrase, occurrences from which a phrase is a candidate, percent of a phrase's
 #: occurrences that a longer one must reach to replace it, phrases told per language.
 LONGEST, LEAST, INSIDE, TOLD = 5, 100, 100, 2000
 UNKNOWN = "und"
-#: Words of a block, ids on a side of the dense tile, and sparse cells a task holds before it hands them on.
-BLOCK, SIDE, HELD = 1 << 20, 1 << 10, 1 << 20
+#: Words of a block and different ones of a book, blocks of a book, and entries of books that meet in a task on average.
+BLOCK, BOOK, ENTRIES = 1 << 20, 16, 1 << 20
+#: Ids on a side of the dense tile, and sparse cells a task holds before it hands them on.
+SIDE, HELD = 1 << 10, 1 << 20
 #: Bits of the filter that phrases which cannot be frequent are dropped by, whatever the corpus: 8 MB.
 FILTER = 1 << 26
 #: Lower-cased letters; piece ends become line breaks, blanks become spaces.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else 10 if i in b".,;:!?\n\v\f\r" else 32 if i == 9 else i for i in range(256))
 
 _U = np.uint64
-BLOCKS = "block long, lang string, words array<string>, counts array<long>, ids binary"
+BLOCKS = "book long, lang string, words array<string>, counts array<long>, ids binary"
+RANKED = "lang string, word string, f long, part int, rank long, book long, at binary, ranks binary"
 
 
 class _Dictionary(dict):
@@ -47,35 +52,93 @@ class _Dictionary(dict):
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word numbers of many texts of one language at a time, -1 at the end of a piece."""
-    schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
+    """Word numbers of many texts of one language at a time, -1 at the end of a piece; after a book's blocks its words."""
+    schema = pa.schema([("book", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())),
+                        ("ids", pa.binary())])
     held: dict[str, tuple[_Dictionary, list[np.ndarray]]] = {}
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, (known, parts) in held.items():
-            ids = np.concatenate(parts)
-            words = list(known)[1:]  # the first is the piece end
-            counts = np.bincount(ids + 1, minlength=len(words) + 1)[1:]
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([[w.decode() for w in words]], schema.field(1).type),
-                                              pa.array([counts.tolist()], schema.field(2).type),
-                                              pa.array([ids.astype("<i4").tobytes()])], schema=schema)
-        held.clear()
+    counts: dict[str, np.ndarray] = {}
+    task = TaskContext.get().partitionId() if TaskContext.get() else 0
+    book, size, blocks = task << 32, 0, 0
+
+    def row(number: int, lang: str, words: list | None, n: list | None, ids: bytes | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((number, lang, words, n, ids), schema)], schema=schema)
+
+    def numbers(first: int) -> Iterator[pa.RecordBatch]:
+        for at, (lang, (known, parts)) in enumerate(held.items()):
+            if parts:
+                ids = np.concatenate(parts)
+                n = np.bincount(ids + 1, minlength=len(known))[1:]  # the first stands for piece ends
+                n[:len(counts.get(lang, ()))] += counts.get(lang, 0)
+                counts[lang] = n
+                parts.clear()
+                yield row(first + at, lang, None, None, ids.astype("<i4").tobytes())
+
+    def words(first: int) -> Iterator[pa.RecordBatch]:
+        for at, (lang, (known, _)) in enumerate(held.items()):
+            yield row(first + at, lang, [w.decode() for w in list(known)[1:]], counts[lang].tolist(), None)
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text:
-                words = text.encode().translate(_FOLD).replace(b"\n", b" . ").split()
+                found = text.encode().translate(_FOLD).replace(b"\n", b" . ").split()
                 if lang not in held:
                     held[lang] = _Dictionary({b".": 0}), []
                 known, parts = held[lang]
-                parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)) - 1)
+                parts.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)) - 1)
                 parts.append(np.full(1, -1, np.int32))
-                size += len(words)
+                size += len(found)
                 if size >= BLOCK:
-                    yield from flush()
-                    size = 0
-    yield from flush()
+                    yield from numbers(book)
+                    size, blocks = 0, blocks + 1
+                    if blocks == BOOK or sum(len(k) for k, _ in held.values()) >= BLOCK:
+                        yield from words(book)
+                        book, blocks = book + len(held), 0
+                        held.clear()
+                        counts.clear()
+    yield from numbers(book)
+    yield from words(book)
+    held.clear()
+    give_back()  # a book is far larger than what a worker needs otherwise
+
+
+def _ranked(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """From all entries ``book, lang, at, word, n`` of some words: the words of at least ``least`` occurrences, ranked among
+    themselves by falling frequency, and for each book where its words have which rank."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()), ("part", pa.int32()), ("rank", pa.int64()),
+                        ("book", pa.int64()), ("at", pa.binary()), ("ranks", pa.binary())])
+    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    batches = list(batches)
+    if not batches:
+        return
+    entries = pa.Table.from_batches(batches).combine_chunks()
+    del batches
+    langs, words = (entries[c].combine_chunks().dictionary_encode() for c in ("lang", "word"))
+    cell = langs.indices.to_numpy().astype(np.int64) * max(len(words.dictionary), 1) + words.indices.to_numpy()
+    cells, one, of = np.unique(cell, return_index=True, return_inverse=True)
+    f = np.zeros(len(cells), np.int64)
+    np.add.at(f, of, entries["n"].to_numpy())
+    met = np.flatnonzero(f >= least)
+    lang, word = (c.take(pa.array(one[met])).to_pylist() for c in (langs, words))
+    order = sorted(range(len(met)), key=lambda i: (-f[met[i]], lang[i], word[i]))  # the same in every attempt
+    for lo in range(0, len(order), 1 << 14):
+        some = order[lo:lo + (1 << 14)]
+        n = len(some)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([lang[i] for i in some], pa.string()), pa.array([word[i] for i in some], pa.string()), pa.array(f[met[some]]),
+            pa.array(np.full(n, part, np.int32)), pa.array(np.arange(lo, lo + n)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
+            pa.nulls(n, pa.binary())], schema=schema)
+    rank = np.full(len(cells), -1, np.int64)
+    rank[met[order]] = np.arange(len(order))
+    rank = rank[of]
+    known = np.flatnonzero(rank >= 0)
+    book, at = (entries[c].to_numpy()[known] for c in ("book", "at"))
+    by = np.lexsort((at, book))
+    books, first = np.unique(book[by], return_index=True)
+    for number, some in zip(books.tolist(), np.split(by, first[1:]) if len(books) else []):
+        yield pa.RecordBatch.from_arrays([
+            pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.nulls(1, pa.int64()),
+            pa.array([number], pa.int64()), pa.array([at[some].astype("<i4").tobytes()]), pa.array([rank[known][some].astype("<i8").tobytes()])],
+            schema=schema)
 
 
 def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +263,33 @@ def _phrases(ids: np.ndarray, size: int, masks: list[np.ndarray]) -> Iterator[tu
         yield np.concatenate([ids[spots[a][:, None] + np.arange(size - 1)], ids[spots[b] + size - 2][:, None]], 1), n
 
 
+def _summed(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The phrases of many blocks with equal ones added up, as far as ``HELD`` of them reach."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merge() -> None:
+        words, n = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort(words.T[::-1])
+        words = words[order]
+        first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)]))
+        held[:] = [(words[first], np.add.reduceat(n[order], first))]
+
+    size = 0
+    for words, n in found:
+        if len(n):
+            held.append((words, n))
+            size += len(n)
+        if size >= HELD:
+            merge()
+            size = len(held[0][1])
+            if size >= HELD // 2:
+                yield held.pop()
+                size = 0
+    if held:
+        merge()
+        yield held.pop()
+
+
 def _count(level: DataFrame, size: int, masks: list) -> DataFrame:
     """``ids, n``: how often each phrase of ``size`` words occurs, added up over parts of the table.
 
@@ -227,29 +317,46 @@ def _count(level: DataFrame, size: int, masks: list) -> DataFrame:
             yield from rows(np.stack([a, b], 1), n)
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids in _ids_of(batch):
-                for words, n in _phrases(ids, size, [m.value for m in masks]):
-                    yield from rows(words, n)
+        told = [m.value for m in masks]
+        for words, n in _summed(found for batch in batches for ids in _ids_of(batch) for found in _phrases(ids, size, told)):
+            yield from rows(words, n)
 
     counted = level.select("wide", "ids").mapInArrow(longer if masks else pairs, ", ".join(f"{c} long" for c in [*names, "n"]))
     return counted.groupBy(*names).agg(F.sum("n").alias("f")).select(F.array(*names).alias("ids"), "f")
 
 
-def _level_ids(words: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``block, wide, ids`` with ranked ids of the frequent words in place of the blocks' own numbers, other words left as gaps."""
-    own = blocks.select("block", "lang", F.posexplode("words").alias("pos", "word"))
-    met = own.join(words.select("lang", "word", "id"), ["lang", "word"]).select(
-        F.col("block").alias("of"), "pos", "id")
+def _frequent_words(kept: Kept, blocks: DataFrame, size: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """``lang, word, f, id`` of the frequent words, and ``book, at, ranks, part, parts``: which numbers of a book have
+    which rank in which part.
 
-    def rename(key: tuple, block: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
-        raw = np.frombuffer(block["ids"].iloc[0], "<i4")
-        new = np.full(int(raw.max(initial=-1)) + 2, -1, np.int64)  # the last place stands for -1
-        new[met["pos"].to_numpy(np.int64)] = met["id"].to_numpy(np.int64)
-        return _dense(key[0], new[raw])
-
-    return blocks.select("block", "ids").groupBy("block").cogroup(met.groupBy("of")).applyInPandas(
-        rename, "block long, wide boolean, ids binary")
+    An id counts the ranks of the parts in turn: the first words of all parts, then the second ones, so the most
+    frequent words have the smallest ids. The books have ``size`` entries, which tells how many parts there must be.
+    """
+    entries = blocks.where(F.col("words").isNotNull()).select("book", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
+    dealt = entries.select("book", "lang", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    least_parts = size // ENTRIES
+    many = least_parts > int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(*([least_parts] if many else []), "lang", "word")
+    ranked = kept.write(dealt.mapInArrow(lambda batches: _ranked(batches, least), RANKED))
+    parts = (ranked.agg(F.max("part")).first()[0] or 0) + 1
+    words = ranked.where(F.col("word").isNotNull()).select("lang", "word", "f", (F.col("rank") * parts + F.col("part")).alias("id"))
+    return words, ranked.where(F.col("book").isNotNull()).select("book", "at", "ranks", "part", F.lit(parts).cast("long").alias("parts"))
+
+
+def _level_ids(blocks: DataFrame, met: DataFrame) -> DataFrame:
+    """``block, wide, ids`` with the ids of the frequent words in place of the books' own numbers, other words left as gaps."""
+    def rename(key: tuple, blocks: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        of = [(np.frombuffer(at, "<i4"), np.frombuffer(ranks, "<i8") * parts + part) for at, ranks, part, parts in zip(
+            met["at"], met["ranks"], met["part"], met["parts"])]
+        raws = [np.frombuffer(raw, "<i4") for raw in blocks["ids"]]
+        highest = max([*(int(raw.max(initial=-1)) for raw in raws), *(int(at.max()) for at, _ in of)], default=-1)
+        new = np.full(highest + 2, -1, np.int64)  # the last place stands for -1
+        for at, ids in of:
+            new[at] = ids
+        return pd.concat([_dense(key[0], new[raw]) for raw in raws] or [_dense(key[0], np.zeros(0, np.int64))])
+
+    ids = blocks.where(F.col("ids").isNotNull()).select("book", "ids")
+    return ids.groupBy("book").cogroup(met.groupBy("book")).applyInPandas(rename, "block long, wide boolean, ids binary")
 
 
 def _dense(block: int, ids: np.ndarray) -> pd.DataFrame:
@@ -311,15 +418,13 @@ def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     """
     kept = Kept(documents.sparkSession, "collocations")
     rows = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    made = rows.mapInArrow(_blocks, BLOCKS.split(", ", 1)[1])
-    blocks = kept.write(made.select(F.monotonically_increasing_id().alias("block"), "*"))
-    words = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(
-        F.sum("w.counts").alias("f"))
-    totals = kept.write(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("n")).groupBy("lang").agg(
-        F.sum("n").alias("n")))
-    frequent = numbered(kept, words.where(F.col("f") >= least), "id", F.col("f").desc()).withColumn("id", F.col("id") - 1)
-    phrases = frequent.select(F.array("id").alias("ids"), "lang", F.col("word").alias("phrase"), F.array("f").alias("first"), F.array("f").alias("last"))
-    level = kept.write(_level_ids(frequent, blocks))
+    blocks = kept.write(rows.mapInArrow(_blocks, BLOCKS))
+    totals = kept.write(blocks.where(F.col("words").isNotNull()).select(
+        "lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("n"), F.size("counts").cast("long").alias("size")).groupBy(
+            "lang").agg(F.sum("n").alias("n"), F.sum("size").alias("size")))
+    words, met = _frequent_words(kept, blocks, totals.agg(F.sum("size")).first()[0] or 0, least)
+    phrases = words.select(F.array("id").alias("ids"), "lang", F.col("word").alias("phrase"), F.array("f").alias("first"), F.array("f").alias("last"))
+    level = kept.write(_level_ids(blocks, met))
     kept.drop(blocks)
     found, masks = [], []
     for size in range(2, longest + 1):
@@ -341,7 +446,7 @@ def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     every = candidates[0]
     for more in candidates[1:]:
         every = every.unionByName(more)
-    scored = every.join(totals, "lang").withColumn("cut", _weakest_cut(F.col("n"))).select(
+    scored = every.join(totals.select("lang", "n"), "lang").withColumn("cut", _weakest_cut(F.col("n"))).select(
         "lang", "phrase", whole("first").alias("a"), "cut.l", "cut.r", "n", "cut.score")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     best = top_k_per_group(scored, ["lang"], order, told, spread=["phrase"])

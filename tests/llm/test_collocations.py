@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from checks import compare
@@ -112,3 +113,77 @@ def test_the_filter_lets_frequent_phrases_through(spark):
     assert collocations._let_through(mask, collocations._spot(flat, np.arange(0, 1500, 3), 3)).all()
     other = rng.integers(0, 1 << 40, 3000)
     assert collocations._let_through(mask, collocations._spot(other, np.arange(0, 3000, 3), 3)).sum() < 5
+
+
+def _entries(rows):
+    """The entries ``book, lang, at, word, n`` of the books among rows of blocks, and all words the blocks' ids stand for."""
+    books, blocks = {}, []
+    for r in rows:
+        if r["words"] is not None:
+            books[r["book"]] = (r["lang"], r["words"], r["counts"])
+        else:
+            blocks.append((r["book"], np.frombuffer(r["ids"], "<i4")))
+    text = Counter((books[b][0], books[b][1][i]) for b, ids in blocks for i in ids.tolist() if i >= 0)
+    return [(b, lang, i, w, n) for b, (lang, words, counts) in books.items() for i, (w, n) in enumerate(zip(words, counts))], text
+
+
+@pytest.mark.parametrize("block, book", [(20, 16), (20, 3), (1 << 20, 16)])
+def test_blocks_of_a_task_share_a_dictionary(monkeypatch, block, book):
+    monkeypatch.setattr(collocations, "BLOCK", block)
+    monkeypatch.setattr(collocations, "BOOK", book)
+    texts = [(("en", "de")[i % 2], f"the cat. a cat{i % 3}, the\n") for i in range(80)]
+    batch = pa.RecordBatch.from_arrays([pa.array([c[k] for c in texts]) for k in (0, 1)], names=["lang", "text"])
+    rows = [r for b in collocations._blocks(iter([batch, batch])) for r in b.to_pylist()]
+    entries, text = _entries(rows)
+    want = Counter((lang, w) for lang, t in texts * 2 for w in re.findall("[a-z0-9]+", t))
+    assert text == want
+    counted = Counter()
+    for _, lang, _, w, n in entries:
+        counted[lang, w] += n
+    assert counted == want
+    assert sum(r["words"] is None for r in rows) >= (60 if block == 20 else 2)
+    # a book has an entry for a word however many blocks it has
+    assert len(entries) <= len(want) * (sum(r["words"] is None for r in rows) // (2 * book) + 1)
+
+
+def test_books_are_told_the_ranks_of_their_words():
+    rng = random.Random(2)
+    entries = [(book, lang, at, w, rng.randint(1, 9)) for book in (7, 1 << 32, 5) for lang in ("en", "de")
+               for at, w in enumerate(rng.sample(["a", "b", "c", "d\x00", "", "en", "é"], 6))]
+    entries = [(2 * b + (lang == "en"), lang, at, w, n) for b, lang, at, w, n in entries]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("book", "lang", "at", "word", "n"), e)) for e in entries[lo:lo + 5]])
+               for lo in range(0, len(entries), 5)]
+    rows = [r for b in collocations._ranked(iter(batches), 12) for r in b.to_pylist()]
+    f = Counter()
+    for _, lang, _, w, n in entries:
+        f[lang, w] += n
+    words = [r for r in rows if r["word"] is not None]
+    assert [(r["lang"], r["word"], r["f"]) for r in words] == sorted(
+        ((*k, n) for k, n in f.items() if n >= 12), key=lambda x: (-x[2], x[0], x[1]))
+    assert [r["rank"] for r in words] == list(range(len(words))) and 0 < len(words) < len(f)
+    rank = {(r["lang"], r["word"]): r["rank"] for r in words}
+    told = {(r["book"], a): x for r in rows if r["word"] is None for a, x in zip(
+        np.frombuffer(r["at"], "<i4").tolist(), np.frombuffer(r["ranks"], "<i8").tolist())}
+    assert told == {(b, at): rank[lang, w] for b, lang, at, w, _ in entries if (lang, w) in rank}
+    # one row a book, not one a word of each book
+    assert sum(r["word"] is None for r in rows) == len({e[0] for e in entries})
+    assert list(collocations._ranked(iter([]), 1)) == []
+
+
+@pytest.mark.parametrize("held, most", [(1 << 20, 30), (40, 30 * 400), (1, 30 * 400)])
+def test_a_task_adds_up_the_phrases_of_its_blocks(monkeypatch, held, most):
+    monkeypatch.setattr(collocations, "HELD", held)
+    rng = np.random.default_rng(5)
+    found = []
+    for _ in range(400):
+        words = np.unique(rng.integers(0, 30, 12))
+        found.append((np.stack([words, words * 7, words << 33], 1), rng.integers(1, 5, len(words))))
+    found.insert(3, (np.zeros((0, 3), np.int64), np.zeros(0, np.int64)))
+    want, got, rows = Counter(), Counter(), 0
+    for words, n in found:
+        want.update({tuple(w): c for w, c in zip(words.tolist(), n.tolist())})
+    for words, n in collocations._summed(iter(found)):
+        got.update({tuple(w): c for w, c in zip(words.tolist(), n.tolist())})
+        rows += len(n)
+    assert got == want and rows <= most
+    assert list(collocations._summed(iter([]))) == []
