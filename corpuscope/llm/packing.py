@@ -20,6 +20,8 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 SHARD_DOCUMENTS, SHARD_TOKENS = 3000, 3_000_000
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
+#: What a test holds the index against: terms an item is sought by, and the share of the items a term may stand in. No limit.
+QUERY_TERMS, COMMON = float("inf"), 1.0
 #: Share of the different items from which a term's weights are held as a dense row, and ids counted at once.
 DENSE, PART = 1 / 8, 1 << 20
 
