@@ -158,6 +158,91 @@ def test_near_copies_do_not_count_as_common_phrases(spark):
     assert all(got[i] == (0 if i % 3 == 0 else i) for i in range(300))
 
 
+def test_near_copies_stay_together_where_nearly_all_are(spark):
+    """Those whose own words hold the least hash are copies as well, so they make no common phrase either."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        words = [f"b{k}" for k in range(200)] if i < 290 else [f"o{i}w{k}" for k in range(60)]
+        for _ in range(2 * (i < 290)):
+            words[rng.randrange(200)] = f"x{rng.random()}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs, lambda m: shared(spark, m)).collect()}
+    assert got == {i: 0 if i < 290 else i for i in range(300)}
+
+
+def test_groups_of_near_copies_count_once_however_many_share_a_least_hash(spark):
+    """Twenty groups begin with one passage, and no group has a hundredth of the texts."""
+    rng = random.Random(8)
+    passage = [f"s{i}" for i in range(30)]
+    rows = []
+    for g in range(20):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for k in range(8):
+            rows.append(" ".join(passage + base + [f"end{k}"]))
+    rows += [" ".join(f"o{d}w{i}" for i in range(20)) for d in range(900)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    weights = minhash._heavy(docs)
+    # the passage stands in 20 of 920 independent texts, though in 160 of 1,060
+    assert (weights.n, weights.heavy) == (920, {})
+
+
+def brute_weighed(rows):
+    """Classes by plain dictionaries: frequencies over the first text of each class of equal weights, then links."""
+    def bag(t):
+        words = t.split()
+        out = {}
+        for i in range(max(len(words) - 4, 1)):
+            s = tuple(words[i:i + 5])
+            out[s] = out.get(s, 0) + 1
+        return out
+
+    b = [bag(t) for _, t in rows]
+
+    def classes(weight):
+        links = []
+        for i in range(len(rows)):
+            for j in range(i):
+                low = sum(weight(s) * min(n, b[j].get(s, 0)) for s, n in b[i].items())
+                high = sum(weight(s) * n for x in (b[i], b[j]) for s, n in x.items()) - low
+                if low / high >= 0.8:
+                    links.append((rows[i][0], rows[j][0]))
+        return joined([r[0] for r in rows], links)
+
+    alike = classes(lambda s: 1)
+    independent = [x for x, (i, _) in zip(b, rows) if alike[i] == i]
+    counts: dict[tuple, int] = {}
+    for x in independent:
+        for s in x:
+            counts[s] = counts.get(s, 0) + 1
+    n = len(independent)
+    return alike, classes(lambda s: math.log1p(n / max(counts.get(s, 0), minhash.SHARE * n, 1)))
+
+
+def test_a_common_passage_counts_less_in_both_directions(spark):
+    """Texts that a passage alone makes alike come apart, and one that only lacks the passage joins its copy."""
+    rng = random.Random(12)
+    rows = []
+    for d in range(60):
+        passage = [f"s{i}" for i in range(150)]
+        own = [f"d{d}w{i}" for i in range(rng.randint(20, 60))]
+        rows.append(" ".join(passage + own))
+        if d % 4 == 0:
+            own[rng.randrange(len(own))] = f"x{d}"
+            rows.append(" ".join(passage + own))
+    for d in range(20):
+        own = [f"e{d}w{i}" for i in range(100)]
+        rows += [" ".join(own), " ".join(own + [f"s{i}" for i in range(10 + 3 * (d % 9))])]
+    rows += [" ".join(f"o{d}w{i}" for i in range(30)) for d in range(60)]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs, lambda m: shared(spark, m)).collect()}
+    alike, want = brute_weighed(rows)
+    assert got == want and got != alike
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = random.Random(4)
     sampler = minhash.Sampler(minhash.Weights(1000, {}))
