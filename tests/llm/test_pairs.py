@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from corpuscope.llm import minhash, vectors
 from corpuscope.llm.components import components
 from corpuscope.llm.queries import QUERIES, shared
@@ -158,8 +159,8 @@ def test_near_copies_do_not_count_as_common_phrases(spark):
     assert all(got[i] == (0 if i % 3 == 0 else i) for i in range(300))
 
 
-def test_near_copies_stay_together_where_nearly_all_are(spark):
-    """Those whose own words hold the least hash are copies as well, so they make no common phrase either."""
+def mostly_copies(spark):
+    """300 texts, the first 290 of them near copies of one."""
     rng = random.Random(6)
     rows = []
     for i in range(300):
@@ -167,11 +168,22 @@ def test_near_copies_stay_together_where_nearly_all_are(spark):
         for _ in range(2 * (i < 290)):
             words[rng.randrange(200)] = f"x{rng.random()}"
         rows.append((i, " ".join(words)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_near_copies_stay_together_where_nearly_all_are(spark):
+    """Those whose own words hold the least hash are copies as well, so they make no common phrase either."""
+    docs = mostly_copies(spark)
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs, lambda m: shared(spark, m)).collect()}
     assert got == {i: 0 if i < 290 else i for i in range(300)}
 
 
+def test_the_pipeline_keeps_one_of_near_copies_where_nearly_all_are(spark):
+    docs = mostly_copies(spark)
+    left = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in left) == [0, *range(290, 300)]
+
+
 def test_groups_of_near_copies_count_once_however_many_share_a_least_hash(spark):
     """Twenty groups begin with one passage, and no group has a hundredth of the texts."""
     rng = random.Random(8)
